@@ -1,5 +1,293 @@
-"""Registered queries over LaTeX corpora, and their SQL."""
+"""Registered queries over LaTeX corpora, and the SQL that states their answers straight from the tables.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+The tables hold no LaTeX, so documents are made of their columns (PART documents hold 50 consecutive parts each) and the operators
+recover from them what SQL says of the columns. Numbers are cast to BIGINT on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.operators import diagnostics, edits, nodes, outline, tree
+from scriptorium.sources import documents
+
+PART = 50
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _big(name: str, alias: str | None = None) -> Column:
+    return F.col(name).cast("long").alias(alias or name)
+
+
+def part_documents(spark: SparkSession, sf_dir: str, line: Column, head: str = "") -> DataFrame:
+    """(doc_id, text): a line for each of PART consecutive parts."""
+    rows = _t(spark, sf_dir, "part").select((F.col("p_partkey") / PART).cast("long").alias("doc_id"), F.struct("p_partkey", line.alias("t")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n")).alias("text"))
+
+
+def order_documents(spark: SparkSession, sf_dir: str, line: Column, before: str, after: str) -> DataFrame:
+    """(doc_id, text): a line for each line item of an order."""
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", line.alias("t")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.concat(F.lit(before), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n"), F.lit(after)).alias("text"))
+
+
+def _say(pattern: str, *columns: str) -> Column:
+    """A line in which each @ stands for the next column, as text."""
+    parts = pattern.split("@")
+    out = [F.lit(parts[0])]
+    for c, p in zip(columns, parts[1:], strict=True):
+        out += [F.col(c).cast("string"), F.lit(p)]
+    return F.concat(*out)
+
+
+def tex_sections(spark, sf_dir):
+    """Every section title of every document, with its position."""
+    docs = part_documents(spark, sf_dir, _say("\\section{@} of @ % @", "p_name", "p_brand", "p_type"))
+    return tree.sections(nodes.parse(docs)).select(_big("doc_id"), "title", _big("line"), _big("col"))
+
+
+def tex_arguments(spark, sf_dir):
+    docs = part_documents(spark, sf_dir, _say("\\includegraphics[width=@]{p/@}", "p_size", "p_partkey"))
+    p = nodes.parse(docs)
+    found = tree.graphics(nodes.nodes(p)).filter("nth > 0").join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"))
+    return found.select(_big("doc_id"), _big("nth"), "arg_kind", F.substr("text", F.col("inner_start") + 1, F.col("inner_stop") - F.col("inner_start")).alias("argument"))
+
+
+def tex_bound_arguments(spark, sf_dir):
+    """By signature: a character each where braces lack."""
+    docs = part_documents(spark, sf_dir, F.concat(F.lit("$\\frac"), F.lpad((F.col("p_size") % 90 + 10).cast("string"), 2, "0"), F.lit("$")))
+    got = tree.commands_arguments(nodes.nodes(nodes.parse(docs)), ["frac"]).filter("nth > 0")
+    return got.select(_big("doc_id"), _big("nth"), (F.col("stop") - F.col("start")).cast("long").alias("size"), _big("line"))
+
+
+def tex_environments(spark, sf_dir):
+    docs = order_documents(spark, sf_dir, _say("\\item @ of @", "l_quantity", "l_partkey"), "\\begin{itemize}\n", "\n\\end{itemize}\n")
+    n = nodes.nodes(nodes.parse(docs))
+    items = n.filter(tree.is_command("item") & (F.col("ctx.env") == "itemize")).groupBy("doc_id").agg(F.count("*").alias("items"))
+    return tree.envs(n, "itemize").join(items, "doc_id").select(_big("doc_id", "l_orderkey"), _big("end_line", "last_line"), _big("items"))
+
+
+def tex_to_next(spark, sf_dir):
+    docs = part_documents(spark, sf_dir, F.concat(_say("\\chapter{@}", "p_partkey"), F.repeat(F.lit("\\emph{x}"), (F.col("p_size") % 4).cast("int"))))
+    got = tree.commands_to_next(nodes.nodes(nodes.parse(docs)), "chapter")
+    return got.groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.max("nth").cast("long").alias("last")).select(_big("doc_id"), "n", "last")
+
+
+def tex_lines_to_next(spark, sf_dir):
+    docs = part_documents(spark, sf_dir, F.concat(_say("\\section{@}", "p_name"), F.repeat(F.lit("\nmore"), (F.col("p_size") % 3).cast("int"))))
+    got = tree.lines_to_next(docs, nodes.nodes(nodes.parse(docs)), "section")
+    return got.select(_big("doc_id"), _big("nth"), (F.size("lines")).cast("long").alias("n_lines"), F.regexp_extract(F.col("lines")[0], r"\{(.*)\}", 1).alias("title"))
+
+
+def tex_preamble(spark, sf_dir):
+    head = "\\documentclass{article}\n\\usepackage{a}\n\\begin{document}\n"
+    docs = part_documents(spark, sf_dir, _say("\\input{p/@}", "p_partkey"), head).withColumn("text", F.concat("text", F.lit("\n\\end{document}\n\\input{after}")))
+    n = nodes.nodes(nodes.parse(docs))
+    before = tree.preamble(n).groupBy("doc_id").agg(F.count_if(F.col("kind") == "command").alias("commands"))
+    within = tree.inputs(n, True).groupBy("doc_id").agg(F.count("*").alias("inputs"))
+    return before.join(within, "doc_id").select(_big("doc_id"), _big("commands"), _big("inputs"))
+
+
+def tex_expansion(spark, sf_dir):
+    docs = part_documents(spark, sf_dir, _say("\\size{@}{@}", "p_size", "p_name"), "\\newcommand{\\size}[2]{#2 in \\unit{#1}}\\newcommand{\\unit}[1]{#1 cm}%\n")
+    v = nodes.views(docs).select("doc_id", F.posexplode(F.split("view", "\n")).alias("n", "line")).filter("n > 0")
+    return v.select(_big("doc_id"), _big("n"), "line")
+
+
+def tex_provenance(spark, sf_dir):
+    """The expansions of each line and their places in the source."""
+    docs = part_documents(spark, sf_dir, _say("\\name{@}", "p_partkey"), "\\newcommand{\\name}[1]{part #1}%\n")
+    v = nodes.views(docs).select("doc_id", "text", F.inline("expansions"))
+    return v.select(_big("doc_id"), F.substr("text", F.col("source") + 1, F.col("source_stop") - F.col("source")).alias("used"), _big("depth"))
+
+
+def tex_unclosed(spark, sf_dir):
+    """Braces left open in one line of seven, told once each, at their places."""
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\emph{"), F.col("p_name"), F.when(F.col("p_size") % 7 == 0, "").otherwise("}")).alias("text"))
+    return diagnostics.structure(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "code", _big("line"), _big("col"), _big("fix_at"), "fix")
+
+
+def tex_meaning(spark, sf_dir):
+    """Rules of meaning on documents that break one of them each."""
+    body = (
+        F.when(F.col("p_size") % 6 == 0, "\\item x").when(F.col("p_size") % 6 == 1, "a & b").when(F.col("p_size") % 6 == 2, "a^2").when(F.col("p_size") % 6 == 3, "\\caption{c}").when(F.col("p_size") % 6 == 4, "\\usepackage{d}").otherwise("fine")
+    )
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n"), body, F.lit("\n\\end{document}\n")).alias("text"))
+    return diagnostics.diagnose(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "code", "severity", _big("line"), _big("col"))
+
+
+def tex_summary(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("$x"), F.when(F.col("p_size") % 3 == 0, "").otherwise("$"), F.when(F.col("p_size") % 5 == 0, "}").otherwise("")).alias("text"))
+    return diagnostics.tallies(diagnostics.structure(nodes.parse(docs)).select(*diagnostics.COLUMNS)).select("severity", "code", _big("n"))
+
+
+def tex_too_many_columns(spark, sf_dir):
+    row = F.concat(F.array_join(F.array_repeat(F.lit("x"), F.col("p_size") % 5 + 1), " & "), F.lit(" \\\\"))
+    docs = part_documents(spark, sf_dir, row, "\\begin{tabular}{l|c*{1}{r}}\n").withColumn("text", F.concat("text", F.lit("\n\\end{tabular}")))
+    return diagnostics.too_many_columns(nodes.parse(docs)).select(_big("doc_id"), _big("line"), "message")
+
+
+def tex_delimiters(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("$"), F.when(F.col("p_size") % 4 == 0, "").otherwise("\\left( "), F.lit("x"), F.when(F.col("p_size") % 4 == 1, "").otherwise(" \\right)"), F.lit("$")).alias("text"))
+    return diagnostics.pair_rules(nodes.nodes(nodes.parse(docs))).select(_big("doc_id", "p_partkey"), "code", _big("col"))
+
+
+def tex_equation_labels(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\begin{equation}\n"), F.repeat(F.lit("\\label{l}\n"), (F.col("p_size") % 4).cast("int")), F.lit("x\n\\end{equation}")).alias("text"))
+    return diagnostics.order_rules(nodes.nodes(nodes.parse(docs))).select(_big("doc_id", "p_partkey"), "code", _big("line"))
+
+
+def tex_definitions(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\newcommand{\\mine}["), (F.col("p_size") % 4).cast("string"), F.lit("]{a #2}")).alias("text"))
+    return diagnostics.definition_rules(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "code", "message")
+
+
+def tex_lengths(spark, sf_dir):
+    unit = F.element_at(F.array(*map(F.lit, ("cm", "", "pt", "kg", "em"))), (F.col("p_size") % 5 + 1).cast("int"))
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\hspace{"), F.col("p_size").cast("string"), unit, F.lit("}")).alias("text"))
+    return diagnostics.invalid_lengths(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "code")
+
+
+def tex_missing_files(spark, sf_dir):
+    """Includes that no file of a manifest fits."""
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\input{./p/@}", "p_partkey").alias("text"))
+    files = _t(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 1, ".tex").otherwise("")).alias("path"))
+    return diagnostics.files_not_found(nodes.parse(docs), files).select(_big("doc_id", "p_partkey"), "severity", "message")
+
+
+def tex_typos(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 3 == 0, "\\secton{x} \\hline").when(F.col("p_size") % 3 == 1, "\\setcion{x}").otherwise("\\sectiom{x} \\zzzzzzz").alias("text"))
+    return diagnostics.unknown_names(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "message", _big("col"))
+
+
+def tex_check_expanded(spark, sf_dir):
+    """Mistakes that a macro writes, at the places of its uses."""
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\documentclass{a}\\newcommand{\\bad}{\\item}\n\\begin{document}\n"), F.when(F.col("p_size") % 2 == 0, "\\bad").otherwise("good"), F.lit("\n\\end{document}")).alias("text"))
+    return diagnostics.check(docs).select(_big("doc_id", "p_partkey"), "code", "message", _big("line"), _big("col"))
+
+
+def tex_edits(spark, sf_dir):
+    docs = part_documents(spark, sf_dir, _say("\\section{@} @", "p_name", "p_brand"))
+    found = nodes.nodes(nodes.parse(docs)).filter(tree.is_command("section"))
+    new = edits.rewrite(docs, edits.corrected(found, F.lit("\\subsection")))
+    return new.select(_big("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", _big("n"), "line")
+
+
+def tex_quick_fixes(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\emph{"), F.col("p_name"), F.when(F.col("p_size") % 7 == 0, "").otherwise("}")).alias("text"))
+    return edits.rewrite(docs, edits.quick_fixes(diagnostics.structure(nodes.parse(docs)))).select(_big("doc_id", "p_partkey"), "text")
+
+
+def tex_prose(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\section{@}\n\\emph{@}~@ % note\nand \\textbf{more}\\label{x}", "p_name", "p_brand", "p_size").alias("text"))
+    return nodes.prose(docs).select(_big("doc_id", "p_partkey"), "prose")
+
+
+def tex_search(spark, sf_dir):
+    """Matches in prose, with their places in the source."""
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\textbf{size} @ \\emph{of size} @", "p_size", "p_partkey").alias("text"))
+    return nodes.search(nodes.prose(docs), "size").select(_big("doc_id", "p_partkey"), _big("nth"), "hit", _big("at"), _big("source"))
+
+
+def tex_outline(spark, sf_dir):
+    """Words of each section with those below it."""
+    docs = part_documents(spark, sf_dir, F.concat(F.when(F.col("p_partkey") % 5 == 0, "\\section{s} ").otherwise("\\subsection{t} "), F.repeat(F.lit("word "), (F.col("p_size") % 4 + 1).cast("int"))))
+    p = nodes.parse(docs)
+    blocks = outline.section_blocks(p)
+    got = outline.rolled_up(blocks, outline.block_stats(p)).filter("key = 'words'").join(blocks.select("doc_id", "block_id", "label", "line"), ["doc_id", "block_id"])
+    return got.select(_big("doc_id"), "label", _big("line"), _big("n", "words"))
+
+
+def tex_catcodes(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 2 == 0, "\\makeatletter\\a@b\\makeatother").otherwise("{\\makeatletter}\\a@b").alias("text"))
+    n = nodes.nodes(nodes.parse(docs)).filter((F.col("kind") == "command") & F.startswith("name", F.lit("a")))
+    return n.select(_big("doc_id", "p_partkey"), "name", _big("col"))
+
+
+def tex_verbatim(spark, sf_dir):
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\verb|@{| \\begin{verbatim}\n%$@\n\\end{verbatim}", "p_name", "p_size").alias("text"))
+    n = nodes.nodes(nodes.parse(docs)).filter("kind = 'verbatim'")
+    return n.select(_big("doc_id", "p_partkey"), "name", "content")
+
+
+def tex_lines(spark, sf_dir):
+    """Lines of the documents table."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents.lines(docs).select(_big("doc_id"), _big("line"), F.length("text").cast("long").alias("size"))
+
+
+def tex_comments(spark, sf_dir):
+    """Comments of the documents table, in which no backslash occurs."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").filter("instr(text, '%') > 0")
+    return nodes.nodes(nodes.parse(docs)).filter("kind = 'comment'").select(_big("doc_id"), _big("line"), _big("col"), "content")
+
+
+def tex_environment_tally(spark, sf_dir):
+    docs = order_documents(spark, sf_dir, _say("\\begin{quote}@\\end{quote}", "l_partkey"), "\\begin{center}\n", "\n\\end{center}")
+    return outline.environments_counted(nodes.nodes(nodes.parse(docs))).select("name", _big("n"))
+
+
+def tex_fingerprints(spark, sf_dir):
+    """Digests of two runs over documents of which some differ."""
+    part = _t(spark, sf_dir, "part")
+    before = part.filter("p_size % 4 <> 0").select(F.col("p_partkey").alias("doc_id"), _say("\\emph{@}", "p_name").alias("text"))
+    after = part.filter("p_size % 4 <> 1").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\emph{"), F.col("p_name"), F.when(F.col("p_size") % 4 == 2, "!").otherwise(""), F.lit("}")).alias("text"))
+    fp = lambda d: tree.fingerprints(nodes.nodes(nodes.parse(d)))
+    return tree.compared(fp(before), fp(after)).select(_big("doc_id", "p_partkey"), "state")
+
+
+def tex_walk(spark, sf_dir):
+    """The flat walk: an opening and a closing row for each group, a row for each leaf."""
+    docs = order_documents(spark, sf_dir, _say("{@}", "l_partkey"), "", "")
+    return tree.flat(nodes.nodes(nodes.parse(docs))).groupBy("doc_id", "what").agg(F.count("*").alias("n")).select(_big("doc_id", "l_orderkey"), "what", _big("n"))
+
+
+QUERIES = {f.__name__: f for f in (
+    tex_sections, tex_arguments, tex_bound_arguments, tex_environments, tex_to_next, tex_lines_to_next, tex_preamble, tex_expansion, tex_provenance, tex_unclosed, tex_meaning, tex_summary,
+    tex_too_many_columns, tex_delimiters, tex_equation_labels, tex_definitions, tex_lengths, tex_missing_files, tex_typos, tex_check_expanded, tex_edits, tex_quick_fixes, tex_prose, tex_search, tex_outline,
+    tex_catcodes, tex_verbatim, tex_lines, tex_comments, tex_environment_tally, tex_fingerprints, tex_walk,
+)}
+FLAGSHIP = tex_sections
+
+_P = f"(p_partkey // {PART})::BIGINT AS doc_id"
+_NTH = f"row_number() OVER (PARTITION BY p_partkey // {PART} ORDER BY p_partkey)::BIGINT"
+ORACLE_SQL = {
+    "tex_sections": f"SELECT {_P}, p_name AS title, {_NTH} AS line, 0::BIGINT AS col FROM part",
+    "tex_arguments": f"SELECT {_P}, 1::BIGINT AS nth, 'option' AS arg_kind, 'width=' || p_size AS argument FROM part UNION ALL SELECT {_P}, 2::BIGINT, 'brace', 'p/' || p_partkey FROM part",
+    "tex_bound_arguments": f"SELECT {_P}, k::BIGINT AS nth, 1::BIGINT AS size, {_NTH} AS line FROM part, (SELECT 1 AS k UNION ALL SELECT 2) QUALIFY true".replace(_NTH, f"dense_rank() OVER (PARTITION BY p_partkey // {PART} ORDER BY p_partkey)::BIGINT").replace(" QUALIFY true", ""),
+    "tex_environments": "SELECT l_orderkey::BIGINT AS l_orderkey, (count(*) + 2)::BIGINT AS last_line, count(*)::BIGINT AS items FROM lineitem GROUP BY l_orderkey",
+    "tex_to_next": f"SELECT {_P}, (2 + 2 * (p_size % 4))::BIGINT AS n, (1 + 2 * (p_size % 4))::BIGINT AS \"last\" FROM part",
+    "tex_lines_to_next": f"SELECT {_P}, {_NTH} AS nth, (1 + p_size % 3)::BIGINT AS n_lines, p_name AS title FROM part",
+    "tex_preamble": f"SELECT {_P}, 2::BIGINT AS commands, count(*)::BIGINT AS inputs FROM part GROUP BY ALL",
+    "tex_expansion": f"SELECT {_P}, {_NTH} AS n, p_name || ' in ' || p_size || ' cm' AS line FROM part",
+    "tex_provenance": f"SELECT {_P}, '\\name{{' || p_partkey || '}}' AS used, 1::BIGINT AS depth FROM part",
+    "tex_unclosed": "SELECT p_partkey::BIGINT AS p_partkey, 'unclosed-brace' AS code, 1::BIGINT AS line, 5::BIGINT AS col, (6 + length(rtrim(p_name)))::BIGINT AS fix_at, '}' AS fix FROM part WHERE p_size % 7 = 0",
+    "tex_meaning": """SELECT p_partkey::BIGINT AS p_partkey, ['item-outside-list', 'ampersand-outside-alignment', 'script-outside-math', 'caption-outside-float', 'preamble-only'][p_size % 6 + 1] AS code, 'error' AS severity, 3::BIGINT AS line, 0::BIGINT AS col FROM part WHERE p_size % 6 < 5""",
+    "tex_summary": "SELECT 'warning' AS severity, 'unclosed-math' AS code, count(*)::BIGINT AS n FROM part WHERE p_size % 3 = 0 HAVING count(*) > 0 UNION ALL SELECT 'error', 'extra-brace', count(*)::BIGINT FROM part WHERE p_size % 5 = 0 HAVING count(*) > 0",
+    "tex_too_many_columns": f"SELECT * FROM (SELECT {_P}, {_NTH} + 1 AS line, (p_size % 5 + 1) || ' cells in a row of 3 columns' AS message, p_size FROM part) WHERE p_size % 5 + 1 > 3".replace("SELECT * FROM", "SELECT doc_id, line, message FROM"),
+    "tex_delimiters": "SELECT p_partkey::BIGINT AS p_partkey, CASE WHEN p_size % 4 = 0 THEN 'right-without-left' ELSE 'left-without-right' END AS code, CASE WHEN p_size % 4 = 0 THEN 3 ELSE 1 END::BIGINT AS col FROM part WHERE p_size % 4 < 2",
+    "tex_equation_labels": "SELECT p_partkey::BIGINT AS p_partkey, 'multiple-labels' AS code, (2 + k)::BIGINT AS line FROM part, (SELECT 1 AS k UNION ALL SELECT 2) WHERE k < p_size % 4",
+    "tex_definitions": "SELECT p_partkey::BIGINT AS p_partkey, 'illegal-parameter' AS code, 'parameter 2 of ' || (p_size % 4) AS message FROM part WHERE p_size % 4 < 2",
+    "tex_lengths": "SELECT p_partkey::BIGINT AS p_partkey, 'invalid-length' AS code FROM part WHERE p_size % 5 IN (1, 3)",
+    "tex_missing_files": "SELECT p_partkey::BIGINT AS p_partkey, 'warning' AS severity, './p/' || p_partkey || ' is not found' AS message FROM part WHERE p_partkey % 3 = 0",
+    "tex_typos": r"SELECT p_partkey::BIGINT AS p_partkey, CASE WHEN p_size % 3 = 1 THEN '\setcion: did you mean \section?' ELSE '\sectiom: did you mean \section?' END AS message, 0::BIGINT AS col FROM part WHERE p_size % 3 <> 0",
+    "tex_check_expanded": r"SELECT p_partkey::BIGINT AS p_partkey, 'item-outside-list' AS code, 'an item outside a list (written by \bad)' AS message, 3::BIGINT AS line, 0::BIGINT AS col FROM part WHERE p_size % 2 = 0",
+    "tex_edits": f"SELECT {_P}, {_NTH} - 1 AS n, '\\subsection{{' || p_name || '}} ' || p_brand AS line FROM part",
+    "tex_quick_fixes": r"SELECT p_partkey::BIGINT AS p_partkey, '\emph{' || p_name || '}' AS text FROM part",
+    "tex_prose": "SELECT p_partkey::BIGINT AS p_partkey, p_name || chr(10) || chr(10) || p_brand || ' ' || p_size || ' and more' AS prose FROM part",
+    "tex_search": "SELECT p_partkey::BIGINT AS p_partkey, 1::BIGINT AS nth, 'size' AS hit, 0::BIGINT AS at, 8::BIGINT AS source FROM part UNION ALL SELECT p_partkey::BIGINT, 2::BIGINT, 'size', (9 + length(p_size::VARCHAR))::BIGINT, (24 + length(p_size::VARCHAR))::BIGINT FROM part",
+    "tex_outline": f"""WITH p AS (SELECT {_P}, p_partkey, p_size % 4 + 1 AS w, {_NTH} AS line, p_partkey % 5 = 0 AS top, sum((p_partkey % 5 = 0)::INT) OVER (PARTITION BY p_partkey // {PART} ORDER BY p_partkey) AS s FROM part)
+SELECT a.doc_id, 's' AS label, a.line, sum(b.w)::BIGINT AS words FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.s = b.s WHERE a.top GROUP BY ALL
+UNION ALL SELECT doc_id, 't', line, w::BIGINT FROM p WHERE NOT top""",
+    "tex_catcodes": "SELECT p_partkey::BIGINT AS p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a@b' ELSE 'a' END AS name, CASE WHEN p_size % 2 = 0 THEN 13 ELSE 15 END::BIGINT AS col FROM part",
+    "tex_verbatim": "SELECT p_partkey::BIGINT AS p_partkey, 'verb' AS name, p_name || '{' AS content FROM part UNION ALL SELECT p_partkey::BIGINT, 'verbatim', chr(10) || '%$' || p_size || chr(10) FROM part",
+    "tex_lines": "SELECT doc_id::BIGINT AS doc_id, k::BIGINT AS line, length(l[k])::BIGINT AS size FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')) WHERE k < len(l) OR l[k] <> ''",
+    "tex_comments": "SELECT doc_id::BIGINT AS doc_id, k::BIGINT AS line, (instr(l[k], '%') - 1)::BIGINT AS col, substr(l[k], instr(l[k], '%') + 1) AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE instr(l[k], '%') > 0",
+    "tex_environment_tally": "SELECT 'quote' AS name, count(*)::BIGINT AS n FROM lineitem UNION ALL SELECT 'center', count(DISTINCT l_orderkey)::BIGINT FROM lineitem",
+    "tex_fingerprints": "SELECT p_partkey::BIGINT AS p_partkey, ['added', 'removed', 'changed', 'same'][p_size % 4 + 1] AS state FROM part",
+    "tex_walk": "SELECT l_orderkey::BIGINT AS l_orderkey, w AS what, count(*)::BIGINT AS n FROM lineitem, (SELECT 'open' AS w UNION ALL SELECT 'leaf' UNION ALL SELECT 'close') GROUP BY ALL",
+}
