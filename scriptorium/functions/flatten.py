@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptorium.functions import mathlists
 from scriptorium.functions.kernel import DEFINING, Node, Scanned, scan, walk
 from scriptorium.functions.signatures import ALIGNMENTS, FLOATS, LISTS, MATH_ENVIRONMENTS, Table
 
@@ -88,7 +89,7 @@ def rows(s: Scanned) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
         if r["args"] is not None:
             r["args"] = [None if a is None else a.index for a in r["args"]]
     events = []
-    for e in s.events:
+    for e in sorted(s.events + mathlists.read(s.root, s.text), key=lambda e: (e.start, e.end, e.code)):
         (line, col), (end_line, end_col) = s.position(e.start), s.position(e.end)
         events.append({"code": e.code, "severity": e.severity, "message": e.message, "start": e.start, "stop": e.end, "line": line, "col": col, "end_line": end_line, "end_col": end_col, "fix_at": e.fix_at, "fix": e.fix})
     definitions = [dict(zip(("start", "how", "name", "arity", "default", "body"), d, strict=True)) for d in s.definitions]
