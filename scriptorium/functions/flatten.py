@@ -9,7 +9,7 @@ from scriptorium.functions.signatures import ALIGNMENTS, FLOATS, LISTS, MATH_ENV
 TEXT_IN_MATH = frozenset("text mbox hbox textrm textbf textit texttt textsf intertext".split())
 INCLUDING = {"input": ".tex", "include": ".tex", "usepackage": ".sty", "RequirePackage": ".sty", "documentclass": ".cls", "LoadClass": ".cls", "includegraphics": ""}
 
-NODE = "node_id int, parent_id int, sib int, depth int, last int, kind string, name string, base_name string, star boolean, content string, delimiter string, start int, stop int, inner_start int, inner_stop int, line int, col int, end_line int, end_col int, mode string, spec string, args array<int>, bare boolean, closed boolean, macro boolean, ctx struct<mode:string,lists:boolean,alignment:boolean,floating:boolean,body:boolean,arg_of:string,math_id:int,env:string,defining:boolean>"
+NODE = "node_id int, parent_id int, sib int, depth int, last int, kind string, name string, base_name string, star boolean, content string, delimiter string, start int, stop int, inner_start int, inner_stop int, line int, col int, end_line int, end_col int, mode string, spec string, args array<int>, bare boolean, closed boolean, macro boolean, ctx struct<mode:string,lists:boolean,alignment:boolean,floating:boolean,body:boolean,arg_of:string,math_id:int,env:string,defining:boolean,itemize:int,enumerate:int,nested:int>"
 EVENT = "code string, severity string, message string, start int, stop int, line int, col int, end_line int, end_col int, fix_at int, fix string"
 DEFINITION = "start int, how string, name string, arity int, default string, body string"
 INCLUSION = "start int, command string, target string, extension string"
@@ -26,7 +26,9 @@ def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
         if node.name == "document":
             out.update(body=True)
         if node.name in LISTS:
-            out["lists"] = True
+            out.update(lists=True, nested=ctx["nested"] + 1)
+            if node.name in out:
+                out[node.name] = ctx[node.name] + 1
         if node.name in FLOATS:
             out["floating"] = True
         if node.name in ALIGNMENTS or node.name in MATH_ENVIRONMENTS:
@@ -57,7 +59,7 @@ def rows(s: Scanned) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
     for n, parent, *_ in reversed(order):
         if parent is not None:
             last[parent.index] = max(last[parent.index], last[n.index])
-    start = {"mode": "text", "lists": None if s.fragment else False, "alignment": None if s.fragment else False, "floating": None if s.fragment else False, "body": None if s.fragment else False, "arg_of": None, "math_id": None, "env": None, "defining": False}
+    start = {"mode": "text", "lists": None if s.fragment else False, "alignment": None if s.fragment else False, "floating": None if s.fragment else False, "body": None if s.fragment else False, "arg_of": None, "math_id": None, "env": None, "defining": False, "itemize": 0, "enumerate": 0, "nested": 0}
     inside: dict[int, dict] = {}
     owner: dict[int, str] = {}
     included = []

@@ -15,7 +15,11 @@ from scriptorium.sources.documents import lines as lines_of
 COLUMNS = ("doc_id", "code", "severity", "message", "start", "stop", "line", "col")
 RANK = {"error": 0, "warning": 1, "info": 2}
 PREAMBLE_ONLY = ("usepackage", "documentclass", "RequirePackage", "includeonly", "makeindex")
+#: Packages of which it is known that they define no column letters.
+PLAIN = ("amsmath", "amssymb", "amsthm", "graphicx", "xcolor", "hyperref", "inputenc", "fontenc", "babel", "geometry", "booktabs")
 SHORT_ARGUMENTS = ("section", "subsection", "chapter", "emph", "textbf", "textit", "caption", "title", "textrm", "texttt", "underline")
+#: How deep itemize, enumerate and all lists nest.
+DEEPEST = (4, 4, 6)
 #: Units of TeX lengths, and the starts of expressions that can't be decided.
 LENGTH = r"^\s*[-+]?\s*(\d+\.?\d*|\.\d+|\d*,\d+)?\s*(\\[A-Za-z@]+|true)?\s*(pt|pc|in|bp|cm|mm|dd|cc|sp|ex|em|mu|nd|nc|px)?\s*((plus|minus)\s.*)?$"
 
@@ -56,6 +60,7 @@ def simple_rules(nodes: DataFrame) -> DataFrame:
         said(is_par() & _ctx("arg_of").isin(*SHORT_ARGUMENTS), "blank-line-in-argument", "error", "an empty line in an argument that can't hold a paragraph"),
         said((F.col("kind") == "verbatim") & (F.coalesce(_ctx("arg_of"), F.lit("")) != "") & F.col("base_name").isin("verb", "lstinline"), "verb-in-argument", "error", "verbatim in an argument"),
         said((F.col("kind") == "environment") & F.col("name").isin(*sorted(FLOATS)) & ((_ctx("floating") == F.lit(True)) | _ctx("env").isin("minipage")), "float-in-box", "error", "a float in a box"),
+        said((F.col("kind") == "environment") & F.col("name").isin(*sorted(LISTS)) & ((F.col("name").eqNullSafe("itemize") & (_ctx("itemize") >= DEEPEST[0])) | (F.col("name").eqNullSafe("enumerate") & (_ctx("enumerate") >= DEEPEST[1])) | (_ctx("nested") >= DEEPEST[2])), "too-deeply-nested", "error", "lists are nested too deeply"),
     ]
     broken = F.filter(F.array(*every), lambda x: x.isNotNull())
     return nodes.select("doc_id", "start", "stop", "line", "col", F.inline(broken)).select(*COLUMNS)
@@ -92,6 +97,36 @@ def order_rules(nodes: DataFrame) -> DataFrame:
     return multiple.unionByName(_said(first, "text-before-item", "error", "text before the first item")).unionByName(_said(breaks, "line-break-without-line", "error", "there is no line to break")).unionByName(_said(early, "text-in-preamble", "error", "text in the preamble"))
 
 
+def table_rules(nodes: DataFrame) -> DataFrame:
+    """Rules and spans of tables that don't stand first in their row or cell."""
+    before = F.last(F.when(~F.col("kind").isin("comment", "option") & ~is_par(), F.struct("kind", "name", "content", "node_id")), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, -1))
+    owned = F.array_max(F.flatten(F.collect_list(F.when(F.col("name").isin("cline", "hline", "\\", "\\*"), F.filter(F.coalesce("args", F.array().cast("array<int>")), lambda a: a.isNotNull()))).over(siblings().rowsBetween(-3, -1))))
+    rows = nodes.filter(F.col("ctx.env").isin("tabular", "array", "tabularx") & F.col("ctx.arg_of").isNull()).withColumn("before", before).withColumn("owned", owned)
+    spec = nodes.filter(F.col("name").isin("tabular", "array", "tabularx") & (F.col("kind") == "environment")).select(F.col("doc_id").alias("d"), F.col("node_id").alias("table"), F.element_at(F.filter("args", lambda a: a.isNotNull()), -1).alias("spec_id"))
+    rows = rows.join(spec, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("table")))
+    start = F.col("before").isNull() | (F.col("before.node_id") <= F.col("spec_id")) | F.coalesce(F.col("before.node_id") == F.col("owned"), F.lit(False))
+    row_start = start | ((F.col("before.kind") == "command") & F.col("before.name").isin("\\", "\\*", "hline", "tabularnewline", "toprule", "midrule", "bottomrule", "cline"))
+    cell_start = row_start | ((F.col("before.kind") == "text") & F.col("before.content").rlike("&\\s*$"))
+    live = ~F.coalesce(F.col("ctx.defining"), F.lit(False)) & ~F.col("bare")
+    rule = _said(rows.filter(live & is_command("hline", "cline") & ~row_start), "misplaced-rule", "error", "a rule within a row")
+    return rule.unionByName(_said(rows.filter(live & is_command("multicolumn") & ~cell_start), "misplaced-multicolumn", "error", "a span within a cell"))
+
+
+def table_specs(parsed: DataFrame) -> DataFrame:
+    """(doc_id, table, spec and the place of its argument) of tables."""
+    last = F.element_at(F.filter("args", lambda a: a.isNotNull()), -1)
+    heads = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: n["name"].isin("tabular", "array", "tabularx") & (n["kind"] == "environment")))).filter(F.exists("args", lambda a: a.isNotNull()))
+    arg = F.try_element_at("nodes", last + 1)
+    return heads.withColumn("arg", arg).select("doc_id", F.col("node_id").alias("table"), F.substr("text", F.col("arg.inner_start") + 1, F.col("arg.inner_stop") - F.col("arg.inner_start")).alias("spec"), F.col("arg.start").alias("start"), F.col("arg.stop").alias("stop"), F.col("arg.line").alias("line"), F.col("arg.col").alias("col"), F.col("ctx.defining").alias("defining"))
+
+
+def unknown_columns(parsed: DataFrame) -> DataFrame:
+    """Column letters that no standard package has, where the document loads no other that may define them."""
+    loads = parsed.select("doc_id", F.exists("inclusions", lambda i: i["command"].isin("usepackage", "RequirePackage") & ~i["target"].isin(*PLAIN)).alias("other"))
+    found = table_specs(parsed).join(loads, "doc_id").filter(~F.col("other") & ~F.coalesce("defining", F.lit(False)) & column_count(F.col("spec")).isNull())
+    return _said(found, "unknown-column", "error", F.concat(F.lit("unknown column in "), "spec"))
+
+
 def column_count(spec: Column) -> Column:
     """The number of columns of a table's specification; null where it has letters that aren't known."""
     plain = F.regexp_replace(spec, r"[@!<>]\s*\{[^{}]*\}|[|\s]", "")
@@ -104,16 +139,11 @@ def column_count(spec: Column) -> Column:
 def too_many_columns(parsed: DataFrame) -> DataFrame:
     """Rows of tables with more cells than columns; reported at the end of the row."""
     nodes = parsed.select("doc_id", "text", F.inline("nodes"))
-    tables = nodes.filter(F.col("kind").isin("environment") & F.col("name").isin("tabular", "array", "tabularx"))
-    last = F.element_at(F.filter("args", lambda a: a.isNotNull()), -1)
-    spec = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: n["name"].isin("tabular", "array", "tabularx") & (n["kind"] == "environment")))).filter(F.exists("args", lambda a: a.isNotNull())).withColumn("arg", F.try_element_at("nodes", last + 1))
-    spec = spec.select(F.col("doc_id").alias("d"), F.col("node_id").alias("table"), column_count(F.substr("text", F.col("arg.inner_start") + 1, F.col("arg.inner_stop") - F.col("arg.inner_start"))).alias("columns"), F.col("arg.node_id").alias("skip"))
-    del tables
+    spec = table_specs(parsed).select(F.col("doc_id").alias("d"), "table", column_count(F.col("spec")).alias("columns"))
     breaks = F.sum(F.when(is_command("\\", "\\*", "tabularnewline"), 1).otherwise(0)).over(siblings().rowsBetween(Window.unboundedPreceding, -1))
     cells = nodes.filter(F.col("ctx.env").isin("tabular", "array", "tabularx")).withColumn("row", F.coalesce(breaks, F.lit(0)))
     amps = F.when((F.col("kind") == "text"), F.length("content") - F.length(F.replace("content", F.lit("&"), F.lit("")))).otherwise(0)
-    span = F.lead("content").over(siblings())
-    cells = cells.withColumn("span", F.when(is_command("multicolumn"), F.lit(1)).otherwise(0)).withColumn("amps", amps).withColumn("_", span)
+    cells = cells.withColumn("span", F.when(is_command("multicolumn"), F.lit(1)).otherwise(0)).withColumn("amps", amps)
     rows = cells.groupBy("doc_id", "parent_id", "row").agg((F.sum("amps") + 1).alias("cells"), F.max("span").alias("spans"), F.max_by(F.struct("start", "stop", "line", "col"), "node_id").alias("at"))
     over = rows.join(spec, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("table"))).filter((F.col("spans") == 0) & (F.col("cells") > F.col("columns")))
     return _said(over.select("doc_id", "cells", "columns", "at.*"), "too-many-columns", "error", F.format_string("%d cells in a row of %d columns", "cells", "columns"))
@@ -126,10 +156,14 @@ def definition_rules(parsed: DataFrame) -> DataFrame:
     at = F.element_at(F.filter("nodes", lambda n: (n["start"] == F.col("start")) & (n["kind"] == "command")), 1)
     placed = d.withColumn("at", at).select("doc_id", "how", "name", "arity", used.alias("used"), "start", F.col("at.stop").alias("stop"), F.col("at.line").alias("line"), F.col("at.col").alias("col"))
     illegal = _said(placed.filter("used > arity"), "illegal-parameter", "error", F.format_string("parameter %d of %d", "used", "arity"))
+    named = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: (n["kind"] == "command") & n["base_name"].isin("newcommand", "renewcommand", "providecommand") & ~n["bare"])))
+    named = named.withColumn("a", F.try_element_at("nodes", F.try_element_at("args", F.lit(1)) + 1)).filter("a IS NOT NULL AND NOT ctx.defining")
+    target = F.substr("text", F.col("a.start") + 1, F.col("a.stop") - F.col("a.start"))
+    no_name = _said(named.filter(~target.rlike(r"^\{?\s*\\([A-Za-z@]+|[^A-Za-z])\s*\}?$") & ~F.contains(target, F.lit("#"))), "not-a-command-name", "error", "this is no name of a command")
     nth = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("start"))
     known = sorted(builtin().commands)
     twice = placed.filter("how IN ('newcommand', 'NewDocumentCommand')").withColumn("nth", nth).filter((F.col("nth") > 1) | F.col("name").isin(known))
-    return illegal.unionByName(_said(twice, "already-defined", "error", F.concat(F.lit("\\"), F.col("name"), F.lit(" is already defined"))))
+    return illegal.unionByName(no_name).unionByName(_said(twice, "already-defined", "error", F.concat(F.lit("\\"), F.col("name"), F.lit(" is already defined"))))
 
 
 def invalid_lengths(parsed: DataFrame) -> DataFrame:
@@ -153,32 +187,36 @@ def files_not_found(parsed: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def unknown_names(parsed: DataFrame) -> DataFrame:
-    """Commands met once that are one substitution or one swap of neighbours from a known name of the same length: infos.
+    """Commands and environments met once that are one substitution or one swap of neighbours from a known name of the same length: infos.
 
     Known are the built-in names and those the document defines. Variants are joined by name with one letter blanked or two
     swapped, so nothing is compared with everything. The alphabetically first candidate is named.
     """
-    spark = parsed.sparkSession
-    used = parsed.select("doc_id", F.inline("nodes")).filter((F.col("kind") == "command") & F.col("spec").isNull() & ~F.col("macro") & F.col("base_name").rlike("^[A-Za-z]{3,}$") & ~F.col("base_name").isin("begin", "end") & ~F.coalesce(F.col("ctx.defining"), F.lit(False)))
-    once = used.groupBy("doc_id", "base_name").agg(F.count("*").alias("n"), F.min(F.struct("start", "stop", "line", "col")).alias("at")).filter("n = 1")
-    known = spark.createDataFrame([(n,) for n in sorted(builtin().commands) if n.isalpha() and len(n) > 2], "known string")  # a fixed table
-    own = parsed.select("doc_id", F.inline("definitions")).filter(F.length("name") > 2).select("doc_id", F.col("name").alias("known"))
+    spark, table = parsed.sparkSession, builtin()
+    rows = parsed.select("doc_id", F.inline("nodes")).filter(F.col("kind").isin("command", "environment") & F.col("spec").isNull() & ~F.col("macro") & F.col("base_name").rlike("^[A-Za-z]{3,}$") & ~F.coalesce(F.col("ctx.defining"), F.lit(False)))
+    rows = rows.filter(~((F.col("kind") == "command") & F.col("base_name").isin("begin", "end")))
+    once = rows.groupBy("doc_id", "kind", "base_name").agg(F.count("*").alias("n"), F.min(F.struct("start", "stop", "line", "col")).alias("at")).filter("n = 1")
+    fixed = [("command", n) for n in sorted(table.commands) if n.isalpha() and len(n) > 2] + [("environment", n) for n in sorted(table.environments) if n.isalpha() and len(n) > 2]
+    known = spark.createDataFrame(fixed, "kind string, known string")  # a fixed table
+    own = parsed.select("doc_id", F.inline("definitions")).filter(F.length("name") > 2).select("doc_id", F.when(F.contains(F.lower("how"), F.lit("environment")), "environment").otherwise("command").alias("kind"), F.col("name").alias("known"))
     places = lambda c: F.sequence(F.lit(1), F.length(c))
     blank = lambda c: F.transform(places(c), lambda i: F.overlay(F.col(c), F.lit("?"), i))
     swaps = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.overlay(F.col(c), F.concat(F.substr(c, i + 1, F.lit(1)), F.substr(c, i, F.lit(1))), i))
-    tried = once.select("doc_id", "base_name", "at", F.explode(F.concat(blank("base_name"), swaps("base_name"))).alias("key"))
-    keys = lambda df, *c: df.select(*c, "known", F.explode(F.concat(blank("known"), F.array("known"))).alias("key"))
-    a = tried.join(F.broadcast(keys(known)), "key").select("doc_id", "base_name", "at", "known")
-    b = tried.join(keys(own, "doc_id"), ["doc_id", "key"]).select("doc_id", "base_name", "at", "known")
-    met = a.unionByName(b).filter(F.lower("base_name") != F.lower("known")).groupBy("doc_id", "base_name", "at").agg(F.min("known").alias("known"))
-    return _said(met.select("doc_id", "known", "base_name", "at.*"), "unknown-command", "info", F.concat(F.lit("\\"), "base_name", F.lit(": did you mean \\"), "known", F.lit("?")))
+    tried = once.select("doc_id", "kind", "base_name", "at", F.explode(F.concat(blank("base_name"), swaps("base_name"))).alias("key"))
+    keys = lambda df, *c: df.select(*c, "kind", "known", F.explode(F.concat(blank("known"), F.array("known"))).alias("key"))
+    a = tried.join(F.broadcast(keys(known)), ["kind", "key"]).select("doc_id", "kind", "base_name", "at", "known")
+    b = tried.join(keys(own, "doc_id"), ["doc_id", "kind", "key"]).select("doc_id", "kind", "base_name", "at", "known")
+    met = a.unionByName(b).filter(F.lower("base_name") != F.lower("known")).groupBy("doc_id", "kind", "base_name", "at").agg(F.min("known").alias("known"))
+    mark = F.when(F.col("kind") == "command", "\\").otherwise("")
+    said = _said(met.select("doc_id", "kind", "known", "base_name", "at.*"), "", "info", F.concat(mark, "base_name", F.lit(": did you mean "), mark, "known", F.lit("?")))
+    return said.withColumn("code", F.when(F.startswith("message", F.lit("\\")), "unknown-command").otherwise("unknown-environment"))
 
 
 def meaning(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """All rules of meaning over a parsed table."""
     nodes = parsed.select("doc_id", F.inline("nodes"))
     out = simple_rules(nodes)
-    for more in (pair_rules(nodes), order_rules(nodes), too_many_columns(parsed), definition_rules(parsed), invalid_lengths(parsed), unknown_names(parsed)):
+    for more in (pair_rules(nodes), order_rules(nodes), too_many_columns(parsed), table_rules(nodes), unknown_columns(parsed), definition_rules(parsed), invalid_lengths(parsed), unknown_names(parsed)):
         out = out.unionByName(more)
     return out if files is None else out.unionByName(files_not_found(parsed, files))
 

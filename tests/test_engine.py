@@ -59,9 +59,10 @@ RULES = [
     ("invalid-in-math", r"$\section{a}$"), ("display-in-math", r"\[\begin{align}a\end{align}\]"), ("caption-outside-float", r"\caption{a}"), ("preamble-only", r"\usepackage{a}"),
     ("tag-not-allowed", r"\tag{1}"), ("blank-line-in-argument", "\\emph{a\n\nb}"), ("verb-in-argument", r"\emph{\verb|a|}"), ("float-in-box", r"\begin{figure}\begin{table}\end{table}\end{figure}"),
     ("middle-without-left", r"$\middle|$"), ("text-before-item", r"\begin{itemize}a\item b\end{itemize}"), ("line-break-without-line", "a\n\n\\\\ b"), ("too-many-columns", r"\begin{tabular}{c}a & b\end{tabular}"),
-    ("already-defined", r"\newcommand{\section}{a}"), ("illegal-parameter", r"\newcommand{\zz}{#1}"), ("invalid-length", r"\hspace{3}"), ("multiple-tags", r"\begin{equation}\tag{1}\tag{2}\end{equation}"), ("unknown-command", r"\sectoin{a}"),
+    ("already-defined", r"\newcommand{\section}{a}"), ("illegal-parameter", r"\newcommand{\zz}{#1}"), ("invalid-length", r"\hspace{3}"), ("multiple-tags", r"\begin{equation}\tag{1}\tag{2}\end{equation}"), ("unknown-command", r"\sectoin{a}"), ("unknown-environment", r"\begin{itemzie}\end{itemzie}"),
+    ("too-deeply-nested", r"\begin{itemize}\item" * 5 + r"\end{itemize}" * 5), ("not-a-command-name", r"\newcommand{foo}{a}"), ("unknown-column", r"\begin{tabular}{cq}a\end{tabular}"), ("misplaced-rule", r"\begin{tabular}{c}a \hline\end{tabular}"), ("misplaced-multicolumn", r"\begin{tabular}{cc}a \multicolumn{2}{c}{b}\end{tabular}"),
 ]
-FINE = [r"\begin{itemize}\item a\end{itemize}", r"\begin{tabular}{cc}a & b\end{tabular}", "$a_b$", r"$\frac12\alpha$", r"\begin{figure}\caption{a}\end{figure}", r"\hspace{3cm}\vspace{\parskip}", r"\begin{equation}\label{a}\tag{1}\end{equation}", r"\newcommand{\mine}[1]{#1}", r"$\left( a \middle| b \right)$", "\\unknown{a & b}", "a\n\nb"]
+FINE = [r"\begin{itemize}\item a\end{itemize}", r"\begin{tabular}{cc}a & b\end{tabular}", "$a_b$", r"$\frac12\alpha$", r"\begin{figure}\caption{a}\end{figure}", r"\hspace{3cm}\vspace{\parskip}", r"\begin{equation}\label{a}\tag{1}\end{equation}", r"\newcommand{\mine}[1]{#1}", r"$\left( a \middle| b \right)$", "\\unknown{a & b}", "a\n\nb", r"\begin{tabular}{cc}\hline a & \multicolumn{1}{c}{b} \\ \hline\cline{1-2} c & d\end{tabular}", r"\begin{itemize}\item\begin{enumerate}\item a\end{enumerate}\end{itemize}", r"\newcommand\fresh{a}"]
 
 
 def test_rules(spark):
@@ -145,3 +146,15 @@ def test_queries_against_sql(spark, name):
     columns = [c[0] for c in con.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    (tmp_path / "a.tex").write_text("\\documentclass{article}\n\\begin{document}\n\\item\n\\end{document}\n")
+    (tmp_path / "b.tex").write_text("fine\n")
+    assert main(["check", str(tmp_path)]) == 1
+    assert "3:1: error [item-outside-list]" in capsys.readouterr().out
+    assert main(["check", "--json", str(tmp_path / "b.tex")]) == 0
+    assert json.loads(capsys.readouterr().out) == []
+    assert main(["check", str(tmp_path / "none.tex")]) == 2
