@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from scriptorium.functions.kernel import DEFINING, Node, scan
 from scriptorium.functions.signatures import Table
 
+_WORD = re.compile(r"(?<!\\)(?:\\\\)*\\[A-Za-z@]+$")
 DEPTH, PASSES, GROWTH, SLACK = 8, 16, 16, 100_000
 
 
@@ -87,7 +89,14 @@ def expand(text: str, table: Table | None = None, *, depth: int = DEPTH, keep: f
                 out.append(now.text[a:b])
                 size += b - a
 
+        discarded = [(b.start, b.stop) for b in s.branches if b.taken is False]
+        def ends_with_word() -> bool:
+            """Whether what is written so far ends with a control word, which a letter would lengthen."""
+            return _WORD.search("".join(out[-4:])[-80:]) is not None
+
         for use in _uses(s.root, keep):
+            if any(a <= use.start < b for a, b in discarded):
+                continue
             stop = max([use.end, *(a.end for a in use.args or [] if a is not None)])
             source, source_stop, deep = now.cover(use.start, stop)
             if deep >= depth or use.start < at:
@@ -101,6 +110,8 @@ def expand(text: str, table: Table | None = None, *, depth: int = DEPTH, keep: f
 
             def write(t: str) -> None:
                 nonlocal size
+                if t[:1].isalpha() and ends_with_word():
+                    t = " " + t
                 if t:
                     out.append(t)
                     pieces.append(Piece(size, size + len(t), source, source_stop, number, deep + 1))
@@ -124,9 +135,7 @@ def expand(text: str, table: Table | None = None, *, depth: int = DEPTH, keep: f
                 else:
                     write(body[k : k + 2])
                 i = k + 2
-            joined = "".join(out[-1:])
-            word = joined.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-            if joined != word and word.endswith("\\") and now.text[stop : stop + 1].isalpha():
+            if ends_with_word() and now.text[stop : stop + 1].isalpha():
                 write(" ")
             at = stop
         copy(at, len(now.text))

@@ -9,11 +9,12 @@ from scriptorium.functions.signatures import ALIGNMENTS, FLOATS, LISTS, MATH_ENV
 TEXT_IN_MATH = frozenset("text mbox hbox textrm textbf textit texttt textsf intertext".split())
 INCLUDING = {"input": ".tex", "include": ".tex", "usepackage": ".sty", "RequirePackage": ".sty", "documentclass": ".cls", "LoadClass": ".cls", "includegraphics": ""}
 
-NODE = "node_id int, parent_id int, sib int, depth int, last int, kind string, name string, base_name string, star boolean, content string, delimiter string, start int, stop int, inner_start int, inner_stop int, line int, col int, end_line int, end_col int, mode string, spec string, args array<int>, bare boolean, closed boolean, macro boolean, ctx struct<mode:string,lists:boolean,alignment:boolean,floating:boolean,body:boolean,arg_of:string,math_id:int,env:string,defining:boolean,itemize:int,enumerate:int,nested:int>"
+NODE = "node_id int, parent_id int, sib int, depth int, last int, kind string, name string, base_name string, star boolean, content string, delimiter string, start int, stop int, inner_start int, inner_stop int, line int, col int, end_line int, end_col int, mode string, spec string, args array<int>, bare boolean, closed boolean, macro boolean, role string, value boolean, ctx struct<mode:string,lists:boolean,alignment:boolean,floating:boolean,body:boolean,arg_of:string,math_id:int,env:string,defining:boolean,discarded:boolean,itemize:int,enumerate:int,nested:int>"
 EVENT = "code string, severity string, message string, start int, stop int, line int, col int, end_line int, end_col int, fix_at int, fix string"
 DEFINITION = "start int, how string, name string, arity int, default string, body string"
+BRANCH = "condition int, start int, stop int, second boolean, taken boolean"
 INCLUSION = "start int, command string, target string, extension string"
-PARSED = f"doc_id long, text string, fragment boolean, nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>, definitions array<struct<{DEFINITION.replace(' ', ':').replace(',:', ',')}>>, inclusions array<struct<{INCLUSION.replace(' ', ':').replace(',:', ',')}>>"
+PARSED = f"doc_id long, text string, fragment boolean, nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>, definitions array<struct<{DEFINITION.replace(' ', ':').replace(',:', ',')}>>, branches array<struct<{BRANCH.replace(' ', ':').replace(',:', ',')}>>, inclusions array<struct<{INCLUSION.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
@@ -52,19 +53,22 @@ def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
     return out
 
 
-def rows(s: Scanned) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
+def rows(s: Scanned) -> tuple[list[dict], list[dict], list[dict], list[dict], list[dict]]:
     nodes: list[dict] = []
     order = list(walk(s.root))
     last = [n.index for n, *_ in order]
     for n, parent, *_ in reversed(order):
         if parent is not None:
             last[parent.index] = max(last[parent.index], last[n.index])
-    start = {"mode": "text", "lists": None if s.fragment else False, "alignment": None if s.fragment else False, "floating": None if s.fragment else False, "body": None if s.fragment else False, "arg_of": None, "math_id": None, "env": None, "defining": False, "itemize": 0, "enumerate": 0, "nested": 0}
+    start = {"mode": "text", "lists": None if s.fragment else False, "alignment": None if s.fragment else False, "floating": None if s.fragment else False, "body": None if s.fragment else False, "arg_of": None, "math_id": None, "env": None, "defining": False, "discarded": False, "itemize": 0, "enumerate": 0, "nested": 0}
     inside: dict[int, dict] = {}
     owner: dict[int, str] = {}
     included = []
+    discarded = [(b.start, b.stop) for b in s.branches if b.taken is False]
     for n, parent, sib, depth in order:
         ctx = inside[parent.index] if parent is not None else start
+        if discarded and not ctx["discarded"] and any(a <= n.start < b for a, b in discarded):
+            ctx = dict(ctx, discarded=True, defining=True, mode=None, lists=None, alignment=None, floating=None, body=None)
         for a in n.args or []:
             if a is not None and n.kind == "command":
                 owner[id(a)] = n.base
@@ -85,20 +89,21 @@ def rows(s: Scanned) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
         nodes.append({
             "node_id": n.index, "parent_id": parent.index if parent is not None else None, "sib": sib, "depth": depth, "last": last[n.index], "kind": n.kind, "name": n.name, "base_name": n.base, "star": n.kind == "command" and n.base != n.name,
             "content": n.content, "delimiter": n.delimiter, "start": n.start, "stop": n.end, "inner_start": n.inner[0] if n.inner else None, "inner_stop": n.inner[1] if n.inner else None, "line": line, "col": col, "end_line": end_line, "end_col": end_col,
-            "mode": n.sig.mode if n.sig else None, "spec": n.sig.spec() if n.sig else None, "args": n.args, "bare": n.bare, "closed": n.closed, "macro": n.macro is not None, "ctx": ctx,
+            "mode": n.sig.mode if n.sig else None, "spec": n.sig.spec() if n.sig else None, "args": n.args, "bare": n.bare, "closed": n.closed, "macro": n.macro is not None, "role": n.role, "value": n.value, "ctx": ctx,
         })
     for r in nodes:
         if r["args"] is not None:
             r["args"] = [None if a is None else a.index for a in r["args"]]
     events = []
-    for e in sorted(s.events + mathlists.read(s.root, s.text), key=lambda e: (e.start, e.end, e.code)):
+    for e in sorted(s.events + [e for e in mathlists.read(s.root, s.text) if not any(a <= e.start < b for a, b in discarded)], key=lambda e: (e.start, e.end, e.code)):
         (line, col), (end_line, end_col) = s.position(e.start), s.position(e.end)
         events.append({"code": e.code, "severity": e.severity, "message": e.message, "start": e.start, "stop": e.end, "line": line, "col": col, "end_line": end_line, "end_col": end_col, "fix_at": e.fix_at, "fix": e.fix})
     definitions = [dict(zip(("start", "how", "name", "arity", "default", "body"), d, strict=True)) for d in s.definitions]
-    return nodes, events, definitions, included
+    branches = [{"condition": b.condition.index, "start": b.start, "stop": b.stop, "second": b.second, "taken": b.taken} for b in s.branches]
+    return nodes, events, definitions, branches, included
 
 
 def parsed(doc_id, text: str, table: Table | None, package: bool = False) -> dict:
     s = scan(text, table, package=package)
-    nodes, events, definitions, included = rows(s)
-    return {"doc_id": doc_id, "text": text, "fragment": s.fragment, "nodes": nodes, "events": events, "definitions": definitions, "inclusions": included}
+    nodes, events, definitions, branches, included = rows(s)
+    return {"doc_id": doc_id, "text": text, "fragment": s.fragment, "nodes": nodes, "events": events, "definitions": definitions, "branches": branches, "inclusions": included}

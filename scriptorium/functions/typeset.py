@@ -48,8 +48,12 @@ def prose(s: Scanned, math: str = "source") -> tuple[str, list[tuple[int, int, i
         else:
             out.space(" ")
 
+    discarded = [(b.start, b.stop) for b in s.branches if b.taken is False]
+
     def visit(nodes: list[Node]) -> None:
         used: set[int] = set()
+        if discarded:
+            nodes = [n for n in nodes if n.role is None and not any(a <= n.start < b for a, b in discarded)]
         previous = None
         for k, n in enumerate(nodes):
             if previous is not None and n.start > previous and s.text[previous : n.start].strip() == "" and s.text[previous : n.start]:

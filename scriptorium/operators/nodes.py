@@ -52,6 +52,11 @@ def definitions(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("definitions"))
 
 
+def branches(parsed: DataFrame) -> DataFrame:
+    """(doc_id, condition, start, stop, second, taken): the branches of conditionals; taken is null where the condition isn't known."""
+    return parsed.select("doc_id", F.inline("branches"))
+
+
 def inclusions(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("inclusions"))
 

@@ -181,3 +181,31 @@ def test_prose_without_formulas():
     s = scan("a $x$ b")
     list(walk(s.root))
     assert typeset.prose(s, "skip")[0] == "a b"
+
+
+@pytest.mark.parametrize(
+    ("source", "taken"),
+    [
+        (r"\iftrue a\else b\fi", [("a", True), ("b", False)]),
+        (r"\newif\ifprof\proftrue\ifprof A\else B\fi", [("A", True), ("B", False)]),
+        (r"\newif\ifprof\ifprof A\else B\fi", [("A", False), ("B", True)]),
+        (r"\newif\ifprof{\proftrue}\ifprof A\fi", [("A", False)]),
+        (r"\newif\ifa\ifx\x\y\atrue\fi\ifa A\fi", [(r"\x\y\atrue", None), ("A", None)]),
+        (r"\ifnum 1<2 a\else b\fi", [("1<2 a", True), ("b", False)]),
+        (r"\iffalse\iftrue a\fi\else b\fi", [("a", True), (r"\iftrue a\fi", False), ("b", True)]),
+        (r"\newcommand{\x}{\iffalse} a", []),
+    ],
+)
+def test_conditionals(source, taken):
+    s = scan(source)
+    assert [(source[b.start : b.stop].strip(), b.taken) for b in s.branches] == taken
+
+
+def test_discarded_branches_are_silent():
+    p = flatten.parsed(1, r"\iffalse } \newcommand{\a}{x} $x^a^b$ \input{f}\else y\fi \a", None)
+    assert not p["events"] and not p["definitions"]
+    assert [n["ctx"]["discarded"] for n in p["nodes"] if n["content"] == "y"] == [False]
+    s = scan(r"a\iffalse b\else c\fi d")
+    list(walk(s.root))
+    assert typeset.prose(s)[0] == "acd"  # blanks after control words are none
+    assert expand.expand(r"\newcommand{\R}{x}\iffalse\R\else\R\fi")[0] == r"\newcommand{\R}{x}\iffalse\R\else x\fi"
