@@ -80,7 +80,11 @@ def _shared_windows(length: int) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, text_hash, n_words, copies, hits): one row for each different row of id and text; hits are structs of start, length and item_id."""
+    """(id, text_hash, n_words, row, hits): a row for each document with row 1, and rows of its hits: structs of start, length and item_id.
+
+    Rows that no item meets end in the join, in one generated loop with the explosion, so a document's words are never copied along
+    with its hashes; a filter on `hits`, which no generated code evaluates, would move in between and must come after an outer explosion.
+    """
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(WINDOW)))
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW numbers
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
@@ -109,7 +113,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") ->
         if small:
             joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "p", "item_id", "item_near", F.when(F.col("p") >= 0, windows_at("w", "p", length)).alias("near"))
         hits = F.when(F.col("p") >= 0, F.transform(_shared_windows(length), lambda s: F.struct(s.alias("start"), F.lit(length).alias("length"), F.col("item_id").alias("item_id")))).otherwise(F.array()).cast(hit_type)
-        parts.append(joined.select("id", "text_hash", "n_words", F.when(F.col("p") == -1, 1).otherwise(0).alias("row"), hits.alias("hits")).filter((F.col("row") == 1) | (F.size("hits") > 0)))
+        parts.append(joined.select("id", "text_hash", "n_words", F.when(F.col("p") == -1, 1).otherwise(0).alias("row"), hits.alias("hits")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -139,6 +143,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of a benchmark item occurs, with all their columns."""
-    bad = matches(docs, benchmark).filter(F.size("hits") > 0).select(F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__null"), F.col("text_hash").alias("__hash")).distinct()
+    bad = matches(docs, benchmark).select("id", "text_hash", F.explode_outer("hits").alias("hit")).filter("hit IS NOT NULL").select(F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__null"), F.col("text_hash").alias("__hash")).distinct()
     marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__hash": F.xxhash64("text")})
     return marked.join(bad, ["__id", "__null", "__hash"], "left_anti").drop("__id", "__null", "__hash")
