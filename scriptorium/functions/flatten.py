@@ -103,7 +103,7 @@ def rows(s: Scanned) -> tuple[list[dict], list[dict], list[dict], list[dict], li
     return nodes, events, definitions, branches, included
 
 
-def parsed(doc_id, text: str, table: Table | None, package: bool = False) -> dict:
-    s = scan(text, table, package=package)
+def parsed(doc_id, text: str, table: Table | None, package: bool = False, files: dict[str, str] | None = None) -> dict:
+    s = scan(text, table, package=package, files=files)
     nodes, events, definitions, branches, included = rows(s)
     return {"doc_id": doc_id, "text": text, "fragment": s.fragment, "nodes": nodes, "events": events, "definitions": definitions, "branches": branches, "inclusions": included}

@@ -21,18 +21,18 @@ VIEW = "doc_id long, text string, view string, pieces array<struct<start:int,sto
 PROSE = "doc_id long, prose string, marks array<struct<at:int,length:int,node_id:int,start:int,stop:int,faithful:boolean>>"
 
 
-def per_document(docs: DataFrame, schema: str, one) -> DataFrame:
-    """The rows that `one(doc_id, text)` makes, a document at a time; a null text is empty."""
+def per_document(docs: DataFrame, schema: str, one, *more: str) -> DataFrame:
+    """The rows that `one(doc_id, text, ...)` makes, a document at a time; a null text is empty. more: further columns it gets."""
     ship(docs.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts, *rest = (c.to_pylist() for c in b.columns)
             for at in range(0, len(ids), BATCH):
-                yield pa.RecordBatch.from_pylist([one(i, t or "") for i, t in zip(ids[at : at + BATCH], texts[at : at + BATCH], strict=True)], arrow)
+                yield pa.RecordBatch.from_pylist([one(i, t or "", *x) for i, t, *x in zip(*(c[at : at + BATCH] for c in (ids, texts, *rest)), strict=True)], arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, schema)
 
 
 def parse(docs: DataFrame, table: Table | None = None, *, package: bool = False) -> DataFrame:

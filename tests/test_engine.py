@@ -158,3 +158,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["check", "--json", str(tmp_path / "b.tex")]) == 0
     assert json.loads(capsys.readouterr().out) == []
     assert main(["check", str(tmp_path / "none.tex")]) == 2
+
+
+def test_definitions_of_included_files(spark):
+    from scriptorium.operators.includes import parse_together
+
+    files = [(1, "d/main.tex", r"\input{defs}\mine{a}{b} {\input{sub/more}}\late{c}\deep{d}"), (2, "d/defs.tex", r"\newcommand{\mine}[2]{#1}\input{sub/deep}\input{defs}"), (3, "d/sub/more.tex", r"\newcommand{\late}[1]{#1}"), (4, "d/sub/deep.tex", r"\def\deep#1{x}")]
+    docs = spark.createDataFrame(files, "doc_id long, path string, text string")
+    n = nodes.nodes(parse_together(docs)).filter("doc_id = 1 AND kind = 'command' AND name IN ('mine', 'late', 'deep')")
+    assert {r["name"]: r["spec"] for r in n.collect()} == {"mine": "+m +m", "late": None, "deep": "m"}
