@@ -24,6 +24,7 @@ from scriptorium.llm.svm import fit_curve
 
 #: Bounds of the sample that is fitted on the driver: texts of a language, languages, characters of a text.
 PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS = 300, 256, 8_000
+SPREAD, PER_PART = 64, 40
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 HASHED = 1 << 17
@@ -167,8 +168,11 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
 def learned(docs: DataFrame, *, mod: int = 5, rem: int = 0) -> LanguageModel:
     """A model of a bounded sample of the documents that may be learned from, languages taken from their `lang`."""
     ids = docs.filter(learnable("doc_id", mod, rem) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"))
-    nth = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id"))
-    ids = ids.withColumn("__n", nth).filter(F.col("__n") <= PER_LANGUAGE).drop("__n").limit(PER_LANGUAGE * MAX_LANGUAGES)
+    # By hash, some of each of SPREAD parts of a language, then of those: so no task gets more than a bounded number of its rows in the end.
+    for parts, most in ((["__lang", F.pmod(F.xxhash64("__id"), F.lit(SPREAD))], PER_PART), (["__lang"], PER_LANGUAGE)):
+        nth = F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64("__id"), "__id"))
+        ids = ids.withColumn("__n", nth).filter(F.col("__n") <= most).drop("__n")
+    ids = ids.limit(PER_LANGUAGE * MAX_LANGUAGES)
     texts = docs.select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"), F.col("text").alias("__text")).filter(F.col("__text").isNotNull() & (F.length("__text") <= MAX_CHARS))
     # At most PER_LANGUAGE * MAX_LANGUAGES rows of an id and a language are broadcast.
     rows = texts.join(F.broadcast(ids.distinct()), ["__id", "__lang"]).orderBy(F.xxhash64("__id"), "__id", "__text").limit(PER_LANGUAGE * MAX_LANGUAGES).collect()
