@@ -1,44 +1,52 @@
-"""Language-model scoring: smoothed n-grams as a weighted backoff automaton.
+"""Language-model scoring: smoothed n-grams as a weighted backoff automaton kept in tables.
 
 Tokens of a text are its words (A-Z lower-cased, split at ASCII white space) and one end. All token counts over the training documents
 are exact, whatever their number: each task encodes the documents of its part in blocks, each with a vocabulary of its own; vocabulary
-rows are summed by word across blocks, joined back, and each block's documents are resolved with its own rows only. No
-table of words is ever held whole, and a very frequent word has one row for each block.
+rows are summed by word across blocks and go back to their blocks, where the block's documents are resolved with its own rows only. No
+table of words is ever held whole, and a very frequent word has one row for each block. N-grams go the same way, an order at a time.
 
-The model interpolates absolute discounting: words above a share SHORT of all tokens (at most 1 / SHORT of them) make n-grams up to
-ORDER; those whose count is a share KEPT of all tokens (at most ORDER / KEPT) get an arc. A state is a history; it has an arc for
+The model interpolates absolute discounting: words that occur LEAST times or more make n-grams up to ORDER, and those that occur LEAST
+times or more are kept (`short` and `kept` can ask for shares of all tokens besides). A state is a history; it has an arc for
 each kept continuation, whose weight includes the lower orders, and a failure arc to the history without its first word, whose
 weight is the mass that was discounted or not kept. The root has every word by its own count, and one class for words not seen, which
-gets what discounting took from the seen. A text is scored in one pass from left to right that carries the state; a word outside the
-short list takes the failure arcs to the root.
+gets what discounting took from the seen. A text's score is the sum over the path from left to right; a word outside the
+short list takes the failure arcs to the root. The sum is taken by order: the root's weights of all words, then for each n-gram with a kept
+history what its arc changes (weight less that of the lower order), or the history's failure arc where it has none.
 
-Shares make the model's size independent of the input's. Defined results: a null or empty text is its end alone; without training
+The model grows with the corpus and is never collected or broadcast. An n-gram is named by two n-grams of the order before, without its
+last and without its first word, both of which are kept wherever it is; its number is the least place (block and number in it) where it occurs.
+Defined results: a null or empty text is its end alone; without training
 documents every count is 0 and the model gives each token probability 1; a null doc_id is learned from not at all and held_out is
 false; repeated rows count as often as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import held_out, learnable, written
+from scriptorium.llm.common import held_out, learnable, scratch
 from scriptorium.session import ship
 
 ORDER = 3
-SHORT, KEPT = 1e-5, 2e-6
+LEAST = 2  # occurrences of a word or an n-gram of the model
 DISCOUNT = 0.75
 BLOCK_TOKENS = 3_000_000
 END = b"\n"  # no word holds white space
-_ENCODED = "block string, doc_id long, held_out boolean, learn boolean, ids array<int>, lid int, word binary, n long"
-_RESOLVED = "doc_id long, held_out boolean, learn boolean, n_tokens long, n_known long, base_sum double, free_sum double, ids array<int>"
+_FIRST = "id = shiftleft(block, 31) + lid"
+PART_BLOCKS = 1 << 11  # blocks of a part, at most
+START, NONE = -2, -1  # numbers of the start, which nothing leads to, and of what the model doesn't keep
+_ENCODED = "block long, doc_id long, held_out boolean, learn boolean, ids array<int>, lid int, word binary, n long"
+_DOCUMENTS = "block long, doc_id long, held_out boolean, learn boolean, n_tokens long, n_known long, base_sum double, own_sum double, ids array<int>"
+#: Documents with the numbers (in their block) of their n-grams; n-grams of a block (prefix, suffix); histories, each of the n-grams from `lid` to `upto`.
+_STEP = f"{_DOCUMENTS}, lid int, prefix long, suffix long, n long, lower double, c long, upto int"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -53,7 +61,7 @@ def _list_array(ids: list[np.ndarray]) -> pa.Array:
 def encoded(docs: DataFrame, *, mod: int, rem: int, text_col: str = "text") -> DataFrame:
     """Rows of documents (ids by their block's vocabulary) and rows of vocabularies (lid, word, count in training documents)."""
     names = ["block", "doc_id", "held_out", "learn", "ids", "lid", "word", "n"]
-    types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64()]
 
     def batch(rows: int, /, **have: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([have[k].cast(t) if k in have else pa.nulls(rows, t) for k, t in zip(names, types, strict=True)], names=names)
@@ -64,11 +72,16 @@ def encoded(docs: DataFrame, *, mod: int, rem: int, text_col: str = "text") -> D
         vocabulary.default_factory = vocabulary.__len__
         counts, held = np.zeros(1 << 16, np.int64), 0
 
+        def number() -> int:
+            if block >= PART_BLOCKS or part >= 1 << 20:
+                raise ValueError("too many blocks or parts to number; repartition the documents")
+            return part * PART_BLOCKS + block
+
         def finish() -> Iterator[pa.RecordBatch]:
             words = list(vocabulary)
             for at in range(0, len(words), 50_000):
                 few = words[at : at + 50_000]
-                yield batch(len(few), block=pa.array([f"{part}-{block}"] * len(few)), lid=pa.array(np.arange(at, at + len(few), dtype=np.int32)), word=pa.array(few, pa.binary()), n=pa.array(counts[at : at + len(few)]))
+                yield batch(len(few), block=pa.array([number()] * len(few), pa.int64()), lid=pa.array(np.arange(at, at + len(few), dtype=np.int32)), word=pa.array(few, pa.binary()), n=pa.array(counts[at : at + len(few)]))
 
         for b in batches:
             part = b.column(4)[0].as_py() if b.num_rows else part
@@ -83,13 +96,13 @@ def encoded(docs: DataFrame, *, mod: int, rem: int, text_col: str = "text") -> D
                 rows.append((doc_id, out, learn, ids))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:
-                    yield _documents(batch, f"{part}-{block}", rows)
+                    yield _documents(batch, number(), rows)
                     yield from finish()
                     rows, held, block = [], 0, block + 1
                     vocabulary.clear()
                     counts[:] = 0
             if rows:
-                yield _documents(batch, f"{part}-{block}", rows)
+                yield _documents(batch, number(), rows)
         if vocabulary:
             yield from finish()
 
@@ -97,19 +110,19 @@ def encoded(docs: DataFrame, *, mod: int, rem: int, text_col: str = "text") -> D
     return chosen.mapInArrow(run, _ENCODED)
 
 
-def _documents(batch, block: str, rows: list[tuple]) -> pa.RecordBatch:
+def _documents(batch, block: int, rows: list[tuple]) -> pa.RecordBatch:
     ids, out, learn, words = zip(*rows, strict=True)
-    return batch(len(rows), block=pa.array([block] * len(rows)), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(out), learn=pa.array(learn), ids=_list_array(list(words)))
+    return batch(len(rows), block=pa.array([block] * len(rows), pa.int64()), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(out), learn=pa.array(learn), ids=_list_array(list(words)))
 
 
 @dataclass
 class Unigrams:
-    """Totals of the training tokens, the discount of the root, and the short list's words in order with their counts."""
+    """Totals of the training tokens, training texts and the discount of the root."""
 
     total: int
     distinct: int
     discount: float
-    short: list[tuple[bytes, int]]
+    texts: int
 
     def logs(self, c: np.ndarray) -> np.ndarray:
         """log10 of the root's probability of tokens with these counts."""
@@ -119,160 +132,183 @@ class Unigrams:
         return np.log10(np.where(c > 0, (c - self.discount) / self.total, unseen))
 
 
-def resolve(parts: DataFrame, counts: DataFrame, model: Unigrams) -> DataFrame:
-    """Documents with their sums by exact counts, and their tokens as numbers of the short list (-1: not in it)."""
-    spark = parts.sparkSession
-    # At most 1 / SHORT words.
-    listed = spark.createDataFrame([(bytearray(w), k) for k, (w, _) in enumerate(model.short)], "w binary, sid int")
-    vocabulary = parts.filter("word IS NOT NULL").select("block", "lid", "word")
-    known = vocabulary.join(counts, "word", "left").join(F.broadcast(listed), F.col("word") == F.col("w"), "left")
-    known = known.select(F.col("block").alias("of"), "lid", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("sid", F.lit(-1)).alias("sid"))
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df through a table in the shared folder, and its path; the shuffle files that made it go at once."""
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = scratch(df.sparkSession, name)
+    before = conf.get(cleanup, None)
+    try:
+        conf.set(cleanup, "true")
+    except AnalysisException:
+        pass  # not a setting of this Spark: they go with the plan
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(cleanup)
+        else:
+            conf.set(cleanup, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _removed(docs: DataFrame, *paths: str) -> None:
+    """Removes tables that nothing reads any more."""
+    spark = docs.sparkSession
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _places(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of blocks with `n` summed over all blocks, and `id`, the least place with this key."""
+    same = Window.partitionBy(*key)
+    rows = rows.withColumn("at", F.shiftleft("block", 31) + F.col("lid")).drop("block", "lid")
+    rows = rows.select(*(k for k in rows.columns if k != "n"), F.sum("n").over(same).alias("n"), F.min("at").over(same).alias("id"))
+    return rows.select(F.shiftright("at", 31).alias("block"), (F.col("at") % (1 << 31)).cast("int").alias("lid"), "id", "n", *(k for k in rows.columns if k not in ("at", "id", "n")))
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists in a row, and where each list ends, after a 0."""
+    ids = column.combine_chunks()
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.chunk(0) if ids.num_chunks else pa.array([], ids.type)
+    return ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py() if len(ids) else np.zeros(1, np.int64)
+
+
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each list; lists may be empty."""
+    out = np.zeros(len(ends) - 1)
+    full = np.flatnonzero(np.diff(ends))
+    if len(full):
+        out[full] = np.add.reduceat(values, ends[full])
+    return out
+
+
+def _step(left: pa.Table, lids: np.ndarray, ends: np.ndarray, gid: np.ndarray, count: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _STEP: the block's documents with n-grams one word longer than those of `lids`, which are numbers of gid, count and weight."""
+    schema, wide, block = _schema(), len(gid) + 1, left.column("block")[0].as_py()
+    lids = lids.astype(np.int64)
+    kept = np.where(lids >= 0, gid[lids], NONE) != NONE if len(gid) else np.zeros(len(lids), bool)
+    follows = np.ones(len(lids), bool)
+    full = np.flatnonzero(np.diff(ends))
+    follows[ends[full]] = False  # the first of each document follows nothing
+    # Places of a kept history with a word after it; what follows is a kept one, or any other.
+    at = np.flatnonzero(kept[:-1] & follows[1:])
+    pairs, numbers = np.unique(lids[at] * wide + np.where(kept[at + 1], lids[at + 1], wide - 1), return_inverse=True)
+    longer = np.full(len(lids), -1, np.int32)
+    longer[at + 1] = numbers
+    learn = np.repeat(left.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
+    n = np.bincount(numbers[learn[at]], minlength=len(pairs))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.maximum(np.diff(ends) - 1, 0))]).astype(np.int32)), pa.array(longer[follows]))
+
+    def rows(size: int, **have: pa.Array) -> Iterator[pa.RecordBatch]:
+        many = min(size, 200_000)
+        # All batches share the columns that say nothing.
+        blank = {f.name: pa.nulls(many, f.type) for f in schema if f.name not in have} | {"block": pa.array(np.full(many, block, np.int64))}
+        for k in range(0, size, 200_000):
+            n_rows = min(many, size - k)
+            yield pa.RecordBatch.from_arrays([have[f.name].slice(k, n_rows) if f.name in have else blank[f.name].slice(0, n_rows) for f in schema], schema=schema)
+
+    docs = {k: left.column(k).combine_chunks() for k in left.column_names if k not in ("block", "ids")}
+    yield from rows(left.num_rows, **docs, ids=lists)
+    first, last = pairs // wide, pairs % wide
+    real = np.flatnonzero(last < wide - 1)
+    yield from rows(len(real), lid=pa.array(real.astype(np.int32)), prefix=pa.array(gid[first[real]]), suffix=pa.array(gid[last[real]]), n=pa.array(n[real].astype(np.int64)), lower=pa.array(weight[last[real]]))
+    heads, lo = np.unique(first, return_index=True)
+    hi = np.append(lo[1:], len(first)) if len(lo) else lo
+    yield from rows(len(heads), lid=pa.array(lo.astype(np.int32)), prefix=pa.array(gid[heads]), c=pa.array(count[heads]), upto=pa.array(hi.astype(np.int32)))
+
+
+def _schema() -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in _STEP.split(", "))])
+
+
+def _table(rows: Iterator[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(rows, _schema())
+
+
+def resolve(parts: DataFrame, words: DataFrame, model: Unigrams, least: float) -> DataFrame:
+    """Rows of _STEP for pairs of words: documents with their sums by exact counts, their blocks' pairs and first words."""
     texts = parts.filter("ids IS NOT NULL").select("block", "doc_id", "held_out", "learn", "ids")
-    all_n, all_v = model.total, model.distinct
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lid, c, sid = (right.column(k).to_numpy() for k in ("lid", "c", "sid"))
-        count, short = np.zeros(len(lid), np.int64), np.full(len(lid), -1, np.int32)
-        count[lid], short[lid] = c, sid
-        base, free = np.log10((count + 1) / (all_n + all_v + 1)), np.where(short < 0, model.logs(count), 0.0)
-        ids = left.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        sums = [np.add.reduceat(x[flat], ends[:-1]) if len(flat) else np.zeros(0) for x in (base, (count > 0).astype(np.int64), free)]
-        new = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(short[flat]))
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "learn": left.column("learn"), "n_tokens": pa.array(np.diff(ends).astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)), "base_sum": pa.array(sums[0]), "free_sum": pa.array(sums[2]), "ids": new})
-
-    return texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, _RESOLVED)
-
-
-def _gram_counts(resolved: DataFrame, order: int, size: int, kept: np.ndarray | None) -> DataFrame:
-    """(gram, n): counts of n-grams of the short list in training documents; a longer one only if both its shorter ones are kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0)
-            # All texts of a batch in a row, the start (which nothing leads to) before each.
-            w = np.insert(ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py(), size)
-            found = np.where((w[:-1] >= 0) & (w[1:] >= 0) & (w[1:] != size), w[:-1] * (size + 1) + w[1:], -1)
-            if order == 2:
-                found = found[found >= 0]
-            elif len(kept):
-                ok = kept[np.minimum(np.searchsorted(kept, found), len(kept) - 1)] == found
-                at = np.flatnonzero(ok[:-1] & ok[1:])
-                found = found[at] * (size + 1) + w[at + 2]
-            else:
-                found = found[:0]
-            keys, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return resolved.filter("learn").select("ids").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Automaton:
-    """States are numbers, 0 the root; a state's arcs are keyed by state * (size + 1) + word."""
-
-    size: int
-    start: int
-    root: list[float]  # log10 weight of each short-listed word at the root
-    enter: list[int]  # the state after that word
-    arcs: dict[int, tuple[float, int]]
-    fail: list[int]
-    back: list[float]  # log10 weight of each failure arc
-    drop: list[float]  # of all failure arcs down to the root
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of a text's short-listed tokens and of its failure arcs, from left to right."""
-        arcs, fail, back, drop, root, enter, wide = self.arcs, self.fail, self.back, self.drop, self.root, self.enter, self.size + 1
-        state, total = self.start, 0.0
-        for w in words:
-            if w < 0:
-                if state:
-                    total += drop[state]
-                    state = 0
-                continue
-            while state:
-                arc = arcs.get(state * wide + w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                total += root[w]
-                state = enter[w]
-        return total
-
-
-def build(model: Unigrams, texts: int, grams: list[dict[tuple[int, ...], int]]) -> Automaton:
-    """The automaton of n-gram counts: grams[0] the kept pairs, grams[1] the kept triples, and so on; `texts` training texts."""
-    size = len(model.short)
-    count: dict[tuple[int, ...], int] = {(k,): c for k, (_, c) in enumerate(model.short)} | {(size,): texts}
-    for g in grams:
-        count |= g
-    root = model.logs(np.array([c for _, c in model.short], float)).tolist() if size else []
-    follow: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-    for g in grams:
-        for words, c in g.items():
-            follow[words[:-1]].append((words[-1], c))
-    histories = sorted((h for h in follow if h in count), key=lambda h: (len(h), h))
-    state = {(): 0} | {h: k + 1 for k, h in enumerate(histories)}
-
-    def longest(h: tuple[int, ...]) -> int:
-        while h not in state:
-            h = h[1:]
-        return state[h]
-
-    weight: dict[tuple[int, ...], float] = {}
-    fail, back, drop, arcs = [0], [0.0], [0.0], {}
-    for h in histories:
-        c = count[h]
-        gamma = max(1e-12, (c - sum(n - DISCOUNT for _, n in follow[h])) / c)
-        down = longest(h[1:])
-        fail.append(down)
-        back.append(math.log10(gamma))
-        drop.append(back[-1] + drop[down])
-        for w, n in follow[h]:
-            lower, s, cost = None, down, 0.0
-            while s and lower is None:
-                lower = arcs.get(s * (size + 1) + w)
-                if lower is None:
-                    cost += back[s]
-                    s = fail[s]
-            below = 10 ** (cost + (lower[0] if lower else root[w]))
-            weight[h + (w,)] = math.log10((n - DISCOUNT) / c + gamma * below)
-            arcs[state[h] * (size + 1) + w] = (weight[h + (w,)], longest((h + (w,))[-(ORDER - 1) :]))
-    return Automaton(size, longest((size,)), root, [longest((k,)) for k in range(size)], arcs, fail, back, drop)
-
-
-def score_texts(docs: DataFrame, *, mod: int = 7, rem: int = 2, short: float = SHORT, kept: float = KEPT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+        lid = right.column("lid").to_numpy()
+        count, gid = np.zeros(len(lid) + 1, np.int64), np.full(len(lid) + 1, NONE, np.int64)
+        count[lid], gid[lid] = right.column("n").to_numpy(), right.column("id").to_numpy()
+        gid[count < least] = NONE
+        own = model.logs(count)
+        base = np.log10((count + 1) / (model.total + model.distinct + 1))
+        flat, ends = _flat(left.column("ids"))
+        sums = [_sums(x[flat], ends) for x in (base, (count > 0).astype(np.int64), own)]
+        count[-1], gid[-1] = model.texts, START
+        new = {"n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(sums[1].astype(np.int64)), "base_sum": pa.array(sums[0]), "own_sum": pa.array(sums[2])}
+        for name, column in new.items():
+            left = left.append_column(name, column)
+        # The start before each document.
+        return _table(_step(left, np.insert(flat, ends[:-1], len(lid)), ends + np.arange(len(ends)), gid, count, own))
+
+    return texts.groupBy("block").cogroup(words.select("block", "lid", "n", "id").groupBy("block")).applyInArrow(run, _STEP)
+
+
+def _gains(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents with what their n-grams change added; then the n-grams' places, and number, count and weight of each."""
+    flat, ends = _flat(left.column("ids"))
+    size = int(flat.max(initial=-1)) + 1
+    lid, upto = right.column("lid").to_numpy(), right.column("upto").to_numpy(zero_copy_only=False)
+    head = right.column("id").is_null().to_numpy()
+    back, gid, count, weight = np.zeros(size), np.full(size, NONE, np.int64), np.zeros(size, np.int64), np.zeros(size)
+    lo, many = lid[head].astype(np.int64), (upto[head] - lid[head]).astype(np.int64)
+    begun = np.zeros(size)  # how often the history of each was seen
+    places = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    back[places] = np.repeat(right.column("lower").to_numpy(zero_copy_only=False)[head], many)
+    begun[places] = np.repeat(right.column("n").to_numpy(zero_copy_only=False)[head], many)
+    rows = right.filter(right.column("id").is_valid())
+    lid, n, lower = (rows.column(k).to_numpy() for k in ("lid", "n", "lower"))
+    gid[lid], count[lid] = rows.column("id").to_numpy(), n
+    weight[lid] = np.log10((n - DISCOUNT) / begun[lid] + 10 ** (back[lid] + lower))
+    gain = back
+    gain[lid] = weight[lid] - lower
+    own = left.column("own_sum").to_numpy() + _sums(np.where(flat >= 0, gain[flat], 0.0) if size else np.zeros(len(flat)), ends)
+    return left.set_column(left.column_names.index("own_sum"), "own_sum", pa.array(own)), flat, ends, gid, count, weight
+
+
+def score_texts(docs: DataFrame, *, mod: int = 7, rem: int = 2, short: float = 0.0, kept: float = 0.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    The model has words and n-grams that occur LEAST times, and also a share `short` or `kept` of all tokens.
+    """
     ship(docs.sparkSession)
-    parts = written(encoded(docs, mod=mod, rem=rem), "encoded")
-    counts = written(parts.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
-    t = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("c") == 1, 1)).alias("n1"), F.sum(F.when(F.col("c") == 2, 1)).alias("n2")).first()
-    n, n1, n2 = t["n"] or 0, t["n1"] or 0, t["n2"] or 0
-    listed = counts.filter((F.col("c") >= short * n) & (F.col("c") >= 2)).collect()  # at most 1 / short rows
-    model = Unigrams(n, t["v"], min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.0, sorted((bytes(r["word"]), r["c"]) for r in listed))
-    if n and not n1:
+    parts, old = _stored(encoded(docs, mod=mod, rem=rem), "encoded")
+    words, used = _stored(_places(parts.filter("word IS NOT NULL").select("block", "lid", "word", "n"), "word").drop("word"), "words")
+    t = words.filter(f"{_FIRST} AND n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("n") == 1, 1)).alias("n1"), F.sum(F.when(F.col("n") == 2, 1)).alias("n2")).first()
+    total, n1, n2 = t["n"] or 0, t["n1"] or 0, t["n2"] or 0
+    model = Unigrams(total, t["v"], min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.0, parts.filter("ids IS NOT NULL AND learn").count())
+    if total and not n1:
         model.discount = 1 / (2 * model.distinct)  # something is left for words not seen
-    resolved = written(resolve(parts, counts, model), "resolved")
-    size = len(model.short)
-    texts = dict(model.short).get(END, 0)
-    grams: list[dict[tuple[int, ...], int]] = []
-    last = None
+    step, path = _stored(resolve(parts, words, model, max(LEAST, short * total)), "resolved")
+    _removed(docs, old, used)
     for order in range(2, ORDER + 1):
-        rows = _gram_counts(resolved, order, size, last).filter((F.col("n") >= kept * n) & (F.col("n") >= 2)).collect() if size else []  # at most 1 / kept rows
-        last = np.array(sorted(r["gram"] for r in rows), np.int64)
-        grams.append({tuple(int(r["gram"]) // (size + 1) ** k % (size + 1) for k in range(order - 1, -1, -1)): r["n"] for r in rows})
-    shared = docs.sparkSession.sparkContext.broadcast(build(model, texts, grams))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for b in batches:
-            own = [automaton.score(ids.values.to_pylist()) for ids in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:-1], pa.array(np.array(own) + b.column(0).to_numpy())], names=[*b.schema.names[2:-1], "score"])
-
-    out = resolved.select("free_sum", "ids", "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), F.lit(0).alias("__end"))
-    return out.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        grams = step.filter("suffix IS NOT NULL").select("block", "lid", "prefix", "suffix", "n", "lower")
+        grams, used = _stored(_places(grams, "prefix", "suffix").filter(F.col("n") >= max(LEAST, kept * total)).drop("suffix"), "grams")
+        arcs = grams.filter(_FIRST).groupBy("prefix").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
+        heads = step.filter("upto IS NOT NULL").select("block", "lid", "prefix", "upto", "c").join(arcs, "prefix")
+        back = F.log10(F.greatest(F.lit(1e-12), (F.col("c") - F.col("taken")) / F.col("c")))
+        none = F.lit(None)
+        right = grams.select("block", "lid", none.cast("int").alias("upto"), "id", "n", "lower").unionByName(heads.select("block", "lid", "upto", none.cast("long").alias("id"), F.col("c").alias("n"), back.alias("lower")))
+        texts = step.filter("ids IS NOT NULL").select(*(f.split()[0] for f in _DOCUMENTS.split(", "))).groupBy("block").cogroup(right.groupBy("block"))
+        if order < ORDER:
+
+            def run(left: pa.Table, right: pa.Table) -> pa.Table:
+                left, *found = _gains(left, right)
+                return _table(_step(left, *found))
+
+            step, new = _stored(texts.applyInArrow(run, _STEP), "resolved")
+            _removed(docs, path, used)
+            path = new
+
+    def last(left: pa.Table, right: pa.Table) -> pa.Table:
+        done = _gains(left, right)[0]
+        return pa.table({"doc_id": done["doc_id"], "held_out": done["held_out"], "n_tokens": done["n_tokens"], "n_known": done["n_known"], "train_tokens": pa.array(np.full(done.num_rows, total, np.int64)), "base_score": done["base_sum"], "score": done["own_sum"]})
+
+    return texts.applyInArrow(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -131,6 +131,17 @@ def test_language_model_counts_and_automaton(spark):
     assert sum(p(w, (b"the",)) for w in c) + p(b"never", (b"the",)) == pytest.approx(1)
 
 
+def test_language_model_keeps_rare_ngrams_of_a_large_corpus(spark):
+    # Two occurrences are a share of 5e-6 of these 400,000 tokens.
+    many = spark.range(1000, 1400).selectExpr("id AS doc_id", "repeat('a b c d ', 250) AS text")
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2]
+    out = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rare = [(ids[0], "q1 q2 q3 q4"), (ids[1], "q1 q2 q3 q4"), (out[0], "q1 q2 q3 q4"), (out[1], "q3 q1 q4 q2")]
+    got = {r["doc_id"]: r for r in lm.score_texts(many.unionByName(spark.createDataFrame(rare, "doc_id long, text string"))).filter("doc_id < 100").collect()}
+    assert got[out[0]]["base_score"] == pytest.approx(got[out[1]]["base_score"])
+    assert got[out[0]]["score"] > got[out[1]]["score"] + 6
+
+
 def test_language_model_without_training(spark):
     got = lm.score_texts(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert tuple(got) == (None, False, 3, 0, 0, 0.0, 0.0)
