@@ -7,6 +7,9 @@ its turns are. Records whose fingerprint no mapping claims keep a null layout an
 Defined results: null role and null text are empty strings; repeated turns stay, ordered by turn, role and text (a null turn
 first); rows with a null conversation id form one conversation; an empty table gives an empty result; other columns are ignored.
 One conversation is one output row, so its turns meet in one task.
+
+Spark's parser refuses strings over 20,000,000 characters and variants over 128 MiB. Packed conversations keep their turns beside the record,
+and are formatted from them where the parser refuses; a refused record without them that is long enough for either limit is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ USER_OPEN, ROLE_END, USER_CLOSE, REPLY_OPEN, REPLY_CLOSE = "[INST]", "[ROLE]", "
 _CONTROL = r"(\[|<)(/?INST\]|ROLE\]|/?s>)"
 REPLY = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
+#: Shorter records hold no string that Spark's JSON parser refuses, and make no variant over its limit (at most 3 bytes a character).
+PARSED_CHARS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +67,8 @@ LAYOUTS = (
     Layout("instruction", fields=(("system", "system", True), ("user", "instruction", False), ("user", "input", True), (REPLY, "output", False)), extra=("id",)),
 )
 
+_PACKED = LAYOUTS[0]  # what pack_messages() makes
+
 
 def path_expression(paths: tuple[str, ...]) -> str:
     """Nested field paths such as `messages[].role` as one expression, in the form that record_paths() gives."""
@@ -93,17 +100,21 @@ def record_fingerprint(record: Column) -> Column:
     return F.substring(F.sha2(record_paths(record), 256), 1, 16)
 
 
-def _turns_of(layout: Layout, record: Column) -> Column:
-    if layout.each:
-        got = F.try_variant_get(record, f"$.{layout.each}", f"array<struct<`{layout.role}` string,`{layout.text}` string>>")
+def _listed_turns(layout: Layout, messages: Column) -> Column:
+    """Turns of a list of messages in the layout's fields."""
+
+    def turn(x: Column) -> Column:
+        role = F.coalesce(x[layout.role], F.lit(""))
+        for other, name in layout.roles.items():
+            role = F.when(x[layout.role] == other, F.lit(name)).otherwise(role)
+        return F.struct(role.alias("role"), F.coalesce(x[layout.text], F.lit("")).alias("text"))
+
+    return F.transform(messages, turn)
 
-        def turn(x: Column) -> Column:
-            role = F.coalesce(x[layout.role], F.lit(""))
-            for other, name in layout.roles.items():
-                role = F.when(x[layout.role] == other, F.lit(name)).otherwise(role)
-            return F.struct(role.alias("role"), F.coalesce(x[layout.text], F.lit("")).alias("text"))
 
-        return F.transform(got, turn)
+def _turns_of(layout: Layout, record: Column) -> Column:
+    if layout.each:
+        return _listed_turns(layout, F.try_variant_get(record, f"$.{layout.each}", f"array<struct<`{layout.role}` string,`{layout.text}` string>>"))
     turns: list[tuple[str, list[Column]]] = []
     for role, path, optional in layout.fields:
         value = F.try_variant_get(record, f"$.{path}", "string")
@@ -116,29 +127,47 @@ def _turns_of(layout: Layout, record: Column) -> Column:
     return F.filter(F.array(*made), lambda t: t["text"].isNotNull())
 
 
-def canonical_turns(records: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(id, fingerprint, layout, turns) of JSON records; layout and turns are null where no mapping claims the fingerprint."""
-    base = records.select(F.col(id_col), F.try_parse_json(F.col(json_col).cast("string")).alias("__v")).withColumn("__fp", record_fingerprint(F.col("__v")))
+def _parsed(json: Column, packed: Column | None = None) -> Column:
+    """The record as a variant: null where it is no JSON, an error where it may only be too long and nothing is packed beside it."""
+    refused = F.length(json) > PARSED_CHARS
+    if packed is not None:
+        refused &= packed.isNull()
+    error = F.raise_error(F.concat(F.lit("a record is no JSON or too long for the parser, characters: "), F.length(json).cast("string"))).cast("string")
+    return F.coalesce(F.try_parse_json(json), F.when(refused, F.try_parse_json(error)))
+
+
+def canonical_turns(records: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS, *, packed_col: str | None = None) -> DataFrame:
+    """(id, fingerprint, layout, turns) of JSON records; layout and turns are null where no mapping claims the fingerprint.
+
+    `packed_col` has the messages of records made by pack_messages(), for those that the parser refuses.
+    """
+    packed = F.col(packed_col) if packed_col else F.lit(None).cast("array<struct<role:string,content:string>>")
+    base = records.select(F.col(id_col), _parsed(F.col(json_col).cast("string"), packed).alias("__v"), packed.alias("__packed"))
+    fallback = F.col("__v").isNull() & F.col("__packed").isNotNull()
+    base = base.withColumn("__fp", F.when(fallback, F.lit(fingerprint_of(_PACKED.path_sets()[0]))).otherwise(record_fingerprint(F.col("__v"))))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
         claimed = F.col("__fp").isin(sorted({fingerprint_of(p) for p in layout.path_sets()}))
         name = F.when(claimed, F.lit(layout.name)).otherwise(name)
         turns = F.when(claimed, _turns_of(layout, F.col("__v")).cast(TURNS)).otherwise(turns)
+    if packed_col:
+        name = F.when(fallback, F.lit(_PACKED.name)).otherwise(name)
+        turns = F.when(fallback, _listed_turns(_PACKED, F.col("__packed")).cast(TURNS)).otherwise(turns)
     return base.select(F.col(id_col), F.col("__fp").alias("fingerprint"), name.alias("layout"), turns.alias("turns"))
 
 
 def unmapped_layouts(records: DataFrame, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(fingerprint, paths, n) of the records that no mapping claims: what to declare next."""
     known = sorted({fingerprint_of(p) for layout in layouts for p in layout.path_sets()})
-    v = records.select(F.try_parse_json(F.col(json_col).cast("string")).alias("v")).select(record_fingerprint(F.col("v")).alias("fingerprint"), record_paths(F.col("v")).alias("paths"))
+    v = records.select(_parsed(F.col(json_col).cast("string")).alias("v")).select(record_fingerprint(F.col("v")).alias("fingerprint"), record_paths(F.col("v")).alias("paths"))
     return v.filter(~F.coalesce(F.col("fingerprint").isin(known), F.lit(False))).groupBy("fingerprint", "paths").agg(F.count("*").alias("n"))
 
 
 def pack_messages(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(id, record): conversation rows by turn as one JSON record of messages for each conversation."""
+    """(id, record, messages): conversation rows by turn as one JSON record of messages for each conversation, and the messages themselves."""
     turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
     inner = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return rows.groupBy(F.col(id_col)).agg(F.to_json(F.struct(inner.alias("messages"))).alias("record"))
+    return rows.groupBy(F.col(id_col)).agg(F.to_json(F.struct(inner.alias("messages"))).alias("record"), inner.alias("messages"))
 
 
 def escape(text: Column) -> Column:
@@ -180,9 +209,9 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def format_chat(records: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def format_chat(records: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS, *, packed_col: str | None = None) -> DataFrame:
     """(id, fingerprint, layout, formatted, segments) of JSON records; see format_turns(). Unclaimed records have null texts."""
-    turns = canonical_turns(records, id_col, json_col, layouts)
+    turns = canonical_turns(records, id_col, json_col, layouts, packed_col=packed_col)
     formatted, segments = format_turns(F.col("turns"))
     return turns.select(F.col(id_col), "fingerprint", "layout", formatted.alias("formatted"), segments.alias("segments"))
 

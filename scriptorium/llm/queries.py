@@ -22,7 +22,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = chat.pack_messages(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
-    return chat.digest_chat(chat.format_chat(records.unionByName(more), "conv_id", "record"), "conv_id").drop("layout")
+    return chat.digest_chat(chat.format_chat(records.unionByName(more, allowMissingColumns=True), "conv_id", "record", packed_col="messages"), "conv_id").drop("layout")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

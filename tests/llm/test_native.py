@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from scriptorium.llm import chat, decontam
+import pytest
+
+from scriptorium.llm import chat, decontam, queries
 
 
 def sha(s):
@@ -38,6 +40,18 @@ def test_round_trip_of_hostile_texts(spark):
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (4, len(loss), sha(loss))
 
 
+def test_chat_with_a_text_that_the_parser_refuses(spark, tmp_path):
+    rows = spark.sql("SELECT 1L AS conv_id, 1L AS turn, 'human' AS role, repeat('q', 20000001) AS text UNION ALL SELECT 1L, 2L, 'assistant', 'a' UNION ALL SELECT 2L, 1L, 'human', 'b'")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in queries.op1_chat_formatting(spark, str(tmp_path)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_sha256"]) == (2, sha("a"))
+    assert got[1]["turns_sha256"] == sha("user\n" + "q" * 20000001 + "\nassistant\na\n")
+    assert got[2]["turns_sha256"] == sha("user\nb\n")
+    alone = chat.pack_messages(rows, "conv_id", "turn", "role", "text").drop("messages")
+    with pytest.raises(Exception, match="too long for the parser"):
+        chat.canonical_turns(alone, "conv_id", "record").collect()
+
+
 def test_chat_of_an_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest_chat(chat.format_chat(chat.pack_messages(df, "conv_id", "turn", "role", "text"), "conv_id", "record"), "conv_id").count() == 0
