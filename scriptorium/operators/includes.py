@@ -10,9 +10,6 @@ from scriptorium.functions.signatures import Table
 from scriptorium.operators.nodes import inclusions, parse, per_document
 from scriptorium.sources.documents import resolved
 
-DEPTH = 20
-
-
 def edges(docs: DataFrame, table: Table | None = None) -> DataFrame:
     """(path, target, to): which file of docs (doc_id, path, text) each one names, by folder and extension."""
     named = inclusions(parse(docs, table)).filter("extension IN ('.tex', '.sty')")
@@ -22,11 +19,11 @@ def edges(docs: DataFrame, table: Table | None = None) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(root, target, to_path): all that each file includes, itself or through others; cycles end, and so do chains of DEPTH."""
+    """(root, target, to_path): all that each file includes, itself or through others, however long the chain; cycles end."""
     reach = edges.select(F.col("from_path").alias("root"), "target", "to_path")
-    step = edges.select(F.col("from_path").alias("f"), F.col("target").alias("t"), F.col("to_path").alias("p"))
     size = reach.count()
-    for _ in range(DEPTH):
+    while True:  # each round doubles the length of the chains that are followed
+        step = reach.select(F.col("root").alias("f"), F.col("target").alias("t"), F.col("to_path").alias("p"))
         more = reach.select("root", F.col("to_path").alias("f")).distinct().join(step, "f").select("root", F.col("t").alias("target"), F.col("p").alias("to_path"))
         reach = reach.unionByName(more).distinct()
         reach = reach.checkpoint() if checkpoints(reach) else reach.cache()
@@ -38,7 +35,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def checkpoints(df: DataFrame) -> bool:
-    """Whether the session has a folder for checkpoints; without one, the plan grows by a join a round."""
+    """Whether the session has a folder for checkpoints; without one, the plan grows each round."""
     return df.sparkSession.sparkContext.getCheckpointDir() is not None
 
 

@@ -167,3 +167,14 @@ def test_definitions_of_included_files(spark):
     docs = spark.createDataFrame(files, "doc_id long, path string, text string")
     n = nodes.nodes(parse_together(docs)).filter("doc_id = 1 AND kind = 'command' AND name IN ('mine', 'late', 'deep')")
     assert {r["name"]: r["spec"] for r in n.collect()} == {"mine": "+m +m", "late": None, "deep": "m"}
+
+
+def test_definitions_at_the_end_of_a_long_chain(spark, tmp_path):
+    from scriptorium.operators.includes import parse_together
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    files = [(k, f"d/f{k}.tex", rf"\input{{f{k + 1}}}\far{{a}}{{b}}") for k in range(150)] + [(150, "d/f150.tex", r"\newcommand{\far}[2]{#1}")]
+    docs = spark.createDataFrame(files, "doc_id long, path string, text string")
+    n = nodes.nodes(parse_together(docs)).filter("doc_id = 0 AND kind = 'command' AND name = 'far'")
+    assert [r["spec"] for r in n.collect()] == ["+m +m"]
