@@ -1,4 +1,4 @@
-"""Outlines: sections and environments as blocks, counts of what each holds, and their roll-up."""
+"""Outlines: sections as blocks, counts of what each holds, and their roll-up."""
 
 from __future__ import annotations
 
