@@ -34,6 +34,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Removes scratch tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df through a table in the shared folder: computed once, and recoverable without its lineage."""
     path = scratch(df.sparkSession, name)

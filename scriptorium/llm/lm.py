@@ -1,118 +1,189 @@
 """Language-model scoring: smoothed n-grams as a weighted backoff automaton kept in tables.
 
-Tokens of a text are its words (A-Z lower-cased, split at ASCII white space) and one end. All token counts over the training documents
-are exact, whatever their number: each task encodes the documents of its part in blocks, each with a vocabulary of its own; vocabulary
-rows are summed by word across blocks and go back to their blocks, where the block's documents are resolved with its own rows only. No
-table of words is ever held whole, and a very frequent word has one row for each block. N-grams go the same way, an order at a time.
-
-The model interpolates absolute discounting: words that occur LEAST times or more make n-grams up to ORDER, and those that occur LEAST
-times or more are kept (`short` and `kept` can ask for shares of all tokens besides). A state is a history; it has an arc for
-each kept continuation, whose weight includes the lower orders, and a failure arc to the history without its first word, whose
-weight is the mass that was discounted or not kept. The root has every word by its own count, and one class for words not seen, which
-gets what discounting took from the seen. A text's score is the sum over the path from left to right; a word outside the
-short list takes the failure arcs to the root. The sum is taken by order: the root's weights of all words, then for each n-gram with a kept
-history what its arc changes (weight less that of the lower order), or the history's failure arc where it has none.
-
-The model grows with the corpus and is never collected or broadcast. An n-gram is named by two n-grams of the order before, without its
-last and without its first word, both of which are kept wherever it is; its number is the least place (block and number in it) where it occurs.
-Defined results: a null or empty text is its end alone; without training
-documents every count is 0 and the model gives each token probability 1; a null doc_id is learned from not at all and held_out is
-false; repeated rows count as often as they occur; other columns are ignored.
+Tokens of a text are its words (A-Z lower-cased, split at ASCII white space) and one end. Each task encodes the documents of its part in
+blocks of some BLOCK_TOKENS tokens, and a block asks for what the whole corpus says of its own words and n-grams: it sends each of them
+once, by a hash, with its own count. Requests are dealt by ranges of the hash, summed by key, and every asking block gets the
+sums back. Requests and answers of a block and a range are one row of packed arrays, so a very frequent n-gram is one number for each
+block wherever it goes, and no table of words or n-grams is ever held whole. Words are told apart by 128 bits, so their counts are exact
+whatever their number; n-grams by 64 bits.
+
+The model interpolates absolute discounting: words that occur LEAST times or more in the training documents make n-grams up to ORDER, and
+those that occur LEAST times or more are kept, however large the corpus is (`short` and `kept` can ask for shares of all tokens besides).
+A state is a history; it has an arc for each kept continuation, whose weight includes the lower orders, and a failure arc to the
+history without its first word, whose weight is the mass that was discounted or not kept. The root has every word by its own count, and
+one class for words not seen, which gets what discounting took from the seen. A text is read from left to right: the state after
+a word is the longest kept history there (a word outside the model leads back to the root), a word takes the state's arc, or failure arcs
+down to a state that has one, and the logarithms are summed.
+
+Rounds: words; then for each order the n-grams whose parts are kept; and for each history the mass that its kept continuations
+take, which the block that is first to ask for an n-gram adds for it. The model grows with the corpus and is never collected or broadcast.
+Defined results: a null or empty text is its end alone; without training documents every count is 0 and the model gives each token
+probability 1; a null doc_id is learned from not at all and held_out is false; repeated rows count as often as they occur; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import held_out, learnable, scratch
+from scriptorium.llm.common import held_out, learnable, removed, scratch
 from scriptorium.session import ship
 
 ORDER = 3
 LEAST = 2  # occurrences of a word or an n-gram of the model
 DISCOUNT = 0.75
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
+RANGE_BYTES = 6_000_000  # of text for a range of hashes: at most about a million n-grams
+DOC_TOKENS = 200_000  # of documents in a row, if it has more than one
 END = b"\n"  # no word holds white space
-_FIRST = "id = shiftleft(block, 31) + lid"
+START_KEY = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 PART_BLOCKS = 1 << 11  # blocks of a part, at most
-START, NONE = -2, -1  # numbers of the start, which nothing leads to, and of what the model doesn't keep
-_ENCODED = "block long, doc_id long, held_out boolean, learn boolean, ids array<int>, lid int, word binary, n long"
-_DOCUMENTS = "block long, doc_id long, held_out boolean, learn boolean, n_tokens long, n_known long, base_sum double, own_sum double, ids array<int>"
-#: Documents with the numbers (in their block) of their n-grams; n-grams of a block (prefix, suffix); histories, each of the n-grams from `lid` to `upto`.
-_STEP = f"{_DOCUMENTS}, lid int, prefix long, suffix long, n long, lower double, c long, upto int"
+
+#: A row has some documents of a block (ids are places in its words), or a request: `size` keys from number `lo` on, with a value each.
+REQUEST = "block long, what string, range long, lo int, size int, keys binary, more binary, value binary"
+ENCODED = f"{REQUEST}, at int, doc_ids array<long>, held_out array<boolean>, learn array<boolean>, sizes array<int>, ids binary"
+#: An answer: sums of the requests `at`, whether this block is the first to ask (bits), and totals of a range.
+ANSWER = "block long, what string, size int, at binary, value binary, own binary, totals array<long>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def _list_array(ids: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)))
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    raw = pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, size).T).view(dtype).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
 
+def _requests(block: int, what: str, keys: np.ndarray, value: np.ndarray, ranges: int, more: np.ndarray | None = None) -> list[dict]:
+    """Rows of REQUEST, one for each range that the ascending keys have."""
+    if not len(keys):
+        return []
+    of = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(keys)]
+    return [
+        {"block": block, "what": what, "range": int(of[a]), "lo": a, "size": b - a, "keys": packed(_steps(keys[a:b])), "more": None if more is None else packed(more[a:b]), "value": packed(value[a:b].astype(np.float64))}
+        for a, b in zip(cuts, cuts[1:], strict=False)
+    ]
 
-def encoded(docs: DataFrame, *, mod: int, rem: int, text_col: str = "text") -> DataFrame:
-    """Rows of documents (ids by their block's vocabulary) and rows of vocabularies (lid, word, count in training documents)."""
-    names = ["block", "doc_id", "held_out", "learn", "ids", "lid", "word", "n"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64()]
 
-    def batch(rows: int, /, **have: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([have[k].cast(t) if k in have else pa.nulls(rows, t) for k, t in zip(names, types, strict=True)], names=names)
+def encoded(docs: DataFrame, ranges: int, *, mod: int, rem: int, text_col: str = "text") -> DataFrame:
+    """Blocks: rows of documents, and requests for the counts of the block's words."""
+    schema = _arrow(ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = 0, 0
+        part, block, held = 0, 0, 0
         vocabulary: defaultdict[bytes, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
-        counts, held = np.zeros(1 << 16, np.int64), 0
-
-        def number() -> int:
-            if block >= PART_BLOCKS or part >= 1 << 20:
-                raise ValueError("too many blocks or parts to number; repartition the documents")
-            return part * PART_BLOCKS + block
+        rows: list[tuple] = []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            words = list(vocabulary)
-            for at in range(0, len(words), 50_000):
-                few = words[at : at + 50_000]
-                yield batch(len(few), block=pa.array([number()] * len(few), pa.int64()), lid=pa.array(np.arange(at, at + len(few), dtype=np.int32)), word=pa.array(few, pa.binary()), n=pa.array(counts[at : at + len(few)]))
+            if block >= PART_BLOCKS or part >= 1 << 40:
+                raise ValueError("too many blocks or parts to number; repartition the documents")
+            number = part * PART_BLOCKS + block
+            digests = [xxhash.xxh3_128_digest(w) for w in vocabulary]
+            keys = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            counts = np.zeros(len(order), np.int64)
+            for _, _, learn, ids in rows:
+                if learn:
+                    own = np.bincount(ids)
+                    counts[: len(own)] += own
+            out, few, many = [], [], 0
+            for k, row in enumerate(rows):
+                few.append(row)
+                many += len(row[3])
+                if many >= DOC_TOKENS or k == len(rows) - 1:
+                    ids, outside, learn, words = zip(*few, strict=True)
+                    out.append({"block": number, "at": k, "doc_ids": ids, "held_out": outside, "learn": learn, "sizes": [len(x) for x in words], "ids": packed(place[np.concatenate(words)])})
+                    few, many = [], 0
+            out += _requests(number, "count1", keys[order, 0], counts[order], ranges, keys[order, 1])
+            yield pa.RecordBatch.from_pylist(out, schema)
 
         for b in batches:
             part = b.column(4)[0].as_py() if b.num_rows else part
-            rows: list[tuple] = []
             for doc_id, out, learn, text in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
                 ids = np.fromiter(map(vocabulary.__getitem__, tokens(text or b"")), np.int32)
-                if len(vocabulary) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(vocabulary)), np.int64)])
-                if learn:
-                    own = np.bincount(ids)
-                    counts[: len(own)] += own
                 rows.append((doc_id, out, learn, ids))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:
-                    yield _documents(batch, number(), rows)
                     yield from finish()
-                    rows, held, block = [], 0, block + 1
+                    held, block = 0, block + 1
                     vocabulary.clear()
-                    counts[:] = 0
-            if rows:
-                yield _documents(batch, number(), rows)
-        if vocabulary:
+                    rows.clear()
+        if rows:
             yield from finish()
 
     chosen = docs.select(F.col("doc_id"), held_out("doc_id", mod, rem), learnable("doc_id", mod, rem), F.col(text_col).cast("string").cast("binary"), F.spark_partition_id())
-    return chosen.mapInArrow(run, _ENCODED)
+    return chosen.mapInArrow(run, ENCODED)
+
 
+def summed(requests: DataFrame, least: dict[str, float]) -> DataFrame:
+    """Rows of ANSWER: values summed by key over all blocks, for keys that have `least` of their kind or more.
 
-def _documents(batch, block: int, rows: list[tuple]) -> pa.RecordBatch:
-    ids, out, learn, words = zip(*rows, strict=True)
-    return batch(len(rows), block=pa.array([block] * len(rows), pa.int64()), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(out), learn=pa.array(learn), ids=_list_array(list(words)))
+    A group is a range of hashes: some RANGE_BYTES of text whatever the size of the corpus, and of a key a number for each block.
+    """
+    schema = _arrow(ANSWER)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        what, blocks, sizes = rows.column("what")[0].as_py(), rows.column("block").to_pylist(), rows.column("size").to_pylist()
+        lo, ends = rows.column("lo").to_pylist(), np.cumsum([0, *sizes])
+        column = lambda name, kind: [unpacked(d, n, kind) for d, n in zip(rows.column(name).to_pylist(), sizes, strict=True)]
+        keys, value = np.concatenate([np.cumsum(k, dtype=np.uint64) for k in column("keys", np.uint64)]), np.concatenate(column("value", np.float64))
+        if rows.column("more").null_count:
+            order = np.argsort(keys, kind="stable")
+            new = keys[order[1:]] != keys[order[:-1]]
+        else:
+            more = np.concatenate(column("more", np.uint64))
+            order = np.lexsort((more, keys))
+            new = (keys[order[1:]] != keys[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
+        first = np.concatenate([[True], new])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(first) - 1
+        sums = np.bincount(number, value)
+        own = np.zeros(len(order), bool)
+        own[order[first]] = True  # both sorts are stable, so this is the least block
+        totals = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
+        out = []
+        for k, block in enumerate(blocks):
+            s = sums[number[ends[k] : ends[k + 1]]]
+            at = np.flatnonzero(s >= least[what])
+            if len(at) or k == 0:
+                out.append({"block": block, "what": what, "size": len(at), "at": packed(_steps((at + lo[k]).astype(np.uint32))), "value": packed(s[at]), "own": np.packbits(own[ends[k] : ends[k + 1]][at]).tobytes(), "totals": totals if k == 0 else None})
+        return pa.Table.from_pylist(out, schema)
+
+    return requests.groupBy("what", "range").applyInArrow(run, ANSWER)
 
 
 @dataclass
@@ -124,15 +195,128 @@ class Unigrams:
     discount: float
     texts: int
 
-    def logs(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the root's probability of tokens with these counts."""
+    def root(self, c: np.ndarray) -> np.ndarray:
+        """The root's probability of tokens with these counts."""
         if not self.total:
-            return np.zeros(len(c))
-        unseen = self.discount * self.distinct / self.total
-        return np.log10(np.where(c > 0, (c - self.discount) / self.total, unseen))
+            return np.ones(len(c))
+        return np.where(c > 0, (c - self.discount) / self.total, self.discount * self.distinct / self.total)
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / (self.total + self.distinct + 1))
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+
+@dataclass
+class Level:
+    """The n-grams of one order in a block: the number of that which ends at each place (or -1), and of each its key, history and sums."""
+
+    numbers: np.ndarray
+    keys: np.ndarray
+    history: np.ndarray  # number in the level below
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    taken: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of a history's occurrences, by its kept continuations
+
+
+class Block:
+    """A block's tokens, a start before each document, and its levels up to what the answers know."""
+
+    def __init__(self, rows: pa.Table, answers: pa.Table, model: Unigrams, short: float, known: int) -> None:
+        self.model, self.block = model, rows.column("block")[0].as_py()
+        texts, words = rows.filter(rows.column("ids").is_valid()).sort_by("at"), rows.filter(rows.column("keys").is_valid()).sort_by("lo")
+        names = ("doc_ids", "held_out", "learn", "sizes")
+        self.doc_ids, outside, learn, sizes = (pa.chunked_array([c for x in texts.column(n).chunks if len(c := x.flatten())] or [pa.array([], texts.schema.field(n).type.value_type)]) for n in names)
+        self.outside, self.sizes = outside, sizes.to_numpy()
+        flat = [unpacked(d, sum(n), np.int32) for d, n in zip(texts.column("ids").to_pylist(), texts.column("sizes").to_pylist(), strict=True)]
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1] + np.arange(len(self.sizes))
+        keys = [np.cumsum(unpacked(d, n, np.uint64), dtype=np.uint64) for d, n in zip(words.column("keys").to_pylist(), words.column("size").to_pylist(), strict=True)]
+        size = sum(map(len, keys))
+        ids = np.insert(np.concatenate(flat), self.starts - np.arange(len(self.starts)), size)
+        self.learn = np.repeat(learn.to_numpy(zero_copy_only=False).astype(bool), self.sizes + 1)
+        self.follows = np.ones(len(ids), bool)
+        self.follows[self.starts] = False
+        self.levels = [Level(ids, np.concatenate([*keys, [START_KEY]]), np.zeros(0, np.int64))]
+        for order in range(1, known + 1):
+            level = self.levels[0] if order == 1 else self.next_level()
+            level.count, level.own = self._answer(answers, f"count{order}", len(level.keys))
+            level.kept = level.count > 0
+            if order == 1:
+                level.count[-1] = model.texts
+                level.kept = level.count >= short
+                level.kept[-1] = model.texts > 0
+            asked = self._asked(level)
+            level.taken = np.zeros(len(level.keys))
+            level.taken[asked] = self._answer(answers, f"after{order}", len(asked))[0]
+
+    @staticmethod
+    def _asked(level: Level) -> np.ndarray:
+        """The kept n-grams of a level by key (the start stands after the words)."""
+        kept = np.flatnonzero(level.kept)
+        return kept[np.argsort(level.keys[kept], kind="stable")]
+
+    @staticmethod
+    def _answer(answers: pa.Table, what: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of so many requests, and which this block was the first to make; 0 where there is no answer."""
+        sums, first = np.zeros(size), np.zeros(size, bool)
+        rows = answers.filter(pa.compute.equal(answers.column("what"), what))
+        for n, at, value, own in zip(*(rows.column(c).to_pylist() for c in ("size", "at", "value", "own")), strict=True):
+            if n:
+                places = np.cumsum(unpacked(at, n, np.uint32), dtype=np.int64)
+                sums[places] = unpacked(value, n, np.float64)
+                first[places] = np.unpackbits(np.frombuffer(own, np.uint8), count=n).astype(bool)
+        return sums, first
+
+    def next_level(self) -> Level:
+        """The n-grams one word longer than the last level's, of which both parts are kept; added to the levels."""
+        last, words = self.levels[-1], self.levels[0]
+        kept = (last.numbers >= 0) & np.append(last.kept, False)[last.numbers]
+        at = np.flatnonzero(kept[:-1] & kept[1:] & self.follows[1:]) + 1
+        before = last.numbers[at - 1]
+        keys = last.keys[before] * np.uint64(0x9E3779B97F4A7C15) + words.keys[words.numbers[at]] + np.uint64(len(self.levels))
+        keys ^= keys >> np.uint64(32)
+        keys *= np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        numbers = np.full(len(last.numbers), -1, np.int64)
+        numbers[at] = back
+        self.levels.append(Level(numbers, own, before[first]))
+        return self.levels[-1]
+
+    def counts(self, ranges: int) -> list[dict]:
+        """Requests for the counts of the n-grams one word longer than what is known."""
+        level = self.next_level()
+        numbers = level.numbers[self.learn & (level.numbers >= 0)]
+        out = _requests(self.block, f"count{len(self.levels)}", level.keys, np.bincount(numbers, minlength=len(level.keys)), ranges)
+        self.levels.pop()
+        return out
+
+    def afters(self, order: int, ranges: int) -> list[dict]:
+        """Requests for what kept continuations take of the kept histories of this order; this block adds what it is the first to know."""
+        level, longer = self.levels[order - 1], self.levels[order]
+        own = longer.own & longer.kept
+        taken = np.bincount(longer.history[own], longer.count[own] - DISCOUNT, len(level.keys))
+        asked = self._asked(level)
+        return _requests(self.block, f"after{order}", level.keys[asked], taken[asked], ranges)
+
+    def scores(self) -> pa.Table:
+        """The documents with their sums, all levels known."""
+        ids, count = self.levels[0].numbers, self.levels[0].count
+        p = self.model.root(count)[ids]
+        for history, level in zip(self.levels, self.levels[1:], strict=False):
+            h = history.numbers[:-1]
+            ok = np.flatnonzero((h >= 0) & np.append(history.kept, False)[h] & self.follows[1:])
+            h, at = h[ok], ok + 1
+            begun = history.count[h]
+            p[at] *= 1 - history.taken[h] / begun
+            n = level.numbers[at]
+            arcs = np.flatnonzero((n >= 0) & np.append(level.kept, False)[n])
+            p[at[arcs]] += (level.count[n[arcs]] - DISCOUNT) / begun[arcs]
+        add = lambda x: np.add.reduceat(np.where(self.follows, x, 0), self.starts)
+        total = pa.array(np.full(len(self.sizes), self.model.total, np.int64))
+        return pa.table({"doc_id": self.doc_ids, "held_out": self.outside, "n_tokens": pa.array(self.sizes.astype(np.int64)), "n_known": pa.array(add((count > 0)[ids].astype(np.int64))), "train_tokens": total, "base_score": pa.array(add(self.model.base(count)[ids])), "score": pa.array(add(np.log10(p)))})
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df through a table in the shared folder, and its path; the shuffle files that made it go at once."""
     conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = scratch(df.sparkSession, name)
@@ -142,7 +326,7 @@ def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     except AnalysisException:
         pass  # not a setting of this Spark: they go with the plan
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "lz4").parquet(path)
     finally:
         if before is None:
             conf.unset(cleanup)
@@ -151,164 +335,45 @@ def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _removed(docs: DataFrame, *paths: str) -> None:
-    """Removes tables that nothing reads any more."""
-    spark = docs.sparkSession
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _places(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows of blocks with `n` summed over all blocks, and `id`, the least place with this key."""
-    same = Window.partitionBy(*key)
-    rows = rows.withColumn("at", F.shiftleft("block", 31) + F.col("lid")).drop("block", "lid")
-    rows = rows.select(*(k for k in rows.columns if k != "n"), F.sum("n").over(same).alias("n"), F.min("at").over(same).alias("id"))
-    return rows.select(F.shiftright("at", 31).alias("block"), (F.col("at") % (1 << 31)).cast("int").alias("lid"), "id", "n", *(k for k in rows.columns if k not in ("at", "id", "n")))
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all lists in a row, and where each list ends, after a 0."""
-    ids = column.combine_chunks()
-    if isinstance(ids, pa.ChunkedArray):
-        ids = ids.chunk(0) if ids.num_chunks else pa.array([], ids.type)
-    return ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py() if len(ids) else np.zeros(1, np.int64)
-
-
-def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The sum of each list; lists may be empty."""
-    out = np.zeros(len(ends) - 1)
-    full = np.flatnonzero(np.diff(ends))
-    if len(full):
-        out[full] = np.add.reduceat(values, ends[full])
-    return out
-
-
-def _step(left: pa.Table, lids: np.ndarray, ends: np.ndarray, gid: np.ndarray, count: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of _STEP: the block's documents with n-grams one word longer than those of `lids`, which are numbers of gid, count and weight."""
-    schema, wide, block = _schema(), len(gid) + 1, left.column("block")[0].as_py()
-    lids = lids.astype(np.int64)
-    kept = np.where(lids >= 0, gid[lids], NONE) != NONE if len(gid) else np.zeros(len(lids), bool)
-    follows = np.ones(len(lids), bool)
-    full = np.flatnonzero(np.diff(ends))
-    follows[ends[full]] = False  # the first of each document follows nothing
-    # Places of a kept history with a word after it; what follows is a kept one, or any other.
-    at = np.flatnonzero(kept[:-1] & follows[1:])
-    pairs, numbers = np.unique(lids[at] * wide + np.where(kept[at + 1], lids[at + 1], wide - 1), return_inverse=True)
-    longer = np.full(len(lids), -1, np.int32)
-    longer[at + 1] = numbers
-    learn = np.repeat(left.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
-    n = np.bincount(numbers[learn[at]], minlength=len(pairs))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.maximum(np.diff(ends) - 1, 0))]).astype(np.int32)), pa.array(longer[follows]))
-
-    def rows(size: int, **have: pa.Array) -> Iterator[pa.RecordBatch]:
-        many = min(size, 200_000)
-        # All batches share the columns that say nothing.
-        blank = {f.name: pa.nulls(many, f.type) for f in schema if f.name not in have} | {"block": pa.array(np.full(many, block, np.int64))}
-        for k in range(0, size, 200_000):
-            n_rows = min(many, size - k)
-            yield pa.RecordBatch.from_arrays([have[f.name].slice(k, n_rows) if f.name in have else blank[f.name].slice(0, n_rows) for f in schema], schema=schema)
-
-    docs = {k: left.column(k).combine_chunks() for k in left.column_names if k not in ("block", "ids")}
-    yield from rows(left.num_rows, **docs, ids=lists)
-    first, last = pairs // wide, pairs % wide
-    real = np.flatnonzero(last < wide - 1)
-    yield from rows(len(real), lid=pa.array(real.astype(np.int32)), prefix=pa.array(gid[first[real]]), suffix=pa.array(gid[last[real]]), n=pa.array(n[real].astype(np.int64)), lower=pa.array(weight[last[real]]))
-    heads, lo = np.unique(first, return_index=True)
-    hi = np.append(lo[1:], len(first)) if len(lo) else lo
-    yield from rows(len(heads), lid=pa.array(lo.astype(np.int32)), prefix=pa.array(gid[heads]), c=pa.array(count[heads]), upto=pa.array(hi.astype(np.int32)))
-
-
-def _schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in _STEP.split(", "))])
-
-
-def _table(rows: Iterator[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(rows, _schema())
-
-
-def resolve(parts: DataFrame, words: DataFrame, model: Unigrams, least: float) -> DataFrame:
-    """Rows of _STEP for pairs of words: documents with their sums by exact counts, their blocks' pairs and first words."""
-    texts = parts.filter("ids IS NOT NULL").select("block", "doc_id", "held_out", "learn", "ids")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lid = right.column("lid").to_numpy()
-        count, gid = np.zeros(len(lid) + 1, np.int64), np.full(len(lid) + 1, NONE, np.int64)
-        count[lid], gid[lid] = right.column("n").to_numpy(), right.column("id").to_numpy()
-        gid[count < least] = NONE
-        own = model.logs(count)
-        base = np.log10((count + 1) / (model.total + model.distinct + 1))
-        flat, ends = _flat(left.column("ids"))
-        sums = [_sums(x[flat], ends) for x in (base, (count > 0).astype(np.int64), own)]
-        count[-1], gid[-1] = model.texts, START
-        new = {"n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(sums[1].astype(np.int64)), "base_sum": pa.array(sums[0]), "own_sum": pa.array(sums[2])}
-        for name, column in new.items():
-            left = left.append_column(name, column)
-        # The start before each document.
-        return _table(_step(left, np.insert(flat, ends[:-1], len(lid)), ends + np.arange(len(ends)), gid, count, own))
-
-    return texts.groupBy("block").cogroup(words.select("block", "lid", "n", "id").groupBy("block")).applyInArrow(run, _STEP)
-
-
-def _gains(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The documents with what their n-grams change added; then the n-grams' places, and number, count and weight of each."""
-    flat, ends = _flat(left.column("ids"))
-    size = int(flat.max(initial=-1)) + 1
-    lid, upto = right.column("lid").to_numpy(), right.column("upto").to_numpy(zero_copy_only=False)
-    head = right.column("id").is_null().to_numpy()
-    back, gid, count, weight = np.zeros(size), np.full(size, NONE, np.int64), np.zeros(size, np.int64), np.zeros(size)
-    lo, many = lid[head].astype(np.int64), (upto[head] - lid[head]).astype(np.int64)
-    begun = np.zeros(size)  # how often the history of each was seen
-    places = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-    back[places] = np.repeat(right.column("lower").to_numpy(zero_copy_only=False)[head], many)
-    begun[places] = np.repeat(right.column("n").to_numpy(zero_copy_only=False)[head], many)
-    rows = right.filter(right.column("id").is_valid())
-    lid, n, lower = (rows.column(k).to_numpy() for k in ("lid", "n", "lower"))
-    gid[lid], count[lid] = rows.column("id").to_numpy(), n
-    weight[lid] = np.log10((n - DISCOUNT) / begun[lid] + 10 ** (back[lid] + lower))
-    gain = back
-    gain[lid] = weight[lid] - lower
-    own = left.column("own_sum").to_numpy() + _sums(np.where(flat >= 0, gain[flat], 0.0) if size else np.zeros(len(flat)), ends)
-    return left.set_column(left.column_names.index("own_sum"), "own_sum", pa.array(own)), flat, ends, gid, count, weight
-
-
 def score_texts(docs: DataFrame, *, mod: int = 7, rem: int = 2, short: float = 0.0, kept: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     The model has words and n-grams that occur LEAST times, and also a share `short` or `kept` of all tokens.
     """
-    ship(docs.sparkSession)
-    parts, old = _stored(encoded(docs, mod=mod, rem=rem), "encoded")
-    words, used = _stored(_places(parts.filter("word IS NOT NULL").select("block", "lid", "word", "n"), "word").drop("word"), "words")
-    t = words.filter(f"{_FIRST} AND n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("n") == 1, 1)).alias("n1"), F.sum(F.when(F.col("n") == 2, 1)).alias("n2")).first()
-    total, n1, n2 = t["n"] or 0, t["n1"] or 0, t["n2"] or 0
-    model = Unigrams(total, t["v"], min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.0, parts.filter("ids IS NOT NULL AND learn").count())
+    spark = docs.sparkSession
+    ship(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    # At least some for each task of a shuffle, so that all have work.
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    own, path = stored(encoded(docs, ranges, mod=mod, rem=rem), "encoded")
+    answers, used = stored(summed(own.filter("keys IS NOT NULL").select(*(c.split()[0] for c in REQUEST.split(", "))), {"count1": 0.0}), "answers")
+    paths = [path, used]
+    t = answers.filter("totals IS NOT NULL").agg(*(F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(4))).first()
+    total, distinct, n1, n2 = (x or 0 for x in t)
+    model = Unigrams(total, distinct, min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.0, own.agg(F.sum(F.size(F.filter("learn", lambda x: x)))).first()[0] or 0)
     if total and not n1:
-        model.discount = 1 / (2 * model.distinct)  # something is left for words not seen
-    step, path = _stored(resolve(parts, words, model, max(LEAST, short * total)), "resolved")
-    _removed(docs, old, used)
-    for order in range(2, ORDER + 1):
-        grams = step.filter("suffix IS NOT NULL").select("block", "lid", "prefix", "suffix", "n", "lower")
-        grams, used = _stored(_places(grams, "prefix", "suffix").filter(F.col("n") >= max(LEAST, kept * total)).drop("suffix"), "grams")
-        arcs = grams.filter(_FIRST).groupBy("prefix").agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
-        heads = step.filter("upto IS NOT NULL").select("block", "lid", "prefix", "upto", "c").join(arcs, "prefix")
-        back = F.log10(F.greatest(F.lit(1e-12), (F.col("c") - F.col("taken")) / F.col("c")))
-        none = F.lit(None)
-        right = grams.select("block", "lid", none.cast("int").alias("upto"), "id", "n", "lower").unionByName(heads.select("block", "lid", "upto", none.cast("long").alias("id"), F.col("c").alias("n"), back.alias("lower")))
-        texts = step.filter("ids IS NOT NULL").select(*(f.split()[0] for f in _DOCUMENTS.split(", "))).groupBy("block").cogroup(right.groupBy("block"))
-        if order < ORDER:
-
-            def run(left: pa.Table, right: pa.Table) -> pa.Table:
-                left, *found = _gains(left, right)
-                return _table(_step(left, *found))
-
-            step, new = _stored(texts.applyInArrow(run, _STEP), "resolved")
-            _removed(docs, path, used)
-            path = new
-
-    def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        done = _gains(left, right)[0]
-        return pa.table({"doc_id": done["doc_id"], "held_out": done["held_out"], "n_tokens": done["n_tokens"], "n_known": done["n_known"], "train_tokens": pa.array(np.full(done.num_rows, total, np.int64)), "base_score": done["base_sum"], "score": done["own_sum"]})
-
-    return texts.applyInArrow(last, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        model.discount = 1 / (2 * distinct)  # something is left for words not seen
+    listed, least = max(LEAST, short * total), max(LEAST, kept * total)
+
+    def known(out: str, order: int, step) -> DataFrame:
+        """What `step` makes of each block with all answers up to an order."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return step(Block(left, right, model, listed, order))
+
+        blocks = own.select("block", "lo", "size", "keys", "at", "doc_ids", "held_out", "learn", "sizes", "ids")
+        return blocks.groupBy("block").cogroup(answers.drop("totals").groupBy("block")).applyInArrow(run, out)
+
+    schema = _arrow(REQUEST)
+    for order in range(2, ORDER + 2):
+
+        def ask(b: Block, order: int = order) -> pa.Table:
+            rows = b.counts(ranges) if order <= ORDER else []
+            return pa.Table.from_pylist(rows + (b.afters(order - 2, ranges) if order > 2 else []), schema)
+
+        more, used = stored(summed(known(REQUEST, order - 1, ask), {f"count{order}": least, f"after{order - 2}": 1e-9}), "answers")
+        answers = answers.unionByName(more)
+        paths.append(used)
+    scored, out = stored(known(SCORED, ORDER, Block.scores), "scored")
+    removed(spark, *paths)
+    return scored
