@@ -42,7 +42,7 @@ from scriptorium.session import ship
 ORDER = 3
 LEAST = 2  # occurrences of a word or an n-gram of the model
 DISCOUNT = 0.75
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 RANGE_BYTES = 6_000_000  # of text for a range of hashes: at most about a million n-grams
 DOC_TOKENS = 200_000  # of documents in a row, if it has more than one
 END = b"\n"  # no word holds white space
