@@ -1,10 +1,11 @@
 """Media columns: texts as 8-bit grey images in archives, read by a data source that plans byte ranges.
 
-`media_archive` is a Spark data source over a directory of zip archives. Writing streams Arrow batches into one archive a task;
-the commit lists the archives of the tasks that ended well in a manifest, so that what lost or repeated tasks wrote is ignored.
+`media_archive` is a Spark data source over a directory of zip archives. Writing streams Arrow batches into archives of a bounded
+size, one task's one after another; the commit lists the archives of the tasks that ended well in a manifest, so that what lost or repeated tasks wrote is ignored.
 Reading plans one partition for each byte range of each archive on the driver from the manifest alone; a partition takes the
 members whose local header begins in its range, streams their payloads as Arrow batches of bounded bytes, and reads a member
-that fails again by its own offset, with a fresh handle, before it gives the row an `error` instead of a payload.
+that fails again by its own offset, with a fresh handle, before it gives the row an `error` instead of a payload. An archive's list of
+members is read as often before the task fails, since without it no member is known.
 
 A payload is UTF-8 text with zero bytes up to a positive multiple of 64; it is stored as a PNG of 64 grey samples a row. The
 unpadded length is kept in a text chunk. Defined results: a null text is empty; a null id is stored and read as null; repeated
@@ -33,6 +34,7 @@ from scriptorium.llm.common import opened
 from scriptorium.session import ship
 
 WIDTH = 64
+ARCHIVE_BYTES = 128 << 20
 PNG = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "_manifest.json"
 SCHEMA = "name string, n_bytes long, payload binary, media_bytes long, media_sha256 string, feature string, error string"
@@ -96,33 +98,38 @@ def average_hash(payload: bytes) -> str:
 
 
 class _ArchiveWriter(DataSourceArrowWriter):
-    """One archive a task, in the directory `path`."""
+    """A task's archives, in the directory `path`: a new one where one has `archive_bytes`, so that lists of members stay short."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, archive_bytes: int) -> None:
+        self.path, self.archive_bytes = path, archive_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = opened(self.path)
-        name, out, archive, n = f"part-{uuid.uuid4().hex}.zip", None, None, 0
+        names, out, archive, n = [], None, None, 0
         for batch in iterator:
-            if batch.num_rows and archive is None:
-                fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{root}/{name}")
-                archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True)
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if archive is None:
+                    names.append(f"part-{uuid.uuid4().hex}.zip")
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(f"{root}/{names[-1]}")
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True)
                 with warnings.catch_warnings():
                     warnings.simplefilter("ignore")  # repeated names are meant
                     archive.writestr(zipfile.ZipInfo("null" if key is None else f"id-{key}"), to_png(content or b""))
                 n += 1
+                if out.tell() >= self.archive_bytes:
+                    archive.close()
+                    out.close()
+                    archive = None
         if archive is not None:
             archive.close()
             out.close()
-        return _Written(name if n else "", n)
+        return _Written(names, n)
 
     def commit(self, messages: list) -> None:
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
-        names = sorted(m.name for m in messages if m is not None and m.name)
+        names = sorted(x for m in messages if m is not None for x in m.names)
         listed = [{"name": x, "bytes": fs.get_file_info(f"{root}/{x}").size} for x in names]
         with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
             out.write(json.dumps(listed).encode())
@@ -130,13 +137,13 @@ class _ArchiveWriter(DataSourceArrowWriter):
     def abort(self, messages: list) -> None:
         fs, root = opened(self.path)
         for m in messages:
-            if m is not None and m.name:
-                fs.delete_file(f"{root}/{m.name}")
+            for x in m.names if m is not None else ():
+                fs.delete_file(f"{root}/{x}")
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str
+    names: list[str]
     members: int
 
 
@@ -183,6 +190,16 @@ class _ArchiveReader(DataSourceReader):
                 why = f"{type(e).__name__}: {e}"
         return None, None, None, why
 
+    def _members(self, fs: pa.fs.FileSystem, path: str, partition: _Range) -> list[zipfile.ZipInfo]:
+        for k in range(self.attempts):
+            try:
+                with fs.open_input_file(path) as f:
+                    return sorted((m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end), key=lambda m: m.header_offset)
+            except OSError:
+                if k == self.attempts - 1:
+                    raise
+        return []
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
@@ -190,15 +207,15 @@ class _ArchiveReader(DataSourceReader):
         path = f"{root}/{partition.name}"
         schema = pa.schema([("name", pa.string()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
         rows, held = [], 0
+        members = self._members(fs, path, partition)
         with fs.open_input_file(path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
-            block, first = b"", 0
-            for m in sorted(members, key=lambda m: m.header_offset):
-                need = m.header_offset + 30 + 65_536 * 2 + m.file_size
-                if not first <= m.header_offset or need > first + len(block):
-                    first = m.header_offset
-                    block = f.read_at(max(need - first, 1 << 20), first)
+            block, first, size = b"", 0, f.size()
+            for m in members:
+                need = min(m.header_offset + 30 + 65_536 * 2 + m.file_size, size)
                 try:
+                    if not first <= m.header_offset or need > first + len(block):
+                        block = b""
+                        block, first = f.read_at(max(need - m.header_offset, 1 << 20), m.header_offset), m.header_offset
                     at = m.header_offset - first
                     names, extra = struct.unpack_from("<HH", block, at + 26)
                     media = block[at + 30 + names + extra : at + 30 + names + extra + m.file_size]
@@ -220,7 +237,7 @@ class _ArchiveReader(DataSourceReader):
 class MediaArchive(DataSource):
     """spark.read.format("media_archive").load(dir), df.select(name, content).write.format("media_archive").save(dir).
 
-    Options: rangeBytes (of an archive a partition covers), batchBytes (of payload a batch holds), attempts (for a member).
+    Options: rangeBytes (of an archive a partition covers), batchBytes (of payload a batch holds), attempts (for a member); archiveBytes (writing).
     """
 
     @classmethod
@@ -234,7 +251,7 @@ class MediaArchive(DataSource):
         return _ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> _ArchiveWriter:
-        return _ArchiveWriter(self.options["path"])
+        return _ArchiveWriter(self.options["path"], int(self.options.get("archivebytes", ARCHIVE_BYTES)))
 
 
 def write_media(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
