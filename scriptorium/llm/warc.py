@@ -3,10 +3,13 @@
 Of records with equal payloads of at least `min_bytes` bytes, the one with the largest page_id is a response that carries the
 payload; the others are revisit records that name it. A revisit has the HTTP header block only, whose Content-Length is the
 length of the full payload. Reading streams each archive in blocks through incremental inflation, one member after another,
-takes each record's block by its Content-Length, and verifies block and payload digests; a record that fails is an error row.
+takes each record's block by its Content-Length, and verifies block and payload digests where it has them; a record that fails is an
+error row. After damage inside a member the reader looks for the next place where a member begins that inflates to a record, so one
+damaged member costs its own record only. Any directory of `.warc.gz` files can be read: records of other kinds (warcinfo, request,
+metadata, resource) have their block as payload.
 
 Archives are written a task each, named in the messages of the tasks that ended well and listed in a manifest by the commit, so
-files of lost or repeated tasks are ignored. Defined results: null html is empty; rows of equal payload and the same largest id
+files of lost or repeated tasks are ignored; a directory without a manifest is read whole. Defined results: null html is empty; rows of equal payload and the same largest id
 are all responses; a null page_id is below every other, and where a group has no other id all its rows are responses; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -14,6 +17,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import json
 import re
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -31,6 +36,7 @@ from scriptorium.llm.common import opened
 from scriptorium.session import ship
 
 MANIFEST = "_manifest.json"
+MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary, error string"
@@ -64,8 +70,19 @@ def record(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str |
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def _begins(data: bytes) -> bool:
+    """Whether a member begins here and inflates to the start of a record."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 8).startswith(b"WARC/1.")
+    except zlib.error:
+        return False
+
+
 def members(stream) -> Iterator[Iterator[bytes]]:
-    """The inflated pieces of one gzip member after another; each must be used up before the next."""
+    """The inflated pieces of one gzip member after another; each must be used up, or fail, before the next.
+
+    After a member that failed, reading goes on at the next place where one begins that holds a record.
+    """
     left = b""
     while left or (left := stream.read(BLOCK)):
         inflate = zlib.decompressobj(31)
@@ -81,6 +98,23 @@ def members(stream) -> Iterator[Iterator[bytes]]:
                     yield piece
 
         yield pieces()
+        if not inflate.eof:
+            # What failed may be anywhere in `left`; its own beginning is not the next one.
+            left = left[1:]
+            while True:
+                at = left.find(MAGIC)
+                if at < 0:
+                    more = stream.read(BLOCK)
+                    left = left[-2:] + more if more else b""
+                    if not more:
+                        break
+                    continue
+                if len(left) - at < BLOCK and (more := stream.read(BLOCK)):
+                    left += more
+                if _begins(left[at : at + BLOCK]):
+                    left = left[at:]
+                    break
+                left = left[at + 1 :]
 
 
 def parse(pieces: Iterator[bytes]) -> dict:
@@ -99,14 +133,27 @@ def parse(pieces: Iterator[bytes]) -> dict:
     block, tail = bytes(got[:n]), bytes(got[n:])
     if len(block) != n or tail != b"\r\n\r\n":
         raise ValueError("block and Content-Length differ")
-    if head["warc-block-digest"] != f"sha1:{digest(block)}":
+    kind, payload, size = head["warc-type"], block, n
+    if not _same(head.get("warc-block-digest"), block):
         raise ValueError("block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
-    kind, named = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or digest(payload) != named):
+    if head.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        told = re.search(rb"(?im)^content-length: *(\d+)", http)
+        # What a revisit leaves out has the length that its HTTP header tells, if any.
+        size = len(payload) if kind != "revisit" else int(told[1]) if told else None
+        if kind == "response" and told and not re.search(rb"(?im)^(transfer|content)-encoding:", http) and size != int(told[1]):
+            raise ValueError("payload length")
+    named = head.get("warc-payload-digest")
+    if kind != "revisit" and not _same(named, payload):
         raise ValueError("payload digest")
-    return {"record_id": head["warc-record-id"].strip("<>"), "record_type": kind, "target_uri": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": named, "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None, "payload": payload if kind == "response" else None, "error": None}
+    named = named.partition(":")[2] if named else None if kind == "revisit" else digest(payload)
+    bare = lambda key: head[key].strip("<>") if key in head else None
+    return {"record_id": bare("warc-record-id"), "record_type": kind, "target_uri": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": named, "refers_to": bare("warc-refers-to"), "payload": None if kind == "revisit" else payload, "error": None}
+
+
+def _same(named: str | None, data: bytes) -> bool:
+    """Whether data has this labelled digest; digests of other kinds than SHA-1 are not verified."""
+    return named is None or not named.lower().startswith("sha1:") or named[5:].upper() == digest(data)
 
 
 @dataclass
@@ -157,8 +204,13 @@ class _WarcReader(DataSourceReader):
 
     def partitions(self) -> list[_Archive]:
         fs, root = opened(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [_Archive(x) for x in json.loads(f.read())] or [_Archive("")]
+        if fs.get_file_info(f"{root}/{MANIFEST}").type == pyarrow.fs.FileType.NotFound:
+            found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
+            names = sorted(f.path[len(root) :].lstrip("/") for f in found if f.is_file and f.path.endswith(".warc.gz"))
+        else:
+            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
+                names = json.loads(f.read())
+        return [_Archive(x) for x in names] or [_Archive("")]
 
     def read(self, partition: _Archive) -> Iterator[pa.RecordBatch]:
         if not partition.name:
@@ -171,10 +223,11 @@ class _WarcReader(DataSourceReader):
             for pieces in members(stream):
                 try:
                     row = parse(pieces)
-                except (ValueError, KeyError, TypeError, StopIteration) as e:
+                except (ValueError, KeyError, TypeError, StopIteration, zlib.error) as e:
                     row = dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}
-                    for _ in pieces:  # what is left of the member
-                        pass
+                    with contextlib.suppress(ValueError, zlib.error):
+                        for _ in pieces:  # what is left of the member
+                            pass
                 if not self.payloads:
                     row["payload"] = None
                 rows.append(row)
