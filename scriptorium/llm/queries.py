@@ -29,7 +29,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "media")
     media.write_media(_table(spark, sf_dir, "documents"), "doc_id", "text", path)
     stored = media.read_media(spark, path)
-    return stored.select(F.col("name").cast("long").alias("doc_id"), "n_bytes", *media.payload_columns(), "media_bytes", "media_sha256", "feature")
+    return stored.select(F.col("name").cast("long").alias("doc_id"), "n_bytes", *media.payload_columns(), "media_bytes", "media_sha256", "feature", "error")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
     back = warc.read_warc(spark, path, payloads=False)
-    return back.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+    page = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("long")).otherwise(warc.page_of("record_id"))  # no record is lost in silence
+    return back.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_toxicity, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_benchmark_decontamination, op8_bpe, op9_quality_classifier, op10_warc)}
