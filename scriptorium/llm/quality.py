@@ -1,7 +1,8 @@
 """Quality: naive Bayes support vectors. N-gram indicators scaled by class log-count ratios, hinge loss by dual coordinate descent.
 
-Features of a whole text are indicators of byte n-grams of orders 2 and 3 and of n-grams of its shape, in which every run of
-lower-case letters, capitals, digits or equal signs is one symbol, and of words said twice or three times on end. Each indicator's value is
+Features of a whole text are indicators of byte n-grams of orders 2 and 3, of n-grams of its shape, in which every run of
+lower-case letters, capitals, digits or equal signs is one symbol, and of n-grams of its words as they repeat, in which a word is the
+symbol for "the same again" or that for another. Each indicator's value is
 the log ratio of its smoothed shares among good and bad texts, rows have norm 1, and a linear machine is fitted by dual
 coordinate descent on a bounded sample (labelled_sample()). Scoring takes every whole text.
 
@@ -26,8 +27,8 @@ from scriptorium.llm.svm import curve, fit_curve, fit_sparse
 PER_CLASS, MAX_CHARS = 1500, 8_000
 BINS = 1 << 14
 PIECE = 1 << 20
-#: Bins of byte n-grams of orders 2 and 3, of shape n-grams of orders 3 and 4, and of repeated words.
-DIM = 4 * BINS + 8
+#: Bins of byte n-grams of orders 2 and 3, of shape n-grams of orders 3 and 4, and of repetition n-grams of orders 1 to 3.
+DIM = 7 * BINS
 COST, SHARE = 1.0, 0.9
 MIX = (0x9E3B, 0x3D4D, 0x85EB, 0x27D5)
 
@@ -51,16 +52,17 @@ def _mark(mask: np.ndarray, symbols: np.ndarray, orders: tuple[int, ...], start:
 def features(text: str | None, mask: np.ndarray) -> np.ndarray:
     """The indices of the text's indicators, in order. mask: DIM False values, left as they were."""
     raw = (text or "").encode()
-    for at in range(0, len(raw), PIECE):  # pieces share enough bytes that no n-gram is lost
-        b = np.frombuffer(raw[at : at + PIECE + 3], np.uint8)
+    tail = np.zeros(0, np.intp)  # the last symbols of the shape so far
+    for at in range(0, len(raw), PIECE):  # no n-gram is lost between pieces
+        b = np.frombuffer(raw[max(0, at - 2) : at + PIECE], np.uint8)
         _mark(mask, b.astype(np.intp), (2, 3), 0)
-        s = _SHAPE[b]
-        _mark(mask, s[np.concatenate([[True], s[1:] != s[:-1]])].astype(np.intp), (3, 4), 2 * BINS)
+        s = _SHAPE[b[2 if at else 0 :]].astype(np.intp)
+        runs = np.concatenate([tail, s[np.concatenate([[not len(tail) or s[0] != tail[-1]], s[1:] != s[:-1]])]])
+        _mark(mask, runs, (3, 4), 2 * BINS)
+        tail = runs[-3:]
     words = raw.split()
-    same = list(map(operator.eq, words, words[1:]))
-    if any(same):
-        part = sum(same) / len(words)
-        mask[4 * BINS : 4 * BINS + 5] = True, any(map(operator.and_, same, same[1:])), part > 0.1, part > 0.3, part > 0.6
+    again = np.fromiter(map(operator.eq, words, words[1:]), np.intp, max(0, len(words) - 1))
+    _mark(mask, 2 - again, (1, 2, 3), 4 * BINS)
     found = np.flatnonzero(mask)
     mask[found] = False
     return found
