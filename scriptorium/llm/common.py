@@ -17,10 +17,13 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/scriptorium"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
+        named = spark.sparkContext.getCheckpointDir()
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = named or LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -103,16 +106,18 @@ def filter_text(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rem: int, *, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most `per_class` labelled texts of each class 0 and 1, chosen by a hash of their id, for fitting on the driver.
 
-    Rows whose crc32 remainder is `rem`, or whose label or id is null, are never taken; texts over `max_chars`
-    characters are passed over, so that the sample has at most 2 * per_class * max_chars characters.
+    Rows whose crc32 remainder is `rem`, or whose label or id is null, are never taken; null texts and those over `max_chars`
+    characters are passed over before any is chosen, so that the sample has at most 2 * per_class * max_chars characters and a class has
+    as many texts as it can.
     """
     ok = labels.filter(learnable("doc_id", mod, rem)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
+    short = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).filter(F.length("__text") <= max_chars)
+    known = ok.filter("__label IN (0, 1)").join(short.select("__id"), "__id", "left_semi").distinct()
     order = [F.xxhash64("__id"), F.col("__id")]
     ids = None
     for value in (0, 1):
-        part = ok.filter(F.col("__label") == value).distinct().orderBy(*order).limit(per_class)
+        part = known.filter(F.col("__label") == value).orderBy(*order).limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    chosen = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).filter(F.col("__text").isNotNull() & (F.length("__text") <= max_chars))
     # At most 2 * per_class rows of two numbers are broadcast.
-    rows = chosen.join(F.broadcast(ids), "__id").select("__id", "__text", "__label").distinct().orderBy(*order, "__label", "__text").limit(2 * per_class).collect()
+    rows = short.join(F.broadcast(ids), "__id").select("__id", "__text", "__label").distinct().orderBy(*order, "__label", "__text").limit(2 * per_class).collect()
     return [(r["__text"], r["__label"]) for r in rows]

@@ -4,7 +4,7 @@ Each language has a codeword; each bit splits the languages in two, and a naive
 texts with A-Z lower-cased) predicts it. Decoding takes the codeword with the least logistic loss, bits weighted by how well they
 did on the sample; `score` is the codeword's share among all, and `ambiguous` flags a runner-up that comes near.
 
-Fitting takes a bounded sample of texts of each language (by a hash of the id); prediction takes every whole text. Defined results: `und`
+Fitting takes a bounded sample of texts of every language (by a hash of the id); prediction takes every whole text. Defined results: `und`
 with score 0 where the text is null or has no letter, or where nothing was learned; where one language was learned it gets
 every text; ties go to the first language in sorted order; repeated rows are predicted alike.
 """
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import filter_text, held_out, learnable, map_text
 from scriptorium.llm.svm import fit_curve
 
-#: Bounds of the sample that is fitted on the driver: texts of a language, languages, characters of a text.
-PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS = 300, 256, 8_000
+#: Bounds of the sample that is fitted on the driver: texts of a language, characters of a text. No language is left out: where there are
+#: so many that this would be over TEXTS in all, each has fewer, but FEWEST.
+PER_LANGUAGE, TEXTS, FEWEST, MAX_CHARS = 300, 60_000, 20, 8_000
 SPREAD, PER_PART = 64, 40
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -166,16 +167,20 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
 
 
 def learned(docs: DataFrame, *, mod: int = 5, rem: int = 0) -> LanguageModel:
-    """A model of a bounded sample of the documents that may be learned from, languages taken from their `lang`."""
-    ids = docs.filter(learnable("doc_id", mod, rem) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"))
+    """A model of a bounded sample of the documents that may be learned from, languages taken from their `lang`.
+
+    Null texts and those over MAX_CHARS are passed over before any is chosen.
+    """
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"), F.col("text").cast("string").alias("__text")).filter(F.col("__lang").isNotNull() & (F.length("__text") <= MAX_CHARS))
+    ids = texts.filter(learnable("__id", mod, rem)).select("__id", "__lang")
+    languages = ids.agg(F.count_distinct("__lang")).first()[0]
+    each = min(PER_LANGUAGE, max(FEWEST, TEXTS // max(1, languages)))
     # By hash, some of each of SPREAD parts of a language, then of those: so no task gets more than a bounded number of its rows in the end.
-    for parts, most in ((["__lang", F.pmod(F.xxhash64("__id"), F.lit(SPREAD))], PER_PART), (["__lang"], PER_LANGUAGE)):
+    for parts, most in ((["__lang", F.pmod(F.xxhash64("__id"), F.lit(SPREAD))], PER_PART), (["__lang"], each)):
         nth = F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64("__id"), "__id"))
         ids = ids.withColumn("__n", nth).filter(F.col("__n") <= most).drop("__n")
-    ids = ids.limit(PER_LANGUAGE * MAX_LANGUAGES)
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"), F.col("text").alias("__text")).filter(F.col("__text").isNotNull() & (F.length("__text") <= MAX_CHARS))
-    # At most PER_LANGUAGE * MAX_LANGUAGES rows of an id and a language are broadcast.
-    rows = texts.join(F.broadcast(ids.distinct()), ["__id", "__lang"]).orderBy(F.xxhash64("__id"), "__id", "__text").limit(PER_LANGUAGE * MAX_LANGUAGES).collect()
+    # At most `each` rows of an id and a language for each language are broadcast.
+    rows = texts.join(F.broadcast(ids.distinct()), ["__id", "__lang"]).orderBy(F.xxhash64("__id"), "__id", "__text").limit(each * max(1, languages)).collect()
     return fit([(r["__text"], r["__lang"]) for r in rows])
 
 
