@@ -2,13 +2,13 @@
 
 The vocabulary and merges come from a tokenizer file whose path is a parameter. A text is split at special tokens, then by the
 pattern of the file's pre-tokenizer, and each piece is merged by rank. A piece over LEAF bytes is halved down to leaves, the
-leaves are encoded apart, and halves are joined upwards: a window of tokens around the join is encoded anew and grows until its first
-token is the left half's and its last the right half's own. Adjacent tokens of an encoding re-encode to themselves, and a sequence all of
+leaves are encoded in parallel by a pool of threads in the task, and halves are joined upwards, those of a level in parallel: a window
+of tokens around the join is encoded anew and grows until its first token is the left half's and its last the right half's own. Adjacent tokens of an encoding re-encode to themselves, and a sequence all of
 whose adjacent pairs do so is the encoding of its bytes; the join keeps that, so the result is exactly that of encoding the whole.
 
 Encoding uses the merges through tiktoken's ranks, which the file's own order of merges gives; texts with characters on which
-the two libraries' tables of Unicode classes may differ (unassigned to one of them) go to the tokenizers library itself. Decoding joins
-the bytes of tokens and replaces what isn't UTF-8.
+the two libraries' tables of Unicode classes may differ (unassigned to one of them) are split by the tokenizers library itself. Decoding
+joins the bytes of tokens and replaces what isn't UTF-8. A tokenizer file of another kind than byte-level BPE with this pattern is an error.
 
 Defined results: a null text is empty and has no tokens; repeated rows are encoded alike; texts of any length are encoded whole.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from scriptorium.llm.common import map_text
 
 LEAF = 2048
 LONG = 8192
+THREADS = 4  # of a task, for the leaves of a long piece
 #: The pre-tokenizer's pattern of byte-level vocabularies of this kind. Fixed values.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -41,6 +43,9 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+SYMBOLS = {ord(c): b for c, b in _byte_symbols().items()}
+
+
 @dataclass
 class Bpe:
     """A vocabulary: ranks of byte strings, special tokens, and each id's bytes."""
@@ -67,12 +72,22 @@ class Bpe:
         t.no_padding()
         return t
 
+    @functools.cached_property
+    def pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(THREADS)
+
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one piece's bytes, by tree concatenation where it is long."""
         if len(data) <= LEAF:
-            return self.core._encode_single_piece(data)
-        half = len(data) // 2
-        return self.join(self.piece(data[:half]), self.piece(data[half:]))
+            return self.whole(data)
+        cuts = [0, len(data)]
+        while cuts[1] > LEAF:  # halves, their halves, and so on: the leaves of one level
+            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+        level = list(self.pool.map(self.whole, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False))))
+        while len(level) > 1:
+            joined = list(self.pool.map(self.join, level[::2], level[1::2]))
+            level = joined + level[2 * len(joined) :]
+        return level[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The tokens of what two token lists encode, by re-encoding a growing window around the join."""
@@ -92,13 +107,10 @@ class Bpe:
     def ordinary(self, text: str) -> list[int]:
         """The tokens of a text without special tokens."""
         if not self.plain.fullmatch(text):
-            out: list[int] = []
-            if len(text) > LONG and max(map(len, text.split()), default=0) > LEAF:
-                for p in self.pattern.findall(text):
-                    data = p.encode()
-                    out += self.piece(data) if len(data) > LEAF and self.plain.fullmatch(p) else self.library.encode(p, add_special_tokens=False).ids
-                return out
-            return self.library.encode(text, add_special_tokens=False).ids
+            if len(text) <= LEAF // 4 or max(map(len, text.split())) <= LEAF // 4:  # a character has 4 bytes at most
+                return self.library.encode(text, add_special_tokens=False).ids
+            split = self.library.pre_tokenizer.pre_tokenize_str(text)
+            return [i for p, _ in split for i in self.piece(p.translate(SYMBOLS).encode("latin-1"))]
         if len(text) <= LONG or not self._unsplit(text):
             return self.core.encode_ordinary(text)
         return [i for p in self.pattern.findall(text) for i in self.piece(p.encode())]
@@ -124,11 +136,31 @@ class Bpe:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _checked(j: dict) -> None:
+    """Raises for a tokenizer file that says anything which this module takes for granted otherwise."""
+    pre, model = j.get("pre_tokenizer") or {}, j["model"]
+    wrong = [
+        name
+        for name, ok in {
+            "model": model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback"),
+            "merges": all(model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) >= 0 for m in model["merges"]),
+            "normalizer": not j.get("normalizer"),
+            "pre_tokenizer": pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True),
+            "decoder": (j.get("decoder") or {}).get("type") == "ByteLevel",
+            "added_tokens": not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in j["added_tokens"]),
+        }.items()
+        if not ok
+    ]
+    if wrong:
+        raise ValueError(f"not a byte-level BPE vocabulary of the kind that is read here: {', '.join(wrong)}")
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     """The vocabulary of a tokenizer file, once for each worker."""
     with open(path, encoding="utf-8") as f:
         j = json.load(f)
+    _checked(j)
     symbols = _byte_symbols()
     special = {t["content"]: t["id"] for t in j["added_tokens"]}
     ranks = {bytes(symbols[c] for c in token): i for token, i in j["model"]["vocab"].items() if token not in special}
