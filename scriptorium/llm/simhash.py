@@ -3,15 +3,16 @@
 Fingerprints. Texts with A-Z lower-cased are split at ASCII white space; a shingle is `words` words joined by spaces (fewer words:
 the whole sequence; none: fingerprint zero); its hash is XXH64 with seed 42, and a fingerprint bit is set in over half the hashes.
 
-Links. Two fingerprints link at 2 or fewer differing bits. The pivot table holds the Hamming distances of every distinct
-fingerprint to reference fingerprints. If x and y link, no two coordinates differ by more than 2. A random reference tells two
-random fingerprints apart so with probability 0.66 only, and no join can be keyed on such coordinates without comparing
-most pairs; so the references here are zero and the 64 unit fingerprints, whose distances d(x, 0) and d(x, e_i) are a lattice
-in which linked fingerprints are at most 2 unit moves apart and so share a point at most one move from each. Every distinct
-fingerprint is listed under its own point and the 64 next to it; points that a single fingerprint lists are discarded. At a point
-at most 65 distinct fingerprints meet, so no group grows with the data; each is paired with the least of its point, never with all.
-Survivors are tested on the distance table (largest coordinate difference at most 2, over further references too) and verified by their
-own Hamming distance.
+Links. Two fingerprints link at 2 or fewer differing bits. The pivot table holds, for every distinct fingerprint, its Hamming distances
+to reference fingerprints, computed once: to zero, to the 64 unit fingerprints, and to REFERENCES random ones. If two fingerprints link, no two
+coordinates differ by more than 2. Candidates come from blocks of coordinates: the distance to a unit fingerprint less that to zero tells
+a bit, so the coordinates of 16 units are a block of 16 bits, and fingerprints with at most 2 differing bits agree in two of four blocks.
+Each is listed under its six pairs of blocks; keys that a single one has are discarded. Members of a key are paired where they are PAIRED
+or fewer; pairs whose largest coordinate difference is over 2 are discarded, and survivors are verified by their own Hamming distance.
+
+Keys with more members would give pairs with the square of their number. Their members take an exact way that doesn't: each is
+listed under its own point of the lattice of unit distances and the 64 next to it, since fingerprints at 2 bits share a point
+one move from each; at a point at most 65 meet, all of which link, and each is linked with the least of its point only.
 
 Components come from alternating rounds of large and small stars over the links, each round written to the shared folder.
 
@@ -21,6 +22,7 @@ all ids of it are null (then component_id is null); repeated rows stay; an empty
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,10 @@ from scriptorium.llm.common import written
 from scriptorium.session import ship
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: References: zero and the unit fingerprints, which make the lattice, and more against which survivors are tested.
+BLOCKS, PAIRED = 4, 16
+#: References: zero and the unit fingerprints, whose coordinates are bits, and random ones, against which pairs are tested.
 UNITS = (0, *(1 << k for k in range(64)))
-FURTHER = tuple(xxhash.xxh64_intdigest(b"reference %d" % k, SEED) for k in range(16))
+REFERENCES = tuple(xxhash.xxh64_intdigest(b"reference %d" % k, SEED) for k in range(32))
 
 
 def shingle_hashes(text: bytes, words: int = SHINGLE) -> list[int]:
@@ -95,13 +98,51 @@ def lattice_points(fp: str) -> Column:
     return F.array(*(F.col(fp).bitwiseXOR(_lit(u)) for u in UNITS))
 
 
+def block_keys(fp: str) -> Column:
+    """The keys of a fingerprint: each pair of blocks of unit coordinates, all of one key the same. The pair's number is in the bits left out."""
+    width = 64 // BLOCKS
+    keys = []
+    for n, (i, j) in enumerate(itertools.combinations(range(BLOCKS), 2)):
+        mask = sum(((1 << width) - 1) << width * k for k in (i, j))
+        out = next(k for k in range(BLOCKS) if k not in (i, j))
+        keys.append(F.col(fp).bitwiseAND(_lit(mask)).bitwiseOR(_lit(n + 1 << width * out)))
+    return F.array(*keys)
+
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """(fp, coordinates): distances of the distinct fingerprints to the random references, one byte each."""
+    return distinct.select("fp", pivot_distances("fp", REFERENCES).cast("array<tinyint>").alias("coordinates"))
+
+
+def candidates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded): pairs (x, y) of rows of the pivot table that share a key of PAIRED members or fewer, and the members (fp) of all other keys."""
+    listed = table.select(F.struct("fp", "coordinates").alias("x"), F.explode(block_keys("fp")).alias("key"))
+    # Counts are summed before they are dealt, and a key's rows are not gathered before it is known to have few.
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = listed.join(sizes, "key")
+    groups = met.filter(F.col("n") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    pairs = groups.select(F.posexplode("xs").alias("k", "y"), "xs").select("y", F.explode(F.slice("xs", F.lit(1), F.col("k"))).alias("x"))
+    return pairs, met.filter(F.col("n") > PAIRED).select("x.fp").distinct()
+
+
+def survivors(pairs: DataFrame) -> DataFrame:
+    """The pairs whose coordinates nowhere differ by more than RADIUS."""
+    apart = F.array_max(F.zip_with("x.coordinates", "y.coordinates", lambda a, b: F.abs(a - b)))
+    return pairs.filter(apart <= RADIUS)
+
+
+def lattice_links(crowded: DataFrame) -> DataFrame:
+    """(a, b): links between fingerprints by shared lattice points, each with the least of its point."""
+    listed = crowded.select("fp", F.explode(lattice_points("fp")).alias("point"))
+    return listed.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("point")).alias("b")).filter("a > b")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b), a > b: links between distinct fingerprints (column fp) whose components are those of all pairs that link."""
-    listed = distinct.select("fp", F.explode(lattice_points("fp")).alias("point"))
-    least = listed.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("point")).alias("b"))
-    pairs = least.filter("a > b").distinct()
-    near = F.array_max(F.zip_with(F.concat(pivot_distances("a", UNITS), pivot_distances("a", FURTHER)), F.concat(pivot_distances("b", UNITS), pivot_distances("b", FURTHER)), lambda x, y: F.abs(x - y))) <= RADIUS
-    return pairs.filter(near).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    pairs, crowded = candidates(pivot_table(distinct))
+    verified = survivors(pairs).filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
+    close = verified.select(F.greatest("x.fp", "y.fp").alias("a"), F.least("x.fp", "y.fp").alias("b"))
+    return close.unionByName(lattice_links(crowded)).distinct()
 
 
 def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
