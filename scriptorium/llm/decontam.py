@@ -5,9 +5,12 @@ item (an item with fewer words is one window of its own length). For windows of
 are taken, and of every L - K + 1 consecutive ones the least is kept, on both sides; so any shared span of L words or more has a kept
 hash in common at the same place. Documents' and items' kept hashes are joined; each hit is extended on its diagonal to the windows
 around it and compared word by word, so that what counts is exact. Windows that begin at a hit's place or before it are the only ones
-that contain it, so a hit takes L + L - K words along and never a whole document.
+that contain it, so a hit takes L + L - K words along and never a whole document. Each distinct window of an item stands under its own kept
+hash once, however many items have it.
 
-Items' hashes are broadcast only if counted to be at most BROADCAST rows; beyond that both sides are shuffled by hash.
+Items' hashes are broadcast only if their words have at most BROADCAST bytes, with what a row and a string take; beyond that both sides are
+shuffled by hash. What many items share is joined once: hits are of distinct windows, and the items of a window come in when a
+document's distinct windows are known.
 
 Defined results: null and empty texts have no words; an item without words matches nothing; a null item_id is never listed; repeated
 rows stay, each with the same result; an empty benchmark leaves all documents clean; other columns are ignored. A document's
@@ -20,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 10
-BROADCAST = 1_000_000
+BROADCAST = 32 << 20
+ROW, STRING = 200, 24  # bytes that a row and a string take in a broadcast besides their content, about
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,27 +38,22 @@ def gram(length: int) -> int:
     return (length + 1) // 2
 
 
-def kept_hashes(w: Column, length: int) -> Column:
-    """The winnowed hashes of an array of words: numbers with the hash above and the place (from 0) in the low 32 bits."""
+def packed_hashes(w: Column, length: int) -> Column:
+    """The hashes of all K-grams of an array of words: numbers with the hash above and the place (from 0) in the low 32 bits."""
     k = gram(length)
-    wide = length - k + 1
-    n = F.size(w)
-    none = F.array().cast("array<bigint>")
     high = F.lit(-(1 << 32)).cast("long")
-    packed = F.when(n >= length, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)).bitwiseAND(high).bitwiseOR(i.cast("long")))).otherwise(none)
-    if wide == 1:
-        return packed
-    return packed, wide, none
+    every = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)).bitwiseAND(high).bitwiseOR(i.cast("long")))
+    return F.when(F.size(w) >= length, every).otherwise(F.array().cast("array<bigint>"))
 
 
 def _winnowed(df: DataFrame, length: int, name: str) -> DataFrame:
-    """df with the kept hashes of its column w as an array column."""
-    got = kept_hashes(F.col("w"), length)
-    if not isinstance(got, tuple):
-        return df.withColumn(name, got)
-    packed, wide, none = got
+    """df with the kept hashes of its column w as an array column: the least of every so many consecutive ones."""
+    wide = length - gram(length) + 1
+    if wide == 1:
+        return df.withColumn(name, packed_hashes(F.col("w"), length))
+    none = F.array().cast("array<bigint>")
     least = F.when(F.size("__packed") >= wide, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__packed") - (wide - 1)), lambda i: F.array_min(F.slice("__packed", i, wide))))).otherwise(none)
-    return df.withColumn("__packed", packed).withColumn(name, least).drop("__packed")
+    return df.withColumn("__packed", packed_hashes(F.col("w"), length)).withColumn(name, least).drop("__packed")
 
 
 def _hash_and_place(packed: str) -> list[Column]:
@@ -67,52 +66,60 @@ def windows_at(w: str, p: str, length: int) -> Column:
     return F.struct(before.alias("before"), F.slice(F.col(w), F.col(p) - before + 1, before + length).alias("around"))
 
 
-def _shared_windows(length: int) -> Column:
-    """The document places at which windows of both sides around a hit are equal."""
-    start = F.sequence(-F.least("near.before", "item_near.before"), F.lit(0))
+def item_windows(items: DataFrame, length: int) -> DataFrame:
+    """(item_id, h, before, words, window) of items (item_id, w) of at least so many words: a row for each window, with the kept hash in it.
 
-    def equal(s: Column) -> Column:
-        a = F.slice("near.around", F.col("near.before") + s + 1, length)
-        b = F.slice("item_near.around", F.col("item_near.before") + s + 1, length)
-        return (F.size(a) == length) & (a == b)
+    A window's least hash is kept on both sides, and stands at the same place of equal windows: the leftmost where it is repeated.
+    """
+    k = gram(length)
+    least = F.transform(F.sequence(F.lit(0), F.size("w") - length), lambda i: F.struct(i.alias("start"), F.array_min(F.slice("packed", i + 1, length - k + 1)).alias("k"), F.slice("w", i + 1, length).alias("words")))
+    rows = items.withColumn("packed", packed_hashes(F.col("w"), length)).select("item_id", F.inline(least))
+    h, p = _hash_and_place("k")
+    return rows.select("item_id", h, (p - F.col("start")).alias("before"), "words", F.array_join("words", " ").alias("window"))
 
-    return F.transform(F.filter(start, equal), lambda s: F.col("p") + s)
+
+def _sized(benchmark: DataFrame) -> DataFrame:
+    """Items with words: item_id, w and the length of their windows."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    return items.withColumn("length", F.least(F.size("w"), F.lit(WINDOW)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, text_hash, n_words, row, hits): a row for each document with row 1, and rows of its hits: structs of start, length and item_id.
+    """(id, text_hash, n_words, row, hits): a row for each document with row 1, and rows of its hits: structs of start, length and window.
 
     Rows that no item meets end in the join, in one generated loop with the explosion, so a document's words are never copied along
     with its hashes; a filter on `hits`, which no generated code evaluates, would move in between and must come after an outer explosion.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(WINDOW)))
+    items = _sized(benchmark)
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW numbers
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    kept = _winnowed(base, lengths[0], "kept") if len(lengths) == 1 else base
-    hit_type = "array<struct<start:int,length:int,item_id:bigint>>"
+    hit_type = "array<struct<start:int,length:int,window:string>>"
     parts = []
     if not lengths:
         parts.append(base.select("id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("row"), F.array().cast(hit_type).alias("hits")))
     for length in lengths:
         first = length == lengths[0]
-        own = _winnowed(items.filter(F.col("length") == length), length, "kept").select("item_id", "w", F.explode("kept").alias("k")).select("item_id", "w", *_hash_and_place("k"))
-        own = own.select("item_id", "h", windows_at("w", "p", length).alias("item_near")).distinct()
-        small = own.limit(BROADCAST + 1).count() <= BROADCAST
+        own = item_windows(items.filter(F.col("length") == length), length).drop("item_id").distinct()
+        taken = F.aggregate("words", F.lit(ROW).cast("long"), lambda total, w: total + 2 * F.octet_length(w) + STRING)
+        small = (own.agg(F.sum(taken)).first()[0] or 0) <= BROADCAST
         kept = _winnowed(base, length, "kept")
         # A place of -1 stands for the row itself, so that it lasts without hits.
         marked = F.concat(F.array(F.lit(-1).cast("long")), F.col("kept")) if first and small else F.col("kept")
         listed = kept.select("id", "text_hash", "w", F.explode(marked).alias("k"))
         listed = listed.select("id", "text_hash", "w", F.when(F.col("k") == -1, None).otherwise(F.shiftright("k", 32).cast("int")).alias("h"), F.when(F.col("k") == -1, -1).otherwise(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")).alias("p"))
+        near = windows_at("w", "p", length)
         if small:
-            joined = listed.join(F.broadcast(own), "h", "left").filter(F.col("item_near").isNotNull() | (F.col("p") == -1))
+            joined = listed.join(F.broadcast(own), "h", "left").filter(F.col("words").isNotNull() | (F.col("p") == -1))
+            joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "p", "before", "words", "window", F.when(F.col("p") >= 0, near).alias("near"))
         else:
-            near = listed.select("id", "text_hash", F.size("w").alias("n_words"), "h", "p", windows_at("w", "p", length).alias("near"))
-            joined = near.join(own, "h")
+            joined = listed.select("id", "text_hash", F.size("w").alias("n_words"), "h", "p", near.alias("near")).join(own, "h")
             if first:
                 parts.append(base.select("id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("row"), F.array().cast(hit_type).alias("hits")))
-        if small:
-            joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "p", "item_id", "item_near", F.when(F.col("p") >= 0, windows_at("w", "p", length)).alias("near"))
-        hits = F.when(F.col("p") >= 0, F.transform(_shared_windows(length), lambda s: F.struct(s.alias("start"), F.lit(length).alias("length"), F.col("item_id").alias("item_id")))).otherwise(F.array()).cast(hit_type)
+        # The hit is extended to the window that has it at the same place.
+        whole = F.slice("near.around", F.greatest(F.lit(0), F.col("near.before") - F.col("before")) + 1, length)
+        equal = (F.col("p") >= 0) & (F.col("before") <= F.col("near.before")) & (whole == F.col("words"))
+        hit = F.struct((F.col("p") - F.col("before")).cast("int").alias("start"), F.lit(length).alias("length"), F.col("window").alias("window"))
+        hits = F.when(equal, F.array(hit)).otherwise(F.array()).cast(hit_type)
         parts.append(joined.select("id", "text_hash", "n_words", F.when(F.col("p") == -1, 1).otherwise(0).alias("row"), hits.alias("hits")))
     rows = parts[0]
     for part in parts[1:]:
@@ -124,19 +131,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     rows = matches(docs, benchmark)
     key = ["id", "text_hash", "n_words"]
-    # A document has bounded places and items; what its repeated rows and hits say is the same and is merged.
-    each = rows.select(*key, "row", F.explode_outer("hits").alias("hit")).select(*key, "row", F.col("hit.start").alias("start"), F.col("hit.length").alias("length"), F.col("hit.item_id").alias("item_id"), F.col("hit").isNotNull().alias("found"))
-    spots = each.groupBy(*key, "start", "length", "item_id", "found").agg(F.sum("row").alias("copies"))
+    # A document has bounded places; what its repeated rows and hits say is the same and is merged.
+    each = rows.select(*key, "row", F.explode_outer("hits").alias("hit")).select(*key, "row", F.col("hit.start").alias("start"), F.col("hit.length").alias("length"), F.col("hit.window").alias("window"))
+    spots = each.groupBy(*key, "start", "length", "window").agg(F.sum("row").alias("copies"))
     by_place = Window.partitionBy(*key).orderBy(F.col("start").asc_nulls_first(), "length")
     end = F.col("start") + F.col("length")
     reached = F.max(end).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(reached, F.lit(0))))
-    done = spots.withColumn("fresh", F.when(F.col("found"), fresh).otherwise(0)).groupBy(*key).agg(
-        F.sum("copies").alias("copies"), F.sum("fresh").alias("n_hit"), F.collect_set(F.when(F.col("found"), F.col("item_id").cast("string"))).alias("items")
+    done = spots.withColumn("fresh", F.when(F.col("start").isNotNull(), fresh).otherwise(0)).groupBy(*key).agg(
+        F.sum("copies").alias("copies"), F.sum("fresh").alias("n_hit"), F.collect_set("window").alias("windows")
     )
-    out = done.select(
+    # Only then the items that have a document's distinct windows.
+    items = _sized(benchmark)
+    owners = None
+    for length in range(1, WINDOW + 1):
+        own = item_windows(items.filter(F.col("length") == length), length).select("window", F.col("item_id").cast("string").alias("item_id"))
+        owners = own if owners is None else owners.unionByName(own)
+    owners = owners.filter("item_id IS NOT NULL").select(F.col("window").alias("own"), "item_id").distinct()
+    # Documents without windows have a key of their own each, so they spread over the tasks.
+    each = done.select(*key, "copies", "n_hit", F.explode_outer("windows").alias("window")).withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("text_hash").cast("string"))))
+    named = each.join(owners, F.col("window") == F.col("own"), "left").groupBy(*key).agg(F.max("copies").alias("copies"), F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    out = named.select(
         F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
     return out.drop("copy")
 
