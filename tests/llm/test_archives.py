@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 import zlib
 
 import pytest
@@ -90,6 +91,122 @@ def test_members_and_damage():
         [warc.parse(p) for p in warc.members(io.BytesIO(whole[:-20]))]
 
 
+def with_length(head, block):
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(f"WARC/1.0\r\n{head}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n") + pack.flush()
+
+
+def read_all(data):
+    out = []
+    for pieces in warc.members(io.BytesIO(data)):
+        try:
+            out.append(warc.parse(pieces)["payload"])
+        except (ValueError, zlib.error, StopIteration):
+            out.append(None)
+    return out
+
+
+def test_reading_goes_on_after_damage_anywhere():
+    rng = random.Random(2)
+    bodies = [rng.randbytes(rng.choice([5, 500, 90_000, 200_000])) for _ in range(6)]
+    parts = [warc.record("response", f"urn:page:{k}", "u", b) for k, b in enumerate(bodies)]
+    starts = [sum(map(len, parts[:k])) for k in range(7)]
+    whole = b"".join(parts)
+    assert read_all(whole) == bodies
+    for k in range(6):
+        for place in (0, 3, 12, len(parts[k]) // 2, len(parts[k]) - 6, len(parts[k]) - 1):
+            data = bytearray(whole)
+            data[starts[k] + place] ^= 0x55
+            got = read_all(bytes(data))
+            want = [b if j != k else None for j, b in enumerate(bodies)]
+            assert got in (want, bodies), (k, place)  # a flipped bit of a header field that nothing checks loses nothing
+    assert read_all(whole[: starts[3] + 40])[:3] == bodies[:3]
+    assert read_all(b"junk" * 40_000 + whole) == [None, *bodies]
+
+
+def test_archives_that_others_wrote(spark, tmp_path):
+    records = [
+        with_length("WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields", b"software: x"),
+        with_length("WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\nbody"),
+        with_length("WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Type: application/http", b"HTTP/1.1 200 OK\r\n\r\n"),
+        with_length("WARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:4>\r\nContent-Type: text/plain\r\nWARC-Block-Digest: sha1:AAAA", b"text"),
+    ]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "notes.txt").write_text("no archive")
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert [(r["record_type"], r["payload_bytes"], r["payload"] and bytes(r["payload"]), r["error"]) for r in rows] == [("warcinfo", 11, b"software: x", None), ("response", 4, b"body", None), ("revisit", None, None, None), (None, None, None, "ValueError: block digest")]
+
+
+def test_media_in_several_archives(spark, monkeypatch):
+    monkeypatch.setattr(media, "ARCHIVE_BYTES", 2_000)
+    path = common.scratch(spark, "test-media")
+    df = spark.createDataFrame([(k, f"text {k} " * 40) for k in range(50)], "doc_id long, text string").coalesce(1)
+    spark.dataSource.register(media.MediaArchive)
+    df.selectExpr("CAST(doc_id AS STRING) AS name", "CAST(text AS BINARY) AS content").write.format("media_archive").option("archiveBytes", 2_000).mode("append").save(path)
+    fs, root = common.opened(path)
+    assert sum(f.path.endswith(".zip") for f in fs.get_file_info(common.pa.fs.FileSelector(root))) > 3
+    got = media.read_media(spark, path, rangeBytes=500).collect()
+    assert sorted(int(r["name"]) for r in got) == list(range(50)) and all(r["error"] is None for r in got)
+
+
+def test_a_member_whose_bytes_cannot_be_read_costs_itself_only(monkeypatch, tmp_path):
+    writer = media._ArchiveWriter(str(tmp_path), 1 << 20)
+    batch = common.pa.record_batch([common.pa.array(["1", "2", "3"]), common.pa.array([b"a", b"b", b"c"])], names=["name", "content"])
+    writer.commit([writer.write(iter([batch]))])
+    reader = media._ArchiveReader({"path": str(tmp_path)})
+    [part] = reader.partitions()
+
+    class Odd:
+        """A file whose blocks can't be read, though single members can."""
+
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def read_at(self, size, at):
+            if size >= 300:
+                raise OSError("a block is lost")
+            return self.f.read_at(size, at)
+
+    class Files:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, path):
+            return Odd(self.fs.open_input_file(path))
+
+    fs, root = common.opened(str(tmp_path))
+    monkeypatch.setattr(media, "opened", lambda path: (Files(fs), root))
+    rows = [r for b in reader.read(part) for r in b.to_pylist()]
+    assert [(r["name"], r["error"]) for r in rows] == [("1", None), ("2", None), ("3", None)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def test_no_pages(spark):
     path = common.scratch(spark, "test-warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)

@@ -121,3 +121,16 @@ def test_decontamination_without_items_or_documents(spark):
     assert sorted(tuple(r)[:4] for r in decontam.decontaminate(d, items).collect()) == [(1, 3, 0, 0), (2, 0, 0, 0)]
     assert decontam.decontaminate(d.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
     assert decontam.uncontaminated(d, items).count() == 2
+
+
+def test_decontamination_of_a_template_that_many_items_share(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    template = say(14)
+    items = [(k, f"{say(rng.randint(0, 8))} {template} {say(rng.randint(0, 8))}") for k in range(40)]
+    docs = [(k, f"{say(10)} {template if k % 2 else say(14)} {say(5)} {template}") for k in range(10)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(r) for r in decontam.decontaminate(d, b).collect()), key=repr) == plain(docs, items)
+    windows = decontam.item_windows(decontam._sized(b), 10)
+    assert windows.filter("array_contains(split(window, ' '), 'w0')").count() > 0
+    assert windows.drop("item_id").distinct().count() < windows.count()

@@ -1,6 +1,7 @@
 """SimHash, language model, BPE and the classifiers, against brute force or on held-out rows."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from scriptorium.llm import bpe, langid, lm, quality, queries, simhash, toxicity
+from scriptorium.llm import bpe, common, langid, lm, quality, queries, simhash, svm, toxicity
 
 BASE = "/root/testdata/sf0.01"
 
@@ -68,6 +69,25 @@ def test_components_of_chains_and_clusters(spark):
         assert first[f - (1 << 64) if f >> 63 else f] == want[i]
 
 
+def test_pivots_discard_pairs_and_lose_no_link(spark):
+    rng = random.Random(11)
+    fps = {rng.getrandbits(64) for _ in range(50)}
+    for x in list(fps):
+        for bits in (1, 2, 2, 3, 5, 9):  # near, and near enough for a key only
+            y = x
+            for b in rng.sample(range(32 if bits > 2 else 64), bits):
+                y ^= 1 << b
+            fps.add(y)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    pairs, crowded = simhash.candidates(simhash.pivot_table(df))
+    tried = {(r["a"], r["b"]) for r in pairs.selectExpr("least(x.fp, y.fp) AS a", "greatest(x.fp, y.fp) AS b").collect()}
+    kept = {(r["a"], r["b"]) for r in simhash.survivors(pairs).selectExpr("least(x.fp, y.fp) AS a", "greatest(x.fp, y.fp) AS b").collect()}
+    true = {(a, b) for a in map(signed, fps) for b in map(signed, fps) if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert true <= kept < tried and len(tried - kept) > 50 and crowded.count() == 0
+    assert {(r["b"], r["a"]) for r in simhash.links(df).collect()} == true
+
+
 def test_near_duplicates_and_the_kept_documents(spark):
     rng = random.Random(4)
     long = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(300)) for _ in range(4)]
@@ -166,6 +186,30 @@ def test_bpe_is_the_library(spark):
     assert got[1]["ids_sha256"] == hashlib.sha256(np.array(got[1]["ids"], "<u4").tobytes()).hexdigest()
 
 
+def test_bpe_of_long_pieces_in_any_script():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    lib, own = Tokenizer.from_file(path), bpe.load(path)
+    rng = random.Random(12)
+    for alphabet in ("東京語日本", "ابجدهوز", "กขคง", "абвг東é", "a\U0001f525", "١٢٣", "۔!?¿東", "\u3000 \t"):
+        for n in (1_000, 5_000, 40_001):
+            t = " x " + "".join(rng.choices(alphabet, k=n)) + " 1y"
+            assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, (alphabet, n)
+    data = "東".encode() * 3_000
+    assert own.piece(data) == own.whole(data) and len(data) > 4 * bpe.LEAF
+
+
+def test_bpe_refuses_other_tokenizers(tmp_path):
+    with open(queries.vocabulary_path(), encoding="utf-8") as f:
+        j = json.load(f)
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": j["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [j["added_tokens"][0] | {"lstrip": True}]}, {"model": j["model"] | {"type": "WordPiece"}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(j | change))
+        with pytest.raises(ValueError, match="not a byte-level BPE"):
+            bpe.load.__wrapped__(str(path))
+
+
 def spark_col(name):
     from pyspark.sql import functions as F
 
@@ -196,6 +240,102 @@ def test_quality_on_held_out_rows(spark):
     assert (predicted == label).mean() > 0.95
 
 
+def test_quality_features_of_long_texts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(13)
+    mask = np.zeros(quality.DIM, bool)
+    for k in range(6):
+        t = "".join(rng.choice(["aaa", "B", "12", "===", " ", "é", "x y ", "zz zz "]) * rng.randint(1, 40) for _ in range(400))
+        whole = quality.features(t, mask)
+        for piece in (7, 64, 1000):
+            monkeypatch.setattr(quality, "PIECE", piece)
+            assert (quality.features(t, mask) == whole).all(), (k, piece)
+        monkeypatch.undo()
+    assert not len(quality.features(None, mask)) and not len(quality.features("", mask)) and not mask.any()
+
+
+def plain_dual(x, y, cost, steps=4000):
+    """The optimum of the same problem by projected gradient on the dual."""
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, rate = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(steps):
+        alpha = np.clip(alpha + rate * (1 - q @ alpha), 0, cost)
+    return (alpha * y) @ x
+
+
+def test_dual_coordinate_descent_finds_the_optimum():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0, 1.0, -1.0)
+    cost = rng.uniform(0.2, 2, 60)
+    loss = lambda w, z: w @ w / 2 + (cost * np.maximum(0, 1 - y * (z @ w))).sum()
+    z = np.hstack([x, np.ones((60, 1))])
+    best = plain_dual(z, y, cost)
+    got = svm.fit_dense(x, y, cost, epochs=2000)
+    assert loss(got, z) == pytest.approx(loss(best, z), rel=1e-3)
+    rows = [np.sort(rng.choice(20, rng.integers(2, 8), replace=False)) for _ in range(60)]
+    values = rng.normal(size=20)
+    dense = np.zeros((60, 20))
+    for k, r in enumerate(rows):
+        dense[k, r] = values[r] / np.sqrt((values[r] ** 2).sum())
+    z = np.hstack([dense, np.ones((60, 1))])
+    w, bias = svm.fit_sparse(rows, values, y, cost, epochs=3000)
+    assert loss(np.append(w, bias), z) == pytest.approx(loss(plain_dual(z, y, cost, 20_000), z), rel=1e-3)
+
+
+def test_language_decoding_is_that_of_a_plain_loop():
+    rng = random.Random(14)
+    parts = {f"l{k}": ["".join(rng.choices("abcdefghijklmnop", k=2)) for _ in range(6)] for k in range(9)}
+    say = lambda p, n: " ".join("".join(rng.choices(p, k=2)) for _ in range(n))
+    model = langid.fit([(say(p, 20), lang) for lang, p in parts.items() for _ in range(15)])
+    texts = [say(rng.choice(list(parts.values())), rng.randint(1, 30)) for _ in range(40)]
+    lang, score, near = model.predict(texts)
+    for k, t in enumerate(texts):
+        b, sums = b" " + t.lower().encode() + b" ", [0.0] * model.code.shape[1]
+        for order in langid.ORDERS:
+            for i in range(len(b) - order + 1):
+                g = np.frombuffer(b[i : i + order], np.uint8).astype(np.int32)
+                row = model.table[langid.STARTS[order] + int(langid._hashes(g, order)[0])]
+                for j in range(len(sums)):
+                    sums[j] += float(row[j])
+        f = [sums[j] / len(b) * model.slope[j] + model.shift[j] for j in range(len(sums))]
+        loss = [sum(model.weight[j] * math.log1p(math.exp(-int(model.code[n, j]) * f[j])) for j in range(len(f))) for n in range(len(model.languages))]
+        share = [math.exp(-x) for x in loss]
+        best = max(range(len(share)), key=lambda n: share[n])
+        assert lang[k] == model.languages[best] and score[k] == pytest.approx(share[best] / sum(share), rel=1e-3)
+        assert near[k] == (sorted(share)[-1] - sorted(share)[-2] < langid.NEAR * sum(share)) or abs(sorted(share)[-1] - sorted(share)[-2] - langid.NEAR * sum(share)) < 1e-3
+
+
+def test_samples_pass_over_long_texts_first(spark, monkeypatch):
+    docs = spark.range(200).selectExpr("id AS doc_id", "if(id % 10 = 0, 'short ' || id, repeat('long ', 2000)) AS text", "if(id % 20 = 0, 'aa', 'bb') AS lang")
+    labels = spark.range(200).selectExpr("id AS doc_id", "CAST(id % 20 = 0 AS INT) AS toxic")
+    got = common.labelled_sample(docs, labels, "toxic", 5, 0, per_class=5, max_chars=8_000)
+    assert [label for _, label in got].count(0) == 5 and [label for _, label in got].count(1) == 5
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    assert langid.learned(docs).languages == ["aa", "bb"]
+
+
+def test_no_language_is_left_out_however_many(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS", 40)
+    monkeypatch.setattr(langid, "FEWEST", 2)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda sample: seen.extend(sample))
+    langid.learned(spark.range(3000).selectExpr("id AS doc_id", "'text ' || id AS text", "'l' || (id % 60) AS lang"))
+    assert len({lang for _, lang in seen}) == 60 and len(seen) == 120
+
+
+@pytest.mark.parametrize("score", [lambda d, la: quality.quality(d, la), lambda d, la: toxicity.toxicity(d, la), lambda d, la: langid.language_id(d)])
+def test_classifiers_on_odd_tables(spark, score):
+    rng = random.Random(15)
+    rows = [(k, " ".join(rng.choices(["aa", "bb", "cc"] if k % 2 else ["xx", "yy", "zz zz"], k=30)), "en" if k % 2 else "de") for k in range(60)]
+    rows += [(100, None, None), (101, "", "en"), (None, "aa bb", "en"), (3, rows[3][1], "en"), (3, "other text", "de"), (102, "aa " * 300_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' AS score", "1 AS predicted", "2 AS lang_pred", "3 AS held_out", "4 AS __text")
+    labels = spark.createDataFrame([(k, k % 2, k % 2, 1) for k in range(60)] + [(None, 1, 1, 1), (5, None, None, 1)], "doc_id long, quality int, toxic int, text int")
+    got = score(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["held_out"] in (True, False) for r in got)
+    assert sum(r["doc_id"] is None for r in got) == 1 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert score(docs.limit(0), labels).count() == 0 and score(docs.limit(0), labels.limit(0)).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     predicted, label = held_out(spark, "toxic", 5, 0)
     assert (predicted == label).mean() > 0.9
