@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 
 from scriptorium.functions.kernel import Event, Node
-from scriptorium.functions.signatures import MATH_ENVIRONMENTS
+from scriptorium.functions.signatures import MATH_ENVIRONMENTS, SIZED
 
 #: TeX's generalised fractions, operators, what leaves the last atom alone, and names of delimiters.
 FRACTIONS = frozenset("over atop above choose brace brack overwithdelims atopwithdelims abovewithdelims".split())
 OPERATORS = frozenset("sum prod int oint iint iiint coprod bigcup bigcap bigoplus bigotimes bigvee bigwedge bigsqcup biguplus bigodot lim limsup liminf max min sup inf det gcd Pr mathop operatorname limits nolimits displaylimits".split())
 TRANSPARENT = frozenset("displaystyle textstyle scriptstyle scriptscriptstyle label nonumber notag".split())
-SIZED = frozenset("left right middle big Big bigg Bigg bigl Bigl biggl Biggl bigr Bigr biggr Biggr bigm Bigm biggm Biggm".split())
 DELIMITERS = frozenset("{ } | langle rangle lvert rvert lVert rVert lfloor rfloor lceil rceil uparrow downarrow updownarrow Uparrow Downarrow Updownarrow vert Vert backslash lbrace rbrace lbrack rbrack lgroup rgroup lmoustache rmoustache ulcorner urcorner llcorner lrcorner".split())
 _AFTER = re.compile(r"\s*(?:\\([A-Za-z]+|.)|(.))", re.S)
 

@@ -1,14 +1,15 @@
 """What commands and environments take: argument specifications, the built-in table, and tables from files.
 
 A specification is a list of kinds: `m` mandatory, `o` optional in brackets, `s` star, `t<c>` an optional character, `r<a><b>` and
-`d<a><b>` delimited, `v` verbatim, `l` up to a brace, `O{x}` and such with a default; `+` before a kind lets it hold paragraphs.
+`d<a><b>` delimited, `v` verbatim, `l` up to a brace, `g` optional in braces, `e{<c>...}` after a character each, `b` an environment's body,
+`O{x}` and such with a default; `+` before a kind lets it hold paragraphs.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 BOUND = set("modrtlDRO")
 
@@ -37,7 +38,7 @@ class Signature:
         return " ".join((["s"] if self.starred else []) + [("+" if k.long else "") + k.kind + k.marks for k in self.kinds])
 
 
-_KIND = re.compile(r"\s*([+!>]*)(?:([mosvlbe])|(t)(.)|([rd])(.)(.)|([RD])(.)(.)|(O))", re.S)
+_KIND = re.compile(r"\s*([+!>]*)(?:([mosvlbg])|(t)(.)|([rd])(.)(.)|([RD])(.)(.)|(O|G)|(e|E))", re.S)
 
 
 def _braced(text: str, at: int) -> int:
@@ -76,9 +77,13 @@ def parse_spec(text: str) -> tuple[bool, tuple[Kind, ...]] | None:
         elif m[8]:
             kinds.append(Kind(m[8].lower(), long, m[9] + m[10]))
             at = _braced(text, at)
-        else:
-            kinds.append(Kind("o", long))
+        elif m[11]:
+            kinds.append(Kind("o" if m[11] == "O" else "g", long))
             at = _braced(text, at)
+        else:
+            end = _braced(text, at)
+            kinds += [Kind("e", long, c) for c in text[at:end].strip("{} ")]
+            at = _braced(text, end) if m[12] == "E" else end
         while at < len(text) and text[at].isspace():
             at += 1
     return starred, tuple(kinds)
@@ -90,50 +95,107 @@ def arity_spec(count: int, default: bool, long: bool) -> tuple[Kind, ...]:
     return first + tuple(Kind("m", long) for _ in range(count - len(first)))
 
 
-#: Public LaTeX: mode, specification, names. Fixed values.
+#: Public LaTeX: where a name comes from (the kernel, a standard class, a package), mode, specification, names. Fixed values.
 _COMMANDS = """
-any  | o m o  | documentclass usepackage RequirePackage LoadClass
-any  | m      | input include includeonly label ref eqref pageref cite bibliography bibliographystyle hspace vspace pagestyle
-any  | m      | thispagestyle setcounter stepcounter value arabic roman alph mbox text hbox textrm ensuremath phantom
-any  | m m    | addtocounter setlength addtolength newcounter numberwithin raisebox providecolor PassOptionsToPackage
-any  | +m     | AtBeginDocument AtEndDocument
-any  | -      | makeatletter makeatother ExplSyntaxOn ExplSyntaxOff relax par hfill vfill newpage clearpage noindent centering left right middle
-any  | s m o o +m | newcommand renewcommand providecommand DeclareRobustCommand
-any  | s m o o +m +m | newenvironment renewenvironment
-any  | +m m +m | NewDocumentCommand RenewDocumentCommand ProvideDocumentCommand DeclareDocumentCommand
-any  | m m +m +m | NewDocumentEnvironment RenewDocumentEnvironment
-any  | m l +m | def gdef edef xdef
-any  | m m    | let
-any  | m      | newif
-text | s o m  | part chapter section subsection subsubsection paragraph subparagraph caption
-text | o m    | title author footnote
-text | m      | date thanks emph textbf textit texttt textsc textsf textsl underline url
-text | -      | maketitle tableofcontents listoffigures listoftables appendix hline
-text | o      | item
-any  | s o m  | includegraphics
-text | m m    | href textcolor colorbox
-any  | s o    | \\
-any  | m m m  | multicolumn cline addcontentsline
-math | m m    | frac dfrac tfrac binom overset underset stackrel
-math | o m    | sqrt
-math | m      | mathbb mathbf mathrm mathcal mathfrak mathsf mathit hat bar vec tilde dot ddot overline widehat widetilde operatorname tag boxed overbrace underbrace substack
-math | -      | alpha beta gamma delta epsilon varepsilon zeta eta theta lambda mu nu xi pi rho sigma tau phi varphi chi psi omega
-math | -      | Gamma Delta Theta Lambda Sigma Phi Psi Omega sum prod int lim sin cos tan log ln exp min max sup inf infty partial nabla
-math | -      | leq geq neq approx equiv in subset cup cap forall exists to mapsto times cdot pm ldots cdots dots quad limits nolimits
+kernel  | any  | o m o  | documentclass usepackage RequirePackage LoadClass
+kernel  | any  | m      | input include includeonly label ref pageref bibliography bibliographystyle pagestyle thispagestyle
+kernel  | any  | s m    | hspace vspace
+kernel  | any  | o m    | cite linebreak pagebreak nolinebreak nopagebreak
+kernel  | any  | m      | setcounter stepcounter value arabic roman Roman alph Alph mbox textrm ensuremath phantom hphantom vphantom typeout ProvidesPackage ProvidesClass
+kernel  | any  | +m     | fbox hbox vbox AtBeginDocument AtEndDocument
+kernel  | any  | o o o m +m | parbox
+kernel  | any  | o o +m | makebox framebox
+kernel  | any  | o m m  | rule
+kernel  | any  | m o o +m | raisebox
+kernel  | any  | m m    | addtocounter setlength addtolength PassOptionsToPackage PassOptionsToClass settowidth settoheight settodepth
+kernel  | any  | m o    | newcounter
+kernel  | any  | m      | newlength newsavebox stretch
+kernel  | any  | -      | makeatletter makeatother ExplSyntaxOn ExplSyntaxOff relax par hfill vfill newpage clearpage cleardoublepage noindent centering raggedright raggedleft makeindex fill
+kernel  | any  | -      | left right middle small footnotesize scriptsize tiny normalsize large Large LARGE huge Huge bfseries itshape ttfamily rmfamily sffamily mdseries upshape slshape scshape
+kernel  | any  | s m o o +m | newcommand renewcommand providecommand DeclareRobustCommand
+kernel  | any  | s m o o +m +m | newenvironment renewenvironment
+kernel  | any  | +m m +m | NewDocumentCommand RenewDocumentCommand ProvideDocumentCommand DeclareDocumentCommand
+kernel  | any  | m m +m +m | NewDocumentEnvironment RenewDocumentEnvironment ProvideDocumentEnvironment DeclareDocumentEnvironment
+kernel  | any  | m +m +m | IfBooleanTF IfNoValueTF IfValueTF IfBlankTF
+kernel  | any  | m +m   | IfBooleanT IfBooleanF IfNoValueT IfNoValueF IfValueT IfValueF
+kernel  | any  | m l +m | def gdef edef xdef
+kernel  | any  | m m    | let
+kernel  | any  | m      | newif noalign
+kernel  | text | m      | title date emph textbf textit texttt textsc textsf textsl textup textmd textnormal underline
+kernel  | text | m      | ` ' ^ " ~ = . c v u H r k b d t
+kernel  | text | o +m   | footnote footnotetext marginpar
+kernel  | text | m      | author thanks
+kernel  | text | -      | maketitle tableofcontents listoffigures listoftables hline
+kernel  | text | o      | item
+kernel  | text | s o m  | caption
+kernel  | any  | s o    | \\
+kernel  | any  | m m m  | multicolumn addcontentsline
+kernel  | any  | m      | cline
+kernel  | math | m m    | frac stackrel
+kernel  | math | o m    | sqrt
+kernel  | math | m      | mathbf mathrm mathcal mathit mathsf mathtt hat bar vec tilde dot ddot check breve acute grave overline widehat widetilde overbrace underbrace mathop mathbin mathrel
+kernel  | math | -      | alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi varpi rho varrho sigma varsigma tau upsilon phi varphi chi psi omega
+kernel  | math | -      | leq geq neq le ge ne approx equiv sim simeq cong propto in notin ni subset supset subseteq supseteq cup cap forall exists to mapsto times cdot pm mp div ast star circ bullet
+kernel  | math | -      | infty partial nabla hbar ell Re Im wp aleph emptyset neg land lor wedge vee oplus otimes perp parallel mid langle rangle lfloor rfloor lceil rceil cdots ddots vdots limits nolimits
+class   | text | s o m  | part section subsection subsubsection paragraph subparagraph
+book    | text | s o m  | chapter
+class   | text | -      | appendix
+amsmath | any  | m      | eqref text intertext shortintertext numberwithin
+amsmath | math | m m    | dfrac tfrac cfrac binom dbinom tbinom overset underset
+amsmath | math | s m    | operatorname tag
+amsmath | math | m      | boxed substack boldsymbol pmb
+amsmath | math | -      | iint iiint notag implies impliedby iff dotsc dotsb dotsm dotsi
+amssymb | math | m      | mathbb mathfrak
+package | any  | s o m  | includegraphics
+package | any  | m m    | href textcolor colorbox
+package | any  | m      | url captionof
+package | any  | m o m  | newcolumntype
 """
 _ENVIRONMENTS = """
-any  | -      | document center flushleft flushright quote quotation abstract itemize enumerate description titlepage
-any  | o      | figure table figure* table* theorem lemma proof definition remark example
-any  | o m    | tabular array minipage
-any  | m o m  | tabularx
-math | -      | matrix pmatrix bmatrix vmatrix cases aligned gathered split
-any  | -      | equation equation* align align* gather gather* multline multline* eqnarray eqnarray* displaymath math
+kernel  | any  | -      | document center flushleft flushright itemize enumerate sloppypar
+kernel  | any  | -      | math displaymath equation eqnarray eqnarray*
+kernel  | any  | o m    | tabular
+kernel  | math | o m    | array
+kernel  | any  | m o m  | tabular*
+kernel  | any  | o o o m | minipage
+kernel  | any  | m m    | list
+class   | any  | -      | quote quotation verse abstract titlepage description
+class   | any  | o      | figure table figure* table*
+package | any  | o      | theorem lemma proof definition remark example
+package | any  | m o m  | tabularx
+package | any  | o m    | longtable
+amsmath | math | -      | matrix pmatrix bmatrix vmatrix Bmatrix Vmatrix smallmatrix cases split
+amsmath | math | o      | aligned gathered
+amsmath | math | o m    | alignedat
+amsmath | any  | -      | equation* align align* gather gather* multline multline* flalign flalign*
+amsmath | any  | m      | alignat alignat* xalignat xalignat*
 """
 _VERBATIM = "verb lstinline", "verbatim verbatim* Verbatim lstlisting minted comment"
 
-MATH_ENVIRONMENTS = frozenset("equation equation* align align* gather gather* multline multline* eqnarray eqnarray* displaymath math".split())
+
+def _regular() -> list[tuple[str, str]]:
+    """Names of symbols that follow a rule: capital letters, operators, arrows, sized delimiters."""
+    out = [("kernel", n) for n in "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()]
+    out += [("kernel", n) for n in "sum prod coprod int oint bigcup bigcap bigoplus bigotimes bigvee bigwedge".split()]
+    out += [("kernel", hyper) for f in ("sin", "cos", "tan", "cot") for hyper in (f, f"{f}h")] + [("kernel", f"arc{f}") for f in ("sin", "cos", "tan")]
+    out += [("kernel", n) for n in "log ln lg exp max min sup inf lim limsup liminf det dim ker deg gcd arg Pr sec csc hom".split()]
+    out += [("kernel", f"{long}{side}arrow") for long, sides in (("", ("left", "right", "leftright", "Left", "Right", "Leftright", "up", "down", "updown", "Up", "Down", "Updown")), ("long", ("left", "right", "leftright")), ("Long", ("left", "right", "leftright"))) for side in sides]
+    return out
+
+
+#: Sized delimiters take no argument in either mode.
+_SIZES = [f"{size}{side}" for size in ("big", "Big", "bigg", "Bigg") for side in ("", "l", "r", "m")]
+SIZED = frozenset(("left", "right", "middle", *_SIZES))
+
+MATH_ENVIRONMENTS = frozenset("equation equation* align align* alignat alignat* xalignat xalignat* flalign flalign* gather gather* multline multline* eqnarray eqnarray* displaymath math".split())
 DISPLAY = frozenset(MATH_ENVIRONMENTS - {"math"})
-ALIGNMENTS = frozenset("tabular tabularx array align align* eqnarray eqnarray* matrix pmatrix bmatrix vmatrix cases aligned split".split())
+#: Environments that make a box within a formula.
+INNER = frozenset("aligned alignedat gathered array matrix pmatrix bmatrix vmatrix Bmatrix Vmatrix smallmatrix cases".split())
+TABLES = frozenset("tabular tabular* tabularx longtable array".split())
+MATRICES = frozenset("matrix pmatrix bmatrix vmatrix Bmatrix Vmatrix smallmatrix".split())
+ALIGNMENTS = frozenset("align align* alignat alignat* xalignat xalignat* flalign flalign* eqnarray eqnarray* cases aligned alignedat split".split()) | TABLES | MATRICES
+#: Displays of which every row may have a number of its own.
+ROWWISE = frozenset("align align* alignat alignat* xalignat xalignat* flalign flalign* gather gather* eqnarray eqnarray*".split())
 LISTS = frozenset(("itemize", "enumerate", "description"))
 FLOATS = frozenset(("figure", "table", "figure*", "table*"))
 
@@ -142,6 +204,7 @@ FLOATS = frozenset(("figure", "table", "figure*", "table*"))
 class Table:
     commands: dict[str, Signature]
     environments: dict[str, Signature]
+    origins: dict[str, str] = field(default_factory=dict)  # by \\name or {name}: kernel, class, book or a package
 
 
 def table_lines(lines: list[str], base: Table | None = None) -> Table:
@@ -167,10 +230,25 @@ def table_lines(lines: list[str], base: Table | None = None) -> Table:
 
 @functools.cache
 def builtin() -> Table:
-    lines = []
+    lines, origins = [], {}
     for block, shape in ((_COMMANDS, "\\{}"), (_ENVIRONMENTS, "{{{}}}")):
         for row in block.strip().splitlines():
-            mode, spec, names = (x.strip() for x in row.split("|"))
-            lines += [f"{shape.format(n)} {mode} {spec}" for n in names.split()]
+            origin, mode, spec, names = (x.strip() for x in row.split("|"))
+            for n in names.split():
+                lines.append(f"{shape.format(n)} {mode} {spec}")
+                origins[shape.format(n)] = origin
+    for origin, n in _regular():
+        lines.append(f"\\{n} math -")
+        origins[f"\\{n}"] = origin
+    lines += [f"\\{n} any -" for n in _SIZES]
     lines += [f"\\{n} any v" for n in _VERBATIM[0].split()] + [f"{{{n}}} any verbatim" for n in _VERBATIM[1].split()]
-    return table_lines(lines)
+    table = table_lines(lines)
+    return Table(table.commands, table.environments, origins)
+
+
+def read_tables(spark, path: str, base: Table | None = None) -> Table:
+    """The table of files of such lines, over the built-in one; files by name, lines in order. A signature table fits the driver many times over."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("name"), "value").orderBy("name").collect()
+    return table_lines([line for f in files for line in f["value"].splitlines()], base or builtin())
