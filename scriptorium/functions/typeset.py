@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-from scriptorium.functions.kernel import DEFINING, Node, Scanned
+from scriptorium.functions.kernel import DEFINING, Node, Scanned, Spans
 
 #: TeX accents as combining characters, and words for symbols.
-ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327", "v": "\u030c", "u": "\u0306", "H": "\u030b", "r": "\u030a", "k": "\u0328"}
-WORDS = {"dots": "…", "ldots": "…", "LaTeX": "LaTeX", "TeX": "TeX", "oe": "œ", "ae": "æ", "OE": "Œ", "AE": "Æ", "ss": "ß", "o": "ø", "O": "Ø", "%": "%", "$": "$", "&": "&", "#": "#", "_": "_", "{": "{", "}": "}", " ": " ", ",": " ", ";": " ", "quad": " ", "qquad": " ", "textbackslash": "\\", "og": "« ", "fg": " »"}
+ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327", "v": "\u030c", "u": "\u0306", "H": "\u030b", "r": "\u030a", "k": "\u0328", "b": "\u0331", "d": "\u0323", "t": "\u0361"}
+#: Letters without their dot.
+DOTLESS = {"i": "\u0131", "j": "\u0237"}
+WORDS = {"dots": "…", "ldots": "…", "LaTeX": "LaTeX", "TeX": "TeX", "oe": "œ", "ae": "æ", "OE": "Œ", "AE": "Æ", "ss": "ß", "o": "ø", "O": "Ø", "%": "%", "$": "$", "&": "&", "#": "#", "_": "_", "{": "{", "}": "}", " ": " ", ",": " ", ";": " ", "quad": " ", "qquad": " ", "textbackslash": "\\", "og": "« ", "fg": " »", "aa": "å", "AA": "Å", "l": "ł", "L": "Ł", "S": "§", "P": "¶", "copyright": "©", "pounds": "£", "textellipsis": "…", "textendash": "–", "textemdash": "—", "textbar": "|", "textless": "<", "textgreater": ">", "textasciitilde": "~", "textasciicircum": "^", "textquoteleft": "‘", "textquoteright": "’", "textquotedblleft": "“", "textquotedblright": "”", "guillemotleft": "«", "guillemotright": "»", "dag": "†", "ddag": "‡", "textbullet": "•", "textdegree": "°", "texteuro": "€", "euro": "€", "BibTeX": "BibTeX", "LaTeXe": "LaTeX2ε"}
 SECTIONS = frozenset("part chapter section subsection subsubsection paragraph subparagraph".split())
 SILENT = frozenset("label documentclass usepackage RequirePackage bibliographystyle pagestyle thispagestyle includegraphics input include setcounter addtocounter setlength hspace vspace newcounter numberwithin multicolumn cline".split()) | DEFINING
+_INK = re.compile(r"\s*")
 REFERENCES = frozenset("ref eqref pageref cite".split())
 
 
@@ -48,12 +52,12 @@ def prose(s: Scanned, math: str = "source") -> tuple[str, list[tuple[int, int, i
         else:
             out.space(" ")
 
-    discarded = [(b.start, b.stop) for b in s.branches if b.taken is False]
+    discarded = Spans((b.start, b.stop) for b in s.branches if b.taken is False)
 
     def visit(nodes: list[Node]) -> None:
         used: set[int] = set()
         if discarded:
-            nodes = [n for n in nodes if n.role is None and not any(a <= n.start < b for a, b in discarded)]
+            nodes = [n for n in nodes if n.role is None and n.start not in discarded]
         previous = None
         for k, n in enumerate(nodes):
             if previous is not None and n.start > previous and s.text[previous : n.start].strip() == "" and s.text[previous : n.start]:
@@ -73,7 +77,7 @@ def prose(s: Scanned, math: str = "source") -> tuple[str, list[tuple[int, int, i
                         out.space(" ")
             elif n.kind == "comment":
                 # The line end after a comment is no blank; an empty line is a node of its own.
-                previous = n.end + (len(s.text[n.end :]) - len(s.text[n.end :].lstrip()) if n.end < len(s.text) else 0)
+                previous = _INK.match(s.text, n.end).end()
             elif n.kind == "verbatim":
                 out.space("\n" if n.delimiter == "env" else "")
                 out.ink(n.content.strip("\n"), n)
@@ -95,14 +99,18 @@ def prose(s: Scanned, math: str = "source") -> tuple[str, list[tuple[int, int, i
 
     def visit_command(n: Node, nodes: list[Node], k: int, used: set[int]) -> None:
         args = [a for a in n.args or [] if a is not None]
-        if n.base in ACCENTS and n.sig is None and k + 1 < len(nodes):
-            nxt = nodes[k + 1]
-            base = nxt.children[0] if nxt.kind == "brace" and len(nxt.children) == 1 else nxt
-            letter = {"i": "i", "j": "j"}.get(base.name, "") if base.kind == "command" else base.content
+        if n.base in ACCENTS:
+            over = args[0] if args else nodes[k + 1] if k + 1 < len(nodes) and not n.args else None
+            base = over.children[0] if over is not None and over.kind == "brace" and len(over.children) == 1 else over
+            # An accent takes the dot's place.
+            letter = "" if base is None or base.kind == "brace" else base.name if base.kind == "command" and base.name in DOTLESS else base.content
             if letter:
                 out.ink(unicodedata.normalize("NFC", letter[0] + ACCENTS[n.base]) + letter[1:], n)
-                used.add(id(nxt))
+                used.add(id(over))
                 return
+        if n.base in DOTLESS:
+            out.ink(DOTLESS[n.base], n)
+            return
         if n.base in WORDS:
             word = WORDS[n.base]
             if word.strip():

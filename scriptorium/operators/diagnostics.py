@@ -1,6 +1,7 @@
-"""Diagnostics: structure events and rules of meaning as filters and windows over the node table, their union, and renderings.
+"""Diagnostics: structure events and rules of meaning over the arrays of the parsed table, their union, and renderings.
 
-Null context means "not known", and a rule speaks only where its condition is true. Rules share one scan of the parsed table.
+A document's nodes are one row, and what a rule asks of a node's neighbours is in the node's own context and place, so all rules are evaluated in
+one pass without an exchange; only what they say is exploded. Null context means "not known", and a rule speaks only where its condition is true.
 """
 
 from __future__ import annotations
@@ -8,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.signatures import DISPLAY, FLOATS, LISTS, builtin
-from scriptorium.operators.tree import is_command, is_par, siblings
+from scriptorium.functions.signatures import ALIGNMENTS, DISPLAY, FLOATS, LISTS, MATRICES, TABLES, builtin
 from scriptorium.sources.documents import lines as lines_of
+from scriptorium.tables import written
 
 COLUMNS = ("doc_id", "code", "severity", "message", "start", "stop", "line", "col")
 RANK = {"error": 0, "warning": 1, "info": 2}
-PREAMBLE_ONLY = ("usepackage", "documentclass", "RequirePackage", "includeonly", "makeindex")
+PREAMBLE_ONLY = ("usepackage", "documentclass", "RequirePackage", "includeonly", "makeindex", "PassOptionsToPackage", "PassOptionsToClass", "LoadClass", "nofiles")
 #: Packages of which it is known that they define no column letters.
 PLAIN = ("amsmath", "amssymb", "amsthm", "graphicx", "xcolor", "hyperref", "inputenc", "fontenc", "babel", "geometry", "booktabs")
-SHORT_ARGUMENTS = ("section", "subsection", "chapter", "emph", "textbf", "textit", "caption", "title", "textrm", "texttt", "underline")
+SHORT_ARGUMENTS = ("section", "subsection", "chapter", "emph", "textbf", "textit", "caption", "title", "textrm", "texttt", "textsf", "textsc", "textsl", "underline", "label", "ref", "part", "chapter", "subsubsection", "paragraph", "subparagraph", "mbox", "makebox", "framebox")
 #: How deep itemize, enumerate and all lists nest.
 DEEPEST = (4, 4, 6)
 #: Units of TeX lengths, and the starts of expressions that can't be decided.
@@ -28,177 +29,143 @@ def structure(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("events")).select(*COLUMNS, "fix_at", "fix")
 
 
-def _said(rows: DataFrame, code: str, severity: str, message: Column | str) -> DataFrame:
-    message = F.lit(message) if isinstance(message, str) else message
-    return rows.select("doc_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), "start", "stop", "line", "col")
-
-
-def _ctx(name: str) -> Column:
-    return F.col(f"ctx.{name}")
-
-
-def simple_rules(nodes: DataFrame) -> DataFrame:
-    """The rules that a node and its context decide alone, in one pass: a node may break several."""
-    command, text = F.col("kind") == "command", (F.col("kind") == "text") & (F.col("content") != "")
-    live = F.coalesce(~_ctx("defining"), F.lit(True)) & ~F.col("bare")
-    base = F.col("base_name")
-    kinds = F.filter(F.split(F.coalesce("spec", F.lit("")), " "), lambda k: ~k.isin("s", ""))
-    lacking = F.exists(F.zip_with(kinds, "args", lambda k, a: a.isNull() & k.rlike("^[+]?[mr]")), lambda x: F.coalesce(x, F.lit(False)))
-    said = lambda when, code, severity, message: F.when(when & live, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(message).alias("message")))
-    every = [
-        said(command & (base == "item") & (_ctx("mode") == "text") & (_ctx("lists") == F.lit(False)), "item-outside-list", "error", "an item outside a list"),
-        said(text & F.contains("content", F.lit("&")) & (_ctx("alignment") == F.lit(False)), "ampersand-outside-alignment", "error", "an alignment mark outside an alignment"),
-        said(text & F.col("content").rlike("[_^]") & (_ctx("mode") == "text"), "script-outside-math", "error", "a script outside a formula"),
-        said(command & F.col("args").isNotNull() & lacking, "missing-argument", "error", "an argument is missing"),
-        said(command & (F.col("mode") == "math") & ~F.col("macro") & (_ctx("mode") == "text"), "math-command-in-text", "error", "a command of formulas in text"),
-        said(command & base.isin("section", "subsection", "chapter", "maketitle", "caption", "footnote", "tableofcontents", "hline") & (_ctx("mode") == "math") & (base != "hline"), "invalid-in-math", "error", "a command of text in a formula"),
-        said((F.col("kind") == "environment") & F.col("name").isin(*sorted(DISPLAY)) & (_ctx("mode") == "math"), "display-in-math", "error", "a display within a formula"),
-        said(command & (base == "caption") & (_ctx("floating") == F.lit(False)), "caption-outside-float", "error", "a caption outside a float"),
-        said(command & base.isin(*PREAMBLE_ONLY) & (_ctx("body") == F.lit(True)), "preamble-only", "error", "this belongs in the preamble"),
-        said(command & (base == "tag") & (_ctx("mode") == "text"), "tag-not-allowed", "error", "a tag outside a display"),
-        said(is_par() & (_ctx("mode") == "math") & _ctx("env").isin(*sorted(DISPLAY)), "blank-line-in-math", "error", "an empty line in a formula"),
-        said(is_par() & _ctx("arg_of").isin(*SHORT_ARGUMENTS), "blank-line-in-argument", "error", "an empty line in an argument that can't hold a paragraph"),
-        said((F.col("kind") == "verbatim") & (F.coalesce(_ctx("arg_of"), F.lit("")) != "") & F.col("base_name").isin("verb", "lstinline"), "verb-in-argument", "error", "verbatim in an argument"),
-        said((F.col("kind") == "environment") & F.col("name").isin(*sorted(FLOATS)) & ((_ctx("floating") == F.lit(True)) | _ctx("env").isin("minipage")), "float-in-box", "error", "a float in a box"),
-        said((F.col("kind") == "environment") & F.col("name").isin(*sorted(LISTS)) & ((F.col("name").eqNullSafe("itemize") & (_ctx("itemize") >= DEEPEST[0])) | (F.col("name").eqNullSafe("enumerate") & (_ctx("enumerate") >= DEEPEST[1])) | (_ctx("nested") >= DEEPEST[2])), "too-deeply-nested", "error", "lists are nested too deeply"),
-    ]
-    broken = F.filter(F.array(*every), lambda x: x.isNotNull())
-    return nodes.select("doc_id", "start", "stop", "line", "col", F.inline(broken)).select(*COLUMNS)
+#: Which arguments are lengths (places among a command's arguments).
+LENGTHS = {"hspace": (0,), "vspace": (0,), "rule": (0, 1, 2), "\\": (0,), "setlength": (1,), "addtolength": (1,), "parbox": (3,), "raisebox": (0,), "minipage": (3,), "tabular*": (0,), "tabularx": (0,)}
+#: Columns that environments have without saying so, and of a matrix.
+COLUMNS_OF = {"cases": 2, "split": 2, "eqnarray": 3, "eqnarray*": 3} | dict.fromkeys(MATRICES, 10)
+#: Rules that must begin a row.
+RULES = ("hline", "cline", "noalign", "toprule", "midrule", "bottomrule", "cmidrule")
+_SAID = "array<struct<code:string,severity:string,message:string,start:int,stop:int,line:int,col:int,fix_at:int,fix:string,by:string>>"
 
 
-def pair_rules(nodes: DataFrame) -> DataFrame:
-    """left, middle and right among siblings, by a running balance."""
-    step = F.when(is_command("left"), 1).when(is_command("right"), -1).otherwise(0)
-    rows = nodes.filter(is_command("left", "middle", "right") & ~F.col("bare") & ~F.coalesce(F.col("ctx.defining"), F.lit(True)))
-    rows = rows.withColumn("sum", F.sum(step).over(siblings().rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("least", F.least(F.lit(0), F.min("sum").over(siblings().rowsBetween(Window.unboundedPreceding, -1)))).withColumn("later", F.min("sum").over(siblings().rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("least", F.coalesce("least", F.lit(0)))
-    return (
-        _said(rows.filter((F.col("name") == "right") & (F.col("sum") < F.col("least"))), "right-without-left", "error", "no left is open")
-        .unionByName(_said(rows.filter((F.col("name") == "middle") & (F.col("sum") <= F.col("least"))), "middle-without-left", "error", "no left is open"))
-        .unionByName(_said(rows.filter((F.col("name") == "left") & (F.col("later") >= F.col("sum"))), "left-without-right", "error", "no right closes this"))
-    )
+def _report(x, when: Column, code: str, message: Column | str, severity: Column | str = "error") -> Column:
+    """A report at x where `when` is true, else null; x gives the columns of what is reported."""
+    as_column = lambda v: F.lit(v) if isinstance(v, str) else v
+    none = F.lit(None)
+    return F.when(when, F.struct(F.lit(code).alias("code"), as_column(severity).alias("severity"), as_column(message).alias("message"), x("start").alias("start"), x("stop").alias("stop"), x("line").alias("line"), x("col").alias("col"), none.cast("int").alias("fix_at"), none.cast("string").alias("fix"), x("by").alias("by")))
 
 
-def order_rules(nodes: DataFrame) -> DataFrame:
-    """Rules about what comes before or again: labels and tags of an equation, text before an item, breaks without a line."""
-    live = nodes.filter(~F.coalesce(F.col("ctx.defining"), F.lit(False)) & ~F.col("bare"))
-    again = Window.partitionBy("doc_id", "equation", "base_name").orderBy("node_id")
-    marked = live.filter(is_command("label", "tag", "tag*")).withColumn("equation", F.col("ctx.math_id")).filter("equation IS NOT NULL").withColumn("nth", F.row_number().over(again)).filter("nth > 1")
-    multiple = _said(marked.filter("base_name = 'label'"), "multiple-labels", "error", "a second label in this equation").unionByName(_said(marked.filter("base_name = 'tag'"), "multiple-tags", "error", "a second tag in this equation"))
-    ink = F.col("kind").isin("text", "math", "verbatim") & ~is_par()
-    items = F.sum(F.when(is_command("item"), 1).otherwise(0)).over(siblings().rowsBetween(Window.unboundedPreceding, 0))
-    lists = live.filter(F.col("ctx.env").isin(*sorted(LISTS))).withColumn("items", items).filter(ink & (F.col("items") == 0) & F.col("ctx.arg_of").isNull())
-    first = lists.withColumn("nth", F.row_number().over(siblings())).filter("nth = 1")
-    before = F.last(F.when(F.col("kind") != "comment", F.struct("kind", "content")), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, -1))
-    breaks = live.withColumn("before", before).filter(is_command("\\", "\\*", "newline") & (F.col("ctx.mode") == "text") & (F.col("ctx.alignment") == F.lit(False)) & (F.col("before.kind") == "text") & (F.col("before.content") == ""))
-    early = live.filter((F.col("parent_id") == 0) & (F.col("ctx.body") == F.lit(False)) & (F.col("kind") == "text") & (F.col("content") != "")).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))).filter("nth = 1")
-    # Text after the document environment is not in the preamble.
-    return multiple.unionByName(_said(first, "text-before-item", "error", "text before the first item")).unionByName(_said(breaks, "line-break-without-line", "error", "there is no line to break")).unionByName(_said(early, "text-in-preamble", "error", "text in the preamble"))
-
-
-def table_rules(nodes: DataFrame) -> DataFrame:
-    """Rules and spans of tables that don't stand first in their row or cell."""
-    before = F.last(F.when(~F.col("kind").isin("comment", "option") & ~is_par(), F.struct("kind", "name", "content", "node_id")), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, -1))
-    owned = F.array_max(F.flatten(F.collect_list(F.when(F.col("name").isin("cline", "hline", "\\", "\\*"), F.filter(F.coalesce("args", F.array().cast("array<int>")), lambda a: a.isNotNull()))).over(siblings().rowsBetween(-3, -1))))
-    rows = nodes.filter(F.col("ctx.env").isin("tabular", "array", "tabularx") & F.col("ctx.arg_of").isNull()).withColumn("before", before).withColumn("owned", owned)
-    spec = nodes.filter(F.col("name").isin("tabular", "array", "tabularx") & (F.col("kind") == "environment")).select(F.col("doc_id").alias("d"), F.col("node_id").alias("table"), F.element_at(F.filter("args", lambda a: a.isNotNull()), -1).alias("spec_id"))
-    rows = rows.join(spec, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("table")))
-    start = F.col("before").isNull() | (F.col("before.node_id") <= F.col("spec_id")) | F.coalesce(F.col("before.node_id") == F.col("owned"), F.lit(False))
-    row_start = start | ((F.col("before.kind") == "command") & F.col("before.name").isin("\\", "\\*", "hline", "tabularnewline", "toprule", "midrule", "bottomrule", "cline"))
-    cell_start = row_start | ((F.col("before.kind") == "text") & F.col("before.content").rlike("&\\s*$"))
-    live = ~F.coalesce(F.col("ctx.defining"), F.lit(False)) & ~F.col("bare")
-    rule = _said(rows.filter(live & is_command("hline", "cline") & ~row_start), "misplaced-rule", "error", "a rule within a row")
-    return rule.unionByName(_said(rows.filter(live & is_command("multicolumn") & ~cell_start), "misplaced-multicolumn", "error", "a span within a cell"))
-
-
-def table_specs(parsed: DataFrame) -> DataFrame:
-    """(doc_id, table, spec and the place of its argument) of tables."""
-    last = F.element_at(F.filter("args", lambda a: a.isNotNull()), -1)
-    heads = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: n["name"].isin("tabular", "array", "tabularx") & (n["kind"] == "environment")))).filter(F.exists("args", lambda a: a.isNotNull()))
-    arg = F.try_element_at("nodes", last + 1)
-    return heads.withColumn("arg", arg).select("doc_id", F.col("node_id").alias("table"), F.substr("text", F.col("arg.inner_start") + 1, F.col("arg.inner_stop") - F.col("arg.inner_start")).alias("spec"), F.col("arg.start").alias("start"), F.col("arg.stop").alias("stop"), F.col("arg.line").alias("line"), F.col("arg.col").alias("col"), F.col("ctx.defining").alias("defining"))
-
-
-def unknown_columns(parsed: DataFrame) -> DataFrame:
-    """Column letters that no standard package has, where the document loads no other that may define them."""
-    loads = parsed.select("doc_id", F.exists("inclusions", lambda i: i["command"].isin("usepackage", "RequirePackage") & ~i["target"].isin(*PLAIN)).alias("other"))
-    found = table_specs(parsed).join(loads, "doc_id").filter(~F.col("other") & ~F.coalesce("defining", F.lit(False)) & column_count(F.col("spec")).isNull())
-    return _said(found, "unknown-column", "error", F.concat(F.lit("unknown column in "), "spec"))
-
-
-def column_count(spec: Column) -> Column:
-    """The number of columns of a table's specification; null where it has letters that aren't known."""
-    plain = F.regexp_replace(spec, r"[@!<>]\s*\{[^{}]*\}|[|\s]", "")
-    for _ in range(2):  # repetitions, also within repetitions
-        plain = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(r"\*\{\d+\}\{(?:[^{}]|\{[^{}]*\})*\}|\*\d\{[^{}]*\}|[^*]"), F.lit(0)), lambda p: F.when(F.startswith(p, F.lit("*")), F.repeat(F.regexp_extract(p, r"^\*\{?\d+\}?\{(.*)\}$", 1), F.regexp_extract(p, r"^\*\{?(\d+)", 1).try_cast("int"))).otherwise(p)), "")
-    letters = F.regexp_replace(plain, r"\{[^{}]*\}", "")
-    return F.when(letters.rlike("^[lcrpmbXS]*$"), F.length(letters))
+def _of(struct: Column):
+    return lambda name: struct[name]
 
 
-def too_many_columns(parsed: DataFrame) -> DataFrame:
-    """Rows of tables with more cells than columns; reported at the end of the row."""
-    nodes = parsed.select("doc_id", "text", F.inline("nodes"))
-    spec = table_specs(parsed).select(F.col("doc_id").alias("d"), "table", column_count(F.col("spec")).alias("columns"))
-    breaks = F.sum(F.when(is_command("\\", "\\*", "tabularnewline"), 1).otherwise(0)).over(siblings().rowsBetween(Window.unboundedPreceding, -1))
-    cells = nodes.filter(F.col("ctx.env").isin("tabular", "array", "tabularx")).withColumn("row", F.coalesce(breaks, F.lit(0)))
-    amps = F.when((F.col("kind") == "text"), F.length("content") - F.length(F.replace("content", F.lit("&"), F.lit("")))).otherwise(0)
-    cells = cells.withColumn("span", F.when(is_command("multicolumn"), F.lit(1)).otherwise(0)).withColumn("amps", amps)
-    rows = cells.groupBy("doc_id", "parent_id", "row").agg((F.sum("amps") + 1).alias("cells"), F.max("span").alias("spans"), F.max_by(F.struct("start", "stop", "line", "col"), "node_id").alias("at"))
-    over = rows.join(spec, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("table"))).filter((F.col("spans") == 0) & (F.col("cells") > F.col("columns")))
-    return _said(over.select("doc_id", "cells", "columns", "at.*"), "too-many-columns", "error", F.format_string("%d cells in a row of %d columns", "cells", "columns"))
+def node_rules(n, others: Column, matrices: Column) -> list[Column]:
+    """The rules that a node and where it stands decide, as reports or nulls; a node may break several.
 
+    n gives a node's columns; others: whether the document loads packages that may define columns; matrices: whether it sets the columns
+    of a matrix. A null context means "not known", and no rule speaks then.
+    """
+    ctx, place = n("ctx"), n("place")
+    kind, name, base, content, given, mode = n("kind"), n("name"), n("base_name"), n("content"), n("given"), ctx["mode"]
+    live = F.coalesce(~ctx["defining"], F.lit(True)) & ~n("bare")
+    command, environment = (kind == "command") & live, (kind == "environment") & live
+    text, par = (kind == "text") & (content != "") & live, (kind == "text") & (content == "") & live
+    no = lambda c: c == F.lit(False)
+    kinds = F.filter(F.split(F.coalesce(n("spec"), F.lit("")), " "), lambda k: ~k.isin("s", ""))
+    lacking = F.exists(F.zip_with(kinds, n("args"), lambda k, a: a.isNull() & k.rlike("^[+]?[mr]")), lambda x: F.coalesce(x, F.lit(False)))
+    said = lambda when, code, message, severity="error": _report(n, when, code, message, severity)
+    table = ctx["env"]
+    formula = (mode == "math") & ~n("macro")
+    columns = F.lit(None).cast("int")
+    for env, count in COLUMNS_OF.items():
+        columns = F.when(table == env, F.when(~matrices | (count != 10), F.lit(count))).otherwise(columns)
+    columns = F.when(table.isin("alignat", "alignat*", "xalignat", "xalignat*"), 2 * F.trim(place["spec"]).try_cast("int")).when(table.isin(*sorted(TABLES)), column_count(place["spec"])).otherwise(columns)
+    own_spec = F.try_element_at(given, F.lit(-1))
+    length = F.lit(None).cast("array<string>")
+    for owner, at in LENGTHS.items():
+        length = F.when(F.coalesce(base, name) == owner, F.array(*(F.get(given, F.lit(k)) for k in at))).otherwise(length)
+    not_length = lambda v: v.isNotNull() & ~F.contains(v, F.lit("#")) & ~v.rlike(r"\\[A-Za-z@]+\s*\{") & (~v.rlike(LENGTH) | (F.trim(v) == "") | v.rlike(r"^\s*[-+]?\s*[\d.,]+\s*$"))
+    defined = F.get(given, F.lit(0))
+    return [
+        said(command & (base == "item") & (mode == "text") & no(ctx["lists"]), "item-outside-list", "an item outside a list"),
+        said(text & F.contains(content, F.lit("&")) & no(ctx["alignment"]), "ampersand-outside-alignment", "an alignment mark outside an alignment"),
+        said(text & content.rlike("[_^]") & (mode == "text"), "script-outside-math", "a script outside a formula"),
+        said(command & n("args").isNotNull() & lacking, "missing-argument", "an argument is missing"),
+        said(((command & (n("mode") == "math")) | (environment & (n("mode") == "math"))) & ~n("macro") & (mode == "text"), "math-command-in-text", F.when(kind == "command", "a command of formulas in text").otherwise("an environment of formulas in text")),
+        said(command & base.isin("part", "chapter", "section", "subsection", "subsubsection", "maketitle", "caption", "footnote", "tableofcontents", "item") & (mode == "math"), "invalid-in-math", "a command of text in a formula"),
+        said(environment & name.isin(*sorted(DISPLAY)) & (mode == "math"), "display-in-math", "a display within a formula"),
+        said(command & (base == "caption") & no(ctx["floating"]), "caption-outside-float", "a caption outside a float"),
+        said(command & base.isin(*PREAMBLE_ONLY) & (ctx["body"] == F.lit(True)), "preamble-only", "this belongs in the preamble"),
+        said(command & (base == "tag") & ((mode == "text") | (formula & (mode == "math") & no(ctx["tags"]))), "tag-not-allowed", "a tag outside a display"),
+        said(par & (mode == "math") & table.isin(*sorted(DISPLAY)), "blank-line-in-math", "an empty line in a formula"),
+        said(par & ctx["arg_of"].isin(*SHORT_ARGUMENTS), "blank-line-in-argument", "an empty line in an argument that can't hold a paragraph"),
+        said((kind == "verbatim") & live & (F.coalesce(ctx["arg_of"], F.lit("")) != "") & base.isin("verb", "lstinline"), "verb-in-argument", "verbatim in an argument"),
+        said(environment & name.isin(*sorted(FLOATS)) & (ctx["boxed"] == F.lit(True)) & ~F.coalesce(F.get(given, F.lit(0)) == "H", F.lit(False)), "float-in-box", "a float in a box"),
+        said(environment & name.isin(*sorted(LISTS)) & (((name == "itemize") & (ctx["itemize"] >= DEEPEST[0])) | ((name == "enumerate") & (ctx["enumerate"] >= DEEPEST[1])) | (ctx["nested"] >= DEEPEST[2])), "too-deeply-nested", "lists are nested too deeply"),
+        said(command & (name == "right") & place["pair"].isNull() & ~F.coalesce(place["across"], F.lit(False)), "right-without-left", "no left is open"),
+        said(command & (name == "middle") & place["pair"].isNull(), "middle-without-left", "no left is open"),
+        said(command & (name == "left") & place["pair"].isNull() & ~F.coalesce(place["across"], F.lit(False)), "left-without-right", "no right closes this"),
+        said(command & (name == "left") & place["across"], "left-across-cells", "a cell ends before this is closed"),
+        said(command & (base == "label") & (place["nth"] > 1), "multiple-labels", "a second label in this equation"),
+        said(command & (base == "tag") & (place["nth"] > 1), "multiple-tags", "a second tag in this equation"),
+        said(table.isin(*sorted(LISTS)) & place["first"] & live, "text-before-item", "text before the first item"),
+        said(text & (n("parent_id") == 0) & place["first"], "text-in-preamble", "text in the preamble"),
+        said(command & name.isin("\\", "\\*", "newline") & (mode == "text") & no(ctx["alignment"]) & place["after_par"], "line-break-without-line", "there is no line to break"),
+        said(command & base.isin(*RULES) & table.isin(*sorted(ALIGNMENTS)) & (place["lead"] != "row"), "misplaced-rule", "a rule within a row"),
+        said(command & (base == "multicolumn") & table.isin(*sorted(ALIGNMENTS)) & (place["lead"] == ""), "misplaced-multicolumn", "a span within a cell"),
+        said(live & (place["cells"] > columns), "too-many-columns", F.format_string("%d cells in a row of %d columns", place["cells"], columns)),
+        said(environment & name.isin(*sorted(TABLES)) & own_spec.isNotNull() & ~others & column_count(own_spec, standard=True).isNull(), "unknown-column", F.concat(F.lit("unknown column in "), own_spec)),
+        said((command | environment) & F.exists(length, not_length), "invalid-length", "not a length"),
+        said(command & base.isin("newcommand", "renewcommand", "providecommand", "DeclareRobustCommand") & defined.isNotNull() & ~F.contains(defined, F.lit("#")) & ~F.trim(defined).rlike(r"^\\([A-Za-z@]+|[^A-Za-z])$"), "not-a-command-name", "this is no name of a command"),
+    ]
 
-def definition_rules(parsed: DataFrame) -> DataFrame:
-    """illegal-parameter and already-defined, from the definitions of each document."""
-    d = parsed.select("doc_id", "nodes", F.inline("definitions"))
-    used = F.array_max(F.transform(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?<!#)#([1-9])"), F.lit(1)), lambda x: x.cast("int")))
-    at = F.element_at(F.filter("nodes", lambda n: (n["start"] == F.col("start")) & (n["kind"] == "command")), 1)
-    placed = d.withColumn("at", at).select("doc_id", "how", "name", "arity", used.alias("used"), "start", F.col("at.stop").alias("stop"), F.col("at.line").alias("line"), F.col("at.col").alias("col"))
-    illegal = _said(placed.filter("used > arity"), "illegal-parameter", "error", F.format_string("parameter %d of %d", "used", "arity"))
-    named = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: (n["kind"] == "command") & n["base_name"].isin("newcommand", "renewcommand", "providecommand") & ~n["bare"])))
-    named = named.withColumn("a", F.try_element_at("nodes", F.try_element_at("args", F.lit(1)) + 1)).filter("a IS NOT NULL AND NOT ctx.defining")
-    target = F.substr("text", F.col("a.start") + 1, F.col("a.stop") - F.col("a.start"))
-    no_name = _said(named.filter(~target.rlike(r"^\{?\s*\\([A-Za-z@]+|[^A-Za-z])\s*\}?$") & ~F.contains(target, F.lit("#"))), "not-a-command-name", "error", "this is no name of a command")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("start"))
-    known = sorted(builtin().commands)
-    twice = placed.filter("how IN ('newcommand', 'NewDocumentCommand')").withColumn("nth", nth).filter((F.col("nth") > 1) | F.col("name").isin(known))
-    return illegal.unionByName(no_name).unionByName(_said(twice, "already-defined", "error", F.concat(F.lit("\\"), F.col("name"), F.lit(" is already defined"))))
+
+def definition_reports(d) -> list[Column]:
+    """illegal-parameter and already-defined, of a definition's columns."""
+    environment = F.contains(F.lower(d("how")), F.lit("environment"))
+    used = F.when(d("highest") >= 10, F.lit("a parameter in what ends it")).otherwise(F.format_string("parameter %d of %d", d("highest"), d("arity")))
+    return [
+        _report(d, d("highest") > d("arity"), "illegal-parameter", used),
+        _report(d, d("known") & d("how").isin("newcommand", "NewDocumentCommand", "newenvironment", "NewDocumentEnvironment"), "already-defined", F.concat(F.when(environment, F.lit("")).otherwise(F.lit("\\")), d("name"), F.lit(" is already defined"))),
+    ]
 
 
-def invalid_lengths(parsed: DataFrame) -> DataFrame:
-    heads = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: (n["kind"] == "command") & n["base_name"].isin("hspace", "vspace", "setlength", "addtolength") & ~n["bare"])))
-    arg = F.try_element_at("nodes", F.element_at(F.filter("args", lambda a: a.isNotNull()), -1) + 1)
-    said = heads.filter(F.size(F.filter("args", lambda a: a.isNotNull())) > 0).withColumn("a", arg).filter("a.kind = 'brace'").withColumn("value", F.substr("text", F.col("a.inner_start") + 1, F.col("a.inner_stop") - F.col("a.inner_start")))
-    wrong = ~F.col("value").rlike(LENGTH) | (F.trim("value") == "") | F.col("value").rlike(r"^\s*[-+]?\s*[\d.,]+\s*$")
-    return _said(said.filter(~F.contains("value", F.lit("#")) & wrong), "invalid-length", "error", "not a length")
+def _doc_facts() -> tuple[Column, Column]:
+    """(others, matrices): whether a document loads packages, or has a class, that may define columns; whether it says how many a matrix has."""
+    others = F.exists("packages", lambda p: ~p.isin(*PLAIN)) | ~F.coalesce("class", F.lit("")).isin("", "article", "report", "book", "letter", "minimal")
+    return others, F.array_contains("counters", "MaxMatrixCols")
 
 
-def files_not_found(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """Included names that no file of the manifest (path) fits: an anti join."""
-    from scriptorium.sources.documents import resolved
+def reports(parsed: DataFrame) -> DataFrame:
+    """(doc_id, found): all reports of a document as an array, from one reading of its nodes; no row leaves its document."""
+    others, matrices = _doc_facts()
+    parts = [
+        F.transform("events", lambda e: F.struct(*(e[c].alias(c) for c in ("code", "severity", "message", "start", "stop", "line", "col", "fix_at", "fix", "by")))),
+        F.flatten(F.transform("nodes", lambda n: F.array_compact(F.array(*node_rules(_of(n), F.col("__others"), F.col("__matrices")))))),
+        F.flatten(F.transform("definitions", lambda d: F.array_compact(F.array(*definition_reports(_of(d)))))),
+    ]
+    return parsed.withColumns({"__others": others, "__matrices": matrices}).select(*(c for c in ("doc_id", "nodes", "definitions", "inclusions", "fragment") if c in parsed.columns), F.concat(*(p.cast(_SAID) for p in parts)).alias("found"))
 
-    wanted = parsed.select("doc_id", "fragment", "nodes", F.inline("inclusions")).filter("extension = '.tex'")
-    at = F.element_at(F.filter("nodes", lambda n: (n["start"] == F.col("start")) & (n["kind"] == "command")), 1)
-    wanted = wanted.withColumn("at", at).select("doc_id", "fragment", "command", "target", "extension", F.lit("").alias("folder"), "start", F.col("at.stop").alias("stop"), F.col("at.line").alias("line"), F.col("at.col").alias("col"))
-    lost = resolved(wanted, files).filter("path IS NULL")
-    severity = F.when(F.col("fragment") | (F.col("command") == "include"), "warning").otherwise("error")
-    return _said(lost, "file-not-found", "error", F.concat("target", F.lit(" is not found"))).drop("severity").join(lost.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), severity.alias("severity")).distinct(), (F.col("doc_id") == F.col("d")) & (F.col("start") == F.col("s"))).select(*COLUMNS)
 
+def column_count(spec: Column, *, standard: bool = False) -> Column:
+    """The number of columns of a table's specification; null where it has letters that aren't known, or (standard) that need a package."""
+    plain = F.regexp_replace(spec, r"[@!<>]\s*\{(?:[^{}]|\{[^{}]*\})*\}|[|\s]", "")
+    # Repetitions are written out, a level a time; deeper ones than REPEATED are not known.
+    for _ in range(REPEATED):
+        plain = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(r"\*\{\d+\}\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|\*\d\{[^{}]*\}|[^*]|\*"), F.lit(0)), lambda p: F.when(F.startswith(p, F.lit("*")) & (F.length(p) > 1), F.repeat(F.regexp_extract(p, r"(?s)^\*\{?\d+\}?\{(.*)\}$", 1), F.regexp_extract(p, r"^\*\{?(\d+)", 1).try_cast("int"))).otherwise(p)), "")
+    letters = F.regexp_replace(plain, r"\{(?:[^{}]|\{[^{}]*\})*\}", "")
+    return F.when(letters.rlike("^[lcrp]*$" if standard else "^[lcrpmbXS]*$"), F.length(letters))
 
-def unknown_names(parsed: DataFrame) -> DataFrame:
-    """Commands and environments met once that are one substitution or one swap of neighbours from a known name of the same length: infos.
 
-    Known are the built-in names and those the document defines. Variants are joined by name with one letter blanked or two
+REPEATED = 4
+
+
+def names_met(parsed: DataFrame) -> DataFrame:
+    """(doc_id, kind, base_name, start, stop, line, col, by): uses of commands and environments that nothing known defines."""
+    wanted = lambda n: n["kind"].isin("command", "environment") & n["spec"].isNull() & ~n["macro"] & n["base_name"].rlike("^[A-Za-z]{3,}$") & ~F.coalesce(n["ctx"]["defining"], F.lit(False)) & ~((n["kind"] == "command") & n["base_name"].isin("begin", "end"))
+    return F.transform(F.filter("nodes", wanted), lambda n: F.struct(*(n[c].alias(c) for c in ("kind", "base_name", "start", "stop", "line", "col", "by"))))
+
+
+def _unknown(met: DataFrame, own: DataFrame) -> DataFrame:
+    """Names met once in a document that are one substitution or one swap of neighbours from a known name of the same length: infos.
+
+    met has (doc_id, kind, base_name, start, ...), own has (doc_id, kind, known). Variants are joined by name with one letter blanked or two
     swapped, so nothing is compared with everything. The alphabetically first candidate is named.
     """
-    spark, table = parsed.sparkSession, builtin()
-    rows = parsed.select("doc_id", F.inline("nodes")).filter(F.col("kind").isin("command", "environment") & F.col("spec").isNull() & ~F.col("macro") & F.col("base_name").rlike("^[A-Za-z]{3,}$") & ~F.coalesce(F.col("ctx.defining"), F.lit(False)))
-    rows = rows.filter(~((F.col("kind") == "command") & F.col("base_name").isin("begin", "end")))
-    once = rows.groupBy("doc_id", "kind", "base_name").agg(F.count("*").alias("n"), F.min(F.struct("start", "stop", "line", "col")).alias("at")).filter("n = 1")
+    spark, table = met.sparkSession, builtin()
+    once = met.groupBy("doc_id", "kind", "base_name").agg(F.count("*").alias("n"), F.min(F.struct("start", "stop", "line", "col", "by")).alias("at")).filter("n = 1")
     fixed = [("command", n) for n in sorted(table.commands) if n.isalpha() and len(n) > 2] + [("environment", n) for n in sorted(table.environments) if n.isalpha() and len(n) > 2]
     known = spark.createDataFrame(fixed, "kind string, known string")  # a fixed table
-    own = parsed.select("doc_id", F.inline("definitions")).filter(F.length("name") > 2).select("doc_id", F.when(F.contains(F.lower("how"), F.lit("environment")), "environment").otherwise("command").alias("kind"), F.col("name").alias("known"))
     places = lambda c: F.sequence(F.lit(1), F.length(c))
     blank = lambda c: F.transform(places(c), lambda i: F.overlay(F.col(c), F.lit("?"), i))
     swaps = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.overlay(F.col(c), F.concat(F.substr(c, i + 1, F.lit(1)), F.substr(c, i, F.lit(1))), i))
@@ -208,49 +175,113 @@ def unknown_names(parsed: DataFrame) -> DataFrame:
     b = tried.join(keys(own, "doc_id"), ["doc_id", "kind", "key"]).select("doc_id", "kind", "base_name", "at", "known")
     met = a.unionByName(b).filter(F.lower("base_name") != F.lower("known")).groupBy("doc_id", "kind", "base_name", "at").agg(F.min("known").alias("known"))
     mark = F.when(F.col("kind") == "command", "\\").otherwise("")
-    said = _said(met.select("doc_id", "kind", "known", "base_name", "at.*"), "", "info", F.concat(mark, "base_name", F.lit(": did you mean "), mark, "known", F.lit("?")))
-    return said.withColumn("code", F.when(F.startswith("message", F.lit("\\")), "unknown-command").otherwise("unknown-environment"))
+    code = F.when(F.col("kind") == "command", "unknown-command").otherwise("unknown-environment")
+    return met.select("doc_id", code.alias("code"), F.lit("info").alias("severity"), F.concat(mark, "base_name", F.lit(": did you mean "), mark, "known", F.lit("?")).alias("message"), "at.start", "at.stop", "at.line", "at.col", "at.by")
+
+
+def _own_names() -> Column:
+    return F.transform(F.filter("definitions", lambda d: F.length(d["name"]) > 2), lambda d: F.struct(F.when(F.contains(F.lower(d["how"]), F.lit("environment")), "environment").otherwise("command").alias("kind"), d["name"].alias("known")))
+
+
+def unknown_names(parsed: DataFrame) -> DataFrame:
+    return _unknown(parsed.select("doc_id", F.inline(names_met(parsed))), parsed.select("doc_id", F.inline(_own_names()))).select(*COLUMNS)
+
+
+def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Included names (doc_id, fragment, folder, command, target, extension, start, ...) that no file of the manifest (path) fits: an anti join."""
+    from scriptorium.sources.documents import resolved
+
+    lost = resolved(wanted, files).filter("path IS NULL")
+    severity = F.when(F.col("fragment") | (F.col("command") == "include"), "warning").otherwise("error")
+    return lost.select("doc_id", F.lit("file-not-found").alias("code"), severity.alias("severity"), F.concat("target", F.lit(" is not found")).alias("message"), "start", "stop", "line", "col", "by")
+
+
+def _wanted(parsed: DataFrame, folders: DataFrame | None) -> DataFrame:
+    """Inclusions to be looked for: files and images; packages and classes are looked for where the document's folder has any."""
+    rows = parsed.select("doc_id", "fragment", F.inline("inclusions")).filter(F.col("extension").isin(".tex", "") & ~F.contains("target", F.lit("#")) & ~F.contains("target", F.lit("\\")))
+    if folders is None:
+        return rows.withColumn("folder", F.lit(""))
+    return rows.join(folders.select("doc_id", "folder"), "doc_id", "left")
+
+
+def files_not_found(parsed: DataFrame, files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Included files and images that no file of the manifest (path) fits, from the folders (doc_id, folder) of the documents."""
+    return missing_files(_wanted(parsed, folders), files).select(*COLUMNS)
+
+
+def diagnose(parsed: DataFrame, files: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
+    """Structure and meaning together: COLUMNS, fix_at, fix and by. Order by doc_id, start, stop, code to render.
+
+    The parsed table is read once: what its rules say, and the few names and inclusions that are joined, go to a table of their own.
+    """
+    kept = written(reports(parsed).select("doc_id", "fragment", "found", names_met(parsed).alias("met"), _own_names().alias("own"), "inclusions"), "reports")
+    found = kept.select("doc_id", F.inline("found"))
+    more = _unknown(kept.select("doc_id", F.inline("met")), kept.select("doc_id", F.inline("own")))
+    if files is not None:
+        more = more.unionByName(missing_files(_wanted(kept, folders), files))
+    none = F.lit(None)
+    return found.unionByName(more.withColumns({"fix_at": none.cast("int"), "fix": none.cast("string")}))
 
 
 def meaning(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """All rules of meaning over a parsed table."""
-    nodes = parsed.select("doc_id", F.inline("nodes"))
-    out = simple_rules(nodes)
-    for more in (pair_rules(nodes), order_rules(nodes), too_many_columns(parsed), table_rules(nodes), unknown_columns(parsed), definition_rules(parsed), invalid_lengths(parsed), unknown_names(parsed)):
-        out = out.unionByName(more)
+    """All rules of meaning over a parsed table, without those of structure."""
+    out = _rules(parsed, None).unionByName(unknown_names(parsed))
     return out if files is None else out.unionByName(files_not_found(parsed, files))
 
 
-def diagnose(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Structure and meaning together. Order by doc_id, start, stop, code to render."""
-    return structure(parsed).select(*COLUMNS).unionByName(meaning(parsed, files))
-
-
-def in_source(found: DataFrame, views: DataFrame) -> DataFrame:
-    """Diagnostics of views at the places of their sources; what several uses would say at one place is said once."""
-    own = views.select(F.col("doc_id").alias("d"), "text", "pieces", "expansions")
-    joined = found.join(own, F.col("doc_id") == F.col("d"))
-    first = F.element_at(F.filter("pieces", lambda p: p["start"] <= F.col("start")), -1)
-    last = F.element_at(F.filter("pieces", lambda p: p["start"] < F.greatest(F.col("stop"), F.col("start") + 1)), -1)
-    placed = joined.withColumn("a", first).withColumn("b", last)
-    begin = F.when(F.col("a.expansion").isNull(), F.col("a.source") + F.col("start") - F.col("a.start")).otherwise(F.col("a.source"))
-    end = F.when(F.col("b.expansion").isNull(), F.col("b.source") + F.col("stop") - F.col("b.start")).otherwise(F.col("b.source_stop"))
-    name = F.filter("expansions", lambda e: e["expansion_id"] == F.col("a.expansion"))[0]["name"]
-    written = F.when(F.col("a.expansion").isNotNull(), F.concat("message", F.lit(" (written by \\"), name, F.lit(")"))).otherwise(F.col("message"))
-    head = F.substr("text", F.lit(1), F.col("s"))
-    out = placed.select("doc_id", "code", "severity", written.alias("message"), F.coalesce(begin, "start").alias("s"), F.coalesce(end, "stop").alias("e"), "text")
-    out = out.select("doc_id", "code", "severity", "message", F.col("s").alias("start"), F.col("e").alias("stop"), (F.length(F.regexp_replace(head, r"[^\n]", "")) + 1).alias("line"), (F.col("s") - F.length(F.substring_index(F.concat(F.lit("\n"), head), "\n", -1)) * 0 - F.length(head) + F.length(F.element_at(F.split(head, "\n"), -1))).cast("int").alias("col"))
-    return out.dropDuplicates(["doc_id", "code", "message", "start", "stop"]).select(*COLUMNS)
-
-
-def check(docs: DataFrame, files: DataFrame | None = None, *, expanded: bool = True) -> DataFrame:
-    """Diagnostics of documents, by default of their expanded views, at source places."""
-    from scriptorium.operators.nodes import parse, views
-
-    if not expanded:
-        return diagnose(parse(docs), files)
-    seen = views(docs)
-    return in_source(diagnose(parse(seen.select("doc_id", F.col("view").alias("text"))), files), seen)
+def _rules(parsed: DataFrame, codes: tuple[str, ...] | None) -> DataFrame:
+    none = F.array().cast("array<struct<code:string,severity:string,message:string,start:int,stop:int,line:int,col:int,end_line:int,end_col:int,fix_at:int,fix:string,by:string>>")
+    rows = reports(parsed.withColumn("events", none)).select("doc_id", F.inline("found")).select(*COLUMNS)
+    return rows.filter(F.col("code").isin(*codes)) if codes else rows
+
+
+def pair_rules(parsed: DataFrame) -> DataFrame:
+    """left, middle and right, which are matched among siblings."""
+    return _rules(parsed, ("right-without-left", "middle-without-left", "left-without-right", "left-across-cells"))
+
+
+def order_rules(parsed: DataFrame) -> DataFrame:
+    """Rules about what comes before or again: labels and tags of an equation, text before an item, breaks without a line."""
+    return _rules(parsed, ("multiple-labels", "multiple-tags", "text-before-item", "text-in-preamble", "line-break-without-line"))
+
+
+def too_many_columns(parsed: DataFrame) -> DataFrame:
+    """Rows of tables with more cells than columns; reported at the end of the row."""
+    return _rules(parsed, ("too-many-columns",))
+
+
+def definition_rules(parsed: DataFrame) -> DataFrame:
+    return _rules(parsed, ("illegal-parameter", "already-defined", "not-a-command-name"))
+
+
+def invalid_lengths(parsed: DataFrame) -> DataFrame:
+    return _rules(parsed, ("invalid-length",))
+
+
+def in_source(found: DataFrame) -> DataFrame:
+    """Diagnostics of views, whose places are the source's, as a reader of the source gets them.
+
+    What a macro wrote says so; what several uses would say at one place is said once, as the first of them says it.
+    """
+    written_by = F.when(F.col("by").isNotNull(), F.concat("message", F.lit(" (written by \\"), "by", F.lit(")"))).otherwise(F.col("message"))
+    rest = F.struct("severity", "line", "col", "fix_at", "fix")
+    return found.withColumn("message", written_by).groupBy("doc_id", "code", "message", "start", "stop").agg(F.min(rest).alias("r")).select("doc_id", "code", "r.severity", "message", "start", "stop", "r.line", "r.col", "r.fix_at", "r.fix")
+
+
+def check(docs: DataFrame, files: DataFrame | None = None, *, expanded: bool = True, follow_inputs: bool = True) -> DataFrame:
+    """Diagnostics (COLUMNS, fix_at and fix) of documents, by default of their expanded views, at source places.
+
+    Where docs has a column `path`, documents know what the files of docs that they include define, unless follow_inputs is false, and names
+    are looked for from their own folder.
+    """
+    from scriptorium.operators.includes import parse_together
+    from scriptorium.operators.nodes import parse
+
+    paths = "path" in docs.columns
+    parsed = parse_together(docs, expanded=expanded) if paths and follow_inputs else parse(docs, expanded=expanded)
+    folders = docs.select("doc_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")) if paths else None
+    found = diagnose(parsed, files, folders)
+    return in_source(found) if expanded else found.drop("by")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -1,48 +1,70 @@
-"""Documents read together with the files that they include, so that definitions made there are known here."""
+"""Documents read together with the files that they include, so that definitions made there are known here.
+
+Each file is scanned once for what it defines and includes. That list, not its text, goes to the documents that reach it, by resolved path.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions import flatten
+from scriptorium.functions import flatten, kernel
 from scriptorium.functions.signatures import Table
-from scriptorium.operators.nodes import inclusions, parse, per_document
+from scriptorium.operators.nodes import per_document
 from scriptorium.sources.documents import resolved
+from scriptorium.tables import written
+
+LEARNED = "doc_id long, path string, learned string, wanted array<struct<target:string,extension:string>>"
+
+
+def files(docs: DataFrame, table: Table | None = None) -> DataFrame:
+    """(doc_id, path, learned, wanted): what each file of docs (doc_id, path, text) defines for good, as JSON, and what it names."""
+
+    def one(doc_id, text: str, path: str | None) -> dict:
+        package = bool(path) and path.endswith((".sty", ".cls"))
+        items = kernel.learned(text, table, package=package)
+        wanted = [{"target": name, "extension": value} for where, name, value in items if where == "include"]
+        return {"doc_id": doc_id, "path": path, "learned": json.dumps(items), "wanted": wanted}
+
+    return per_document(docs, LEARNED, one, "path")
+
 
-def edges(docs: DataFrame, table: Table | None = None) -> DataFrame:
-    """(path, target, to): which file of docs (doc_id, path, text) each one names, by folder and extension."""
-    named = inclusions(parse(docs, table)).filter("extension IN ('.tex', '.sty')")
-    placed = named.join(docs.select("doc_id", "path"), "doc_id").select(F.col("path").alias("from_path"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "target", "extension")
-    found = resolved(placed.distinct(), docs.select("path"))
-    return found.filter("path IS NOT NULL").select(F.col("from_path"), "target", F.col("path").alias("to_path")).distinct()
+def edges(scanned: DataFrame) -> DataFrame:
+    """(from_path, target, to_path): which file of files() each one names, by folder and extension."""
+    named = scanned.select(F.col("path").alias("from_path"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.inline("wanted")).distinct()
+    found = resolved(named, scanned.select("path"))
+    return found.filter("path IS NOT NULL").select("from_path", "target", F.col("path").alias("to_path")).distinct()
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(root, target, to_path): all that each file includes, itself or through others, however long the chain; cycles end."""
-    reach = edges.select(F.col("from_path").alias("root"), "target", "to_path")
+    """(root, to_path): all that each file includes, itself or through others, however long the chain; cycles end."""
+    reach = written(edges.select(F.col("from_path").alias("root"), "to_path").distinct(), "reach")
     size = reach.count()
     while True:  # each round doubles the length of the chains that are followed
-        step = reach.select(F.col("root").alias("f"), F.col("target").alias("t"), F.col("to_path").alias("p"))
-        more = reach.select("root", F.col("to_path").alias("f")).distinct().join(step, "f").select("root", F.col("t").alias("target"), F.col("p").alias("to_path"))
-        reach = reach.unionByName(more).distinct()
-        reach = reach.checkpoint() if checkpoints(reach) else reach.cache()
+        step = reach.select(F.col("root").alias("f"), F.col("to_path").alias("p"))
+        more = reach.select("root", F.col("to_path").alias("f")).join(step, "f").select("root", F.col("p").alias("to_path"))
+        reach = written(reach.unionByName(more).distinct(), "reach")
         new = reach.count()
         if new == size:
-            break
+            return reach
         size = new
-    return reach
 
 
-def checkpoints(df: DataFrame) -> bool:
-    """Whether the session has a folder for checkpoints; without one, the plan grows each round."""
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+def parse_together(docs: DataFrame, table: Table | None = None, *, expanded: bool = False) -> DataFrame:
+    """parse() of docs (doc_id, path, text) in which each knows what its included files define, in the order of their inclusion."""
+    scanned = written(files(docs, table), "files")
+    named = written(edges(scanned), "edges")
+    targets = named.groupBy("from_path").agg(F.map_from_entries(F.collect_list(F.struct("target", "to_path"))).alias("targets"))
+    # A file without definitions and inclusions of its own has nothing to tell.
+    told = scanned.filter("learned <> '[]'").select(F.col("path").alias("p"), "learned").join(targets, F.col("p") == F.col("from_path"), "left").select("p", "learned", "targets")
+    reached = closure(named).join(told, F.col("to_path") == F.col("p")).groupBy("root").agg(F.collect_list(F.struct("p", "learned", "targets")).alias("files"))
+    joined = docs.join(targets, F.col("path") == F.col("from_path"), "left").join(reached, F.col("path") == F.col("root"), "left").select("doc_id", "text", "path", "targets", "files")
 
+    def one(doc_id, text: str, path: str | None, own, reach) -> dict:
+        known = {r["p"]: {"targets": dict(r["targets"] or ()), "learned": json.loads(r["learned"])} for r in reach or ()}
+        known.setdefault(path, {"learned": []})["targets"] = dict(own or ())
+        return flatten.parsed(doc_id, text, table, files=known, path=path, expanded=expanded)
 
-def parse_together(docs: DataFrame, table: Table | None = None) -> DataFrame:
-    """parse() of docs (doc_id, path, text) in which each knows what its included files define."""
-    wanted = closure(edges(docs, table)).join(docs.select(F.col("path").alias("to_path"), F.col("text").alias("body")), "to_path")
-    # One text for each name, though two folders may have a file of it.
-    one_each = wanted.groupBy("root", "target").agg(F.min("body").alias("body")).groupBy(F.col("root").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("target", "body"))).alias("files"))
-    joined = docs.join(one_each, "path", "left").select("doc_id", "text", "files")
-    return per_document(joined, flatten.PARSED, lambda i, t, f: flatten.parsed(i, t, table, files=dict(f or ())), "files")
+    return per_document(joined, flatten.PARSED, one, "path", "targets", "files")

@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from scriptorium.functions import expand as expansion
 from scriptorium.functions import flatten, typeset
-from scriptorium.functions.kernel import scan, walk
+from scriptorium.functions.kernel import USUAL, scan, walk
 from scriptorium.functions.signatures import Table
 from scriptorium.session import ship
 
 BATCH = 64  # documents of an output batch; bounds a worker's memory, not what is read
-VIEW = "doc_id long, text string, view string, pieces array<struct<start:int,stop:int,source:int,source_stop:int,expansion:int,depth:int>>, expansions array<struct<expansion_id:int,name:string,source:int,source_stop:int,depth:int>>"
+VIEW = "doc_id long, text string, view string, pieces array<struct<start:int,stop:int,source:int,source_stop:int,expansion:int,depth:int>>, expansions array<struct<expansion_id:int,parent_id:int,name:string,source:int,source_stop:int,depth:int>>"
 PROSE = "doc_id long, prose string, marks array<struct<at:int,length:int,node_id:int,start:int,stop:int,faithful:boolean>>"
 
 
@@ -35,9 +35,12 @@ def per_document(docs: DataFrame, schema: str, one, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, schema)
 
 
-def parse(docs: DataFrame, table: Table | None = None, *, package: bool = False) -> DataFrame:
-    """One row a document (doc_id, text): text, fragment, and its nodes, events, definitions and inclusions as arrays."""
-    return per_document(docs, flatten.PARSED, lambda i, t: flatten.parsed(i, t, table, package))
+def parse(docs: DataFrame, table: Table | None = None, *, package: bool = False, expanded: bool = False) -> DataFrame:
+    """One row a document (doc_id, text): text, fragment, and its nodes, events, definitions, inclusions and more as arrays.
+
+    expanded: of the document with its macros expanded, all places told of the source, and `by` the macro that wrote there.
+    """
+    return per_document(docs, flatten.PARSED, lambda i, t: flatten.parsed(i, t, table, package, expanded=expanded))
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
@@ -57,6 +60,26 @@ def branches(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("branches"))
 
 
+def changes(parsed: DataFrame) -> DataFrame:
+    """(doc_id, start, character, category, everywhere): assignments of category codes, in order."""
+    return parsed.select("doc_id", F.inline("changes"))
+
+
+def with_categories(changed: DataFrame, base: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, categories): a fixed table of characters' categories, by default the usual one, as each document's changes leave it."""
+    known = F.create_map(*(F.lit(x) for pair in (base or USUAL).items() for x in pair))
+    last = changed.groupBy("doc_id", "character").agg(F.max_by("category", "start").alias("category")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("character", "category")))).alias("own"))
+    over = lambda m: F.map_filter(known, lambda k, v: ~F.map_contains_key(m, k))
+    return last.select("doc_id", F.map_concat(over(F.col("own")), "own").alias("categories"))
+
+
+def differences(categories: DataFrame, base: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, character, before, after): where a document's categories differ from a fixed table."""
+    known = F.create_map(*(F.lit(x) for pair in (base or USUAL).items() for x in pair))
+    rows = categories.select("doc_id", F.explode("categories").alias("character", "after")).withColumn("before", F.try_element_at(known, F.col("character")))
+    return rows.filter(~F.col("before").eqNullSafe(F.col("after"))).select("doc_id", "character", "before", "after")
+
+
 def inclusions(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("inclusions"))
 
@@ -89,11 +112,20 @@ def prose(docs: DataFrame, table: Table | None = None, *, math: str = "source")
 
 
 def search(said: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, nth, hit, at, node_id, source): every match of a Java regular expression in prose, with its place in the source."""
-    hits = said.select("doc_id", "marks", "prose", F.regexp_extract_all("prose", F.lit(f"(?s)(.*?)({pattern})"), F.lit(2)).alias("hits"), F.regexp_extract_all("prose", F.lit(f"(?s)(.*?)({pattern})"), F.lit(1)).alias("gaps"))
-    # Where a match begins: all gaps up to it and all matches before it.
-    each = hits.select("doc_id", "marks", "hits", "gaps", F.posexplode("hits").alias("k", "hit"))
-    at = F.length(F.array_join(F.slice("gaps", 1, F.col("k") + 1), "")) + F.length(F.array_join(F.slice("hits", 1, F.col("k")), ""))
-    found = each.withColumn("at", at)
-    mark = F.element_at(F.filter("marks", lambda m: m["at"] <= F.col("at")), -1)
-    return found.withColumn("m", mark).select("doc_id", (F.col("k") + 1).alias("nth"), "hit", "at", F.col("m.node_id").alias("node_id"), F.when(F.col("m.faithful"), F.col("m.start") + F.col("at") - F.col("m.at")).otherwise(F.col("m.start")).alias("source"))
+    """(doc_id, nth, hit, at, node_id, source): every match of a Java regular expression in prose, with its place in the source.
+
+    Places are running sums over matches, and marks are met by an as-of join: the last one at or before a match, by a window over both.
+    """
+    hits = F.regexp_extract_all("prose", F.lit(pattern), F.lit(0))
+    empty = F.raise_error(F.lit("the pattern matches the empty string")).cast("array<string>")
+    # What stands before each match, and the matches; the pattern has no group of ours around it, so its own references hold.
+    pieces = said.select("doc_id", F.split("prose", pattern, -1).alias("gaps"), hits.alias("hits")).select("doc_id", "gaps", F.when(F.array_contains("hits", ""), empty).otherwise(F.col("hits")).alias("hits"))
+    rows = pieces.select("doc_id", F.posexplode(F.zip_with(F.slice("gaps", F.lit(1), F.size("hits")), "hits", lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))).alias("k", "x"))
+    order = Window.partitionBy("doc_id").orderBy("k")
+    hits = rows.select("doc_id", (F.col("k") + 1).alias("nth"), "x.hit", (F.sum(F.col("x.gap") + F.length("x.hit")).over(order) - F.length("x.hit")).cast("int").alias("at"))
+    none = F.lit(None)
+    marks = said.select("doc_id", F.inline("marks"))
+    both = hits.select("doc_id", "at", "nth", "hit", none.cast("struct<at:int,node_id:int,start:int,faithful:boolean>").alias("m")).unionByName(marks.select("doc_id", "at", none.cast("int").alias("nth"), none.cast("string").alias("hit"), F.struct("at", "node_id", "start", "faithful").alias("m")))
+    upto = Window.partitionBy("doc_id").orderBy("at", F.col("nth").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("m", F.last("m", ignorenulls=True).over(upto)).filter("nth IS NOT NULL")
+    return found.select("doc_id", "nth", "hit", "at", F.col("m.node_id").alias("node_id"), F.when(F.col("m.faithful"), F.col("m.start") + F.col("at") - F.col("m.at")).otherwise(F.col("m.start")).alias("source"))

@@ -46,16 +46,25 @@ def commands_arguments(nodes: DataFrame, names: list[str], *, nargs: int | None
     (one by default) siblings; a bare command stands alone.
     """
     wanted = list(names) + ([f"{n}*" for n in names] if starred else [])
-    found = nodes.withColumn("following", F.collect_list(F.struct("node_id", "kind", F.col("content").alias("c"))).over(siblings().rowsBetween(1, 24))).filter(is_command(*wanted))
-    skip_comments = F.filter("following", lambda x: x["kind"] != "comment")
-    options = F.lit(nopt if nopt is not None else 0)
-    # Leading options, as many as allowed.
-    taken = F.aggregate(F.slice(skip_comments, 1, nopt or 1), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & (x["kind"] == "option") & (a["n"] < options), 1).otherwise(0)).alias("n"), (a["on"] & (x["kind"] == "option")).alias("on")))["n"]
-    by_hand = F.transform(F.slice(skip_comments, 1, taken + (nargs if nargs is not None else 1)), lambda x: x["node_id"])
+    found = nodes.filter(is_command(*wanted))
     if nargs is None and nopt is None:
-        args = F.when(F.col("spec").isNotNull(), F.col("args")).otherwise(by_hand)
+        known = F.when(F.col("spec").isNotNull(), F.coalesce("args", F.array().cast("array<int>")))
     else:
-        args = by_hand
+        known = F.lit(None).cast("array<int>")
+    found = found.withColumn("known", known)
+    # Without a signature: options as far as allowed among the siblings that follow, then the next siblings. Only the first `most` that are no comments
+    # can be meant, so that many are numbered from each occurrence on, whatever stands between.
+    most = (nopt or 0) + (nargs if nargs is not None else 1)
+    heads = found.filter("known IS NULL").select("doc_id", "parent_id", F.col("sib").alias("head_sib"), F.col("node_id").alias("head"))
+    few = nodes.filter(F.col("kind") != "comment").select("doc_id", "parent_id", "node_id", "kind", "sib").withColumn("rank", F.row_number().over(siblings()))
+    at = few.select("doc_id", "parent_id", F.col("node_id").alias("head"), F.col("rank").alias("head_rank")).join(heads.select("doc_id", "head"), ["doc_id", "head"], "left_semi")
+    near = at.select("doc_id", "parent_id", "head", F.explode(F.sequence(F.col("head_rank") + 1, F.col("head_rank") + most)).alias("rank"), "head_rank") if most else at.withColumn("rank", F.lit(-1))
+    following = near.join(few.select("doc_id", "parent_id", "rank", "node_id", "kind"), ["doc_id", "parent_id", "rank"]).groupBy("doc_id", "head").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id", "kind"))).alias("following"))
+    found = found.join(following.select(F.col("doc_id").alias("fd"), F.col("head").alias("fh"), "following"), (F.col("doc_id") == F.col("fd")) & (F.col("node_id") == F.col("fh")), "left")
+    options = F.lit(nopt if nopt is not None else 0)
+    taken = F.aggregate(F.coalesce("following", F.array().cast("array<struct<rank:int,node_id:int,kind:string>>")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & (x["kind"] == "option") & (a["n"] < options), 1).otherwise(0)).alias("n"), (a["on"] & (x["kind"] == "option")).alias("on")))["n"]
+    by_hand = F.transform(F.slice("following", F.lit(1), taken + (nargs if nargs is not None else 1)), lambda x: x["node_id"])
+    args = F.coalesce("known", by_hand)
     args = F.when(F.col("bare"), F.array().cast("array<int>")).otherwise(F.coalesce(args, F.array().cast("array<int>")))
     each = found.select("doc_id", F.col("node_id"), "name", F.posexplode(F.concat(F.array("node_id"), args)).alias("nth", "arg_id")).filter("arg_id IS NOT NULL")
     own = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("a"), F.col("kind").alias("arg_kind"), "start", "stop", "inner_start", "inner_stop", "line", "col")
@@ -141,3 +150,43 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.withColumnRenamed("fingerprint", "b"), after.withColumnRenamed("fingerprint", "a")
     state = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same")
     return b.join(a, "doc_id", "full").select("doc_id", state.alias("state"))
+
+
+def text_between(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, first, last, text): the source from the end of one node to the start of another; spans has doc_id, first, last, stop and start."""
+    return spans.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id").select("doc_id", "first", "last", raw_text("__text", "stop", "start").alias("text"))
+
+
+def missing_arguments(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, name, nth, kind): arguments by signature that a command or an environment can't do without, and lacks."""
+    kinds = F.filter(F.split(F.coalesce("spec", F.lit("")), " "), lambda k: ~k.isin("s", ""))
+    each = nodes.filter(F.col("args").isNotNull() & ~F.col("bare")).select("doc_id", "node_id", "name", F.posexplode(F.arrays_zip(kinds.alias("k"), F.col("args").alias("a"))).alias("nth", "x"))
+    return each.filter(F.col("x.a").isNull() & F.col("x.k").rlike("^[+]?[mr]")).select("doc_id", "node_id", "name", (F.col("nth") + 1).alias("nth"), F.col("x.k").alias("kind"))
+
+
+def enclosures(nodes: DataFrame, inner: DataFrame) -> DataFrame:
+    """(doc_id, node_id, outer, kind, name, level): the groups around each node of `inner`, the nearest with level 1; an ancestor is a range."""
+    groups = nodes.filter(F.col("kind").isin("brace", "option", "environment", "math")).select(F.col("doc_id").alias("d"), F.col("node_id").alias("outer"), F.col("last").alias("outer_last"), "kind", "name", "depth")
+    met = inner.select("doc_id", "node_id").join(groups, (F.col("doc_id") == F.col("d")) & (F.col("node_id") > F.col("outer")) & (F.col("node_id") <= F.col("outer_last")))
+    level = F.row_number().over(Window.partitionBy("doc_id", "node_id").orderBy(F.col("depth").desc()))
+    return met.withColumn("level", level).select("doc_id", "node_id", "outer", "kind", "name", "level")
+
+
+def in_order(nodes: DataFrame) -> DataFrame:
+    """Nodes with `place`, their rank in the order of spans: by start, what encloses first."""
+    return nodes.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", F.col("stop").desc(), "node_id")))
+
+
+def same_content(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, content_hash): equal hashes are equal trees, whatever their places; compare nodes by it."""
+    below = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), "depth", "kind", "name", "content", "delimiter")
+    met = nodes.select("doc_id", "node_id", "last", F.col("depth").alias("top")).join(below, (F.col("doc_id") == F.col("d")) & (F.col("n") >= F.col("node_id")) & (F.col("n") <= F.col("last")))
+    item = F.struct("n", F.concat_ws("|", F.col("depth") - F.col("top"), "kind", "name", "content", F.coalesce("delimiter", F.lit(""))).alias("t"))
+    return met.groupBy("doc_id", "node_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), "\n"), 256).alias("content_hash"))
+
+
+def hierarchy(nodes: DataFrame) -> DataFrame:
+    """(doc_id, hierarchy): one line a node, indented by depth: its kind, and name or content."""
+    said = F.when(F.col("kind") == "text", F.when(F.col("content") == "", "PAR").otherwise(F.concat(F.lit("'"), "content", F.lit("'")))).when(F.col("kind") == "command", F.concat(F.lit("\\"), "name")).when(F.col("kind") == "comment", F.concat(F.lit("%"), "content")).when(F.col("kind") == "math", F.col("delimiter")).otherwise(F.concat("kind", F.lit(" "), "name"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), said)
+    return nodes.filter("node_id > 0").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", line.alias("t")))), lambda x: x["t"]), "\n").alias("hierarchy"))

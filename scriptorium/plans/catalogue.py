@@ -133,12 +133,12 @@ def tex_too_many_columns(spark, sf_dir):
 
 def tex_delimiters(spark, sf_dir):
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("$"), F.when(F.col("p_size") % 4 == 0, "").otherwise("\\left( "), F.lit("x"), F.when(F.col("p_size") % 4 == 1, "").otherwise(" \\right)"), F.lit("$")).alias("text"))
-    return diagnostics.pair_rules(nodes.nodes(nodes.parse(docs))).select(_big("doc_id", "p_partkey"), "code", _big("col"))
+    return diagnostics.pair_rules(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "code", _big("col"))
 
 
 def tex_equation_labels(spark, sf_dir):
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\begin{equation}\n"), F.repeat(F.lit("\\label{l}\n"), (F.col("p_size") % 4).cast("int")), F.lit("x\n\\end{equation}")).alias("text"))
-    return diagnostics.order_rules(nodes.nodes(nodes.parse(docs))).select(_big("doc_id", "p_partkey"), "code", _big("line"))
+    return diagnostics.order_rules(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "code", _big("line"))
 
 
 def tex_definitions(spark, sf_dir):
