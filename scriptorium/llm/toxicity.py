@@ -1,9 +1,9 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence string kernel, through Nystroem landmarks.
 
 A text is a bag of segments: its words (ends stripped of signs; words with signs inside also without them), runs of single
-characters set apart, joined; long words as overlapping windows. The kernel of two segments sums over the character subsequences
+characters set apart by any white space, joined; long words as overlapping windows. A word broken into longer pieces is not joined. The kernel of two segments sums over the character subsequences
 of 3 and of 4 that both have, each occurrence weighted DECAY to the power of its span, spans bounded, and is divided by
-a function of the lengths. An insult with gaps or characters put in keeps most of its subsequences, so it stays near its landmark.
+a function of the lengths. Characters of all scripts are told apart (Latin letters without their marks), subsequences by 20 bits of a hash. An insult with gaps or characters put in keeps most of its subsequences, so it stays near its landmark.
 
 Labels are of whole texts, segments are learned as multiple instances: the words that several toxic texts have and clean texts
 hardly have seed the positive class, clean words the negative; then, in rounds, the worst clean segments join the negatives
@@ -35,16 +35,15 @@ from scriptorium.llm.svm import curve, fit_curve, fit_dense
 PER_CLASS, MAX_CHARS = 1500, 8_000
 DECAY, SPAN = 0.6, {3: 5, 4: 5}
 WINDOW = 24
-SYMBOLS = 28  # 26 letters, any other, and the edge of a segment
-OTHER, EDGE = 26, 27
+#: Subsequences are told apart by hashes of their characters' code points: of so many bits for each length.
+BITS = 20
+MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
+EDGE = ord("\n")
 LANDMARKS = 240
 FLOOR = -3.0
 
-_SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-_MAYBE = re.compile(r"\s\S\s\S\s")
-_CODES = np.full(256, OTHER, np.int32)
-_CODES[ord("a") : ord("z") + 1] = np.arange(26)
-_CODES[ord("\n")] = EDGE
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_MAYBE = re.compile(r"\s\S\s+\S\s")
 
 
 def _fold() -> dict[int, str]:
@@ -75,11 +74,11 @@ def _patterns() -> list[tuple[tuple[int, ...], float]]:
 
 
 PATTERNS = _patterns()
-SIZE = SYMBOLS**3 + SYMBOLS**4
+SIZE = 2 << BITS
 
 
 def spaced(low: str) -> list[str]:
-    """Runs of three single characters or more set apart, joined."""
+    """Runs of three single characters or more, whatever white space sets them apart, joined."""
     return ["".join(m[0].split()) for m in _SINGLES.finditer(low)] if _MAYBE.search(f" {low} ") else []
 
 
@@ -107,7 +106,7 @@ def segments(token: str) -> list[str]:
 def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all words with an edge on both sides of each, how far the next edge is from each place, and where words begin."""
     whole = "\n" + "\n".join(words) + "\n"
-    codes = _CODES[np.frombuffer(whole.translate(FOLD).encode("ascii", "replace"), np.uint8)]
+    codes = np.frombuffer(whole.translate(FOLD).encode("utf-32-le", "replace"), np.uint32)
     edges = np.flatnonzero(codes == EDGE)
     ahead = np.repeat(edges[1:], np.diff(edges)) - np.arange(edges[-1])
     return codes, ahead.astype(np.int32), edges[:-1]
@@ -117,13 +116,18 @@ def _occurrences(words: list[str]):
     """(place, subsequence, weight) of each pattern over the laid out words, and where words begin."""
     codes, ahead, begin = _laid_out(words)
     n = len(ahead)
-    padded = np.concatenate([codes, np.full(8, EDGE, np.int32)])
+    # Spread over all numbers first: sums of small numbers' multiples would meet too often.
+    spread = codes * np.uint32(MIX[3])
+    spread = (spread ^ spread >> np.uint32(15)) * np.uint32(MIX[2])
+    mixed = [spread * np.uint32(m) for m in MIX]  # by the character's place in the subsequence
     for at, weight in PATTERNS:
         ok = np.flatnonzero(ahead >= at[-1])
-        index = padded[ok]
-        for k in at[1:]:
-            index = index * SYMBOLS + padded[ok + k]
-        yield ok, index + (SYMBOLS**3 if len(at) == 4 else 0), weight, begin, n
+        index = mixed[0][ok]
+        for j, k in enumerate(at[1:], 1):
+            index += mixed[j][ok + k]
+        index ^= index >> np.uint32(15)
+        index *= np.uint32(MIX[0])
+        yield ok, (index >> np.uint32(32 - BITS)).astype(np.int64) + ((1 << BITS) if len(at) == 4 else 0), weight, begin, n
 
 
 def _norms() -> np.ndarray:
@@ -240,7 +244,12 @@ def _machine(positive: dict[str, int], negative: dict[str, int]) -> tuple[np.nda
 
 
 def fit(sample: list[tuple[str, int]], *, rounds: int = 3, chance: float = 1e-4, negatives: int = 3000) -> ToxicityModel:
-    """A model of labelled texts. chance: a word seeds the positive class if it were found in toxic texts alone with less than this, by chance."""
+    """A model of labelled texts.
+
+    chance: a word seeds the positive class if it were found in toxic texts alone with less than this, by chance. Fitting is bounded: about
+    `negatives` clean segments in alphabetical steps and the 500 most common ones, in each round the 500 worst, 240 landmarks, and
+    variants of the 40 most common seeds. Scoring has no such bounds.
+    """
     sample = list(dict.fromkeys(sample))
     toxic, clean = ([set().union(*map(segments, tokens(t))) for t, label in sample if label == want] for want in (1, 0))
     if not toxic or not clean:

@@ -1,6 +1,7 @@
 """SimHash, language model, BPE and the classifiers, against brute force or on held-out rows."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -227,8 +228,8 @@ def test_the_pattern_classes_agree_on_every_plain_character():
             assert own.core.encode_ordinary(t) == lib.encode(t, add_special_tokens=False).ids, hex(c)
 
 
-def held_out(spark, label, mod, rem):
-    docs, labels = spark.read.parquet(f"{BASE}/documents.parquet"), spark.read.parquet(f"{BASE}/labels.parquet")
+def held_out(spark, label, mod, rem, base=BASE):
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     score = toxicity.toxicity if label == "toxic" else quality.quality
     rows = score(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % mod == rem for r in rows)
@@ -323,6 +324,70 @@ def test_no_language_is_left_out_however_many(spark, monkeypatch):
     assert len({lang for _, lang in seen}) == 60 and len(seen) == 120
 
 
+def recall_and_precision(predicted, label):
+    hit = ((predicted == 1) & (label == 1)).sum()
+    return hit / max(1, (label == 1).sum()), hit / max(1, (predicted == 1).sum())
+
+
+def test_toxicity_recall_and_precision_on_held_out_rows(spark):
+    # A tenth of the rows is toxic, so that few labels tell of each insult; with ten times as many both are near 1 (README).
+    recall, precision = recall_and_precision(*held_out(spark, "toxic", 5, 0, "/root/testdata/sf0.1"))
+    assert recall > 0.8 and precision > 0.7
+
+
+def plain_kernel(a, b):
+    """The sum over equal subsequences of 3 and of 4 characters, both edges among them, of their weights, by the norms."""
+    def weights(word):
+        x, out = f"\n{word}\n", Counter()
+        for p, span in toxicity.SPAN.items():
+            for at in itertools.combinations(range(len(x)), p):
+                if at[-1] - at[0] < span:
+                    out["".join(x[k] for k in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(x[k] * y[k] for k in x) / toxicity.NORMS[len(a)] / toxicity.NORMS[len(b)]
+
+
+def test_the_kernel_is_that_of_plain_subsequences(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 24)  # so many that no two of these subsequences share a hash
+    monkeypatch.setattr(toxicity, "SIZE", 2 << 24)
+    rng = random.Random(16)
+    words = ["scoundrel", "scouxndrel", "s.c.o.u.n", "идиот", "идиоты", "домик", "笨蛋傻瓜", "a", "ab", "aaaaaa", "x1d10t"] + ["".join(rng.choices("abcdeж", k=rng.randint(1, 12))) for _ in range(20)]
+    got = toxicity.kernel(words, words)
+    want = np.array([[plain_kernel(a, b) for b in words] for a in words])
+    assert np.allclose(got, want, atol=1e-5)
+    assert got[3, 4] > 5 * got[3, 5]  # letters beyond a to z count
+    marks = words[:8]
+    values, vectors = np.linalg.eigh(toxicity.kernel(marks, marks))
+    root = vectors / np.sqrt(values)
+    beta = root @ rng_vector(8)
+    table = np.zeros(toxicity.SIZE)
+    for b, w in zip(beta, marks, strict=True):
+        keys, weights = toxicity._explicit(w)
+        table[keys] += b * weights
+    # The collapsed table says what the machine over landmark features says.
+    assert np.allclose(toxicity.table_scores(words, table), toxicity.kernel(words, marks) @ root @ rng_vector(8), atol=1e-4)
+
+
+def rng_vector(n):
+    return np.random.default_rng(4).normal(size=n)
+
+
+def test_toxicity_of_other_scripts():
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice(["но", "ра", "ко", "ни", "та", "ло"]) for _ in range(rng.randint(1, 4)))
+    sample = []
+    for k in range(400):
+        text = [word() for _ in range(40)]
+        if k % 2:
+            text[rng.randrange(40)] = "идиот"
+        sample.append((" ".join(text), k % 2))
+    model = toxicity.fit(sample)
+    assert (model.scores(["раз идиот кони", "и  д и\nо т", "идиооот"]) >= 0.5).all()
+    assert (model.scores(["рано кони тало", "лоток нитка"]) < 0.5).all()
+
+
 @pytest.mark.parametrize("score", [lambda d, la: quality.quality(d, la), lambda d, la: toxicity.toxicity(d, la), lambda d, la: langid.language_id(d)])
 def test_classifiers_on_odd_tables(spark, score):
     rng = random.Random(15)
