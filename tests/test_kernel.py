@@ -52,13 +52,15 @@ def test_trees(source, expected):
 
 
 DIAGNOSED = [
-    (r"\documentclass{a}\begin{document}{x\end{document}", {"unclosed-brace", "unclosed-environment"}),
+    (r"\documentclass{a}\begin{document}{x\end{document}", {"unclosed-brace"}),
     ("a } b", {"extra-brace"}),
     (r"\begin{center}\begin{quote}\end{center}", {"unclosed-environment"}),
     (r"\end{center}", {"end-without-begin"}),
     (r"\[ a $ b \]", {"dollar-in-math"}),
     (r"\[ a \( b \]", {"math-in-math"}),
     (r"a \) b", {"stray-math-close"}),
+    (r"\documentclass{a}\begin{document}\begin{center}\begin{quote}\end{center}\end{quote}\end{document}", {"crossed-environments"}),
+    (r"\begin{itemize}\item a\end{itemzie}", {"crossed-environment"}),
     (r"\verb|a", {"verb-across-lines"}),
     (r"\begin{verbatim}x", {"unclosed-verbatim"}),
     (r"\verb{a{b} c", {"verbatim-braces"}),
