@@ -4,8 +4,8 @@ Tokens of a text are its words (A-Z lower-cased, split at ASCII white space) and
 blocks of some BLOCK_TOKENS tokens, and a block asks for what the whole corpus says of its own words and n-grams: it sends each of them
 once, by a hash, with its own count. Requests are dealt by ranges of the hash, summed by key, and every asking block gets the
 sums back. Requests and answers of a block and a range are one row of packed arrays, so a very frequent n-gram is one number for each
-block wherever it goes, and no table of words or n-grams is ever held whole. Words are told apart by 128 bits, so their counts are exact
-whatever their number; n-grams by 64 bits.
+block wherever it goes, and no table of words or n-grams is ever held whole. Words are told apart by 96 bits, so their counts are exact
+(among 10 thousand million words, two are the same with a chance of 1e-9); n-grams by 64 bits.
 
 The model interpolates absolute discounting: words that occur LEAST times or more in the training documents make n-grams up to ORDER, and
 those that occur LEAST times or more are kept, however large the corpus is (`short` and `kept` can ask for shares of all tokens besides).
@@ -127,7 +127,7 @@ def encoded(docs: DataFrame, ranges: int, *, mod: int, rem: int, text_col: str =
                     ids, outside, learn, words = zip(*few, strict=True)
                     out.append({"block": number, "at": k, "doc_ids": ids, "held_out": outside, "learn": learn, "sizes": [len(x) for x in words], "ids": packed(place[np.concatenate(words)])})
                     few, many = [], 0
-            out += _requests(number, "count1", keys[order, 0], counts[order], ranges, keys[order, 1])
+            out += _requests(number, "count1", keys[order, 0], counts[order], ranges, (keys[order, 1] >> np.uint64(32)).astype(np.uint32))
             yield pa.RecordBatch.from_pylist(out, schema)
 
         for b in batches:
@@ -165,7 +165,7 @@ def summed(requests: DataFrame, least: dict[str, float]) -> DataFrame:
             order = np.argsort(keys, kind="stable")
             new = keys[order[1:]] != keys[order[:-1]]
         else:
-            more = np.concatenate(column("more", np.uint64))
+            more = np.concatenate(column("more", np.uint32))
             order = np.lexsort((more, keys))
             new = (keys[order[1:]] != keys[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
         first = np.concatenate([[True], new])
