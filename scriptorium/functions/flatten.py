@@ -213,6 +213,8 @@ def rows(s: Scanned, origin: Origin | None = None) -> tuple[list, ...]:
                 key = (ctx["math_id"] if rowwise is None else rowwise, row_of[rowwise], n.base)
                 numbered[key] += 1
                 place["nth"] = numbered[key]
+        if parent is s.root and n.kind == "command" and n.name == "begin":
+            texted = True  # of an environment that is never closed: what follows is not in the preamble
         if parent is s.root and not texted and ctx["body"] is False and not ctx["defining"] and id(n) not in owner and n.kind == "text" and n.content:
             texted = place["first"] = True
         if parent is not None and n is parent.children[-1]:

@@ -60,11 +60,12 @@ def prose(s: Scanned, math: str = "source") -> tuple[str, list[tuple[int, int, i
             nodes = [n for n in nodes if n.role is None and n.start not in discarded]
         previous = None
         for k, n in enumerate(nodes):
+            if id(n) in used:
+                previous = max(previous or 0, n.end)
+                continue
             if previous is not None and n.start > previous and s.text[previous : n.start].strip() == "" and s.text[previous : n.start]:
                 out.space(" ")
             previous = max(previous or 0, n.end)
-            if id(n) in used:
-                continue
             if n.kind == "text":
                 if n.is_par():
                     out.space("\n\n")
@@ -113,6 +114,8 @@ def prose(s: Scanned, math: str = "source") -> tuple[str, list[tuple[int, int, i
             return
         if n.base in WORDS:
             word = WORDS[n.base]
+            if word[:1] == " ":
+                out.space(" ")
             if word.strip():
                 out.ink(word.strip(), n)
             if word[-1:] == " ":

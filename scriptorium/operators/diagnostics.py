@@ -296,14 +296,55 @@ def tallies(found: DataFrame, examples: int = 5) -> DataFrame:
     return counted.join(few, ["severity", "code"])
 
 
-def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json): one object a diagnostic, columns from 1."""
-    return found.select("doc_id", F.to_json(F.struct(F.col("line"), (F.col("col") + 1).alias("column"), "severity", "code", "message")).alias("json"))
+def with_ends(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Diagnostics with end_line and end_col, from the documents' lines: an as-of join of ends to line starts."""
+    own = lines_of(docs).withColumn("first", F.sum(F.length("text") + F.length("eol")).over(Window.partitionBy("doc_id").orderBy("line")) - F.length("text") - F.length("eol"))
+    none = F.lit(None)
+    rows = found.withColumn("__row", F.monotonically_increasing_id())
+    both = rows.select("doc_id", F.col("stop").alias("at"), "__row", none.cast("struct<line:int,first:bigint>").alias("l")).unionByName(own.select("doc_id", F.col("first").alias("at"), none.cast("long").alias("__row"), F.struct("line", "first").alias("l")))
+    upto = Window.partitionBy("doc_id").orderBy("at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.withColumn("l", F.last("l", ignorenulls=True).over(upto)).filter("__row IS NOT NULL").select("__row", F.coalesce("l.line", F.lit(1)).alias("end_line"), (F.col("at") - F.coalesce("l.first", F.lit(0))).cast("int").alias("end_col"))
+    return rows.join(ends, "__row").drop("__row")
+
 
+def suggestion(found: DataFrame) -> Column:
+    """What a fix proposes, in words; null where nothing is proposed."""
+    if "fix" not in found.columns:
+        return F.lit(None).cast("string")
+    return F.when(F.col("fix").isNotNull(), F.concat(F.lit("put in "), "fix"))
 
-def render_text(found: DataFrame, docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, line, col, rendered): header, the line's excerpt and a mark under it."""
+
+def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json): one object a diagnostic, columns from 1; with docs (doc_id, text, path) also the file, the end and what is suggested."""
+    fields = [F.col("line"), (F.col("col") + 1).alias("column"), "severity", "code", "message"]
+    if docs is not None:
+        if "fix" in found.columns:
+            fields.append(suggestion(found).alias("suggestion"))
+        found = with_ends(found, docs)
+        if "path" in docs.columns:
+            found = found.join(docs.select("doc_id", F.col("path").alias("__path")), "doc_id")
+            fields = [F.col("__path").alias("file"), *fields]
+        fields = [*fields, F.col("end_line"), (F.col("end_col") + 1).alias("end_column")]
+    return found.select("doc_id", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def render_text(found: DataFrame, docs: DataFrame, width: int = 100, *, color: bool = False) -> DataFrame:
+    """(doc_id, line, col, rendered): header, a window of the line around the place, a mark under it, and the fix."""
     own = lines_of(docs).withColumnRenamed("text", "source").drop("eol")
-    joined = found.join(own, ["doc_id", "line"], "left")
-    marks = F.concat(F.repeat(F.lit(" "), F.col("col")), F.lit("^"), F.repeat(F.lit("~"), F.greatest(F.lit(0), F.least(F.col("stop") - F.col("start"), F.lit(width)) - 1)))
-    return joined.select("doc_id", "line", "col", F.concat(F.format_string("%d:%d: %s [%s] %s\n", "line", F.col("col") + 1, "severity", "code", "message"), F.coalesce(F.substr("source", F.lit(1), F.lit(width)), F.lit("")), F.lit("\n"), marks).alias("rendered"))
+    joined = found.join(own, ["doc_id", "line"], "left").withColumn("source", F.coalesce("source", F.lit("")))
+    # A longer line is shown from a quarter of the window before the place, and so that the window is full.
+    begin = F.greatest(F.lit(0), F.least(F.col("col") - width // 4, F.length("source") - width))
+    joined = joined.withColumn("begin", F.when(F.length("source") <= width, 0).otherwise(begin))
+    excerpt = F.substr("source", F.col("begin") + 1, F.lit(width))
+    wide = F.greatest(F.lit(0), F.least(F.col("stop") - F.col("start"), F.length("source") - F.col("col"), F.lit(width) - (F.col("col") - F.col("begin"))) - 1)
+    marks = F.concat(F.repeat(F.lit(" "), F.col("col") - F.col("begin")), F.lit("^"), F.repeat(F.lit("~"), wide))
+    fix = F.when(suggestion(found).isNotNull(), F.concat(F.lit("\n= "), suggestion(found))).otherwise("") if "fix" in found.columns else F.lit("")
+    tone = F.when(F.col("severity") == "error", "\x1b[31m").when(F.col("severity") == "warning", "\x1b[33m").otherwise("\x1b[36m")
+    severity = F.concat(tone, "severity", F.lit("\x1b[0m")) if color else F.col("severity")
+    return joined.select("doc_id", "line", "col", F.concat(F.format_string("%d:%d: %s [%s] %s\n", "line", F.col("col") + 1, severity, "code", "message"), excerpt, F.lit("\n"), marks, fix).alias("rendered"))
+
+
+def code_counts(found: DataFrame) -> DataFrame:
+    """(doc_id, errors, warnings, infos): the counts of each document."""
+    count = lambda s: F.count_if(F.col("severity") == s).alias(f"{s}s")
+    return found.groupBy("doc_id").agg(count("error"), count("warning"), count("info"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.sources.documents import lines as lines_of
+
 LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 
 
@@ -27,6 +29,30 @@ def section_blocks(parsed: DataFrame) -> DataFrame:
     )
 
 
+def blocks(parsed: DataFrame) -> DataFrame:
+    """(doc_id, block_id, parent_id, what, label, level, start, stop, line, until): sections, and within them environments, displayed formulas,
+    verbatim, commands over several lines and discarded branches. A block's parent is the nearest section or group that holds it.
+    """
+    sections = section_blocks(parsed).withColumn("what", F.lit("section"))
+    long = lambda n: (n["kind"] == "command") & ~n["bare"] & F.coalesce(F.exists(n["args"], lambda a: F.try_element_at("nodes", a + 1)["end_line"] > n["line"]), F.lit(False)) & ~n["base_name"].isin(*LEVELS)
+    shown = lambda n: (n["kind"].isin("environment", "verbatim") & (n["name"] != "document")) | ((n["kind"] == "math") & n["delimiter"].isin("\\[", "$$")) | long(n)
+    what = F.when(F.col("kind") == "environment", F.when(F.col("mode") == "math", "math").otherwise("environment")).otherwise(F.col("kind"))
+    groups = parsed.select("doc_id", F.inline(F.transform(F.filter("nodes", shown), lambda n: F.struct(n["node_id"].alias("block_id"), n["kind"].alias("kind"), n["mode"].alias("mode"), F.when(n["kind"] == "math", n["delimiter"]).otherwise(n["name"]).alias("label"), n["start"].alias("start"), n["stop"].alias("stop"), n["line"].alias("line"), (n["last"] + 1).alias("until"))))).withColumn("what", what)
+    branches = parsed.select("doc_id", F.inline(F.transform(F.filter("branches", lambda b: b["taken"] == F.lit(False)), lambda b: F.struct(b["condition"].alias("block_id"), b["start"].alias("start"), b["stop"].alias("stop"), F.try_element_at("nodes", b["condition"] + 1)["line"].alias("line"), F.try_element_at("nodes", b["condition"] + 1)["name"].alias("label")))))
+    branches = branches.withColumn("what", F.lit("discarded")).withColumn("until", F.col("block_id") + 1)
+    columns = ["doc_id", "block_id", "what", "label", "start", "stop", "line", "until"]
+    rows = sections.select(*columns, "level").unionByName(groups.select(*columns, F.lit(None).cast("int").alias("level"))).unionByName(branches.select(*columns, F.lit(None).cast("int").alias("level")))
+    # The nearest block that opens before and closes after: the last such in document order.
+    outer = rows.filter("what <> 'discarded'").select(F.col("doc_id").alias("d"), F.col("block_id").alias("outer"), F.col("until").alias("outer_until"), F.col("start").alias("outer_start"))
+    met = rows.join(outer, (F.col("doc_id") == F.col("d")) & (F.col("outer") < F.col("block_id")) & (F.col("outer_until") >= F.col("until")), "left")
+    return met.groupBy(*columns, "level").agg(F.max("outer").alias("parent_id")).select("doc_id", "block_id", "parent_id", "what", "label", "level", "start", "stop", "line", "until")
+
+
+def child_labels(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block_id, label, n): how many of a block's children have each label: what a hidden block holds."""
+    return blocks.filter("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("block_id"), "label").agg(F.count("*").alias("n"))
+
+
 def block_stats(parsed: DataFrame) -> DataFrame:
     """(doc_id, block_id, key, n): words, formulas and environments by their nearest section; block 0 is what stands before any."""
     heads = F.transform(F.filter("nodes", lambda n: (n["kind"] == "command") & n["base_name"].isin(*LEVELS) & ~n["bare"]), lambda n: n["node_id"])
@@ -47,8 +73,9 @@ def rolled_up(blocks: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def top_stats(stats: DataFrame, k: int = 3) -> DataFrame:
-    """Words, then the k most common others of each block; ties by key."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy((F.col("key") != "words"), F.col("n").desc(), "key"))
+    """Words, then the k most common others of each block; of equals the first seen (column `first`, where stats has it), then by key."""
+    order = [(F.col("key") != "words"), F.col("n").desc(), *([F.col("first")] if "first" in stats.columns else []), F.col("key")]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy(*order))
     return stats.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
 
 
@@ -60,12 +87,39 @@ def runs(blocks: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "parent_id", "island", "label").agg(F.min("block_id").alias("first"), F.count("*").alias("n")).drop("island")
 
 
-def outline(blocks: DataFrame, stats: DataFrame) -> DataFrame:
-    """(doc_id, outline): each document's sections, indented by level, with their numbers of words."""
+def outline(blocks: DataFrame, stats: DataFrame, *, depth: int | None = None, width: int | None = None, grouped: bool = False) -> DataFrame:
+    """(doc_id, outline): each document's sections, indented by level, with their numbers of words.
+
+    depth: levels below it are left out; width: longer lines end in an ellipsis; grouped: equal neighbours without words of their own that
+    follow each other are one line with their number.
+    """
     own = stats.filter("key = 'words'").select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), F.col("n").alias("words"))
-    line = F.concat(F.repeat(F.lit("  "), F.col("level")), F.coalesce("label", F.lit("")), F.lit(" ("), F.coalesce("words", F.lit(0)).cast("string"), F.lit(" words)"))
-    rows = blocks.join(own, (F.col("doc_id") == F.col("d")) & (F.col("block_id") == F.col("b")), "left").select("doc_id", F.struct("block_id", line.alias("t")).alias("x"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("outline"))
+    rows = blocks.join(own, (F.col("doc_id") == F.col("d")) & (F.col("block_id") == F.col("b")), "left")
+    if depth is not None:
+        rows = rows.filter(F.col("level") <= depth)
+    rows = rows.withColumn("words", F.coalesce("words", F.lit(0))).withColumn("times", F.lit(1))
+    if grouped:
+        order = Window.partitionBy("doc_id").orderBy("block_id")
+        same = F.lag(F.struct("parent_id", "level", "label", "words")).over(order).eqNullSafe(F.struct("parent_id", "level", "label", "words"))
+        rows = rows.withColumn("island", F.sum(F.when(same, 0).otherwise(1)).over(order))
+        rows = rows.groupBy("doc_id", "island", "level", "label", "words").agg(F.min("block_id").alias("block_id"), F.count("*").alias("times"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("level")), F.coalesce("label", F.lit("")), F.lit(" ("), F.col("words").cast("string"), F.lit(" words)"), F.when(F.col("times") > 1, F.concat(F.lit(" ×"), F.col("times").cast("string"))).otherwise(""))
+    if width is not None:
+        line = F.when(F.length(line) > width, F.concat(F.substr(line, F.lit(1), F.lit(width - 1)), F.lit("…"))).otherwise(line)
+    listed = rows.select("doc_id", F.struct("block_id", line.alias("t")).alias("x"))
+    return listed.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("outline"))
+
+
+def html_page(docs: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, page): a document as a page of its own: its outline on one side, its source with marked diagnostics on the other."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    said = found.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "stop", "severity", "message"))), lambda x: F.concat(F.lit('<span class="'), x["severity"], F.lit('">'), escaped(x["message"]), F.lit("</span>"))), "").alias("notes"))
+    source = lines_of(docs).join(said, ["doc_id", "line"], "left").select("doc_id", F.struct("line", F.concat(F.lit('<li id="l'), F.col("line").cast("string"), F.lit('">'), escaped(F.col("text")), F.coalesce("notes", F.lit("")), F.lit("</li>")).alias("t")).alias("x"))
+    body = source.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("source"))
+    item = F.concat(F.lit('<li class="level'), F.coalesce("level", F.lit(9)).cast("string"), F.lit('"><a href="#l'), F.col("line").cast("string"), F.lit('">'), escaped(F.coalesce("label", F.lit(""))), F.lit("</a></li>"))
+    nav = blocks.select("doc_id", F.struct("block_id", item.alias("t")).alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("nav"))
+    joined = docs.select("doc_id").join(body, "doc_id", "left").join(nav, "doc_id", "left")
+    return joined.select("doc_id", F.concat(F.lit("<!doctype html><meta charset=utf-8><nav><ul>\n"), F.coalesce("nav", F.lit("")), F.lit("\n</ul></nav><main><ol>\n"), F.coalesce("source", F.lit("")), F.lit("\n</ol></main>")).alias("page"))
 
 
 def environments_counted(nodes: DataFrame) -> DataFrame:

@@ -6,19 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 where it is, without a byte-order mark; else Latin-1."""
+#: The extensions that an image may be named without.
+IMAGES = (".pdf", ".png", ".jpg", ".jpeg", ".eps", ".mps")
+
+
+def decoded(content: Column, encoding: str | None = None) -> Column:
+    """UTF-8 where it is, without a byte-order mark; else Latin-1. A forced encoding that doesn't fit is an error."""
+    if encoding is not None:
+        if encoding.lower().replace("-", "") in ("utf8", "utf8sig"):
+            wrong = F.raise_error(F.lit(f"a file is not {encoding}")).cast("string")
+            return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(wrong), "^\ufeff", "")
+        return F.regexp_replace(F.decode(content, encoding), "^\ufeff", "")
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
     return F.regexp_replace(text, "^\ufeff", "")
 
 
-def read_folder(spark: SparkSession, path: str, glob: str = "*.tex") -> DataFrame:
+def encoding_of(content: Column) -> Column:
+    marked = F.startswith(F.hex(F.substring(content, 1, 3)), F.lit("EFBBBF"))
+    return F.when(~F.is_valid_utf8(content.cast("string")), "latin-1").when(marked, "utf-8-sig").otherwise("utf-8")
+
+
+def read_folder(spark: SparkSession, path: str, glob: str = "*.tex", encoding: str | None = None) -> DataFrame:
     """(doc_id, path, name, encoding, text) of the files under a folder; doc_id is a hash of the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     raw = F.col("content")
-    marked = F.startswith(F.hex(F.substring(raw, 1, 3)), F.lit("EFBBBF"))
-    encoding = F.when(~F.is_valid_utf8(raw.cast("string")), "latin-1").when(marked, "utf-8-sig").otherwise("utf-8")
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), encoding.alias("encoding"), decoded(raw).alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), (F.lit(encoding) if encoding else encoding_of(raw)).alias("encoding"), decoded(raw, encoding).alias("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -35,21 +47,36 @@ def master_names(docs: DataFrame) -> DataFrame:
     return named.groupBy("doc_id").agg(F.min_by("root", "line").alias("root"))
 
 
+def masters(docs: DataFrame) -> DataFrame:
+    """(doc_id, master_id, path): the master document of each that names one: it must exist among docs (doc_id, path, text) and be another."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    named = master_names(docs).join(docs.select("doc_id", folder.alias("folder")), "doc_id").select("doc_id", "folder", F.col("root").alias("target"), F.lit(".tex").alias("extension"))
+    found = resolved(named, docs.select("path")).filter("path IS NOT NULL").select("doc_id", "path")
+    return found.join(docs.select(F.col("doc_id").alias("master_id"), "path"), "path").filter("doc_id <> master_id").select("doc_id", "master_id", "path")
+
+
 def normalized(path: Column) -> Column:
     """A path without `./`, `x/..` and doubled slashes."""
-    p = F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(^|/)\./", "$1")
+    p = F.regexp_replace(F.regexp_replace(path, "(?<!:)/{2,}", "/"), r"(^|/)\./", "$1")
     return F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
 
 
-def resolved(inclusions: DataFrame, files: DataFrame) -> DataFrame:
+def resolved(inclusions: DataFrame, files: DataFrame, trees: DataFrame | None = None) -> DataFrame:
     """inclusions (doc_id, folder, target, extension, ...) with `path` of the manifest files (path), null where none fits.
 
-    The target with its extension comes first; a .tex target may also be named barely.
+    The target with its extension comes first; a .tex target may also be named barely, an image without its extension. Names without a folder that
+    aren't found there are looked for by name in `trees` (path), a manifest of the files that a distribution has; of several, the first path.
     """
+    if trees is not None:
+        near = resolved(inclusions.withColumn("__n", F.monotonically_increasing_id()), files)
+        bare = F.when(~F.contains("target", F.lit("/")), F.when(F.endswith("target", F.col("extension")), F.col("target")).otherwise(F.concat("target", "extension")))
+        far = trees.groupBy(F.element_at(F.split("path", "/"), -1).alias("__file")).agg(F.min("path").alias("__far"))
+        return near.withColumn("__bare", bare).join(far, F.col("__bare") == F.col("__file"), "left").withColumn("path", F.coalesce("path", "__far")).drop("__n", "__bare", "__file", "__far")
     # One candidate a row, so that the manifest is met by an equi-join whatever its size.
     numbered = inclusions.withColumn("__row", F.monotonically_increasing_id())
     with_ext = F.when(F.col("extension") == "", F.col("target")).when(F.endswith("target", F.col("extension")), F.col("target")).otherwise(F.concat("target", "extension"))
-    options = F.array_distinct(F.array(with_ext, F.when(F.col("extension").isin(".tex", ""), F.col("target")).otherwise(with_ext)))
+    images = [F.when(F.col("extension") == "", F.concat("target", F.lit(e))).otherwise(with_ext) for e in IMAGES]
+    options = F.array_distinct(F.array(with_ext, F.when(F.col("extension").isin(".tex", ""), F.col("target")).otherwise(with_ext), *images))
     base = F.when(F.startswith("target", F.lit("/")) | (F.coalesce("folder", F.lit("")) == ""), F.lit("")).otherwise(F.concat("folder", F.lit("/")))
     tried = numbered.select("*", F.posexplode(options).alias("__rank", "__name")).withColumn("__path", normalized(F.concat(base, F.col("__name"))))
     found = tried.join(files.select(F.col("path").alias("__found")).distinct(), F.col("__path") == F.col("__found"), "left")

@@ -1,14 +1,17 @@
-"""Live buffers: the newest text of each is checked whole, a trigger's interval after it changed."""
+"""Live buffers: the newest text of each is checked whole, at once where it was opened or saved, else when it rests."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scriptorium.operators import diagnostics
+from scriptorium.sources.documents import lines as lines_of
 
 DEBOUNCE = "300 milliseconds"
 
@@ -18,6 +21,56 @@ def newest(events: DataFrame) -> DataFrame:
     return events.groupBy("uri").agg(F.max_by(F.struct("version", "kind", "text"), "version").alias("e")).select("uri", "e.*")
 
 
+DUE = "uri string, version long, kind string, text string"
+
+
+def due(stream: DataFrame, *, debounce_ms: int = 300) -> DataFrame:
+    """(uri, version, kind, text) of buffers whose time has come: opened, saved and closed ones at once, changed ones when they rest.
+
+    State holds the newest event of each buffer, so an older version that comes late, in whatever batch, is dropped; a timer of processing
+    time tells when no change came for the debounce time. A closed buffer's state goes.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = pd.DataFrame({"uri": pd.Series(dtype=str), "version": pd.Series(dtype="int64"), "kind": pd.Series(dtype=str), "text": pd.Series(dtype=str)})
+        if state.hasTimedOut:
+            version, kind, text, _ = state.get
+            state.update((version, kind, text, False))
+            yield pd.DataFrame({"uri": [key[0]], "version": [version], "kind": [kind], "text": [text]})
+            return
+        now = state.get if state.exists else (-1, "", None, False)
+        urgent = False
+        for frame in frames:
+            for version, kind, text in frame[["version", "kind", "text"]].itertuples(index=False):
+                if version > now[0]:
+                    now = (int(version), kind, text, True)
+                    urgent |= kind != "change"
+        if not now[3]:
+            yield told  # nothing newer than what was told
+            return
+        if now[1] == "close":
+            state.remove()
+        elif urgent:
+            state.update((*now[:3], False))
+        else:
+            state.update(now)
+            state.setTimeoutDuration(debounce_ms)
+            yield told
+            return
+        yield pd.DataFrame({"uri": [key[0]], "version": [now[0]], "kind": [now[1]], "text": [now[2]]})
+
+    return stream.groupBy("uri").applyInPandasWithState(step, DUE, "version long, kind string, text string, waits boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def projected(found: DataFrame, docs: DataFrame, encoding: str = "utf-16") -> DataFrame:
+    """(doc_id, severity, code, message, line, character, fix): diagnostics as an editor takes them: severities 1 to 3, lines from 0, its own units."""
+    rank = F.when(F.col("severity") == "error", 1).when(F.col("severity") == "warning", 2).otherwise(3)
+    own = lines_of(docs).select("doc_id", "line", F.col("text").alias("__line"))
+    joined = found.join(own, ["doc_id", "line"], "left")
+    fix = F.col("fix") if "fix" in found.columns else F.lit(None).cast("string")
+    return joined.select("doc_id", rank.alias("severity"), "code", "message", (F.col("line") - 1).alias("line"), units(F.coalesce("__line", F.lit("")), F.col("col"), encoding).alias("character"), fix.alias("fix"))
+
+
 def checked(events: DataFrame) -> DataFrame:
     """(uri, diagnostics): of the newest text of each buffer; a closed one has none."""
     last = newest(events).withColumn("doc_id", F.xxhash64("uri"))
@@ -28,10 +81,24 @@ def checked(events: DataFrame) -> DataFrame:
 
 
 def publish(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, debounce: str = DEBOUNCE) -> StreamingQuery:
-    """Starts checking a stream of (uri, version, kind, text) events; `sink` gets each micro-batch's checked buffers."""
+    """Starts checking a stream of (uri, version, kind, text) events; `sink` gets each micro-batch's checked buffers. The trigger's interval debounces."""
     return stream.writeStream.foreachBatch(lambda batch, n: sink(checked(batch), n)).option("checkpointLocation", checkpoint).trigger(processingTime=debounce).start()
 
 
+def publish_settled(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, debounce_ms: int = 300, trigger: str = "100 milliseconds") -> StreamingQuery:
+    """The same by due(): each buffer has a time of its own. Batches run on for the timers, also without new events."""
+
+    def told(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                sink(checked(batch), n)
+        finally:
+            batch.unpersist()
+
+    return due(stream, debounce_ms=debounce_ms).writeStream.outputMode("update").foreachBatch(told).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+
+
 def units(text: Column, upto: Column, encoding: str) -> Column:
     """The column of a place in the client's units: utf-8, utf-16 or utf-32."""
     head = F.substr(text, F.lit(1), upto)

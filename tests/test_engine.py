@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import duckdb
 import pytest
@@ -122,6 +123,28 @@ def test_live_buffers(spark, tmp_path):
     assert spark.createDataFrame([("é🙂x",)], "t string").select(*(buffers.units(spark_col("t"), spark_lit(2), e) for e in ("utf-8", "utf-16", "utf-32"))).first()[:] == (6, 3, 2)
 
 
+def test_buffers_that_rest(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "uri string, version long, kind string, text string"
+    spark.createDataFrame([("u", 3, "change", "a } b"), ("v", 1, "open", "$x"), ("w", 2, "save", "}")], schema).coalesce(1).write.json(path)
+    seen = []
+    q = buffers.publish_settled(spark.readStream.schema(schema).json(path), lambda df, n: seen.extend((r["uri"], r["version"], [x["code"] for x in r["diagnostics"]]) for r in df.collect()), str(tmp_path / "state"), debounce_ms=200)
+    try:
+        def wait(for_what):
+            end = time.time() + 90
+            while not for_what() and time.time() < end:
+                time.sleep(0.3)
+            assert for_what(), seen
+
+        wait(lambda: len(seen) >= 3)
+        # An older version that comes in a later batch is dropped; closing says that nothing is left.
+        spark.createDataFrame([("u", 2, "save", "fine"), ("w", 3, "close", None)], schema).coalesce(1).write.mode("append").json(path)
+        wait(lambda: ("w", 3, []) in seen)
+    finally:
+        q.stop()
+    assert ("u", 3, ["extra-brace"]) in seen and ("v", 1, ["unclosed-math"]) in seen and ("w", 2, ["extra-brace"]) in seen
+    assert not any(u == "u" and v == 2 for u, v, _ in seen)
+
+
 def spark_col(name):
     from pyspark.sql import functions as F
 
