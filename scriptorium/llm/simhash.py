@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest doc_id (then of the least text hash).
 
-    Where rows with this same id and text are repeated, one of them stays.
+    Where rows with this same id and text are repeated, the first by all other columns stays.
     """
     ident = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     marked = written(with_fingerprints(docs, ident, "doc_id long, text_hash long"), "marked")
@@ -195,5 +195,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__hash": F.xxhash64("text")}).join(kept, ["__id", "__null", "__hash"], "left_semi")
     repeated = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if repeated:  # only then does a kept row have others like it
-        out = out.dropDuplicates(["__id", "__null", "__hash"])
+        others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+        nth = F.row_number().over(Window.partitionBy("__id", "__null", "__hash").orderBy(others))
+        out = out.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
     return out.drop("__id", "__null", "__hash")

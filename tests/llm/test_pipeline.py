@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, held against a plain version of its rule."""
 
+import random
+
 import corpus_pipeline
 import __spark_entry__
 from scriptorium.llm import langid, toxicity
@@ -41,3 +43,44 @@ def test_registered():
     names = list(__spark_entry__.queries())
     assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def odd(spark, tmp_path):
+    """Tables in which each stage has something to do, and all odd cases."""
+    rng = random.Random(21)
+    say = lambda parts, n: " ".join("".join(rng.choices(parts, k=2)) for _ in range(n))
+    en, de = ["the", "and", "ing", "wh"], ["sch", "ung", "ein", "ich"]
+    rows = []
+    for k in range(120):
+        text = say(en if k % 2 else de, 40)
+        if k % 3 == 0:
+            text += " scoundrel"
+        rows.append((k, text, "en" if k % 2 else "de", "s", len(text)))
+    passage = say(en, 30)
+    rows += [(200, None, None, "s", 0), (201, "", "en", "s", 0), (None, say(en, 40), "en", "s", 1), (202, say(en, 20) + " " + passage + " " + say(en, 5), "en", "s", 1), (203, "1234 !", "en", "s", 6)]
+    rows += [(7, rows[7][1], "en", "b", 2), (7, rows[7][1], "en", "a", 2), (301, rows[9 + 2][1], "en", "s", 3), (302, "the and " * 300_000, "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").selectExpr("*", "'x' AS __text", "1 AS score", "2 AS fp", "3 AS w", "4 AS ids")
+    spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return docs
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    docs, stages, at = odd(spark, tmp_path), dict(corpus_pipeline.STAGES), str(tmp_path)
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=repr)
+    every = ids(docs)
+    kept = {name: stages[name](spark, docs, at) for name in list(stages)[:4]}
+    for df in kept.values():
+        assert df.columns == docs.columns
+    toxic = [k for k in range(120) if k % 3 == 0]
+    assert set(every) - set(ids(kept["toxicity"])) == set(toxic) and ids(kept["toxicity"]).count(7) == 3
+    assert set(every) - set(ids(kept["language_id"])) == {200, 201, 203} and None in ids(kept["language_id"])
+    single = kept["simhash_near_dedup"].collect()
+    assert sum(r["doc_id"] == 7 for r in single) == 1 and next(r["source"] for r in single if r["doc_id"] == 7) == "a"
+    found = {r["doc_id"] for r in single}
+    assert 301 not in found and 11 in found and 200 in found and 201 not in found and None in found
+    assert set(every) - set(ids(kept["benchmark_decontamination"])) == {202}
+    last = stages["bpe"](spark, docs, at)
+    assert ids(last) == every and {r["n_tokens"] for r in last.filter("doc_id IN (200, 201)").collect()} == {0}
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), at).count() == 0
