@@ -200,12 +200,12 @@ _COMMENT = re.compile(r"(?<!\\)(?:\\\\)*%")
 _BLANK = re.compile(r"[ \t]*\r?\n")
 
 
-def expand(text: str, table: Table | None = None, *, depth: int = DEPTH, keep: frozenset[str] = frozenset(), files: dict | None = None, path: str | None = None) -> tuple[str, list[Piece], list[dict]]:
+def expand(text: str, table: Table | None = None, *, depth: int = DEPTH, keep: frozenset[str] = frozenset(), package: bool = False, files: dict | None = None, path: str | None = None) -> tuple[str, list[Piece], list[dict]]:
     """(view, pieces, expansions): the text with uses of its macros replaced by their bodies, until none is left or a bound is met."""
     now = Mapped(text, [Piece(0, len(text), 0, len(text), None, 0)] if text else [])
     expansions: list[dict] = []
     for _ in range(PASSES):
-        s = scan(now.text, table, files=files, path=path)
+        s = scan(now.text, table, package=package, files=files, path=path)
         view, at, changed = _View(now), 0, False
         discarded = Spans((b.start, b.stop) for b in s.branches if b.taken is False)
         for use in _uses(s, keep):

@@ -20,13 +20,14 @@ SILENT = frozenset("hline cline toprule midrule bottomrule cmidrule noalign labe
 BREAKS = frozenset(("\\", "tabularnewline", "cr"))
 #: Commands that typeset nothing, before the first item of a list.
 INKLESS = frozenset("small footnotesize scriptsize tiny normalsize large Large setlength addtolength setcounter addtocounter stepcounter label itemsep parskip centering raggedright sloppy relax par vspace hspace color bfseries itshape sffamily ttfamily".split())
+TRACKED = ALIGNMENTS | LISTS
 INK = frozenset("textbf textit texttt textsc textsf textsl textrm emph underline footnote mbox fbox ref cite includegraphics".split())
 
 CTX = "mode string, lists boolean, alignment boolean, floating boolean, boxed boolean, body boolean, arg_of string, math_id int, env string, tags boolean, defining boolean, discarded boolean, itemize int, enumerate int, nested int"
 #: Where a node stands in its table, list or formula: `lead` is what nothing was typeset in before it (row, cell or neither), `cells` the columns
 #: that its row has, told at the row's end, `spec` the table's own argument there; `nth` of a label or tag in its equation; `pair` of a delimiter,
 #: `across` where the end of a cell comes between; `first` the first ink where there should be none.
-PLACE = "prev int, after_par boolean, lead string, cells int, spec string, nth int, pair int, across boolean, first boolean"
+PLACE = "after_par boolean, lead string, cells int, spec string, nth int, pair int, across boolean, first boolean"
 NODE = f"node_id int, parent_id int, sib int, depth int, last int, kind string, name string, base_name string, star boolean, content string, delimiter string, start int, stop int, inner_start int, inner_stop int, line int, col int, end_line int, end_col int, mode string, spec string, args array<int>, given array<string>, bare boolean, closed boolean, macro boolean, role string, value boolean, by string, ctx struct<{CTX.replace(' ', ':').replace(',:', ',')}>, place struct<{PLACE.replace(' ', ':').replace(',:', ',')}>"
 EVENT = "code string, severity string, message string, start int, stop int, line int, col int, end_line int, end_col int, fix_at int, fix string, by string"
 DEFINITION = "start int, how string, name string, arity int, default string, body string, highest int, known boolean, stop int, line int, col int, by string"
@@ -46,6 +47,8 @@ PARSED = "doc_id long, text string, fragment boolean, class string, packages arr
 
 def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
     """The context inside a group, given that of the group; None stands for what isn't known."""
+    if node.kind in ("brace", "option") and (arg_of is None or arg_of == ctx["arg_of"]) and arg_of not in ("", *BOXES):
+        return ctx
     out = dict(ctx, tags=ctx["tags"] and node.kind != "math", arg_of=arg_of if node.kind in ("brace", "option") and arg_of else ctx["arg_of"] if node.kind in ("brace", "option") else None)
     if node.kind == "math":
         return dict(out, mode="math", math_id=node.index, alignment=False, tags=node.delimiter in ("\\[", "$$"))
@@ -88,46 +91,53 @@ def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
     return out
 
 
+#: The place of a node of which there is nothing to say.
+PLAIN = {"after_par": None, "lead": None, "cells": None, "spec": None, "nth": None, "pair": None, "across": None, "first": None}
+_BROKEN = frozenset(("\\", "\\*", "newline"))
+
+
 class _Places:
-    """Where the children of a group stand: what they follow, and their rows, cells, items and delimiters."""
+    """Where the children of a table, a list or a part of a formula stand: their rows, cells, items and delimiters."""
 
     def __init__(self, group: Node, spec: str | None) -> None:
         self.table = group.kind == "environment" and group.name in ALIGNMENTS
         self.list = group.kind == "environment" and group.name in LISTS
-        self.spec, self.previous, self.after_par, self.opened, self.excused = spec, None, False, [], 0
+        self.spec, self.opened, self.excused = spec, [], 0
         self.row_empty, self.cell_empty, self.columns, self.items, self.inked = True, True, 1, 0, False
         self.owned: set[int] = {id(a) for a in group.args or [] if a is not None}
         self.last: dict | None = None  # the row's last node so far
 
     def place(self, n: Node) -> dict:
-        out = {"prev": self.previous, "after_par": self.after_par, "lead": None, "cells": None, "spec": None, "nth": None, "pair": None, "across": None, "first": None}
         if n.kind == "comment":
-            return out
-        self.previous, self.after_par = n.index, n.is_par()
+            return PLAIN
+        command = n.kind == "command"
+        out = dict(PLAIN) if self.table or (command and n.name in ("left", "middle", "right")) else PLAIN
         mine = id(n) not in self.owned
-        self.owned.update(id(a) for a in n.args or [] if a is not None and n.kind == "command")
-        if n.kind == "command" and not n.bare:
-            if n.base == "left":
+        if command and n.args:
+            self.owned.update(id(a) for a in n.args if a is not None)
+        if out is not PLAIN and command and not n.bare:
+            if n.name == "left":
                 self.opened.append((n.index, out))
-            elif n.base in ("right", "middle") and self.opened:
+            elif n.name in ("right", "middle") and self.opened:
                 out["pair"] = self.opened[-1][0]
-                if n.base == "right":
+                if n.name == "right":
                     self.opened.pop()[1]["pair"] = n.index
-            elif n.base == "right" and self.excused:
+            elif n.name == "right" and self.excused:
                 self.excused -= 1
                 out["across"] = True
         if self.table and mine:
             self._cell(n, out)
-            if (n.kind == "text" and "&" in n.content) or (n.kind == "command" and n.base in BREAKS):
+            if self.opened and ((n.kind == "text" and "&" in n.content) or (command and n.base in BREAKS)):
                 for _, left in self.opened:
                     left["across"] = True
                 self.excused += len(self.opened)
                 self.opened.clear()
         if self.list and mine:
-            if n.kind == "command" and n.base == "item":
+            if command and n.base == "item":
                 self.items += 1
-            elif not self.items and not self.inked and ((n.kind in ("text", "math", "verbatim") and not n.is_par()) or (n.kind == "command" and n.base in INK)):
-                self.inked = out["first"] = True
+            elif not self.items and not self.inked and ((n.kind in ("text", "math", "verbatim") and not n.is_par()) or (command and n.base in INK)):
+                self.inked = True
+                out = dict(out, first=True)
         return out
 
     def _cell(self, n: Node, out: dict) -> None:
@@ -202,30 +212,38 @@ def rows(s: Scanned, origin: Origin | None = None) -> tuple[list, ...]:
         given = [None if a is None else _source(s, a) for a in n.args] if n.args else None
         if n.children or n.kind == "root":
             inside[n.index] = _inner(n, ctx, owner.get(id(n))) if parent is not None else start
-            places[n.index] = _Places(n, next((g for g in reversed(given or []) if g is not None), None))
+            if inside[n.index]["mode"] != "text" or n.name in TRACKED:
+                places[n.index] = _Places(n, next((g for g in reversed(given or []) if g is not None), None))
             scope[n.index] = n.index if n.name in ROWWISE and n.kind == "environment" else scope.get(parent.index) if parent is not None else None
-        place = places[parent.index].place(n) if parent is not None else {}
+        tracker = places.get(parent.index) if parent is not None else None
+        place = tracker.place(n) if tracker is not None else PLAIN
+        base = n.base
         if parent is not None and n.kind == "command" and not n.bare and not ctx["defining"]:
-            if n.base in BREAKS and parent.index == scope.get(parent.index):
+            if n.name in _BROKEN and ctx["mode"] == "text":
+                before = next((c for c in reversed(parent.children[:sib]) if c.kind != "comment"), None)
+                if before is not None and before.is_par():
+                    place = dict(place, after_par=True)
+            if base in BREAKS and parent.index == scope.get(parent.index):
                 row_of[parent.index] += 1
-            elif n.base in ("label", "tag") and ctx["math_id"] is not None:
+            elif base in ("label", "tag") and ctx["math_id"] is not None:
                 rowwise = scope.get(parent.index)
-                key = (ctx["math_id"] if rowwise is None else rowwise, row_of[rowwise], n.base)
+                key = (ctx["math_id"] if rowwise is None else rowwise, row_of[rowwise], base)
                 numbered[key] += 1
+                place = dict(place, nth=numbered[key]) if place is PLAIN else place
                 place["nth"] = numbered[key]
         if parent is s.root and n.kind == "command" and n.name == "begin":
             texted = True  # of an environment that is never closed: what follows is not in the preamble
         if parent is s.root and not texted and ctx["body"] is False and not ctx["defining"] and id(n) not in owner and n.kind == "text" and n.content:
-            texted = place["first"] = True
-        if parent is not None and n is parent.children[-1]:
-            places[parent.index].finish(None)
+            texted, place = True, dict(place, first=True)
+        if tracker is not None and n is parent.children[-1]:
+            tracker.finish(None)
         source_start, source_stop, line, col, end_line, end_col, by = at(n.start, n.end)
         if n.kind == "command" and n.base in INCLUDING and given and given[-1] is not None and not ctx["defining"]:
             target = given[-1].strip()
             for t in target.split(",") if INCLUDING[n.base] in (".sty",) else [target]:
                 included.append({"start": source_start, "stop": source_stop, "line": line, "col": col, "command": n.base, "target": t.strip(), "extension": INCLUDING[n.base], "by": by})
         nodes.append({
-            "node_id": n.index, "parent_id": parent.index if parent is not None else None, "sib": sib, "depth": depth, "last": last[n.index], "kind": n.kind, "name": n.name, "base_name": n.base, "star": n.kind == "command" and n.base != n.name,
+            "node_id": n.index, "parent_id": parent.index if parent is not None else None, "sib": sib, "depth": depth, "last": last[n.index], "kind": n.kind, "name": n.name, "base_name": base, "star": n.kind == "command" and base != n.name,
             "content": n.content, "delimiter": n.delimiter, "start": source_start, "stop": source_stop, "inner_start": n.inner[0] if n.inner else None, "inner_stop": n.inner[1] if n.inner else None, "line": line, "col": col, "end_line": end_line, "end_col": end_col,
             "mode": n.sig.mode if n.sig else None, "spec": n.sig.spec() if n.sig else None, "args": n.args, "given": given, "bare": n.bare, "closed": n.closed, "macro": n.macro is not None, "role": n.role, "value": n.value, "by": by, "ctx": ctx, "place": place,
         })
@@ -253,7 +271,7 @@ def parsed(doc_id, text: str, table: Table | None, package: bool = False, files:
     """A row of PARSED. expanded: of the document's view, with all places told of its source."""
     view, origin = text, None
     if expanded:
-        view, pieces, made = expansion.expand(text, table, files=files, path=path)
+        view, pieces, made = expansion.expand(text, table, package=package, files=files, path=path)
         origin = Origin(text, pieces, made) if made else None
         view = view if made else text
     s = scan(view, table, package=package, files=files, path=path)

@@ -164,6 +164,8 @@ def _unknown(met: DataFrame, own: DataFrame) -> DataFrame:
     """
     spark, table = met.sparkSession, builtin()
     once = met.groupBy("doc_id", "kind", "base_name").agg(F.count("*").alias("n"), F.min(F.struct("start", "stop", "line", "col", "by")).alias("at")).filter("n = 1")
+    # A name that the document defines is no typo where it is defined.
+    once = once.join(own.select("doc_id", "kind", F.col("known").alias("base_name")), ["doc_id", "kind", "base_name"], "left_anti")
     fixed = [("command", n) for n in sorted(table.commands) if n.isalpha() and len(n) > 2] + [("environment", n) for n in sorted(table.environments) if n.isalpha() and len(n) > 2]
     known = spark.createDataFrame(fixed, "kind string, known string")  # a fixed table
     places = lambda c: F.sequence(F.lit(1), F.length(c))

@@ -19,12 +19,16 @@ from scriptorium.tables import written
 LEARNED = "doc_id long, path string, learned string, wanted array<struct<target:string,extension:string>>"
 
 
+def package(path: str | None) -> bool:
+    """Whether a file is read as a package or class, in which @ is a letter."""
+    return path is not None and path.endswith((".sty", ".cls"))
+
+
 def files(docs: DataFrame, table: Table | None = None) -> DataFrame:
     """(doc_id, path, learned, wanted): what each file of docs (doc_id, path, text) defines for good, as JSON, and what it names."""
 
     def one(doc_id, text: str, path: str | None) -> dict:
-        package = bool(path) and path.endswith((".sty", ".cls"))
-        items = kernel.learned(text, table, package=package)
+        items = kernel.learned(text, table, package=package(path))
         wanted = [{"target": name, "extension": value} for where, name, value in items if where == "include"]
         return {"doc_id": doc_id, "path": path, "learned": json.dumps(items), "wanted": wanted}
 
@@ -65,6 +69,6 @@ def parse_together(docs: DataFrame, table: Table | None = None, *, expanded: boo
     def one(doc_id, text: str, path: str | None, own, reach) -> dict:
         known = {r["p"]: {"targets": dict(r["targets"] or ()), "learned": json.loads(r["learned"])} for r in reach or ()}
         known.setdefault(path, {"learned": []})["targets"] = dict(own or ())
-        return flatten.parsed(doc_id, text, table, files=known, path=path, expanded=expanded)
+        return flatten.parsed(doc_id, text, table, package(path), files=known, path=path, expanded=expanded)
 
     return per_document(joined, flatten.PARSED, one, "path", "targets", "files")

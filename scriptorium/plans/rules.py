@@ -48,7 +48,8 @@ STRUCTURE: list[Shape] = [
 
 def shaped(spark: SparkSession, sf_dir: str, shapes: list[Shape]) -> DataFrame:
     """(doc_id, text): a document of the shape that each part's number selects."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id")).repartition(tasks, "doc_id")
     texts = [f"\\documentclass{{article}}\n\\usepackage{{amsmath}}\n{head}\\begin{{document}}\n{body}\n\\end{{document}}\n" for head, body, _ in shapes]
     chosen = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(shapes) + 1).cast("int"))
     return part.select("doc_id", F.replace(chosen, F.lit("@"), F.col("doc_id").cast("string")).alias("text"))

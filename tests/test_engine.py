@@ -201,3 +201,99 @@ def test_definitions_at_the_end_of_a_long_chain(spark, tmp_path):
     docs = spark.createDataFrame(files, "doc_id long, path string, text string")
     n = nodes.nodes(parse_together(docs)).filter("doc_id = 0 AND kind = 'command' AND name = 'far'")
     assert [r["spec"] for r in n.collect()] == ["+m +m"]
+
+
+def test_check_reads_each_document_once(spark):
+    docs = docs_of(spark, r"\documentclass{a}\newcommand\bad{\item}\begin{document}\bad\end{document}", None, "")
+    plan = diagnostics.reports(nodes.parse(docs, expanded=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    found = diagnostics.check(docs)
+    # What is left to run joins a table of reports, and scans nothing again.
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["code"], r["message"]) for r in found.collect()] == [("item-outside-list", "an item outside a list (written by \\bad)")]
+
+
+def test_files_of_one_name_in_two_folders(spark):
+    from scriptorium.operators.includes import parse_together
+
+    files = [(1, "a/main.tex", r"\input{defs}\mine{x}{y}"), (2, "a/defs.tex", r"\newcommand{\mine}[2]{#1}"), (3, "b/main.tex", r"\input{defs}\mine{x}{y}"), (4, "b/defs.tex", r"\newcommand{\mine}[1]{#1}")]
+    docs = spark.createDataFrame(files, "doc_id long, path string, text string")
+    n = nodes.nodes(parse_together(docs)).filter("kind = 'command' AND name = 'mine' AND depth = 1 AND doc_id IN (1, 3)")
+    assert {r["doc_id"]: r["spec"] for r in n.collect()} == {1: "+m +m", 3: "+m"}
+    found = diagnostics.check(docs.withColumn("text", spark_col("text")), follow_inputs=False)
+    assert found.count() == 0
+
+
+def test_what_an_included_file_writes_is_expanded(spark):
+    files = [(1, "d/m.tex", "\\documentclass{article}\\usepackage{mine}\\begin{document}\\bad\\end{document}"), (2, "d/mine.sty", "\\newcommand\\b@d{\\item}\\newcommand\\bad{\\b@d}"), (3, "d/other.tex", "\\bad")]
+    docs = spark.createDataFrame(files, "doc_id long, path string, text string")
+    assert [(r["doc_id"], r["code"]) for r in diagnostics.check(docs).filter("severity <> 'info'").collect()] == [(1, "item-outside-list")]
+    assert diagnostics.check(docs, follow_inputs=False).filter("severity <> 'info'").count() == 0
+
+
+def test_fixes_survive_where_the_source_wrote_the_place(spark):
+    docs = docs_of(spark, "\\newcommand\\x{y}\\x \\emph{a", "\\newcommand\\open{\\emph{a}\\newcommand\\x{\\bgroup}\\x")
+    found = {r["doc_id"]: r for r in diagnostics.check(docs).filter("code = 'unclosed-brace'").collect()}
+    assert edits.rewrite(docs.filter("doc_id = 0"), edits.quick_fixes(diagnostics.check(docs).filter("doc_id = 0"))).first()["text"] == "\\newcommand\\x{y}\\x \\emph{a}"
+    assert found[0]["fix"] == "}"
+
+
+def test_forced_encodings(spark):
+    df = spark.createDataFrame([(bytearray("é".encode("latin-1")),)], "content binary")
+    assert df.select(documents.decoded(df["content"], "ISO-8859-1")).first()[0] == "é"
+    with pytest.raises(Exception, match="not utf-8"):
+        df.select(documents.decoded(df["content"], "utf-8")).collect()
+
+
+def test_messages(spark):
+    from scriptorium.functions import messages
+
+    assert messages.languages() == ("en", "fr") and messages.language() == "en"
+    assert messages.say("file-not-found", target="a.tex") == "a.tex is not found" and messages.say("no such key") == "no such key"
+    messages.set_language("fr")
+    try:
+        assert messages.say("file-not-found", target="a.tex") == "a.tex est introuvable"
+        with pytest.raises(ValueError):
+            messages.set_language("xx")
+    finally:
+        messages.set_language("en")
+    codes = {code for _, code in messages.MESSAGES}
+    from scriptorium.functions.kernel import SEVERITY
+
+    assert set(SEVERITY) <= codes and {c for shapes in catalogue.rules.SHAPES.values() for *_, cs in shapes for c in cs} <= codes
+
+
+def test_tables_of_signatures_from_files(spark, tmp_path):
+    from scriptorium.functions.signatures import read_tables
+
+    (tmp_path / "a.txt").write_text("# note\n\\probe any s o m\n{frame} any m\n\\raw any v\n")
+    (tmp_path / "b.txt").write_text("\\probe any m m\n\\odd any ?\n")
+    table = read_tables(spark, str(tmp_path))
+    assert table.commands["probe"].spec() == "m m" and table.environments["frame"].spec() == "m" and table.commands["raw"].verbatim and "odd" not in table.commands and "section" in table.commands
+
+
+def test_windows_of_long_lines(spark):
+    d = docs_of(spark, "." * 500 + "}" + "," * 500, "}" + "x" * 300)
+    got = {r["doc_id"]: r["rendered"].split("\n") for r in diagnostics.render_text(diagnostics.structure(nodes.parse(d)).drop("fix"), d).collect()}
+    for k in (0, 1):
+        _, excerpt, mark = got[k]
+        assert len(excerpt) == 100 and excerpt[mark.index("^")] == "}"
+
+
+def test_scratch_folder_must_be_shared(monkeypatch):
+    from scriptorium import tables
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session())

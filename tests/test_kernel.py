@@ -2,6 +2,7 @@
 
 import pytest
 
+from scriptorium.functions import kernel
 from scriptorium.functions import expand, flatten, typeset
 from scriptorium.functions.kernel import scan, walk
 from scriptorium.functions.signatures import builtin, parse_spec, table_lines
@@ -211,3 +212,53 @@ def test_discarded_branches_are_silent():
     list(walk(s.root))
     assert typeset.prose(s)[0] == "acd"  # blanks after control words are none
     assert expand.expand(r"\newcommand{\R}{x}\iffalse\R\else\R\fi")[0] == r"\newcommand{\R}{x}\iffalse\R\else x\fi"
+
+
+@pytest.mark.parametrize(("a", "b", "near"), [("secton", "section", True), ("abc", "acb", True), ("ab", "ba", False), ("abcde", "abxye", False), ("abcdef", "badcef", True), ("same", "same", False), ("itemize", "enumerate", False)])
+def test_similar_names(a, b, near):
+    assert kernel.similar(a, b) is near and kernel.similar(b, a) is near
+
+
+@pytest.mark.parametrize(
+    ("source", "view"),
+    [
+        (r"\newcommand{\a}[2][d]{#1-#2}\a{x} \a[y]{z}", "d-x y-z"),
+        (r"\newenvironment{e}[1]{<#1|}{|>}\begin{e}{q}b\end{e}", "<q|b|>"),
+        (r"\NewDocumentCommand\x{s O{d} m}{\IfBooleanTF{#1}{S}{N}#2#3}\x*{a}\x[o]{b}", "SdaNob"),
+        (r"\NewDocumentEnvironment{f}{o m}{\IfNoValueTF{#1}{none}{#1}:#2}{!}\begin{f}{m}B\end{f}\begin{f}[k]{m}C\end{f}", "none:mB!k:mC!"),
+        (r"\newcommand\a{x}\noexpand\a \a", r"\noexpand\a x"),
+        (r"\newcommand\a{x}{\renewcommand\a{y}\a}\a", r"{\renewcommand\a{y}y}x"),
+        (r"{\gdef\a{x}}\a", r"x"),
+        (r"{\global\def\a{x}}\a", r"x"),
+        (r"\newcommand\a{\a}\a", r"\a"),
+        (r"\newcommand\a[1]{##1#1}\a{z}", "#1z"),
+    ],
+)
+def test_views(source, view):
+    from scriptorium.functions.expand import expand
+
+    got, pieces, _ = expand(source)
+    assert got.endswith(view), got
+    assert "".join(got[p.start : p.stop] for p in pieces) == got
+
+
+@pytest.mark.parametrize(
+    ("source", "names"),
+    [
+        (r"\catcode`\@=11 \a@b", ["catcode", "a@b"]),
+        (r"{\catcode`@11 \a@b}\a@b", ["catcode", "a@b", "a"]),
+        (r"{\global\catcode`@=11}\a@b", ["global", "catcode", "a@b"]),
+        (r"\catcode64=11\a@b", ["catcode", "a@b"]),
+        (r"\catcode`\%12 a%\b", ["catcode", "b"]),
+        (r"\catcode'100=11 \a@b \catcode" + '"40=12 ' + r"\a@b", ["catcode", "a@b", "catcode", "a"]),
+        (r"\^^61b^^63 \^^M", ["abc", "\r"]),
+    ],
+)
+def test_categories(source, names):
+    s = scan(source)
+    assert [n.name for n, *_ in walk(s.root) if n.kind == "command"] == names
+
+
+def test_spans():
+    spans = kernel.Spans([(5, 9), (1, 3), (2, 4), (9, 9)])
+    assert [k in spans for k in range(11)] == [False, True, True, True, False, True, True, True, True, False, False] and not kernel.Spans([])
