@@ -225,7 +225,7 @@ def test_files_of_one_name_in_two_folders(spark):
 
 
 def test_what_an_included_file_writes_is_expanded(spark):
-    files = [(1, "d/m.tex", "\\documentclass{article}\\usepackage{mine}\\begin{document}\\bad\\end{document}"), (2, "d/mine.sty", "\\newcommand\\b@d{\\item}\\newcommand\\bad{\\b@d}"), (3, "d/other.tex", "\\bad")]
+    files = [(1, "d/m.tex", "\\documentclass{article}\\usepackage{mine}\\begin{document}\\bad\\end{document}"), (2, "d/mine.sty", "\\newcommand\\inner{\\item}\\newcommand\\bad{\\inner}"), (3, "d/other.tex", "\\bad")]
     docs = spark.createDataFrame(files, "doc_id long, path string, text string")
     assert [(r["doc_id"], r["code"]) for r in diagnostics.check(docs).filter("severity <> 'info'").collect()] == [(1, "item-outside-list")]
     assert diagnostics.check(docs, follow_inputs=False).filter("severity <> 'info'").count() == 0
