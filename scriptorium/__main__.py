@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
             rows = diagnostics.with_ends(shown, docs).withColumn("suggestion", diagnostics.suggestion(shown)).join(docs.select("doc_id", "path"), "doc_id").orderBy("path", "start", "stop", "code")
             print(json.dumps([{"file": r["path"], "line": r["line"], "column": r["col"] + 1, "end_line": r["end_line"], "end_column": r["end_col"] + 1, "severity": r["severity"], "code": r["code"], "message": r["message"], "suggestion": r["suggestion"]} for r in rows.toLocalIterator()], ensure_ascii=False, indent=1))
         else:
-            rendered = diagnostics.render_text(shown, docs, color=color).join(docs.select("doc_id", "path"), "doc_id")
+            rendered = diagnostics.render_text(shown, docs, color=color, fixes=True).join(docs.select("doc_id", "path"), "doc_id")
             for r in rendered.orderBy("path", "line", "col").toLocalIterator():
                 print(f"{r['path']}:{r['rendered']}")
             hidden = 0 if options.infos else counts.get("info", 0)

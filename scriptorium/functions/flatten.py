@@ -238,8 +238,9 @@ def rows(s: Scanned, origin: Origin | None = None) -> tuple[list, ...]:
         if tracker is not None and n is parent.children[-1]:
             tracker.finish(None)
         source_start, source_stop, line, col, end_line, end_col, by = at(n.start, n.end)
-        if n.kind == "command" and n.base in INCLUDING and given and given[-1] is not None and not ctx["defining"]:
-            target = given[-1].strip()
+        named = next((g for g, k in zip(given or (), n.sig.kinds if n.sig else (), strict=False) if g is not None and k.mandatory), None) if base in INCLUDING else None
+        if named is not None and n.kind == "command" and not ctx["defining"]:
+            target = named.strip()
             for t in target.split(",") if INCLUDING[n.base] in (".sty",) else [target]:
                 included.append({"start": source_start, "stop": source_stop, "line": line, "col": col, "command": n.base, "target": t.strip(), "extension": INCLUDING[n.base], "by": by})
         nodes.append({

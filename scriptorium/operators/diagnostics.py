@@ -330,8 +330,8 @@ def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", F.to_json(F.struct(*fields)).alias("json"))
 
 
-def render_text(found: DataFrame, docs: DataFrame, width: int = 100, *, color: bool = False) -> DataFrame:
-    """(doc_id, line, col, rendered): header, a window of the line around the place, a mark under it, and the fix."""
+def render_text(found: DataFrame, docs: DataFrame, width: int = 100, *, color: bool = False, fixes: bool = False) -> DataFrame:
+    """(doc_id, line, col, rendered): header, a window of the line around the place, a mark under it, and (fixes) what is suggested."""
     own = lines_of(docs).withColumnRenamed("text", "source").drop("eol")
     joined = found.join(own, ["doc_id", "line"], "left").withColumn("source", F.coalesce("source", F.lit("")))
     # A longer line is shown from a quarter of the window before the place, and so that the window is full.
@@ -340,7 +340,7 @@ def render_text(found: DataFrame, docs: DataFrame, width: int = 100, *, color: b
     excerpt = F.substr("source", F.col("begin") + 1, F.lit(width))
     wide = F.greatest(F.lit(0), F.least(F.col("stop") - F.col("start"), F.length("source") - F.col("col"), F.lit(width) - (F.col("col") - F.col("begin"))) - 1)
     marks = F.concat(F.repeat(F.lit(" "), F.col("col") - F.col("begin")), F.lit("^"), F.repeat(F.lit("~"), wide))
-    fix = F.when(suggestion(found).isNotNull(), F.concat(F.lit("\n= "), suggestion(found))).otherwise("") if "fix" in found.columns else F.lit("")
+    fix = F.when(suggestion(found).isNotNull(), F.concat(F.lit("\n= "), suggestion(found))).otherwise("") if fixes and "fix" in found.columns else F.lit("")
     tone = F.when(F.col("severity") == "error", "\x1b[31m").when(F.col("severity") == "warning", "\x1b[33m").otherwise("\x1b[36m")
     severity = F.concat(tone, "severity", F.lit("\x1b[0m")) if color else F.col("severity")
     return joined.select("doc_id", "line", "col", F.concat(F.format_string("%d:%d: %s [%s] %s\n", "line", F.col("col") + 1, severity, "code", "message"), excerpt, F.lit("\n"), marks, fix).alias("rendered"))

@@ -42,7 +42,7 @@ DEFINITIONS: list[Shape] = [
 ]
 STRUCTURE: list[Shape] = [
     ("", "{ @", ("unclosed-brace",)), ("", "{ @ }", ()), ("", "@ }", ("extra-brace",)), ("", "$ @\n\nx", ("unclosed-math",)), ("", "\\begin{center} @", ("unclosed-environment",)), ("", "\\begin{quote}\\begin{center} @ \\end{quote}\\end{center}", ("crossed-environments",)), ("", "\\begin{center} @ \\end{centre}", ("crossed-environment",)),
-    ("", "\\[ a $ @ \\]", ("dollar-in-math",)), ("", "\\[ a \\( @ \\]", ("math-in-math",)), ("", "@ \\]", ("stray-math-close",)), ("", "\\verb|@", ("verb-across-lines",)), ("", "\\verb{@{b} c", ("verbatim-braces",)), ("", "\\verb{@} c", ()), ("", "\\iffalse { @ \\fi", ()), ("", "\\section[ @\n\nx", ("missing-argument", "unclosed-bracket")),
+    ("", "\\[ a $ @ \\]", ("dollar-in-math",)), ("", "\\[ a \\( @ \\]", ("math-in-math",)), ("", "@ \\]", ("stray-math-close",)), ("", "\\verb|@", ("verb-across-lines",)), ("", "\\verb{@{b} c", ("verbatim-braces",)), ("", "\\verb{@} c", ()), ("", "@ \\end{center}", ("end-without-begin",)), ("", "\\begin{verbatim} @", ("unclosed-environment", "unclosed-verbatim")), ("", "\\iffalse { @ \\fi", ()), ("", "\\section[ @\n\nx", ("missing-argument", "unclosed-bracket")),
 ]
 
 
