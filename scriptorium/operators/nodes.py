@@ -15,6 +15,7 @@ from scriptorium.functions import flatten, typeset
 from scriptorium.functions.kernel import USUAL, scan, walk
 from scriptorium.functions.signatures import Table
 from scriptorium.session import ship
+from scriptorium.tables import written
 
 BATCH = 64  # documents of an output batch; bounds a worker's memory, not what is read
 VIEW = "doc_id long, text string, view string, pieces array<struct<start:int,stop:int,source:int,source_stop:int,expansion:int,depth:int>>, expansions array<struct<expansion_id:int,parent_id:int,name:string,source:int,source_stop:int,depth:int>>"
@@ -43,6 +44,11 @@ def parse(docs: DataFrame, table: Table | None = None, *, package: bool = False,
     return per_document(docs, flatten.PARSED, lambda i, t: flatten.parsed(i, t, table, package, expanded=expanded))
 
 
+def parse_once(docs: DataFrame, table: Table | None = None, *, package: bool = False, expanded: bool = False) -> DataFrame:
+    """parse() through a table in the shared folder, for what reads it several times: each document is scanned once, at once."""
+    return written(parse(docs, table, package=package, expanded=expanded), "parsed")
+
+
 def nodes(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("nodes"))
 
