@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, common, decontam, langid, lm, media, quality, simhash, toxicity, warc
+from scriptorium.llm import bpe, chat, clustering, common, decontam, langid, lm, media, quality, search, simhash, substrings, toxicity, warc
 
 
 def vocabulary_path() -> str:
@@ -68,12 +68,60 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_toxicity, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_benchmark_decontamination, op8_bpe, op9_quality_classifier, op10_warc)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_toxicity, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_benchmark_decontamination, op8_bpe, op9_quality_classifier, op10_warc, op11_centroid_clustering, op12_ranked_search, op13_suffix_dedup)}
 
 _ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(\[|<)(/?INST\]|ROLE\]|/?s>)', '\1\\\2', 'g')"
 _TURN = f"CASE WHEN role = 'assistant' THEN '<s>' || {_ESCAPED.format('text')} || '</s>' ELSE '[INST]' || {_ESCAPED.format('role')} || '[ROLE]' || {_ESCAPED.format('text')} || '[/INST]' END"
 
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """The rounds of clustering as steps of a WITH: all distances of all vectors, the least by (distance, number)."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))"
+    out = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k}))"]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(e) AS e, min(d * 1000 + k) AS m FROM (SELECT v.r, v.vec_id, v.e, c.k, {square}::HUGEINT AS d FROM v, c{n} c) GROUP BY r)")
+        if n < rounds:
+            out.append(f"s{n} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT m % 1000 AS k, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY k, i)")
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(b.e, c.e) AS e FROM c{n} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY i) AS e FROM s{n} GROUP BY k) b ON c.k = b.k)")
+    return ",\n".join(out)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op11_centroid_clustering": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), {_rounds(40, 5)},
+f AS (SELECT vec_id, (m % 1000)::INTEGER AS cluster, (m // 1000)::BIGINT AS distance FROM a5)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM f JOIN c5 c ON f.cluster = c.k""",
+    "op12_ranked_search": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+g AS (SELECT count(*)::BIGINT AS big_n, coalesce(sum(len(w)), 1)::BIGINT AS big_l FROM d WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+q AS MATERIALIZED (SELECT item, t, count(*)::BIGINT AS qtf FROM (SELECT item, unnest(w) AS t FROM (SELECT row_number() OVER () AS item, {_TERMS} AS w FROM benchmark)) GROUP BY item, t),
+b AS (SELECT row_number() OVER () AS item, item_id FROM benchmark),
+k AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, g WHERE t IN (SELECT t FROM q) GROUP BY t, big_n),
+s AS (
+  SELECT q.item, d.r, any_value(d.doc_id) AS doc_id, sum(q.qtf * k.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * len(d.w) * g.big_n) // g.big_l))))::BIGINT AS score
+  FROM q JOIN k ON q.t = k.t JOIN p ON q.t = p.t JOIN d ON p.r = d.r, g GROUP BY q.item, d.r
+), o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT b.item_id, o.rank::INTEGER AS rank, o.doc_id, o.score FROM o JOIN b ON o.item = b.item WHERE o.rank <= 10""",
     "op1_chat_formatting": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -41,7 +41,7 @@ def test_stages(spark):
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{k}" for k in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
