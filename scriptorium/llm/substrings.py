@@ -12,7 +12,7 @@ A string of `length` bytes that starts twice anywhere goes, wherever its other o
    is made of that of the bucket it was in and of the bytes at the later and earlier offsets that all its windows share besides. Runs met twice and runs
    alone leave as before; at width 1 all that windows have is shared, so nothing is left.
 
-Only what is left carries its bytes. Buckets are never gathered in a task: they are counts by identifier. Rows learn of their bucket by joins in which the
+Rows carry identifiers, never bytes: what is left is met with its own document again in each round. Buckets are never gathered in a task: they are counts by identifier. Rows learn of their bucket by joins in which the
 identifiers that hold over 1/SHARE of all rows (of which there are fewer than SHARE) are broadcast, and the rest are shuffled.
 Identifiers are 128 bits of a hash of the bytes.
 
@@ -36,13 +36,15 @@ from scriptorium.llm.lm import stored
 from scriptorium.session import ship
 
 LENGTH = 400
-GRAM = 32
+GRAM = 64
 WIDTHS = (64, 8, 1)  # of runs, in windows, in the rounds of refinement
 PIECE = 1 << 20
 SHARE = 500
+ROWS = 20_000  # of a batch that a task hands on
 _WEIGHTS = np.random.default_rng(13).integers(1, 1 << 63, 256, np.uint64) * 2 + 1
-_ANCHORS = "row long, anchors array<struct<x:long,lo:long,hi:long,bucket:binary,hull:binary,many:boolean>>, spans array<struct<start:long,stop:long>>"
-_RUNS = "row long, x long, lo long, hi long, many boolean, core_lo long, core_hi long, bucket binary, hull binary, bytes binary"
+#: A run: its anchor, first and last window, whether its whole stretch is known to be met twice, what all in its bucket share (of its document's
+#: bytes), and the identifiers. Without an anchor: a span that a document repeats within itself.
+_RUNS = "row long, x long, lo long, hi long, many boolean, core_lo long, core_hi long, bucket binary, hull binary"
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -95,8 +97,8 @@ def _id(*parts: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b"".join(parts))
 
 
-def _document(data: bytes, length: int, gram: int) -> tuple[list[dict], list[dict]]:
-    """The runs of a document, equal stretches once, and the spans that it repeats within itself."""
+def _document(data: bytes, length: int, gram: int) -> tuple[Iterator[tuple], list[tuple[int, int]]]:
+    """The runs of a document (x, lo, hi, many, hull), equal stretches once, and the spans that it repeats within itself."""
     met: dict[bytes, list] = {}
     spans: list[tuple[int, int]] = []
     for xs, los, his in runs(data, length, gram, PIECE):
@@ -113,8 +115,7 @@ def _document(data: bytes, length: int, gram: int) -> tuple[list[dict], list[dic
                     spans[-1] = (spans[-1][0], max(spans[-1][1], hi + length))
                 else:
                     spans.append((lo, hi + length))
-    found = [{"x": x, "lo": lo, "hi": hi, "bucket": _id(data[x : x + gram]), "hull": hull, "many": many} for hull, (x, lo, hi, many) in met.items()]
-    return found, [{"start": a, "stop": b} for a, b in merged(spans)]
+    return ((*run, hull) for hull, run in met.items()), merged(spans)
 
 
 def _map(df: DataFrame, form: str, one) -> DataFrame:
@@ -126,17 +127,21 @@ def _map(df: DataFrame, form: str, one) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(form))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for b in batches:
             for k in range(b.num_rows):
                 for made in one(*(c[k].as_py() for c in b.columns)):
-                    out.append(dict(zip(schema.names, made, strict=True)))
-                    size += 64 + len(out[-1].get("bytes") or b"") + 128 * len(out[-1].get("anchors") or ())
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out, size = [], 0
+                    out.append(made)
+                    if len(out) == ROWS:
+                        yield batch()
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield batch()
 
     return df.mapInArrow(run, form)
 
@@ -149,15 +154,14 @@ def _of(df: DataFrame, key: str, chosen: DataFrame, total: int) -> DataFrame:
     return split.filter("__n IS NOT NULL").withColumnRenamed("__n", "n").unionByName(df.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
 
 
-def settled(rows: DataFrame, length: int, bytes_: bool) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Of runs with bucket, hull and many: the spans (row, start, stop) that are repeated, and what is left to refine; and the paths of the tables.
+def settled(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of runs, the spans (row, start, stop) that are repeated, and what is left to refine; and the paths of the tables.
 
     What is left has one row for each stretch of bytes in a bucket that has several, of which some may yet be unique.
     """
     total = rows.count()
-    carried = ["x", "lo", "hi", *(["core_lo", "core_hi", "bytes"] if bytes_ else [])]
     # All rows of a class have the same bytes about the anchor; where there is but one, it is itself.
-    classes, path = stored(rows.groupBy("hull").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.first(F.struct("row", "bucket", *carried)).alias("r")), "classes")
+    classes, path = stored(rows.groupBy("hull").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.first(F.struct("row", "x", "lo", "hi", "core_lo", "core_hi", "bucket")).alias("r")), "classes")
     again = classes.filter("n > 1").select("hull", "n")
     spans = _of(rows.filter("NOT many").select("row", "lo", "hi", "hull"), "hull", again, total).select("row", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     left = classes.select("r.*", (F.col("many") | (F.col("n") > 1)).alias("many"))
@@ -165,17 +169,20 @@ def settled(rows: DataFrame, length: int, bytes_: bool) -> tuple[DataFrame, Data
     return spans, _of(left, "bucket", buckets, total).drop("n"), [path, more]
 
 
-def _narrowed(width: int, length: int, gram: int):
-    """What cuts a run into runs of at most `width` windows, at the same offsets from the anchor for all."""
+def _narrowed(width: int, length: int):
+    """What cuts the runs of a document into runs of at most `width` windows, at the same offsets from the anchor for all."""
 
-    def one(row, x, lo, hi, many, core_lo, core_hi, bucket, data):
-        # Offsets r = x - start of a window; a cut run has those of [a, a + width).
-        for a in range((x - hi) // width * width, x - lo + 1, width):
-            first, last = max(lo, x - a - width + 1), min(hi, x - a)
-            # What all windows with these offsets share, whether this run has them all or not.
-            low, high = min(core_lo, x - a), max(core_hi, x - a - width + 1 + length)
-            cut = lambda p, q: data[p - lo : q - lo]  # noqa: E731, B023
-            yield row, x, first, last, many, low, high, _id(bucket, a.to_bytes(4, "little"), cut(low, core_lo), cut(core_hi, high)), _id(bucket, (x - first).to_bytes(4, "little"), cut(first, last + length)), (cut(first, last + length) if width > 1 else None)
+    def one(row, runs, text):
+        data = text.encode()
+        for r in runs:
+            x, lo, hi = r["x"], r["lo"], r["hi"]
+            # Offsets x - start of windows; a cut run has those of [a, a + width).
+            for a in range((x - hi) // width * width, x - lo + 1, width):
+                first, last = max(lo, x - a - width + 1), min(hi, x - a)
+                # What all windows with these offsets share, whether this run has them all or not, is more than before at both ends.
+                low, high = min(r["core_lo"], x - a), max(r["core_hi"], x - a - width + 1 + length)
+                bucket = _id(r["bucket"], a.to_bytes(4, "little"), data[low : r["core_lo"]], data[r["core_hi"] : high])
+                yield row, x, first, last, r["many"], low, high, bucket, _id(r["bucket"], (x - first).to_bytes(4, "little"), data[first : last + length])
 
     return one
 
@@ -188,31 +195,32 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, widths:
     def anchors(row, text):
         data = (text or "").encode()
         if len(data) >= length:
-            yield row, *_document(data, length, gram)
-
-    index, path = stored(_map(docs.select("row", "text"), _ANCHORS, anchors), "anchors")
-    paths = [path]
-    spans = [index.select("row", F.inline("spans"))]
-    found, left, used = settled(index.select("row", F.inline("anchors")), length, False)
-    spans.append(found)
-    paths += used
+            found, spans = _document(data, length, gram)
+            for x, lo, hi, many, hull in found:
+                yield row, x, lo, hi, many, x, x + gram, _id(data[x : x + gram]), hull
+            for a, b in spans:
+                yield row, None, a, b, True, None, None, None, None
 
-    # The bytes of what is left, read from its documents: a document's runs are gathered, never a bucket.
-    wanted = left.groupBy("row").agg(F.collect_list(F.struct("x", "lo", "hi", "bucket", "many")).alias("runs"))
+    rows, path = stored(_map(docs.select("row", "text"), _RUNS, anchors), "anchors")
+    spans, paths = [], []
 
-    def read(row, runs, text):
-        data = text.encode()
-        for r in runs:
-            yield row, r["x"], r["lo"], r["hi"], r["many"], r["x"], r["x"] + gram, r["bucket"], b"", data[r["lo"] : r["hi"] + length]
+    def kept(df: DataFrame) -> None:
+        found, at = stored(df, "spans")
+        spans.append(found)
+        paths.append(at)
 
-    rows, path = stored(_map(wanted.join(docs.select("row", "text"), "row"), _RUNS, read), "runs")
-    paths.append(path)
+    kept(rows.filter("x IS NULL").select("row", F.col("lo").alias("start"), F.col("hi").alias("stop")))
+    found, left, used = settled(rows.filter("x IS NOT NULL"), length)
     for width in widths:
-        rows, path = stored(_map(rows.select("row", "x", "lo", "hi", "many", "core_lo", "core_hi", "bucket", "bytes"), _RUNS, _narrowed(width, length, gram)), "runs")
-        paths.append(path)
-        found, rows, used = settled(rows, length, True)
-        spans.append(found)
-        paths += used
+        kept(found)
+        # A document's own runs are gathered, never a bucket.
+        wanted = left.groupBy("row").agg(F.collect_list(F.struct("x", "lo", "hi", "many", "core_lo", "core_hi", "bucket")).alias("runs"))
+        rows, more = stored(_map(wanted.join(docs.select("row", "text"), "row"), _RUNS, _narrowed(width, length)), "runs")
+        removed(docs.sparkSession, path, *used)  # the round before is done with
+        path = more
+        found, left, used = settled(rows, length)
+    kept(found)
+    removed(docs.sparkSession, path, *used)
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
