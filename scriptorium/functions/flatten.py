@@ -8,7 +8,7 @@ from collections import Counter
 from scriptorium.functions import expand as expansion
 from scriptorium.functions import mathlists
 from scriptorium.functions.kernel import DEFINING, LINE, Node, Scanned, Spans, scan, walk
-from scriptorium.functions.signatures import ALIGNMENTS, FLOATS, INNER, LISTS, MATH_ENVIRONMENTS, ROWWISE, TABLES, Table
+from scriptorium.functions.signatures import ALIGNMENTS, FLOATS, INNER, LISTS, MATH_ENVIRONMENTS, ROWWISE, TABLES, PROSE_OPTIONS, Table, content_of
 
 TEXT_IN_MATH = frozenset("text mbox hbox textrm textbf textit texttt textsf intertext".split())
 INCLUDING = {"input": ".tex", "include": ".tex", "usepackage": ".sty", "RequirePackage": ".sty", "documentclass": ".cls", "LoadClass": ".cls", "includegraphics": ""}
@@ -45,8 +45,12 @@ PARTS = ("nodes", "events", "definitions", "branches", "inclusions", "changes",
 PARSED = "doc_id long, text string, fragment boolean, class string, packages array<string>, counters array<string>, " + ", ".join(f"{name} array<{_struct(fields)}>" for name, fields in (("nodes", NODE), ("events", EVENT), ("definitions", DEFINITION), ("branches", BRANCH), ("inclusions", INCLUSION), ("changes", CHANGE)))
 
 
-def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
-    """The context inside a group, given that of the group; None stands for what isn't known."""
+def _inner(node: Node, ctx: dict, arg_of: str | None, content: str = "prose") -> dict:
+    """The context inside a group, given that of the group and what it holds as an argument; None stands for what isn't known."""
+    if content == "name":  # no rule of text or of formulas speaks there
+        return dict(ctx, mode=None, lists=None, alignment=None, floating=None, arg_of=arg_of or ctx["arg_of"])
+    if content == "formula":
+        return dict(ctx, mode="math", alignment=False, tags=False, arg_of=arg_of or ctx["arg_of"])
     if node.kind in ("brace", "option") and (arg_of is None or arg_of == ctx["arg_of"]) and arg_of not in ("", *BOXES):
         return ctx
     out = dict(ctx, tags=ctx["tags"] and node.kind != "math", arg_of=arg_of if node.kind in ("brace", "option") and arg_of else ctx["arg_of"] if node.kind in ("brace", "option") else None)
@@ -84,8 +88,6 @@ def _inner(node: Node, ctx: dict, arg_of: str | None) -> dict:
             out.update(mode="text", math_id=None, alignment=False)
         elif arg_of in DEFINING:
             out.update(defining=True, mode=None, lists=None, alignment=None, floating=None, boxed=None, body=None)
-        elif arg_of in ("typeout", "write", "label", "ref"):
-            out.update(mode=None)
         if arg_of in BOXES:
             out["boxed"] = True
     return out
@@ -188,6 +190,7 @@ def rows(s: Scanned, origin: Origin | None = None) -> tuple[list, ...]:
     start = {"mode": "text", "lists": unknown, "alignment": unknown, "floating": unknown, "boxed": unknown, "body": unknown, "arg_of": None, "math_id": None, "env": None, "tags": False, "defining": False, "discarded": False, "itemize": 0, "enumerate": 0, "nested": 0}
     inside: dict[int, dict] = {}
     owner: dict[int, str] = {}
+    held: dict[int, str] = {}
     places: dict[int, _Places] = {}
     numbered: Counter = Counter()
     row_of: Counter = Counter()
@@ -199,6 +202,12 @@ def rows(s: Scanned, origin: Origin | None = None) -> tuple[list, ...]:
         ctx = inside[parent.index] if parent is not None else start
         if discarded and not ctx["discarded"] and n.start in discarded:
             ctx = dict(ctx, discarded=True, defining=True, mode=None, lists=None, alignment=None, floating=None, boxed=None, body=None)
+        if n.args and not (n.kind == "command" and n.base in DEFINING):
+            before = 0
+            for a, kind in zip(n.args, n.sig.kinds if n.sig else (), strict=False):
+                if a is not None:
+                    held[id(a)] = content_of(n.base, kind, before) if n.kind == "command" else "prose" if n.name in PROSE_OPTIONS else "name"
+                before += kind.mandatory
         if n.kind == "command":
             for a in n.args or []:
                 if a is not None:
@@ -211,7 +220,7 @@ def rows(s: Scanned, origin: Origin | None = None) -> tuple[list, ...]:
                 owner[id(n)] = ""
         given = [None if a is None else _source(s, a) for a in n.args] if n.args else None
         if n.children or n.kind == "root":
-            inside[n.index] = _inner(n, ctx, owner.get(id(n))) if parent is not None else start
+            inside[n.index] = _inner(n, ctx, owner.get(id(n)), held.get(id(n), "prose")) if parent is not None else start
             if inside[n.index]["mode"] != "text" or n.name in TRACKED:
                 places[n.index] = _Places(n, next((g for g in reversed(given or []) if g is not None), None))
             scope[n.index] = n.index if n.name in ROWWISE and n.kind == "environment" else scope.get(parent.index) if parent is not None else None

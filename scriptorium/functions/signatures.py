@@ -183,6 +183,28 @@ def _regular() -> list[tuple[str, str]]:
     return out
 
 
+#: What is in arguments, where it isn't prose. Commands of which all arguments are names, paths, lists of keys, numbers or lengths; those of which
+#: the first is and the rest are prose; those that set a formula; and those of which an option is prose.
+NAMED = frozenset(
+    "input include includeonly includegraphics graphicspath includesvg includepdf lstinputlisting verbatiminput label ref pageref eqref autoref cref Cref nameref vref hyperlink "
+    "cite citep citet nocite parencite textcite autocite footcite bibliography bibliographystyle addbibresource pagestyle thispagestyle pagenumbering documentclass usepackage RequirePackage LoadClass "
+    "PassOptionsToPackage PassOptionsToClass ProvidesPackage ProvidesClass hypersetup geometry setcounter addtocounter stepcounter refstepcounter newcounter value arabic roman Roman alph Alph numberwithin "
+    "newlength newsavebox setlength addtolength hspace vspace rule cline cmidrule url path nolinkurl color definecolor colorlet selectlanguage usetikzlibrary index glossary gls typeout write".split()
+)
+FIRST_NAMED = frozenset("href textcolor colorbox hyperref foreignlanguage parbox raisebox addcontentsline multicolumn settowidth settoheight settodepth newtheorem captionof hypertarget".split())
+FORMULAS = frozenset(("ensuremath",))
+PROSE_OPTIONS = frozenset("part chapter section subsection subsubsection paragraph subparagraph caption item author title theorem lemma proof definition remark example sqrt".split())
+
+
+def content_of(base: str, kind: Kind | None, nth: int) -> str:
+    """What an argument holds: `name` (of any sort, not to be read), `formula` or `prose`; nth counts the mandatory ones before it."""
+    if base in FORMULAS:
+        return "formula"
+    if kind is not None and not kind.mandatory:
+        return "prose" if base in PROSE_OPTIONS else "name"
+    return "name" if base in NAMED or (base in FIRST_NAMED and nth == 0) else "prose"
+
+
 #: Sized delimiters take no argument in either mode.
 _SIZES = [f"{size}{side}" for size in ("big", "Big", "bigg", "Bigg") for side in ("", "l", "r", "m")]
 SIZED = frozenset(("left", "right", "middle", *_SIZES))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.signatures import ALIGNMENTS, DISPLAY, FLOATS, LISTS, MATRICES, TABLES, builtin
+from scriptorium.operators.intervals import last_before
 from scriptorium.sources.documents import lines as lines_of
 from scriptorium.tables import written
 
@@ -74,7 +75,7 @@ def node_rules(n, others: Column, matrices: Column) -> list[Column]:
     length = F.lit(None).cast("array<string>")
     for owner, at in LENGTHS.items():
         length = F.when(F.coalesce(base, name) == owner, F.array(*(F.get(given, F.lit(k)) for k in at))).otherwise(length)
-    not_length = lambda v: v.isNotNull() & ~F.contains(v, F.lit("#")) & ~v.rlike(r"\\[A-Za-z@]+\s*\{") & (~v.rlike(LENGTH) | (F.trim(v) == "") | v.rlike(r"^\s*[-+]?\s*[\d.,]+\s*$"))
+    not_length = lambda v: v.isNotNull() & ~F.contains(v, F.lit("#")) & ~v.rlike(r"\\[A-Za-z@]+\s*\{|\\(dim|glue|mu|num)expr") & (~v.rlike(LENGTH) | (F.trim(v) == "") | v.rlike(r"^\s*[-+]?\s*[\d.,]+\s*$"))
     defined = F.get(given, F.lit(0))
     return [
         said(command & (base == "item") & (mode == "text") & no(ctx["lists"]), "item-outside-list", "an item outside a list"),
@@ -298,15 +299,17 @@ def tallies(found: DataFrame, examples: int = 5) -> DataFrame:
     return counted.join(few, ["severity", "code"])
 
 
+def line_starts(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, first): where each line of a document begins."""
+    size = F.length("text") + F.length("eol")
+    return lines_of(docs).select("doc_id", "line", (F.sum(size).over(Window.partitionBy("doc_id").orderBy("line")) - size).alias("first"))
+
+
 def with_ends(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Diagnostics with end_line and end_col, from the documents' lines: an as-of join of ends to line starts."""
-    own = lines_of(docs).withColumn("first", F.sum(F.length("text") + F.length("eol")).over(Window.partitionBy("doc_id").orderBy("line")) - F.length("text") - F.length("eol"))
-    none = F.lit(None)
-    rows = found.withColumn("__row", F.monotonically_increasing_id())
-    both = rows.select("doc_id", F.col("stop").alias("at"), "__row", none.cast("struct<line:int,first:bigint>").alias("l")).unionByName(own.select("doc_id", F.col("first").alias("at"), none.cast("long").alias("__row"), F.struct("line", "first").alias("l")))
-    upto = Window.partitionBy("doc_id").orderBy("at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ends = both.withColumn("l", F.last("l", ignorenulls=True).over(upto)).filter("__row IS NOT NULL").select("__row", F.coalesce("l.line", F.lit(1)).alias("end_line"), (F.col("at") - F.coalesce("l.first", F.lit(0))).cast("int").alias("end_col"))
-    return rows.join(ends, "__row").drop("__row")
+    """Diagnostics with end_line and end_col: the last line that begins at or before their end, in one pass over both."""
+    ends = last_before(found, line_starts(docs), at="stop", marked="first", mark="__line")
+    mark = lambda c, other: F.coalesce(F.col(f"__line.{c}"), F.lit(other))
+    return ends.withColumns({"end_line": mark("line", 1).cast("int"), "end_col": (F.col("stop") - mark("first", 0)).cast("int")}).drop("__line")
 
 
 def suggestion(found: DataFrame) -> Column:

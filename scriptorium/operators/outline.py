@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.intervals import containing, last_before
+from scriptorium.operators.tree import inner_text
 from scriptorium.sources.documents import lines as lines_of
 
 LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 
 
+def _level(name: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, LEVELS)), name).cast("int") - 1
+
+
+def _is_heading(n: Column) -> Column:
+    return (n["kind"] == "command") & n["base_name"].isin(*LEVELS) & ~n["bare"]
+
+
+def headings(parsed: DataFrame) -> DataFrame:
+    """(doc_id, node_id, level, start, line, label, n, size): headings, with the numbers of nodes and characters of their documents; no row carries its document."""
+    last = lambda n: F.try_element_at("nodes", F.element_at(F.filter(n["args"], lambda a: a.isNotNull()), -1) + 1)
+    has = lambda n: F.coalesce(F.exists(n["args"], lambda a: a.isNotNull()), F.lit(False))
+    told = F.transform(F.filter("nodes", _is_heading), lambda n: F.struct(n["node_id"].alias("node_id"), _level(n["base_name"]).alias("level"), n["start"].alias("start"), n["line"].alias("line"), F.when(has(n), inner_text("text", last(n))).alias("label")))
+    return parsed.select("doc_id", F.size("nodes").alias("n"), F.length("text").alias("size"), F.inline(told))
+
+
 def section_blocks(parsed: DataFrame) -> DataFrame:
-    """(doc_id, block_id, parent_id, label, level, start, stop, line, node_id, until): a section lasts to the next of its level or above.
+    """(doc_id, block_id, parent_id, label, level, start, stop, line, until): a section lasts to the next of its level or above.
 
-    until is the first node_id after the block. Sections inside other groups than the document count as well.
+    until is the first node_id after the block. Sections inside other groups than the document count as well. Of each level the nearest heading before
+    and after is a running value, so headings aren't compared with each other.
     """
-    is_head = lambda n: (n["kind"] == "command") & n["base_name"].isin(*LEVELS) & ~n["bare"]
-    level = lambda name: F.array_position(F.array(*map(F.lit, LEVELS)), name).cast("int") - 1
-    heads = F.transform(F.filter("nodes", is_head), lambda n: F.struct(n["node_id"].alias("node_id"), level(n["base_name"]).alias("level"), n["start"].alias("start"), n["line"].alias("line"), n["args"].alias("args")))
-    rows = parsed.select("doc_id", "text", "nodes", heads.alias("heads"), (F.size("nodes")).alias("n")).select("*", F.inline("heads"))
-    after = F.filter("heads", lambda h: (h["node_id"] > F.col("node_id")) & (h["level"] <= F.col("level")))
-    above = F.filter("heads", lambda h: (h["node_id"] < F.col("node_id")) & (h["level"] < F.col("level")))
-    nearest = F.when(F.size(above) > 0, F.array_max(F.transform(above, lambda h: h["node_id"])))
-    arg = F.try_element_at("nodes", F.element_at(F.filter("args", lambda a: a.isNotNull()), -1) + 1)
-    return rows.withColumn("a", F.when(F.exists("args", lambda x: x.isNotNull()), arg)).select(
-        "doc_id", F.col("node_id").alias("block_id"), nearest.alias("parent_id"), F.substr("text", F.coalesce("a.inner_start", "a.start") + 1, F.coalesce("a.inner_stop", "a.stop") - F.coalesce("a.inner_start", "a.start")).alias("label"), "level", "start",
-        F.when(F.size(after) > 0, after[0]["start"]).otherwise(F.length("text")).alias("stop"), "line", F.when(F.size(after) > 0, after[0]["node_id"]).otherwise(F.col("n")).alias("until"),
-    )
+    back = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("doc_id").orderBy(F.col("node_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    me = F.struct("node_id", "start")
+    # Null for the highest level, above which there is nothing.
+    above = F.array(*(F.last(F.when(F.col("level") < k, F.col("node_id")), ignorenulls=True).over(back) for k in range(len(LEVELS))))
+    after = F.array(*(F.last(F.when(F.col("level") <= k, me), ignorenulls=True).over(ahead) for k in range(len(LEVELS))))
+    rows = headings(parsed).withColumns({"__above": above, "__after": after})
+    next_ = F.get("__after", F.col("level"))
+    return rows.select("doc_id", F.col("node_id").alias("block_id"), F.get("__above", F.col("level")).alias("parent_id"), "label", "level", "start", F.coalesce(next_["start"], F.col("size")).alias("stop"), "line", F.coalesce(next_["node_id"], F.col("n")).alias("until"))
 
 
 def blocks(parsed: DataFrame) -> DataFrame:
@@ -42,10 +58,11 @@ def blocks(parsed: DataFrame) -> DataFrame:
     branches = branches.withColumn("what", F.lit("discarded")).withColumn("until", F.col("block_id") + 1)
     columns = ["doc_id", "block_id", "what", "label", "start", "stop", "line", "until"]
     rows = sections.select(*columns, "level").unionByName(groups.select(*columns, F.lit(None).cast("int").alias("level"))).unionByName(branches.select(*columns, F.lit(None).cast("int").alias("level")))
-    # The nearest block that opens before and closes after: the last such in document order.
-    outer = rows.filter("what <> 'discarded'").select(F.col("doc_id").alias("d"), F.col("block_id").alias("outer"), F.col("until").alias("outer_until"), F.col("start").alias("outer_start"))
-    met = rows.join(outer, (F.col("doc_id") == F.col("d")) & (F.col("outer") < F.col("block_id")) & (F.col("outer_until") >= F.col("until")), "left")
-    return met.groupBy(*columns, "level").agg(F.max("outer").alias("parent_id")).select("doc_id", "block_id", "parent_id", "what", "label", "level", "start", "stop", "line", "until")
+    # The nearest block that opens before and closes after: of those whose nodes hold this one's first, the last.
+    outer = rows.filter("what <> 'discarded'").select("doc_id", F.col("block_id").alias("outer"), (F.col("block_id") + 1).alias("__first"), F.col("until").alias("__stop"))
+    held = containing(rows.select("doc_id", "block_id", "until"), outer, at="block_id", start="__first", stop="__stop").filter(F.col("__stop") >= F.col("until"))
+    nearest = held.groupBy("doc_id", "block_id", "until").agg(F.max("outer").alias("parent_id"))
+    return rows.join(nearest, ["doc_id", "block_id", "until"], "left").select("doc_id", "block_id", "parent_id", "what", "label", "level", "start", "stop", "line", "until")
 
 
 def child_labels(blocks: DataFrame) -> DataFrame:
@@ -53,23 +70,33 @@ def child_labels(blocks: DataFrame) -> DataFrame:
     return blocks.filter("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("block_id"), "label").agg(F.count("*").alias("n"))
 
 
-def block_stats(parsed: DataFrame) -> DataFrame:
-    """(doc_id, block_id, key, n): words, formulas and environments by their nearest section; block 0 is what stands before any."""
-    heads = F.transform(F.filter("nodes", lambda n: (n["kind"] == "command") & n["base_name"].isin(*LEVELS) & ~n["bare"]), lambda n: n["node_id"])
-    titles = F.flatten(F.transform(F.filter("nodes", lambda n: (n["kind"] == "command") & n["base_name"].isin(*LEVELS) & ~n["bare"]), lambda n: F.filter(F.coalesce(n["args"], F.array().cast("array<int>")), lambda a: a.isNotNull())))
-    rows = parsed.select("doc_id", heads.alias("heads"), titles.alias("titles"), F.inline("nodes"))
-    block = F.coalesce(F.array_max(F.filter("heads", lambda h: h <= F.col("node_id"))), F.lit(0))
-    words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
-    prose = (F.col("kind") == "text") & (F.col("content") != "") & (F.col("ctx.mode") == "text") & F.col("ctx.arg_of").isNull() & ~F.array_contains("titles", F.col("parent_id"))
-    key = F.when(prose, "words").when(F.col("kind") == "math", F.col("delimiter")).when(F.col("kind") == "environment", F.col("name"))
-    return rows.select("doc_id", block.alias("block_id"), key.alias("key"), F.when(prose, words).otherwise(1).alias("n")).filter("key IS NOT NULL").groupBy("doc_id", "block_id", "key").agg(F.sum("n").cast("long").alias("n"))
+#: Commands that an outline tells of besides what they stand among. Fixed values.
+NOTABLE = ("includegraphics", "input", "include", "label", "ref", "cite", "footnote", "caption", "item")
+
+
+def block_stats(parsed: DataFrame, notable: tuple[str, ...] = NOTABLE) -> DataFrame:
+    """(doc_id, block_id, key, n, first): words, formulas, environments, notable commands and discarded branches by the nearest section before them.
+
+    Block 0 is what stands before any; `first` is where the key was first met. Commands are told as `\\name`, discarded branches as `discarded`.
+    """
+    titles = F.flatten(F.transform(F.filter("nodes", _is_heading), lambda n: F.filter(F.coalesce(n["args"], F.array().cast("array<int>")), lambda a: a.isNotNull())))
+    words = lambda n: F.size(F.filter(F.split(n["content"], r"\s+"), lambda w: w != ""))
+    prose = lambda n: F.coalesce((n["kind"] == "text") & (n["content"] != "") & (n["ctx"]["mode"] == "text") & n["ctx"]["arg_of"].isNull() & ~F.array_contains("__titles", n["parent_id"]), F.lit(False))
+    command = lambda n: (n["kind"] == "command") & n["base_name"].isin(*notable) & ~n["bare"]
+    key = lambda n: F.when(prose(n), "words").when(n["kind"] == "math", n["delimiter"]).when(n["kind"] == "environment", n["name"]).when(command(n), F.concat(F.lit("\\"), n["base_name"]))
+    said = F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), n["start"].alias("first"), key(n).alias("key"), F.when(prose(n), words(n)).otherwise(1).alias("n")))
+    gone = F.transform(F.filter("branches", lambda b: b["taken"] == F.lit(False)), lambda b: F.struct(b["condition"].alias("node_id"), b["start"].alias("first"), F.lit("discarded").alias("key"), F.lit(1).alias("n")))
+    rows = parsed.withColumn("__titles", titles).select("doc_id", F.inline(F.concat(F.filter(said, lambda x: x["key"].isNotNull()), gone)))
+    heads = parsed.select("doc_id", F.explode(F.transform(F.filter("nodes", _is_heading), lambda n: n["node_id"])).alias("block_id"))
+    own = last_before(rows, heads, at="node_id", marked="block_id", mark="__head")
+    return own.groupBy("doc_id", F.coalesce("__head.block_id", F.lit(0)).alias("block_id"), "key").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))
 
 
 def rolled_up(blocks: DataFrame, stats: DataFrame) -> DataFrame:
-    """(doc_id, block_id, key, n): counts of a block with all the blocks below it, by range."""
-    b, s = blocks.alias("b"), stats.alias("s")
-    met = b.join(s, (F.col("b.doc_id") == F.col("s.doc_id")) & (F.col("s.block_id") >= F.col("b.block_id")) & (F.col("s.block_id") < F.col("b.until")))
-    return met.groupBy("b.doc_id", "b.block_id", "s.key").agg(F.sum("s.n").alias("n"))
+    """(doc_id, block_id, key, n): counts of a block with all the blocks below it, by intervals of node numbers."""
+    outer = blocks.select("doc_id", F.col("block_id").alias("__block"), F.col("until").alias("__until"))
+    met = containing(stats.select("doc_id", F.col("block_id").alias("__at"), "key", "n"), outer, at="__at", start="__block", stop="__until")
+    return met.groupBy("doc_id", F.col("__block").alias("block_id"), "key").agg(F.sum("n").alias("n"))
 
 
 def top_stats(stats: DataFrame, k: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.folds import content_hashes
+from scriptorium.operators.intervals import containing
 from scriptorium.sources.documents import lines as lines_of
 
 GRAPHICS = ("includegraphics", "input@graphics", "epsfig", "includesvg")
@@ -39,49 +41,56 @@ def raw_text(text: str = "text", start: str = "start", stop: str = "stop") -> Co
     return F.substr(text, F.col(start) + 1, F.col(stop) - F.col(start))
 
 
-def commands_arguments(nodes: DataFrame, names: list[str], *, nargs: int | None = None, nopt: int | None = None, starred: bool = True) -> DataFrame:
-    """(doc_id, node_id, name, nth, arg_id, arg_kind, start, stop, inner_start, inner_stop): each occurrence and its arguments.
+def commands_arguments(parsed: DataFrame, names: list[str], *, nargs: int | None = None, nopt: int | None = None, starred: bool = True) -> DataFrame:
+    """(doc_id, node_id, name, nth, arg_id, arg_kind, start, stop, inner_start, inner_stop, line, col): each occurrence and its arguments.
 
     nth 0 is the command. By its signature, or where nargs or nopt are given: up to nopt options present, then the next nargs
-    (one by default) siblings; a bare command stands alone.
+    (one by default) siblings; a bare command stands alone. Documents are read once: arguments by signature are in the row, siblings in a window.
     """
     wanted = list(names) + ([f"{n}*" for n in names] if starred else [])
-    found = nodes.filter(is_command(*wanted))
-    if nargs is None and nopt is None:
-        known = F.when(F.col("spec").isNotNull(), F.coalesce("args", F.array().cast("array<int>")))
-    else:
-        known = F.lit(None).cast("array<int>")
-    found = found.withColumn("known", known)
-    # Without a signature: options as far as allowed among the siblings that follow, then the next siblings. Only the first `most` that are no comments
-    # can be meant, so that many are numbered from each occurrence on, whatever stands between.
+    shown = ("node_id", "kind", "start", "stop", "inner_start", "inner_stop", "line", "col")
+    own = lambda n: F.struct(*(n[c].alias(c) for c in shown))
+    is_it = lambda n: (n["kind"] == "command") & n["name"].isin(wanted)
+    by_hand = nargs is not None or nopt is not None
+    known = lambda n: F.lit(None) if by_hand else F.when(n["spec"].isNotNull(), F.transform(F.coalesce(n["args"], F.array().cast("array<int>")), lambda a: F.when(a.isNotNull(), own(F.try_element_at("nodes", a + 1)))))
+    none_type = "array<struct<node_id:int,kind:string,start:int,stop:int,inner_start:int,inner_stop:int,line:int,col:int>>"
+    row = lambda n: F.struct(n["parent_id"].alias("parent_id"), n["sib"].alias("sib"), n["name"].alias("name"), n["bare"].alias("bare"), is_it(n).alias("__is"), own(n).alias("own"), F.when(is_it(n), known(n)).cast(none_type).alias("known"))
+    # Where no signature tells, only the next `most` siblings that are no comments can be meant.
     most = (nopt or 0) + (nargs if nargs is not None else 1)
-    heads = found.filter("known IS NULL").select("doc_id", "parent_id", F.col("sib").alias("head_sib"), F.col("node_id").alias("head"))
-    few = nodes.filter(F.col("kind") != "comment").select("doc_id", "parent_id", "node_id", "kind", "sib").withColumn("rank", F.row_number().over(siblings()))
-    at = few.select("doc_id", "parent_id", F.col("node_id").alias("head"), F.col("rank").alias("head_rank")).join(heads.select("doc_id", "head"), ["doc_id", "head"], "left_semi")
-    near = at.select("doc_id", "parent_id", "head", F.explode(F.sequence(F.col("head_rank") + 1, F.col("head_rank") + most)).alias("rank"), "head_rank") if most else at.withColumn("rank", F.lit(-1))
-    following = near.join(few.select("doc_id", "parent_id", "rank", "node_id", "kind"), ["doc_id", "parent_id", "rank"]).groupBy("doc_id", "head").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id", "kind"))).alias("following"))
-    found = found.join(following.select(F.col("doc_id").alias("fd"), F.col("head").alias("fh"), "following"), (F.col("doc_id") == F.col("fd")) & (F.col("node_id") == F.col("fh")), "left")
+    rows = parsed.select("doc_id", F.inline(F.transform(F.filter("nodes", lambda n: n["kind"] != "comment"), row)))
+    if most:
+        after = Window.partitionBy("doc_id", "parent_id").orderBy("sib").rowsBetween(1, most)
+        rows = rows.withColumn("following", F.collect_list("own").over(after))
+    else:
+        rows = rows.withColumn("following", F.array().cast(none_type))
+    found = rows.filter("__is")
     options = F.lit(nopt if nopt is not None else 0)
-    taken = F.aggregate(F.coalesce("following", F.array().cast("array<struct<rank:int,node_id:int,kind:string>>")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & (x["kind"] == "option") & (a["n"] < options), 1).otherwise(0)).alias("n"), (a["on"] & (x["kind"] == "option")).alias("on")))["n"]
-    by_hand = F.transform(F.slice("following", F.lit(1), taken + (nargs if nargs is not None else 1)), lambda x: x["node_id"])
-    args = F.coalesce("known", by_hand)
-    args = F.when(F.col("bare"), F.array().cast("array<int>")).otherwise(F.coalesce(args, F.array().cast("array<int>")))
-    each = found.select("doc_id", F.col("node_id"), "name", F.posexplode(F.concat(F.array("node_id"), args)).alias("nth", "arg_id")).filter("arg_id IS NOT NULL")
-    own = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("a"), F.col("kind").alias("arg_kind"), "start", "stop", "inner_start", "inner_stop", "line", "col")
-    return each.join(own, (F.col("doc_id") == F.col("d")) & (F.col("arg_id") == F.col("a"))).drop("d", "a")
+    taken = F.aggregate("following", F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & (x["kind"] == "option") & (a["n"] < options), 1).otherwise(0)).alias("n"), (a["on"] & (x["kind"] == "option")).alias("on")))["n"]
+    args = F.when(F.col("bare"), F.array().cast(none_type)).otherwise(F.coalesce("known", F.slice("following", F.lit(1), taken + (nargs if nargs is not None else 1))))
+    each = found.select("doc_id", F.col("own.node_id").alias("node_id"), "name", F.posexplode(F.concat(F.array("own"), args)).alias("nth", "a")).filter("a IS NOT NULL")
+    return each.select("doc_id", "node_id", "name", "nth", F.col("a.node_id").alias("arg_id"), F.col("a.kind").alias("arg_kind"), *(F.col(f"a.{c}").alias(c) for c in shown[2:]))
+
+
+def inner_text(text: str, n: Column) -> Column:
+    """The source within a group, or of a node without an inside."""
+    begin = F.coalesce(n["inner_start"], n["start"])
+    return F.substr(F.col(text), begin + 1, F.coalesce(n["inner_stop"], n["stop"]) - begin)
 
 
 def sections(parsed: DataFrame, *, names: tuple[str, ...] = ("section",), starred: bool = True) -> DataFrame:
-    """(doc_id, node_id, name, title, line, col): every heading with its title as written."""
+    """(doc_id, node_id, name, title, short, line, col): every heading with its title and its short title, as written; short is null where there is none."""
     wanted = list(names) + ([f"{n}*" for n in names] if starred else [])
-    # The argument is in the same row's array, so no join is needed.
-    heads = parsed.select("doc_id", "text", "nodes", F.inline(F.filter("nodes", lambda n: (n["kind"] == "command") & n["name"].isin(wanted) & ~n["bare"])))
-    arg = F.try_element_at("nodes", F.element_at(F.filter("args", lambda a: a.isNotNull()), -1) + 1)
-    return heads.filter(F.exists("args", lambda a: a.isNotNull())).withColumn("a", arg).select("doc_id", "node_id", "name", F.substr("text", F.coalesce("a.inner_start", "a.start") + 1, F.coalesce("a.inner_stop", "a.stop") - F.coalesce("a.inner_start", "a.start")).alias("title"), "line", "col")
+    # The arguments are in the same row's array; what is told of a heading is made there, so that no row carries its document.
+    at = lambda a: F.try_element_at("nodes", a + 1)
+    given = lambda n: F.filter(F.coalesce(n["args"], F.array().cast("array<int>")), lambda a: a.isNotNull())
+    heads = F.filter("nodes", lambda n: (n["kind"] == "command") & n["name"].isin(wanted) & ~n["bare"] & (F.size(given(n)) > 0))
+    short = lambda n: F.get(F.filter(given(n), lambda a: at(a)["kind"] == "option"), 0)
+    told = F.transform(heads, lambda n: F.struct(n["node_id"].alias("node_id"), n["name"].alias("name"), inner_text("text", at(F.element_at(given(n), -1))).alias("title"), F.when(short(n).isNotNull(), inner_text("text", at(short(n)))).alias("short"), n["line"].alias("line"), n["col"].alias("col")))
+    return parsed.select("doc_id", F.inline(told))
 
 
-def graphics(nodes: DataFrame) -> DataFrame:
-    return commands_arguments(nodes, list(GRAPHICS), nargs=1, nopt=1, starred=False)
+def graphics(parsed: DataFrame) -> DataFrame:
+    return commands_arguments(parsed, list(GRAPHICS), nargs=1, nopt=1, starred=False)
 
 
 def envs(nodes: DataFrame, name: str) -> DataFrame:
@@ -108,13 +117,24 @@ def inputs(nodes: DataFrame, document: bool | None = None) -> DataFrame:
     return joined.filter(within if document else (F.col("document").isNull() | within))
 
 
-def commands_to_next(nodes: DataFrame, name: str, *, remove_comments: bool = True, starred: bool = True) -> DataFrame:
-    """(doc_id, head, name, nth, node_id, kind): each occurrence and its siblings up to the next one."""
+def commands_to_next(nodes: DataFrame, name: str, *, close_at_same_level: bool = True, remove_comments: bool = True, starred: bool = True) -> DataFrame:
+    """(doc_id, head, nth, node_id, kind, name, start, stop): each occurrence and its siblings up to the next one.
+
+    Without close_at_same_level, a segment goes to the end of its group, so that segments overlap: siblings are met by intervals, not all with all.
+    """
     wanted = [name, f"{name}*"] if starred else [name]
     is_it = is_command(*wanted) & ~F.col("bare")
-    rows = nodes.filter(F.col("kind") != "comment") if remove_comments else nodes
-    head = F.last(F.when(is_it, F.col("node_id")), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("head", head).filter("head IS NOT NULL")
+    shown = ("node_id", "kind", "name", "start", "stop", "sib")
+    rows = nodes.select("doc_id", "parent_id", *shown, is_it.alias("__is"))
+    if close_at_same_level:
+        head = F.last(F.when(F.col("__is"), F.col("node_id")), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("head", head).filter("head IS NOT NULL")
+    else:
+        ends = rows.withColumn("__end", F.max("sib").over(Window.partitionBy("doc_id", "parent_id")) + 1)
+        heads = ends.filter("__is").select("doc_id", "parent_id", F.col("node_id").alias("head"), F.col("sib").alias("__first"), "__end")
+        rows = containing(rows, heads, keys=("doc_id", "parent_id"), at="sib", start="__first", stop="__end")
+    if remove_comments:
+        rows = rows.filter(F.col("kind") != "comment")
     nth = F.row_number().over(Window.partitionBy("doc_id", "parent_id", "head").orderBy("sib")) - 1
     return rows.withColumn("nth", nth).select("doc_id", "head", "nth", "node_id", "kind", "name", "start", "stop")
 
@@ -127,9 +147,10 @@ def lines_to_next(docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("node_id")
     heads = nodes.filter(is_command(name) & ~F.col("bare")).select("doc_id", "node_id", "line")
     heads = heads.join(ends, "doc_id").join(stop, "doc_id", "left").select("doc_id", F.row_number().over(order).alias("nth"), F.col("line").alias("first"), F.coalesce(F.lead("line").over(order) - 1, F.col("doc_end"), F.col("n")).alias("last"))
-    met = heads.alias("h").join(own.alias("l"), (F.col("h.doc_id") == F.col("l.doc_id")) & F.col("l.line").between(F.col("h.first"), F.col("h.last")), "left")
-    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("l.line").isNotNull(), F.struct(F.col("l.line").alias("n"), F.concat("l.text", "l.eol").alias("t"))))), lambda x: x["t"])
-    return met.groupBy("h.doc_id", "h.nth", "h.first", "h.last").agg(listed.alias("lines"))
+    met = containing(own, heads.withColumn("__stop", F.col("last") + 1), at="line", start="first", stop="__stop")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col("line").alias("n"), F.concat("text", "eol").alias("t")))), lambda x: x["t"])
+    got = met.groupBy("doc_id", "nth").agg(listed.alias("lines"))
+    return heads.join(got, ["doc_id", "nth"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
 
 
 def flat(nodes: DataFrame) -> DataFrame:
@@ -165,9 +186,9 @@ def missing_arguments(nodes: DataFrame) -> DataFrame:
 
 
 def enclosures(nodes: DataFrame, inner: DataFrame) -> DataFrame:
-    """(doc_id, node_id, outer, kind, name, level): the groups around each node of `inner`, the nearest with level 1; an ancestor is a range."""
-    groups = nodes.filter(F.col("kind").isin("brace", "option", "environment", "math")).select(F.col("doc_id").alias("d"), F.col("node_id").alias("outer"), F.col("last").alias("outer_last"), "kind", "name", "depth")
-    met = inner.select("doc_id", "node_id").join(groups, (F.col("doc_id") == F.col("d")) & (F.col("node_id") > F.col("outer")) & (F.col("node_id") <= F.col("outer_last")))
+    """(doc_id, node_id, outer, kind, name, level): the groups around each node of `inner`, the nearest with level 1, by intervals of node numbers."""
+    groups = nodes.filter(F.col("kind").isin("brace", "option", "environment", "math")).select("doc_id", F.col("node_id").alias("outer"), "kind", "name", "depth", (F.col("node_id") + 1).alias("__first"), (F.col("last") + 1).alias("__stop"))
+    met = containing(inner.select("doc_id", "node_id"), groups, at="node_id", start="__first", stop="__stop")
     level = F.row_number().over(Window.partitionBy("doc_id", "node_id").orderBy(F.col("depth").desc()))
     return met.withColumn("level", level).select("doc_id", "node_id", "outer", "kind", "name", "level")
 
@@ -177,12 +198,58 @@ def in_order(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", F.col("stop").desc(), "node_id")))
 
 
-def same_content(nodes: DataFrame) -> DataFrame:
+def same_content(parsed: DataFrame) -> DataFrame:
     """(doc_id, node_id, content_hash): equal hashes are equal trees, whatever their places; compare nodes by it."""
-    below = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), "depth", "kind", "name", "content", "delimiter")
-    met = nodes.select("doc_id", "node_id", "last", F.col("depth").alias("top")).join(below, (F.col("doc_id") == F.col("d")) & (F.col("n") >= F.col("node_id")) & (F.col("n") <= F.col("last")))
-    item = F.struct("n", F.concat_ws("|", F.col("depth") - F.col("top"), "kind", "name", "content", F.coalesce("delimiter", F.lit(""))).alias("t"))
-    return met.groupBy("doc_id", "node_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), "\n"), 256).alias("content_hash"))
+    return content_hashes(parsed)
+
+
+#: What closes each delimiter of formulas.
+CLOSING = {"$": "$", "$$": "$$", "\\[": "\\]", "\\(": "\\)"}
+
+
+def _delimiters(n: Column) -> tuple[Column, Column]:
+    """What opens and what closes a group."""
+    closing = F.create_map(*(F.lit(x) for pair in CLOSING.items() for x in pair))
+    begin = lambda word: F.concat(F.lit(f"\\{word}{{"), n["name"], F.lit("}"))
+    kind = n["kind"]
+    return F.when(kind == "math", n["delimiter"]).when(kind == "environment", begin("begin")).when(kind == "option", "[").otherwise("{"), F.when(kind == "math", F.try_element_at(closing, n["delimiter"])).when(kind == "environment", begin("end")).when(kind == "option", "]").otherwise("}")
+
+
+def _carets(content: Column) -> Column:
+    """Control characters as TeX prints them."""
+    odd = [k for k in (*range(32), 127) if chr(k) not in "\t\n\r"]
+    written = content
+    for k in odd:
+        written = F.replace(written, F.lit(chr(k)), F.lit("^^" + chr(k ^ 64)))
+    return F.when(content.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), written).otherwise(content)
+
+
+def rewritten(parsed: DataFrame) -> DataFrame:
+    """(doc_id, rewritten): the text that a document's nodes write; it reads as the same nodes.
+
+    Nodes write themselves, groups their delimiters. Between two neighbours stands what their places say: nothing where they touch, a line end where they
+    are on different lines or the first is a comment, else a blank. Documents are taken as they are read, not expanded.
+    """
+    source = lambda n: F.replace(F.substr("text", n["start"] + 1, n["stop"] - n["start"]), F.lit("\r\n"), F.lit("\n"))
+    leaf = lambda n: F.when(n["kind"] == "command", F.concat(F.lit("\\"), _carets(n["name"]))).when(n["kind"] == "comment", F.concat(F.lit("%"), n["content"])).when(n["kind"] == "verbatim", source(n)).otherwise(_carets(n["content"]))
+    token = lambda rank, then, begin, end, said, comment: F.struct(rank.cast("long").alias("rank"), then.cast("long").alias("then"), begin.alias("begin"), end.alias("end"), said.alias("said"), comment.alias("comment"))
+    no = F.lit(False)
+
+    def tokens(n: Column) -> Column:
+        opening, closing = _delimiters(n)
+        one = token(n["node_id"] * 2, F.lit(0), n["start"], n["stop"], leaf(n), n["kind"] == "comment")
+        first = token(n["node_id"] * 2, F.lit(0), n["start"], n["inner_start"], opening, no)
+        last = token(n["last"] * 2 + 1, -n["node_id"], n["inner_stop"], n["stop"], closing, no)
+        return F.when(n["kind"].isin("brace", "option", "environment", "math"), F.array(first, last)).otherwise(F.array(one))
+
+    walk = F.array_sort(F.flatten(F.transform(F.filter("nodes", lambda n: n["node_id"] > 0), tokens)))
+    between = lambda a, b: F.substr("text", a["end"] + 1, b["begin"] - a["end"])
+    gap = lambda a, b: F.when(a["comment"], "\n").when(b["begin"] <= a["end"], "").when(between(a, b).rlike("[\r\n]"), "\n").otherwise(" ")
+    rows = parsed.select("doc_id", "text", walk.alias("w"), F.get(F.filter("nodes", lambda n: n["parent_id"] == 0), F.size(F.filter("nodes", lambda n: n["parent_id"] == 0)) - 1).alias("top"))
+    rest = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(gap(a, b), b["said"]))
+    # A paragraph is the blank line that follows it, so one at the end is given.
+    end = F.when(F.coalesce((F.col("top.kind") == "text") & (F.col("top.content") == ""), no), "\n").otherwise("")
+    return rows.select("doc_id", F.concat(F.coalesce(F.get("w", F.lit(0))["said"], F.lit("")), F.array_join(rest, ""), end).alias("rewritten"))
 
 
 def hierarchy(nodes: DataFrame) -> DataFrame:

@@ -6,53 +6,15 @@ recover from them what SQL says of the columns. Numbers are cast to BIGINT on bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import messages, signatures
 from scriptorium.operators import diagnostics, edits, nodes, outline, tree
-from scriptorium.plans import rules
+from scriptorium.plans import rules, structure
+from scriptorium.plans.documents import PART, _big, _say, _t, order_documents, part_documents
 from scriptorium.sources import documents
 from scriptorium.streaming import buffers
 
-PART = 50
-
-
-def _tasks(spark: SparkSession) -> int:
-    """Reading a document takes far more work than its bytes tell, so documents are dealt to all cores, however small the table is."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return rows.repartition(_tasks(spark), "p_partkey") if name == "part" else rows
-
-
-def _big(name: str, alias: str | None = None) -> Column:
-    return F.col(name).cast("long").alias(alias or name)
-
-
-def part_documents(spark: SparkSession, sf_dir: str, line: Column, head: str = "") -> DataFrame:
-    """(doc_id, text): a line for each of PART consecutive parts."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") / PART).cast("long").alias("doc_id"), F.struct("p_partkey", line.alias("t")).alias("x"))
-    return rows.repartition(_tasks(spark), "doc_id").groupBy("doc_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n")).alias("text"))
-
-
-def order_documents(spark: SparkSession, sf_dir: str, line: Column, before: str, after: str) -> DataFrame:
-    """(doc_id, text): a line for each line item of an order."""
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", line.alias("t")).alias("x"))
-    return rows.repartition(_tasks(spark), "doc_id").groupBy("doc_id").agg(F.concat(F.lit(before), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n"), F.lit(after)).alias("text"))
-
-
-def _say(pattern: str, *columns: str) -> Column:
-    """A line in which each @ stands for the next column, as text."""
-    parts = pattern.split("@")
-    out = [F.lit(parts[0])]
-    for c, p in zip(columns, parts[1:], strict=True):
-        out += [F.col(c).cast("string"), F.lit(p)]
-    return F.concat(*out)
-
-
 def tex_sections(spark, sf_dir):
     """Every section title of every document, with its position."""
     docs = part_documents(spark, sf_dir, _say("\\section{@} of @ % @", "p_name", "p_brand", "p_type"))
@@ -62,14 +24,14 @@ def tex_sections(spark, sf_dir):
 def tex_arguments(spark, sf_dir):
     docs = part_documents(spark, sf_dir, _say("\\includegraphics[width=@]{p/@}", "p_size", "p_partkey"))
     p = nodes.parse(docs)
-    found = tree.graphics(nodes.nodes(p)).filter("nth > 0").join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"))
+    found = tree.graphics(p).filter("nth > 0").join(docs, "doc_id")
     return found.select(_big("doc_id"), _big("nth"), "arg_kind", F.substr("text", F.col("inner_start") + 1, F.col("inner_stop") - F.col("inner_start")).alias("argument"))
 
 
 def tex_bound_arguments(spark, sf_dir):
     """By signature: a character each where braces lack."""
     docs = part_documents(spark, sf_dir, F.concat(F.lit("$\\frac"), F.lpad((F.col("p_size") % 90 + 10).cast("string"), 2, "0"), F.lit("$")))
-    got = tree.commands_arguments(nodes.nodes(nodes.parse(docs)), ["frac"]).filter("nth > 0")
+    got = tree.commands_arguments(nodes.parse(docs), ["frac"]).filter("nth > 0")
     return got.select(_big("doc_id"), _big("nth"), (F.col("stop") - F.col("start")).cast("long").alias("size"), _big("line"))
 
 
@@ -352,8 +314,8 @@ def tex_enclosures(spark, sf_dir):
 def tex_same_content(spark, sf_dir):
     """Groups with equal content, wherever they stand."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("{a \\emph{@}}x{a  \\emph{@}}{a @}", "p_size", "p_size", "p_size").alias("text"))
-    n = nodes.nodes(nodes.parse(docs))
-    top = tree.same_content(n).join(n.filter("depth = 1 AND kind = 'brace'").select("doc_id", "node_id"), ["doc_id", "node_id"])
+    p = nodes.parse(docs)
+    top = tree.same_content(p).join(nodes.nodes(p).filter("depth = 1 AND kind = 'brace'").select("doc_id", "node_id"), ["doc_id", "node_id"])
     return top.groupBy("doc_id").agg(F.count("*").alias("groups"), F.count_distinct("content_hash").alias("kinds")).select(_big("doc_id", "p_partkey"), _big("groups"), _big("kinds"))
 
 
@@ -450,7 +412,7 @@ def tex_signatures(spark, sf_dir):
     """Commands of a table of one's own: stars, options, delimited and braced options."""
     table = signatures.table_lines(["\\probe any s o d() g m", "{frame} any o m"], signatures.builtin())
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\probe*"), F.when(F.col("p_size") % 2 == 0, "[o]").otherwise(""), F.when(F.col("p_size") % 3 == 0, "(d)").otherwise(""), F.lit("{g}{m}\\begin{frame}{t}x\\end{frame}")).alias("text"))
-    got = tree.commands_arguments(nodes.nodes(nodes.parse(docs, table)), ["probe"]).filter("nth > 0")
+    got = tree.commands_arguments(nodes.parse(docs, table), ["probe"]).filter("nth > 0")
     return got.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "arg_kind"))), lambda x: F.concat(x["nth"].cast("string"), x["arg_kind"])), " ").alias("args")).select(_big("doc_id", "p_partkey"), "args")
 
 
@@ -479,7 +441,7 @@ QUERIES = {f.__name__: f for f in (
     tex_projected, tex_buffers, tex_actions, tex_accents, tex_prose_formulas, tex_quoted_search, tex_signatures,
     tex_images, tex_page,
 )}
-QUERIES |= rules.QUERIES
+QUERIES |= rules.QUERIES | structure.QUERIES
 FLAGSHIP = tex_sections
 
 _P = f"(p_partkey // {PART})::BIGINT AS doc_id"
@@ -550,4 +512,4 @@ UNION ALL SELECT doc_id, 't', line, w::BIGINT FROM p WHERE NOT top""",
     "tex_images": "SELECT p_partkey::BIGINT AS p_partkey, 'error' AS severity, 'i' || p_size || ' is not found' AS message, 33::BIGINT AS col FROM part WHERE p_size % 3 = 0",
     "tex_page": r"""SELECT p_partkey::BIGINT AS p_partkey, '<!doctype html><meta charset=utf-8><nav><ul>' || chr(10) || '<li class="level2"><a href="#l1">&lt;' || p_size || '&gt;</a></li>' || chr(10) || '</ul></nav><main><ol>' || chr(10) || '<li id="l1">\section{&lt;' || p_size || '&gt;}</li>' || chr(10) || '<li id="l2">}<span class="error">this brace closes nothing</span></li>' || chr(10) || '</ol></main>' AS page FROM part""",
 }
-ORACLE_SQL |= rules.ORACLE_SQL
+ORACLE_SQL |= rules.ORACLE_SQL | structure.ORACLE_SQL

@@ -56,23 +56,35 @@ def masters(docs: DataFrame) -> DataFrame:
 
 
 def normalized(path: Column) -> Column:
-    """A path without `./`, `x/..` and doubled slashes."""
-    p = F.regexp_replace(F.regexp_replace(path, "(?<!:)/{2,}", "/"), r"(^|/)\./", "$1")
-    return F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    """A path without `.`, `x/..` and doubled slashes: its segments are folded, so any number of `..` is undone. Nothing is above a root."""
+    root = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*:/*|/+)?", 0)
+    rooted = root != ""
+    back = lambda kept: (F.size(kept) > 0) & (F.coalesce(F.element_at(kept, -1), F.lit("")) != "..")
+    step = lambda kept, s: F.when(s.isin("", "."), kept).when(s != "..", F.concat(kept, F.array(s))).when(back(kept), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(rooted, kept).otherwise(F.concat(kept, F.array(s)))
+    rest = F.array_join(F.aggregate(F.split(F.substr(path, F.length(root) + 1), "/"), F.array().cast("array<string>"), step), "/")
+    return F.concat(F.when(root.rlike("^/+$"), "/").otherwise(root), rest)
+
+
+def tree_names(trees: DataFrame) -> DataFrame:
+    """(name, rank, path): by each name that a file of trees (path, and rank, the tree's priority) can be asked for, the file that answers.
+
+    A file answers to its name and to its name with any number of folders before it. Of several the tree with the least rank wins, then the first path.
+    """
+    rank = F.col("rank").cast("int") if "rank" in trees.columns else F.lit(0)
+    parts = F.split("path", "/+")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
+    rows = trees.select("path", rank.alias("rank"), F.explode(F.array_distinct(names)).alias("name"))
+    return rows.groupBy("name").agg(F.min(F.struct("rank", "path")).alias("best")).select("name", "best.rank", "best.path")
 
 
 def resolved(inclusions: DataFrame, files: DataFrame, trees: DataFrame | None = None) -> DataFrame:
     """inclusions (doc_id, folder, target, extension, ...) with `path` of the manifest files (path), null where none fits.
 
-    The target with its extension comes first; a .tex target may also be named barely, an image without its extension. Names without a folder that
-    aren't found there are looked for by name in `trees` (path), a manifest of the files that a distribution has; of several, the first path.
+    The target with its extension comes first; a .tex target may also be named barely, an image without its extension. What isn't found from the folder is
+    looked for in `trees` (path, rank), the manifests of distributions in the order of their ranks, unless the target says where it is (an
+    absolute path, `./` or `../`).
     """
-    if trees is not None:
-        near = resolved(inclusions.withColumn("__n", F.monotonically_increasing_id()), files)
-        bare = F.when(~F.contains("target", F.lit("/")), F.when(F.endswith("target", F.col("extension")), F.col("target")).otherwise(F.concat("target", "extension")))
-        far = trees.groupBy(F.element_at(F.split("path", "/"), -1).alias("__file")).agg(F.min("path").alias("__far"))
-        return near.withColumn("__bare", bare).join(far, F.col("__bare") == F.col("__file"), "left").withColumn("path", F.coalesce("path", "__far")).drop("__n", "__bare", "__file", "__far")
-    # One candidate a row, so that the manifest is met by an equi-join whatever its size.
+    # One candidate a row, so that the manifests are met by equi-joins whatever their size.
     numbered = inclusions.withColumn("__row", F.monotonically_increasing_id())
     with_ext = F.when(F.col("extension") == "", F.col("target")).when(F.endswith("target", F.col("extension")), F.col("target")).otherwise(F.concat("target", "extension"))
     images = [F.when(F.col("extension") == "", F.concat("target", F.lit(e))).otherwise(with_ext) for e in IMAGES]
@@ -80,6 +92,11 @@ def resolved(inclusions: DataFrame, files: DataFrame, trees: DataFrame | None =
     base = F.when(F.startswith("target", F.lit("/")) | (F.coalesce("folder", F.lit("")) == ""), F.lit("")).otherwise(F.concat("folder", F.lit("/")))
     tried = numbered.select("*", F.posexplode(options).alias("__rank", "__name")).withColumn("__path", normalized(F.concat(base, F.col("__name"))))
     found = tried.join(files.select(F.col("path").alias("__found")).distinct(), F.col("__path") == F.col("__found"), "left")
-    best = F.min(F.when(F.col("__found").isNotNull(), F.struct("__rank", "__found")))["__found"]
-    own = [c for c in inclusions.columns]
-    return found.groupBy("__row", *own).agg(best.alias("path")).drop("__row")
+    near = F.when(F.col("__found").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("__rank").alias("nth"), F.lit(0).alias("tree"), F.col("__found").alias("path")))
+    best = F.min(near)
+    if trees is not None:
+        far = tree_names(trees).select(F.col("name").alias("__asked"), F.col("rank").alias("__tree"), F.col("path").alias("__far"))
+        asked = F.when(~F.col("target").rlike(r"^(/|\.\.?/|[A-Za-z][A-Za-z0-9+.-]*:/)"), normalized(F.col("__name")))
+        found = found.withColumn("__asks", asked).join(far, F.col("__asks") == F.col("__asked"), "left")
+        best = F.least(best, F.min(F.when(F.col("__far").isNotNull(), F.struct(F.lit(1).alias("far"), F.col("__rank").alias("nth"), F.col("__tree").alias("tree"), F.col("__far").alias("path")))))
+    return found.groupBy("__row", *inclusions.columns).agg(best.alias("__best")).withColumn("path", F.col("__best.path")).drop("__row", "__best")

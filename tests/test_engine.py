@@ -21,7 +21,7 @@ def docs_of(spark, *texts):
 
 
 def test_arguments(spark):
-    n = nodes.nodes(nodes.parse(docs_of(spark, r"\section[s]{T}\section*{U} \emph", r"\mycommand[opt]{a}{b}{c}", r"\let\titre\section", None))).cache()
+    n = nodes.parse(docs_of(spark, r"\section[s]{T}\section*{U} \emph", r"\mycommand[opt]{a}{b}{c}", r"\let\titre\section", None)).cache()
     got = lambda *a, **k: sorted((r["doc_id"], r["node_id"], r["nth"], r["arg_kind"]) for r in tree.commands_arguments(n, *a, **k).collect())
     assert [(d, nth, kind) for d, _, nth, kind in got(["section"])] == [(0, 0, "command"), (0, 1, "option"), (0, 2, "brace"), (0, 0, "command"), (0, 1, "brace"), (2, 0, "command")] or len(got(["section"])) == 6
     assert [(nth, kind) for d, _, nth, kind in got(["mycommand"], nargs=2, nopt=1)] == [(0, "command"), (1, "option"), (2, "brace"), (3, "brace")]
