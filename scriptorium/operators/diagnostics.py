@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.signatures import ALIGNMENTS, DISPLAY, FLOATS, LISTS, MATRICES, TABLES, builtin
 from scriptorium.operators.intervals import last_before
+from scriptorium.operators.related import PLACE, lines_of_related, marks, with_related
 from scriptorium.sources.documents import lines as lines_of
 from scriptorium.tables import written
 
@@ -87,7 +88,7 @@ def node_rules(n, others: Column, matrices: Column) -> list[Column]:
         said(environment & name.isin(*sorted(DISPLAY)) & (mode == "math"), "display-in-math", "a display within a formula"),
         said(command & (base == "caption") & no(ctx["floating"]), "caption-outside-float", "a caption outside a float"),
         said(command & base.isin(*PREAMBLE_ONLY) & (ctx["body"] == F.lit(True)), "preamble-only", "this belongs in the preamble"),
-        said(command & (base == "tag") & ((mode == "text") | (formula & (mode == "math") & no(ctx["tags"]))), "tag-not-allowed", "a tag outside a display"),
+        said(command & (base == "tag") & formula & (mode == "math") & no(ctx["tags"]), "tag-not-allowed", "a tag outside a display"),
         said(par & (mode == "math") & table.isin(*sorted(DISPLAY)), "blank-line-in-math", "an empty line in a formula"),
         said(par & ctx["arg_of"].isin(*SHORT_ARGUMENTS), "blank-line-in-argument", "an empty line in an argument that can't hold a paragraph"),
         said((kind == "verbatim") & live & (F.coalesce(ctx["arg_of"], F.lit("")) != "") & base.isin("verb", "lstinline"), "verb-in-argument", "verbatim in an argument"),
@@ -105,7 +106,7 @@ def node_rules(n, others: Column, matrices: Column) -> list[Column]:
         said(command & base.isin(*RULES) & table.isin(*sorted(ALIGNMENTS)) & (place["lead"] != "row"), "misplaced-rule", "a rule within a row"),
         said(command & (base == "multicolumn") & table.isin(*sorted(ALIGNMENTS)) & (place["lead"] == ""), "misplaced-multicolumn", "a span within a cell"),
         said(live & (place["cells"] > columns), "too-many-columns", F.format_string("%d cells in a row of %d columns", place["cells"], columns)),
-        said(environment & name.isin(*sorted(TABLES)) & own_spec.isNotNull() & ~others & column_count(own_spec, standard=True).isNull(), "unknown-column", F.concat(F.lit("unknown column in "), own_spec)),
+        said(environment & name.isin(*sorted(TABLES)) & own_spec.isNotNull() & ~others & column_count(F.when(name == "tabularx", F.replace(own_spec, F.lit("X"), F.lit("l"))).otherwise(own_spec), standard=True).isNull(), "unknown-column", F.concat(F.lit("unknown column in "), own_spec)),
         said((command | environment) & F.exists(length, not_length), "invalid-length", "not a length"),
         said(command & base.isin("newcommand", "renewcommand", "providecommand", "DeclareRobustCommand") & defined.isNotNull() & ~F.contains(defined, F.lit("#")) & ~F.trim(defined).rlike(r"^\\([A-Za-z@]+|[^A-Za-z])$"), "not-a-command-name", "this is no name of a command"),
     ]
@@ -213,17 +214,18 @@ def files_not_found(parsed: DataFrame, files: DataFrame, folders: DataFrame | No
 
 
 def diagnose(parsed: DataFrame, files: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
-    """Structure and meaning together: COLUMNS, fix_at, fix and by. Order by doc_id, start, stop, code to render.
+    """Structure and meaning together: COLUMNS, fix_at, fix, by and related. Order by doc_id, start, stop, code to render.
 
     The parsed table is read once: what its rules say, and the few names and inclusions that are joined, go to a table of their own.
     """
-    kept = written(reports(parsed).select("doc_id", "fragment", "found", names_met(parsed).alias("met"), _own_names().alias("own"), "inclusions"), "reports")
-    found = kept.select("doc_id", F.inline("found"))
+    explained = F.when(F.size("found") > 0, marks(SHORT_ARGUMENTS))
+    kept = written(reports(parsed).select("doc_id", "fragment", "found", explained.alias("marks"), names_met(parsed).alias("met"), _own_names().alias("own"), "inclusions"), "reports")
+    found = with_related(kept)
     more = _unknown(kept.select("doc_id", F.inline("met")), kept.select("doc_id", F.inline("own")))
     if files is not None:
         more = more.unionByName(missing_files(_wanted(kept, folders), files))
     none = F.lit(None)
-    return found.unionByName(more.withColumns({"fix_at": none.cast("int"), "fix": none.cast("string")}))
+    return found.unionByName(more.withColumns({"fix_at": none.cast("int"), "fix": none.cast("string"), "related": F.array().cast(PLACE)}))
 
 
 def meaning(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -267,12 +269,12 @@ def in_source(found: DataFrame) -> DataFrame:
     What a macro wrote says so; what several uses would say at one place is said once, as the first of them says it.
     """
     written_by = F.when(F.col("by").isNotNull(), F.concat("message", F.lit(" (written by \\"), "by", F.lit(")"))).otherwise(F.col("message"))
-    rest = F.struct("severity", "line", "col", "fix_at", "fix")
-    return found.withColumn("message", written_by).groupBy("doc_id", "code", "message", "start", "stop").agg(F.min(rest).alias("r")).select("doc_id", "code", "r.severity", "message", "start", "stop", "r.line", "r.col", "r.fix_at", "r.fix")
+    rest = F.struct("severity", "line", "col", "fix_at", "fix", "related")
+    return found.withColumn("message", written_by).groupBy("doc_id", "code", "message", "start", "stop").agg(F.min(rest).alias("r")).select("doc_id", "code", "r.severity", "message", "start", "stop", "r.line", "r.col", "r.fix_at", "r.fix", "r.related")
 
 
 def check(docs: DataFrame, files: DataFrame | None = None, *, expanded: bool = True, follow_inputs: bool = True) -> DataFrame:
-    """Diagnostics (COLUMNS, fix_at and fix) of documents, by default of their expanded views, at source places.
+    """Diagnostics (COLUMNS, fix_at, fix and related) of documents, by default of their expanded views, at source places.
 
     Where docs has a column `path`, documents know what the files of docs that they include define, unless follow_inputs is false, and names
     are looked for from their own folder.
@@ -325,6 +327,8 @@ def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     if docs is not None:
         if "fix" in found.columns:
             fields.append(suggestion(found).alias("suggestion"))
+        if "related" in found.columns:
+            fields.append(F.transform("related", lambda r: F.struct(r["line"].alias("line"), (r["col"] + 1).alias("column"), r["end_line"].alias("end_line"), (r["end_col"] + 1).alias("end_column"), r["message"].alias("message"))).alias("related"))
         found = with_ends(found, docs)
         if "path" in docs.columns:
             found = found.join(docs.select("doc_id", F.col("path").alias("__path")), "doc_id")
@@ -333,20 +337,26 @@ def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", F.to_json(F.struct(*fields)).alias("json"))
 
 
+def _excerpt(source: Column, col: Column, size: Column, width: int) -> Column:
+    """A window of a line around a place, and a mark under it. A longer line is shown from a quarter of the window before, and so that the window is full."""
+    begin = F.when(F.length(source) <= width, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(col - width // 4, F.length(source) - width)))
+    wide = F.greatest(F.lit(0), F.least(size, F.length(source) - col, F.lit(width) - (col - begin)) - 1)
+    return F.concat(F.substr(source, begin + 1, F.lit(width)), F.lit("\n"), F.repeat(F.lit(" "), col - begin), F.lit("^"), F.repeat(F.lit("~"), wide))
+
+
 def render_text(found: DataFrame, docs: DataFrame, width: int = 100, *, color: bool = False, fixes: bool = False) -> DataFrame:
-    """(doc_id, line, col, rendered): header, a window of the line around the place, a mark under it, and (fixes) what is suggested."""
-    own = lines_of(docs).withColumnRenamed("text", "source").drop("eol")
-    joined = found.join(own, ["doc_id", "line"], "left").withColumn("source", F.coalesce("source", F.lit("")))
-    # A longer line is shown from a quarter of the window before the place, and so that the window is full.
-    begin = F.greatest(F.lit(0), F.least(F.col("col") - width // 4, F.length("source") - width))
-    joined = joined.withColumn("begin", F.when(F.length("source") <= width, 0).otherwise(begin))
-    excerpt = F.substr("source", F.col("begin") + 1, F.lit(width))
-    wide = F.greatest(F.lit(0), F.least(F.col("stop") - F.col("start"), F.length("source") - F.col("col"), F.lit(width) - (F.col("col") - F.col("begin"))) - 1)
-    marks = F.concat(F.repeat(F.lit(" "), F.col("col") - F.col("begin")), F.lit("^"), F.repeat(F.lit("~"), wide))
+    """(doc_id, line, col, rendered): header, a window of the line around the place, a mark under it, the same of related places, and (fixes) what is suggested."""
+    lines = lines_of(docs)
+    joined = found.join(lines.select("doc_id", "line", F.col("text").alias("source")), ["doc_id", "line"], "left").withColumn("source", F.coalesce("source", F.lit("")))
+    related = F.lit("")
+    if "related" in found.columns:
+        joined = joined.join(lines_of_related(found, lines), "doc_id", "left")
+        one = lambda r: F.concat(F.lit("\n"), _excerpt(F.coalesce(F.try_element_at("__lines", r["line"]), F.lit("")), r["col"], r["stop"] - r["start"], width), F.lit(" "), r["message"])
+        related = F.array_join(F.transform("related", one), "")
     fix = F.when(suggestion(found).isNotNull(), F.concat(F.lit("\n= "), suggestion(found))).otherwise("") if fixes and "fix" in found.columns else F.lit("")
     tone = F.when(F.col("severity") == "error", "\x1b[31m").when(F.col("severity") == "warning", "\x1b[33m").otherwise("\x1b[36m")
     severity = F.concat(tone, "severity", F.lit("\x1b[0m")) if color else F.col("severity")
-    return joined.select("doc_id", "line", "col", F.concat(F.format_string("%d:%d: %s [%s] %s\n", "line", F.col("col") + 1, severity, "code", "message"), excerpt, F.lit("\n"), marks, fix).alias("rendered"))
+    return joined.select("doc_id", "line", "col", F.concat(F.format_string("%d:%d: %s [%s] %s\n", "line", F.col("col") + 1, severity, "code", "message"), _excerpt(F.col("source"), F.col("col"), F.col("stop") - F.col("start"), width), related, fix).alias("rendered"))
 
 
 def code_counts(found: DataFrame) -> DataFrame:

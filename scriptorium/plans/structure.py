@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import diagnostics, folds, nodes, outline, tree
 from scriptorium.plans.documents import PART, _big, _say, _t, part_documents
 from scriptorium.sources import documents
+from scriptorium.streaming import buffers
 
 
 def tex_overlapping(spark, sf_dir):
@@ -100,7 +101,49 @@ def tex_block_statistics(spark, sf_dir):
     return got.select(_big("doc_id", "p_partkey"), F.least("block_id", F.lit(2)).cast("long").alias("block"), "key", _big("n"), _big("nth"))
 
 
-QUERIES = {f.__name__: f for f in (tex_overlapping, tex_visits, tex_group_visits, tex_fold, tex_rewritten, tex_rewritten_alike, tex_short_titles, tex_paths, tex_far_inputs, tex_ranked_trees, tex_json_checked, tex_block_statistics)}
+RELATED = (
+    "Rows @ \\begin{center} a & b \\end{center}", "\\begin{equation} x \\label{a@} + y \\label{b@} \\end{equation}", "\\[ @ + \\footnote{n} \\]", "\\newcommand\\mine{@} and \\newcommand\\mine{again}", "$ a @ \\left( b $", "\\textit{@ first\n\nsecond}", "\\begin{tabular}{l} @ & b \\end{tabular}",
+)
+
+
+def related_documents(spark, sf_dir):
+    shapes = F.array(*(F.lit("\\documentclass{article}\n\\begin{document}\n" + t + "\n\\end{document}\n") for t in RELATED))
+    part = _t(spark, sf_dir, "part").withColumn("t", F.element_at(shapes, (F.col("p_partkey") % len(RELATED) + 1).cast("int")))
+    return part.select(F.col("p_partkey").alias("doc_id"), F.replace("t", F.lit("@"), F.col("p_size").cast("string")).alias("text"))
+
+
+def tex_related(spark, sf_dir):
+    """What explains each report: the opening around it, or the first of two."""
+    found = diagnostics.check(related_documents(spark, sf_dir)).select("doc_id", "code", F.inline("related"))
+    return found.select(_big("doc_id", "p_partkey"), "code", "message", _big("line"), _big("col"), _big("end_col"))
+
+
+def tex_related_shown(spark, sf_dir):
+    """Related places in text, in JSON and for an editor."""
+    docs = related_documents(spark, sf_dir).filter(f"doc_id % {len(RELATED)} = 0")
+    found = diagnostics.check(docs)
+    text = diagnostics.render_text(found, docs).select("doc_id", "rendered")
+    told = diagnostics.to_json(found, docs).select("doc_id", F.get_json_object("json", "$.related").alias("json"))
+    editor = buffers.projected(found, docs).select("doc_id", F.to_json("related").alias("editor"))
+    return text.join(told, "doc_id").join(editor, "doc_id").select(_big("doc_id", "p_partkey"), "rendered", "json", "editor")
+
+
+NAMES = (
+    "\\includegraphics{no_@}", "\\includegraphics[width=@mm,trim=1_2]{no_@.png}", "\\url{http://x/a_@&b}", "\\href{http://x/a_@}{here}", "\\input{part_@}", "\\cite{who_@}", "\\cite[p. @]{who_a,who_b}", "\\bibliography{all_@}", "\\bibliographystyle{my_@}", "\\pagestyle{my_@}",
+    "\\ensuremath{x_@}", "\\label{a_@}\\ref{a_@}", "\\hyperref[a_@]{there}", "\\setlength{\\parskip}{\\dimexpr @pt+1cm\\relax}", "\\begin{itemize}[label=a_@]\\item x\\end{itemize}", "\\textcolor{my_@}{x}", "\\setcounter{my_c}{@}", "\\footnote{See \\url{a_@}.}", "\\nocite{*}\\addbibresource{a_@.bib}", "\\usetikzlibrary{a_@}\\color{my_@}",
+)
+LOUD = ("\\href{http://x}{a_@}", "\\textcolor{red}{a_@}", "\\section{a_@}", "\\footnote{a_@ \\url{b_c}}")
+
+
+def tex_names(spark, sf_dir):
+    """Everyday constructs whose arguments are names, paths or keys are silent; the prose beside them isn't."""
+    shapes = F.array(*(F.lit("\\documentclass{article}\\usepackage{enumitem,graphicx,hyperref,xcolor,tikz,biblatex}\\begin{document}\n" + t + "\n\\end{document}\n") for t in (*NAMES, *LOUD)))
+    part = _t(spark, sf_dir, "part").withColumn("t", F.element_at(shapes, (F.col("p_partkey") % (len(NAMES) + len(LOUD)) + 1).cast("int")))
+    found = diagnostics.check(part.select(F.col("p_partkey").alias("doc_id"), F.replace("t", F.lit("@"), F.col("p_size").cast("string")).alias("text"))).filter("severity <> 'info'")
+    return found.groupBy("doc_id", "code").agg(F.count("*").alias("n")).select(_big("doc_id", "p_partkey"), "code", "n")
+
+
+QUERIES = {f.__name__: f for f in (tex_overlapping, tex_visits, tex_group_visits, tex_fold, tex_rewritten, tex_rewritten_alike, tex_short_titles, tex_paths, tex_far_inputs, tex_ranked_trees, tex_json_checked, tex_block_statistics, tex_related, tex_related_shown, tex_names)}
 
 _P = f"(p_partkey // {PART})::BIGINT AS doc_id"
 _NTH = f"row_number() OVER (PARTITION BY p_partkey // {PART} ORDER BY p_partkey)::BIGINT"
@@ -121,4 +164,12 @@ ORACLE_SQL = {
   (0, 0, '\label', 1, 1), (0, 2, 'words', 2, 1), (0, 2, '\ref', 2, 2), (0, 2, 'discarded', 1, 3),
   (1, 0, '\label', 1, 1), (1, 2, 'words', 2, 1), (1, 2, '\ref', 2, 2), (1, 2, '\cite', 1, 3),
   (2, 0, '\label', 1, 1), (2, 2, 'words', 2, 1), (2, 2, '\cite', 2, 2), (2, 2, '\ref', 2, 3)) AS v(k, block, key, n, nth) WHERE v.k = p.c""",
+    "tex_related": r"""SELECT p_partkey::BIGINT AS p_partkey, v.code, v.message, 3::BIGINT AS line, (v.col + v.moves * length(p_size::VARCHAR))::BIGINT AS col, (v.col + v.moves * length(p_size::VARCHAR) + v.size + v.grows * length(p_size::VARCHAR))::BIGINT AS end_col FROM part JOIN (VALUES
+  (0, 'ampersand-outside-alignment', 'the environment here aligns nothing', 6, 1, 14, 0), (1, 'multiple-labels', 'the first label is here', 19, 0, 6, 0), (2, 'invalid-in-math', 'the formula is opened here', 0, 0, 2, 0),
+  (3, 'already-defined', 'the first definition is here', 0, 0, 11, 0), (4, 'left-without-right', 'the group ends here', 14, 1, 1, 0), (5, 'blank-line-in-argument', 'the argument belongs to this command', 0, 0, 7, 0), (6, 'too-many-columns', 'the columns are set here', 0, 0, 15, 0)
+) AS v(k, code, message, col, moves, size, grows) ON p_partkey % 7 = v.k""",
+    "tex_related_shown": r"""SELECT p_partkey::BIGINT AS p_partkey, '3:' || (21 + d + 1) || ': error [ampersand-outside-alignment] an alignment mark outside an alignment' || chr(10) || src || chr(10) || repeat(' ', 21 + d) || '^~~~~' || chr(10) || src || chr(10) || repeat(' ', 6 + d) || '^~~~~~~~~~~~~~ the environment here aligns nothing' AS rendered,
+  '[{"line":3,"column":' || (7 + d) || ',"end_line":3,"end_column":' || (21 + d) || ',"message":"the environment here aligns nothing"}]' AS json, '[{"line":2,"character":' || (6 + d) || ',"message":"the environment here aligns nothing"}]' AS editor
+FROM (SELECT p_partkey, length(p_size::VARCHAR) AS d, 'Rows ' || p_size || ' \begin{center} a & b \end{center}' AS src FROM part WHERE p_partkey % 7 = 0)""",
+    "tex_names": f"SELECT p_partkey::BIGINT AS p_partkey, 'script-outside-math' AS code, 1::BIGINT AS n FROM part WHERE p_partkey % {len(NAMES) + len(LOUD)} >= {len(NAMES)}",
 }

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scriptorium.operators import diagnostics
+from scriptorium.operators.related import PLACE, lines_of_related
 from scriptorium.sources.documents import lines as lines_of
 
 DEBOUNCE = "300 milliseconds"
@@ -63,20 +64,28 @@ def due(stream: DataFrame, *, debounce_ms: int = 300) -> DataFrame:
 
 
 def projected(found: DataFrame, docs: DataFrame, encoding: str = "utf-16") -> DataFrame:
-    """(doc_id, severity, code, message, line, character, fix): diagnostics as an editor takes them: severities 1 to 3, lines from 0, its own units."""
+    """(doc_id, severity, code, message, line, character, end_line, end_character, fix, related): diagnostics as an editor takes them.
+
+    Severities are 1 to 3, lines from 0, columns in the editor's own units; related places are a list of line, character and message.
+    """
     rank = F.when(F.col("severity") == "error", 1).when(F.col("severity") == "warning", 2).otherwise(3)
-    own = lines_of(docs).select("doc_id", "line", F.col("text").alias("__line"))
-    joined = found.join(own, ["doc_id", "line"], "left")
+    lines = lines_of(docs)
+    joined = diagnostics.with_ends(found, docs).join(lines.select("doc_id", "line", F.col("text").alias("__line")), ["doc_id", "line"], "left").join(lines.select("doc_id", F.col("line").alias("end_line"), F.col("text").alias("__end")), ["doc_id", "end_line"], "left")
     fix = F.col("fix") if "fix" in found.columns else F.lit(None).cast("string")
-    return joined.select("doc_id", rank.alias("severity"), "code", "message", (F.col("line") - 1).alias("line"), units(F.coalesce("__line", F.lit("")), F.col("col"), encoding).alias("character"), fix.alias("fix"))
+    at = lambda text, col: units(F.coalesce(text, F.lit("")), col, encoding)
+    related = F.array().cast("array<struct<line:int,character:int,message:string>>")
+    if "related" in found.columns:
+        joined = joined.join(lines_of_related(found, lines), "doc_id", "left")
+        related = F.transform("related", lambda r: F.struct((r["line"] - 1).alias("line"), at(F.try_element_at("__lines", r["line"]), r["col"]).alias("character"), r["message"].alias("message")))
+    return joined.select("doc_id", rank.alias("severity"), "code", "message", (F.col("line") - 1).alias("line"), at(F.col("__line"), F.col("col")).alias("character"), (F.col("end_line") - 1).alias("end_line"), at(F.col("__end"), F.col("end_col")).alias("end_character"), fix.alias("fix"), related.alias("related"))
 
 
 def checked(events: DataFrame) -> DataFrame:
     """(uri, diagnostics): of the newest text of each buffer; a closed one has none."""
     last = newest(events).withColumn("doc_id", F.xxhash64("uri"))
     found = diagnostics.check(last.filter("kind <> 'close'").select("doc_id", "text"))
-    listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "code", "severity", "message", "line", "col"))).alias("found"))
-    empty = F.array().cast("array<struct<start:int,stop:int,code:string,severity:string,message:string,line:int,col:int>>")
+    listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "code", "severity", "message", "line", "col", "related"))).alias("found"))
+    empty = F.array().cast(f"array<struct<start:int,stop:int,code:string,severity:string,message:string,line:int,col:int,related:{PLACE}>>")
     return last.join(listed, "doc_id", "left").select("uri", "version", F.coalesce("found", empty).alias("diagnostics"))
 
 

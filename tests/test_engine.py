@@ -58,7 +58,7 @@ def test_column_counts(spark):
 RULES = [
     ("item-outside-list", r"\item a"), ("ampersand-outside-alignment", "a & b"), ("script-outside-math", "a_b"), ("missing-argument", r"$\frac{1}$"), ("math-command-in-text", r"\alpha"),
     ("invalid-in-math", r"$\section{a}$"), ("display-in-math", r"\[\begin{align}a\end{align}\]"), ("caption-outside-float", r"\caption{a}"), ("preamble-only", r"\usepackage{a}"),
-    ("tag-not-allowed", r"\tag{1}"), ("blank-line-in-argument", "\\emph{a\n\nb}"), ("verb-in-argument", r"\emph{\verb|a|}"), ("float-in-box", r"\begin{figure}\begin{table}\end{table}\end{figure}"),
+    ("tag-not-allowed", r"$\tag{1}$"), ("blank-line-in-argument", "\\emph{a\n\nb}"), ("verb-in-argument", r"\emph{\verb|a|}"), ("float-in-box", r"\begin{figure}\begin{table}\end{table}\end{figure}"),
     ("middle-without-left", r"$\middle|$"), ("text-before-item", r"\begin{itemize}a\item b\end{itemize}"), ("line-break-without-line", "a\n\n\\\\ b"), ("too-many-columns", r"\begin{tabular}{c}a & b\end{tabular}"),
     ("already-defined", r"\newcommand{\section}{a}"), ("illegal-parameter", r"\newcommand{\zz}{#1}"), ("invalid-length", r"\hspace{3}"), ("multiple-tags", r"\begin{equation}\tag{1}\tag{2}\end{equation}"), ("unknown-command", r"\sectoin{a}"), ("unknown-environment", r"\begin{itemzie}\end{itemzie}"),
     ("too-deeply-nested", r"\begin{itemize}\item" * 5 + r"\end{itemize}" * 5), ("not-a-command-name", r"\newcommand{foo}{a}"), ("unknown-column", r"\begin{tabular}{cq}a\end{tabular}"), ("misplaced-rule", r"\begin{tabular}{c}a \hline\end{tabular}"), ("misplaced-multicolumn", r"\begin{tabular}{cc}a \multicolumn{2}{c}{b}\end{tabular}"),
