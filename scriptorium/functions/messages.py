@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FALLBACK = "en"
@@ -64,6 +66,26 @@ file-not-found | {target} is not found | {target} est introuvable
 unknown-command | {name}: did you mean {known}? | {name} : vouliez-vous dire {known} ?
 unknown-environment | {name}: did you mean {known}? | {name} : vouliez-vous dire {known} ?
 """
+#: Whole messages, where a title doesn't tell all: code | English | French. Fixed places of fields; what a field is called is in FIELDS.
+_WHOLE = r"""
+unclosed-brace | {opening} is not closed before {cause} | {opening} n'est pas fermé avant {cause}
+unclosed-bracket | {opening} is not closed before {cause} | {opening} n'est pas fermé avant {cause}
+unclosed-math | {opening} is not closed before {cause} | {opening} n'est pas fermé avant {cause}
+unclosed-environment | {opening} is not closed before {cause} | l'environnement {opening} n'est pas fermé avant {cause}
+end-without-begin | no {name} is open | aucun environnement {name} n'est ouvert
+dollar-in-math | a dollar within {opening} | un dollar dans {opening}
+unclosed-verbatim | {name} is never closed | {name} n'est jamais fermé
+verb-across-lines | {name} must end on its line | {name} doit finir sur sa ligne
+too-many-columns | {cells} cells in a row of {columns} columns | {cells} cellules dans une ligne de {columns} colonnes
+unknown-column | unknown column in {spec} | colonne inconnue dans {spec}
+illegal-parameter | parameter {number} of {arity} | paramètre {number} sur {arity}
+already-defined | {name} is already defined | {name} est déjà défini
+file-not-found | {target} is not found | {target} est introuvable
+unknown-command | {name}: did you mean {known}? | {name} : vouliez-vous dire {known} ?
+unknown-environment | {name}: did you mean {known}? | {name} : vouliez-vous dire {known} ?
+"""
+#: What is said of a place that a macro wrote, after the message.
+WRITTEN_BY = {"en": " (written by {macro})", "fr": " (écrit par {macro})"}
 _LANGUAGES = ("en", "fr")
 _current = [FALLBACK]
 
@@ -110,3 +132,52 @@ def described(found: DataFrame, name: str | None = None) -> DataFrame:
     own = told.filter(F.col("language") == (name or language())).select("code", F.col("title").alias("__own"))
     other = told.filter(F.col("language") == FALLBACK).select("code", F.col("title").alias("__other"))
     return found.join(F.broadcast(other), "code", "left").join(F.broadcast(own), "code", "left").withColumn("title", F.coalesce("__own", "__other", "code")).drop("__own", "__other")
+
+
+def _whole() -> dict[tuple[str, str], str]:
+    rows = [[x.strip() for x in row.split(" | ")] for row in _WHOLE.strip().splitlines()]
+    return {(language, row[0]): row[k + 1] for row in rows for k, language in enumerate(_LANGUAGES)}
+
+
+WHOLE = _whole()
+
+
+def _pattern(template: str) -> str:
+    """What matches a message of a template, with a group for each field."""
+    return "^" + "".join("(.*)" if part.startswith("{") else re.escape(part) for part in re.split(r"(\{\w+\})", template)) + "$"
+
+
+def with_fields(found: DataFrame) -> DataFrame:
+    """Diagnostics with `fields`, a map: what their message tells besides its code, and `macro` where a macro wrote the place."""
+    own = F.create_map().cast("map<string,string>")
+    bare = F.regexp_replace("message", r" \(written by (\\[^ ]+)\)$", "")
+    for (language, code), template in WHOLE.items():
+        if language == FALLBACK:
+            names = re.findall(r"\{(\w+)\}", template)
+            pattern = _pattern(template)
+            made = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.regexp_extract(bare, pattern, k + 1) for k in range(len(names)))))
+            own = F.when((F.col("code") == code) & bare.rlike(pattern), made).otherwise(own)
+    macro = F.regexp_extract("message", r" \(written by (\\[^ ]+)\)$", 1)
+    return found.withColumn("fields", F.when(macro != "", F.map_concat(own, F.create_map(F.lit("macro"), macro))).otherwise(own))
+
+
+def filled(template: Column, fields: Column) -> Column:
+    """A template with its fields filled in, by a fold over the map."""
+    return F.aggregate(F.map_entries(fields), template, lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+
+
+def told(found: DataFrame, name: str | None = None) -> DataFrame:
+    """Diagnostics with `told`, their whole message in a language: its template with the fields filled in; in English where the language lacks it."""
+    lang = name or language()
+    if lang not in _LANGUAGES:
+        raise ValueError(f"no messages in {lang}")
+    rows = {code: WHOLE.get((lang, code)) if (lang, code) in WHOLE else MESSAGES.get((lang, code)) for _, code in MESSAGES}
+    table = F.create_map(*(F.lit(x) for code, text in rows.items() if text for x in (code, text)))
+    fields = with_fields(found)
+    # A template whose fields this message doesn't have gives way to the code's title.
+    title = F.create_map(*(F.lit(x) for (own, code), text in MESSAGES.items() if own == lang for x in (code, text)))
+    whole = F.coalesce(F.try_element_at(table, F.col("code")), F.col("message"))
+    lacks = whole.contains("{") & (F.size(F.map_filter("fields", lambda k, v: k != "macro")) == 0)
+    text = filled(F.when(lacks, F.coalesce(F.try_element_at(title, F.col("code")), F.col("message"))).otherwise(whole), F.col("fields"))
+    by = F.when(F.map_contains_key("fields", "macro"), filled(F.lit(WRITTEN_BY[lang]), F.col("fields"))).otherwise("")
+    return fields.withColumn("told", F.concat(text, by))

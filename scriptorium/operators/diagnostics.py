@@ -273,17 +273,17 @@ def in_source(found: DataFrame) -> DataFrame:
     return found.withColumn("message", written_by).groupBy("doc_id", "code", "message", "start", "stop").agg(F.min(rest).alias("r")).select("doc_id", "code", "r.severity", "message", "start", "stop", "r.line", "r.col", "r.fix_at", "r.fix", "r.related")
 
 
-def check(docs: DataFrame, files: DataFrame | None = None, *, expanded: bool = True, follow_inputs: bool = True) -> DataFrame:
+def check(docs: DataFrame, files: DataFrame | None = None, *, expanded: bool = True, follow_inputs: bool = True, store: str | None = None) -> DataFrame:
     """Diagnostics (COLUMNS, fix_at, fix and related) of documents, by default of their expanded views, at source places.
 
     Where docs has a column `path`, documents know what the files of docs that they include define, unless follow_inputs is false, and names
-    are looked for from their own folder.
+    are looked for from their own folder. store: a folder that keeps what files define from run to run.
     """
     from scriptorium.operators.includes import parse_together
     from scriptorium.operators.nodes import parse
 
     paths = "path" in docs.columns
-    parsed = parse_together(docs, expanded=expanded) if paths and follow_inputs else parse(docs, expanded=expanded)
+    parsed = parse_together(docs, expanded=expanded, store=store) if paths and follow_inputs else parse(docs, expanded=expanded)
     folders = docs.select("doc_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")) if paths else None
     found = diagnose(parsed, files, folders)
     return in_source(found) if expanded else found.drop("by")

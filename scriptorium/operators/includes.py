@@ -5,13 +5,14 @@ Each file is scanned once for what it defines and includes. That list, not its t
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import flatten, kernel
-from scriptorium.functions.signatures import Table
+from scriptorium.functions.signatures import Table, builtin
 from scriptorium.operators.nodes import per_document
 from scriptorium.sources.documents import resolved
 from scriptorium.tables import written
@@ -24,15 +25,45 @@ def package(path: str | None) -> bool:
     return path is not None and path.endswith((".sty", ".cls"))
 
 
-def files(docs: DataFrame, table: Table | None = None) -> DataFrame:
-    """(doc_id, path, learned, wanted): what each file of docs (doc_id, path, text) defines for good, as JSON, and what it names."""
+STORED = "digest string, learned string, wanted array<struct<target:string,extension:string>>"
+#: Of what is stored; another reading of files gets another number.
+VERSION = 1
 
-    def one(doc_id, text: str, path: str | None) -> dict:
+
+def digests(docs: DataFrame, table: Table | None = None) -> DataFrame:
+    """docs with `digest`: of a file's text, of how it is read, and of the table of signatures."""
+    t = table or builtin()
+    signs = hashlib.sha256(repr([VERSION, sorted((n, repr(x)) for n, x in t.commands.items()), sorted((n, repr(x)) for n, x in t.environments.items())]).encode()).hexdigest()
+    packaged = F.coalesce(F.col("path").rlike(r"\.(sty|cls)$"), F.lit(False)).cast("string")
+    return docs.withColumn("digest", F.sha2(F.concat_ws("|", F.lit(signs), packaged, F.coalesce("text", F.lit(""))), 256))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def files(docs: DataFrame, table: Table | None = None, store: str | None = None) -> DataFrame:
+    """(doc_id, path, learned, wanted): what each file of docs (doc_id, path, text) defines for good, as JSON, and what it names.
+
+    store: a folder in which what was learned outlives a run, by digest. Files whose digest is there are not read again, and each digest is read once;
+    what is new is added.
+    """
+
+    def read(text: str, path: str | None) -> dict:
         items = kernel.learned(text, table, package=package(path))
-        wanted = [{"target": name, "extension": value} for where, name, value in items if where == "include"]
-        return {"doc_id": doc_id, "path": path, "learned": json.dumps(items), "wanted": wanted}
+        return {"learned": json.dumps(items), "wanted": [{"target": name, "extension": value} for where, name, value in items if where == "include"]}
 
-    return per_document(docs, LEARNED, one, "path")
+    if store is None:
+        return per_document(docs, LEARNED, lambda i, text, path: {"doc_id": i, "path": path} | read(text, path), "path")
+    spark = docs.sparkSession
+    named = digests(docs, table)
+    known = spark.read.schema(STORED).parquet(store) if _exists(spark, store) else spark.createDataFrame([], STORED)
+    new = named.join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    per_document(new, STORED, lambda i, text, path, digest: {"digest": digest} | read(text, path), "path", "digest").write.mode("append").parquet(store)
+    # Two runs at once may have added the same digest.
+    every = spark.read.schema(STORED).parquet(store).dropDuplicates(["digest"])
+    return named.join(every, "digest").select(F.col("doc_id").cast("long"), "path", "learned", "wanted")
 
 
 def edges(scanned: DataFrame) -> DataFrame:
@@ -56,9 +87,9 @@ def closure(edges: DataFrame) -> DataFrame:
         size = new
 
 
-def parse_together(docs: DataFrame, table: Table | None = None, *, expanded: bool = False) -> DataFrame:
-    """parse() of docs (doc_id, path, text) in which each knows what its included files define, in the order of their inclusion."""
-    scanned = written(files(docs, table), "files")
+def parse_together(docs: DataFrame, table: Table | None = None, *, expanded: bool = False, store: str | None = None) -> DataFrame:
+    """parse() of docs (doc_id, path, text) in which each knows what its included files define, in the order of their inclusion. store: see files()."""
+    scanned = written(files(docs, table, store), "files")
     named = written(edges(scanned), "edges")
     targets = named.groupBy("from_path").agg(F.map_from_entries(F.collect_list(F.struct("target", "to_path"))).alias("targets"))
     # A file without definitions and inclusions of its own has nothing to tell.

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.kernel import USUAL
 from scriptorium.operators.edits import rewrite
 from scriptorium.operators.intervals import containing, last_before
 
@@ -103,7 +104,9 @@ def categories_at(places: DataFrame, parsed: DataFrame) -> DataFrame:
     holds = changed.join(scoped, ["doc_id", "since", "character"], "left").select("doc_id", "character", "category", "since", F.coalesce("until", F.col("size") + 1).alias("until"))
     asked = places.select("doc_id", "at").distinct()
     met = containing(asked, holds, at="at", start="since", stop="until").groupBy("doc_id", "at", "character").agg(F.max_by("category", "since").alias("category"))
-    tables = met.groupBy("doc_id", "at").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("character", "category")))).alias("table"))
+    known = F.create_map(*(F.lit(x) for pair in USUAL.items() for x in pair))
+    usual = F.coalesce(F.try_element_at(known, F.col("character")), F.when(F.col("character").rlike("^[A-Za-z]$"), 11).otherwise(12))
+    tables = met.filter(F.col("category") != usual).groupBy("doc_id", "at").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("character", "category")))).alias("table"))
     return places.join(tables, ["doc_id", "at"], "left").withColumn("table", F.coalesce("table", F.create_map().cast("map<string,int>")))
 
 

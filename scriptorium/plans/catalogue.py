@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import messages, signatures
 from scriptorium.operators import diagnostics, edits, nodes, outline, tree
-from scriptorium.plans import rules, structure, views
+from scriptorium.plans import changes, rules, structure, views
 from scriptorium.plans.documents import PART, _big, _say, _t, order_documents, part_documents
 from scriptorium.sources import documents
 from scriptorium.streaming import buffers
@@ -441,7 +441,7 @@ QUERIES = {f.__name__: f for f in (
     tex_projected, tex_buffers, tex_actions, tex_accents, tex_prose_formulas, tex_quoted_search, tex_signatures,
     tex_images, tex_page,
 )}
-QUERIES |= rules.QUERIES | structure.QUERIES | views.QUERIES
+QUERIES |= rules.QUERIES | structure.QUERIES | views.QUERIES | changes.QUERIES
 FLAGSHIP = tex_sections
 
 _P = f"(p_partkey // {PART})::BIGINT AS doc_id"
@@ -512,4 +512,4 @@ UNION ALL SELECT doc_id, 't', line, w::BIGINT FROM p WHERE NOT top""",
     "tex_images": "SELECT p_partkey::BIGINT AS p_partkey, 'error' AS severity, 'i' || p_size || ' is not found' AS message, 33::BIGINT AS col FROM part WHERE p_size % 3 = 0",
     "tex_page": r"""SELECT p_partkey::BIGINT AS p_partkey, '<!doctype html><meta charset=utf-8><nav><ul>' || chr(10) || '<li class="level2"><a href="#l1">&lt;' || p_size || '&gt;</a></li>' || chr(10) || '</ul></nav><main><ol>' || chr(10) || '<li id="l1">\section{&lt;' || p_size || '&gt;}</li>' || chr(10) || '<li id="l2">}<span class="error">this brace closes nothing</span></li>' || chr(10) || '</ol></main>' AS page FROM part""",
 }
-ORACLE_SQL |= rules.ORACLE_SQL | structure.ORACLE_SQL | views.ORACLE_SQL
+ORACLE_SQL |= rules.ORACLE_SQL | structure.ORACLE_SQL | views.ORACLE_SQL | changes.ORACLE_SQL

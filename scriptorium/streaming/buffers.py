@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scriptorium.operators import diagnostics
 from scriptorium.operators.related import PLACE, lines_of_related
+from scriptorium.session import ship
 from scriptorium.sources.documents import lines as lines_of
 
 DEBOUNCE = "300 milliseconds"
@@ -23,44 +23,56 @@ def newest(events: DataFrame) -> DataFrame:
 
 
 DUE = "uri string, version long, kind string, text string"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def due(stream: DataFrame, *, debounce_ms: int = 300) -> DataFrame:
-    """(uri, version, kind, text) of buffers whose time has come: opened, saved and closed ones at once, changed ones when they rest.
+class Resting(StatefulProcessor):
+    """The newest event of a buffer, and whether it still waits for the buffer to rest."""
 
-    State holds the newest event of each buffer, so an older version that comes late, in whatever batch, is dropped; a timer of processing
-    time tells when no change came for the debounce time. A closed buffer's state goes.
-    """
+    def __init__(self, debounce_ms: int) -> None:
+        self.debounce_ms = debounce_ms
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = pd.DataFrame({"uri": pd.Series(dtype=str), "version": pd.Series(dtype="int64"), "kind": pd.Series(dtype=str), "text": pd.Series(dtype=str)})
-        if state.hasTimedOut:
-            version, kind, text, _ = state.get
-            state.update((version, kind, text, False))
-            yield pd.DataFrame({"uri": [key[0]], "version": [version], "kind": [kind], "text": [text]})
-            return
-        now = state.get if state.exists else (-1, "", None, False)
-        urgent = False
-        for frame in frames:
-            for version, kind, text in frame[["version", "kind", "text"]].itertuples(index=False):
-                if version > now[0]:
-                    now = (int(version), kind, text, True)
-                    urgent |= kind != "change"
-        if not now[3]:
-            yield told  # nothing newer than what was told
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "version long, kind string, text string, waits boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now = self.newest.get() if self.newest.exists() else None
+        last = max(rows, key=lambda r: r["version"])
+        if now is not None and last["version"] <= now[0]:
             return
-        if now[1] == "close":
-            state.remove()
-        elif urgent:
-            state.update((*now[:3], False))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        waits = last["kind"] == "change"
+        if last["kind"] == "close":
+            self.newest.clear()
         else:
-            state.update(now)
-            state.setTimeoutDuration(debounce_ms)
-            yield told
-            return
-        yield pd.DataFrame({"uri": [key[0]], "version": [now[0]], "kind": [now[1]], "text": [now[2]]})
+            self.newest.update((last["version"], last["kind"], last["text"], waits))
+        if waits:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.debounce_ms)
+        else:
+            yield Row(uri=key[0], version=last["version"], kind=last["kind"], text=last["text"])
 
-    return stream.groupBy("uri").applyInPandasWithState(step, DUE, "version long, kind string, text string, waits boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = self.newest.get() if self.newest.exists() else None
+        if now is not None and now[3]:
+            self.newest.update((now[0], now[1], now[2], False))
+            yield Row(uri=key[0], version=now[0], kind=now[1], text=now[2])
+
+    def close(self) -> None:
+        pass
+
+
+def due(stream: DataFrame, *, debounce_ms: int = 300) -> DataFrame:
+    """(uri, version, kind, text) of buffers whose time has come: opened, saved and closed ones at once, changed ones when they rest.
+
+    State holds the newest event of each buffer, so an older version that comes late, in whatever batch, is dropped; a timer of processing
+    time is set by each change and tells when none came for the debounce time, also after a restart from the checkpoint. A closed buffer's state goes.
+    An urgent event in a batch with a later change waits with it.
+    """
+    ship(stream.sparkSession)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # arbitrary state with timers needs it
+    return stream.groupBy("uri").transformWithState(statefulProcessor=Resting(debounce_ms), outputStructType=DUE, outputMode="Update", timeMode="ProcessingTime")
 
 
 def projected(found: DataFrame, docs: DataFrame, encoding: str = "utf-16") -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import time
 
 import duckdb
+from pyspark.sql import functions as F
 import pytest
 
 from scriptorium.operators import diagnostics, edits, nodes, outline, tree
@@ -260,7 +261,7 @@ def test_messages(spark):
     codes = {code for _, code in messages.MESSAGES}
     from scriptorium.functions.kernel import SEVERITY
 
-    assert set(SEVERITY) <= codes and {c for shapes in catalogue.rules.SHAPES.values() for *_, cs in shapes for c in cs} <= codes
+    assert set(SEVERITY) <= codes and {c for sentences, *_ in catalogue.rules.SHAPES.values() for cs, _ in sentences for c in cs} <= codes
 
 
 def test_tables_of_signatures_from_files(spark, tmp_path):
@@ -297,3 +298,92 @@ def test_scratch_folder_must_be_shared(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Session())
+
+
+def test_a_timer_outlives_a_restart(spark, tmp_path):
+    """A change is told after a stop between the change and its timer, once; what was told before isn't told again."""
+    path, schema = str(tmp_path / "in"), "uri string, version long, kind string, text string"
+    spark.createDataFrame([("u", 1, "change", "a } b"), ("v", 1, "open", "fine")], schema).coalesce(1).write.json(path)
+    seen = []
+
+    def start():
+        return buffers.publish_settled(spark.readStream.schema(schema).json(path), lambda df, n: seen.extend((r["uri"], r["version"], [x["code"] for x in r["diagnostics"]]) for r in df.collect()), str(tmp_path / "state"), debounce_ms=20_000)
+
+    def wait(for_what, seconds):
+        end = time.time() + seconds
+        while not for_what() and time.time() < end:
+            time.sleep(0.3)
+
+    q = start()
+    wait(lambda: seen, 60)
+    q.stop()
+    assert seen == [("v", 1, [])]
+    q = start()
+    try:
+        wait(lambda: len(seen) > 1, 120)
+    finally:
+        q.stop()
+    assert seen == [("v", 1, []), ("u", 1, ["extra-brace"])]
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """A second run reads no file, a change reads one; what stored files define is what read ones do."""
+    from scriptorium.operators import includes
+
+    store = str(tmp_path / "store")
+    rows = [(1, "m.tex", "\\input{a}\\bad"), (2, "a.tex", "\\newcommand\\bad{\\item}"), (3, "b.tex", "\\newcommand\\bad{\\item}"), (4, "c.sty", "\\newcommand\\bad{\\item}"), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    stored = lambda: spark.read.parquet(store).count()
+    first = {tuple(r) for r in includes.files(docs, store=store).select("doc_id", "path", "learned").collect()}
+    assert first == {tuple(r) for r in includes.files(docs).select("doc_id", "path", "learned").collect()} and stored() == 4
+    assert {tuple(r) for r in includes.files(docs, store=store).select("doc_id", "path", "learned").collect()} == first and stored() == 4
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 2, "\\newcommand\\bad{fine}").otherwise(F.col("text")))
+    assert includes.files(changed, store=store).count() == 5 and stored() == 5
+    for d, n in ((docs, 1), (changed, 0)):
+        assert diagnostics.check(d, store=store).filter("doc_id = 1 AND code = 'item-outside-list'").count() == n
+
+
+def test_edits_compose(spark):
+    """Two rounds at once and in turn, at random."""
+    import random
+
+    rng = random.Random(9)
+
+    def round_of(texts):
+        out = []
+        for i, t in enumerate(texts):
+            at = 0
+            for seq in range(rng.randrange(4)):
+                a = rng.randint(at, len(t))
+                b = min(len(t), a + rng.choice([0, 0, 1, 3]))
+                out.append((i, seq, a, b, rng.choice(["", "X", "yz", "é🙂"])))
+                at = b
+        return out
+
+    def plain(texts, made):
+        out = []
+        for i, t in enumerate(texts):
+            for _, seq, a, b, new in sorted((e for e in made if e[0] == i), key=lambda e: (e[2], e[3], e[1]), reverse=True):
+                t = t[:a] + new + t[b:]
+            out.append(t)
+        return out
+
+    texts = ["".join(rng.choices("abc \n🙂", k=rng.randrange(12))) for _ in range(80)]
+    first = round_of(texts)
+    between = plain(texts, first)
+    second = round_of(between)
+    schema = "doc_id long, seq int, start int, stop int, text string"
+    d, one, two = docs_of(spark, *texts), spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    assert {r["doc_id"]: r["text"] for r in edits.rewrite(d, one).collect()} == dict(enumerate(between))
+    assert {r["doc_id"]: r["text"] for r in edits.rewrite(d, edits.composed(d, one, two)).collect()} == dict(enumerate(plain(between, second)))
+    assert {r["doc_id"]: r["text"] for r in edits.rewrite(d, edits.composed(d, one, two.limit(0))).collect()} == dict(enumerate(between))
+
+
+def test_compilable_views(spark):
+    from scriptorium.operators import provenance
+
+    texts = ["no macros \\emph{x}\r\n%\n\t", "\\newcommand\\a[2]{#2\\b{#1}}\\newcommand\\b[1]{(#1)}\\a{x}{y} \\a{\\b z}{}", "\\newcommand\\e{}x\\e{}y", "", None, "\\newcommand\\d{\\d}\\d"]
+    v = nodes.views(docs_of(spark, *texts))
+    back = {r["doc_id"]: r["text"] for r in provenance.compilable(v).collect()}
+    view = {r["doc_id"]: r["view"] for r in v.collect()}
+    assert back[0] == texts[0] and all((back[k] or "") == view[k] for k in range(len(texts)))
