@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding, long unsplit text by tree concatenation.
 
 The vocabulary and merges come from a tokenizer file whose path is a parameter. A text is split at special tokens, then by the
-pattern of the file's pre-tokenizer, and each piece is merged by rank. A piece over LEAF bytes is halved down to leaves, the
-leaves are encoded in parallel by a pool of threads in the task, and halves are joined upwards, those of a level in parallel: a window
-of tokens around the join is encoded anew and grows until its first token is the left half's and its last the right half's own. Adjacent tokens of an encoding re-encode to themselves, and a sequence all of
+pattern of the file's pre-tokenizer, and each piece is merged by rank. Every piece over LEAF bytes, of letters, white space or anything else, is
+halved (between characters) down to leaves, which threads of the task encode in parallel (the encoder lets go of the interpreter for them),
+and halves are joined upwards: a window of tokens around the join is encoded anew and grows until its first token is the left half's and its last the right half's own. Adjacent tokens of an encoding re-encode to themselves, and a sequence all of
 whose adjacent pairs do so is the encoding of its bytes; the join keeps that, so the result is exactly that of encoding the whole.
 
-Encoding uses the merges through tiktoken's ranks, which the file's own order of merges gives; texts with characters on which
+Encoding uses the merges through tiktoken's ranks, which are the ids, as long as these follow the file's order of merges (else it is an error); texts with characters on which
 the two libraries' tables of Unicode classes may differ (unassigned to one of them) are split by the tokenizers library itself. Decoding
 joins the bytes of tokens and replaces what isn't UTF-8. A tokenizer file of another kind than byte-level BPE with this pattern is an error.
 
@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import map_text
 
 LEAF = 2048
-LONG = 8192
 THREADS = 4  # of a task, for the leaves of a long piece
 #: The pre-tokenizer's pattern of byte-level vocabularies of this kind. Fixed values.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,6 +44,12 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: White space as the pattern has it. Fixed values.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A run that may be a piece over LEAF bytes: a character has 4 bytes at most, and a blank may come before.
+RUN = re.compile(rf"[^{SPACE}]{{{LEAF // 4 - 1},}}|[{SPACE}]{{{LEAF // 4 - 1},}}")
+
+
 SYMBOLS = {ord(c): b for c, b in _byte_symbols().items()}
 
 
@@ -59,6 +66,8 @@ class Bpe:
         import tiktoken
 
         self.core = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        # Takes any text for one piece.
+        self.unsplit = tiktoken.Encoding("leaves", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.plain = regex.compile(r"[\x00-˿Ͱ-ͳ΄-ϿЀ-ԯ‐-‧‰-⁞₠-₿]*")
@@ -81,14 +90,21 @@ class Bpe:
         if len(data) <= LEAF:
             return self.whole(data)
         cuts = [0, len(data)]
-        while cuts[1] > LEAF:  # halves, their halves, and so on: the leaves of one level
-            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
-        level = list(self.pool.map(self.whole, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False))))
+        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > LEAF:  # halves, their halves, and so on: the leaves of one level
+            cuts = sorted({*cuts, *(self.between(data, (a + b) // 2) for a, b in zip(cuts, cuts[1:], strict=False))})
+        level = list(self.pool.map(self.unsplit.encode_ordinary, (data[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False))))
         while len(level) > 1:
-            joined = list(self.pool.map(self.join, level[::2], level[1::2]))
+            joined = [self.join(a, b) for a, b in zip(level[::2], level[1::2], strict=False)]
             level = joined + level[2 * len(joined) :]
         return level[0]
 
+    @staticmethod
+    def between(data: bytes, at: int) -> int:
+        """The place at or before `at` where a character begins."""
+        while data[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The tokens of what two token lists encode, by re-encoding a growing window around the join."""
         size = 4
@@ -106,18 +122,14 @@ class Bpe:
 
     def ordinary(self, text: str) -> list[int]:
         """The tokens of a text without special tokens."""
-        if not self.plain.fullmatch(text):
-            if len(text) <= LEAF // 4 or max(map(len, text.split())) <= LEAF // 4:  # a character has 4 bytes at most
-                return self.library.encode(text, add_special_tokens=False).ids
-            split = self.library.pre_tokenizer.pre_tokenize_str(text)
-            return [i for p, _ in split for i in self.piece(p.translate(SYMBOLS).encode("latin-1"))]
-        if len(text) <= LONG or not self._unsplit(text):
-            return self.core.encode_ordinary(text)
-        return [i for p in self.pattern.findall(text) for i in self.piece(p.encode())]
-
-    def _unsplit(self, text: str) -> bool:
-        """Whether some piece of the text is over LEAF bytes long."""
-        return any(len(p) > LEAF or len(p.encode()) > LEAF for p in self.pattern.findall(text) if len(p) > LEAF // 4)
+        plain = self.plain.fullmatch(text)
+        if not RUN.search(text):
+            return self.core.encode_ordinary(text) if plain else self.library.encode(text, add_special_tokens=False).ids
+        if plain:
+            pieces = (p.encode() for p in self.pattern.findall(text))
+        else:
+            pieces = (p.translate(SYMBOLS).encode("latin-1") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+        return [i for p in pieces for i in self.piece(p)]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -144,6 +156,8 @@ def _checked(j: dict) -> None:
         for name, ok in {
             "model": model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback"),
             "merges": all(model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) >= 0 for m in model["merges"]),
+            # Ranks are ids, so ids must be in the order of merges.
+            "order of merges": all(a < b for a, b in itertools.pairwise(model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"])),
             "normalizer": not j.get("normalizer"),
             "pre_tokenizer": pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True),
             "decoder": (j.get("decoder") or {}).get("type") == "ByteLevel",

@@ -201,6 +201,23 @@ def test_bpe_of_long_pieces_in_any_script():
     assert own.piece(data) == own.whole(data) and len(data) > 4 * bpe.LEAF
 
 
+def test_bpe_of_white_space_and_of_every_long_piece():
+    """Texts of white space only, in any script, and pieces just under and over the leaf, all by one rule and as the library has them."""
+    b = bpe.load(queries.vocabulary_path())
+    texts = ["\u3000" * 600, " " * 5000, "\u3000" * 600 + "\n\t ", "\xa0" * 3000, "\n" * 4097, "\x1c" * 1200, "\x1c!" * 1200, " \t" * 1500 + "a", "\u2028" * 700 + "x", "\u3000", " "]
+    texts += [c * n for c in ("x", "é", "字", "🙂", "=") for n in (510, 511, 512, 2047, 2048, 2049, 8192)]
+    for text in texts:
+        assert b.encode(text) == b.library.encode(text, add_special_tokens=False).ids, (text[:3], len(text))
+    joined = []
+    b.join, kept = lambda left, right: joined.append(1) or bpe.Bpe.join(b, left, right), b.join
+    try:
+        for text in ("x" * 3000, "字" * 3000, " " * 3000, "\u3000" * 3000):
+            joined.clear()
+            assert b.encode(text) == b.library.encode(text, add_special_tokens=False).ids and joined
+    finally:
+        b.join = kept
+
+
 def test_bpe_refuses_other_tokenizers(tmp_path):
     with open(queries.vocabulary_path(), encoding="utf-8") as f:
         j = json.load(f)
