@@ -33,12 +33,12 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def gram(length: int) -> int:
-    """K for windows of so many words."""
-    return (length + 1) // 2
+def gram(length):
+    """K for windows of so many words, a number or a column."""
+    return F.floor((length + 1) / 2).cast("int") if isinstance(length, Column) else (length + 1) // 2
 
 
-def packed_hashes(w: Column, length: int) -> Column:
+def packed_hashes(w: Column, length) -> Column:
     """The hashes of all K-grams of an array of words: numbers with the hash above and the place (from 0) in the low 32 bits."""
     k = gram(length)
     high = F.lit(-(1 << 32)).cast("long")
@@ -60,22 +60,28 @@ def _hash_and_place(packed: str) -> list[Column]:
     return [F.shiftright(packed, 32).cast("int").alias("h"), F.col(packed).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("p")]
 
 
-def windows_at(w: str, p: str, length: int) -> Column:
+def windows_at(w: str, p: str, length: Column) -> Column:
     """The words from the first window that holds the K-gram at p to the last one's end, and how many come before p."""
-    before = F.least(F.col(p), F.lit(length - gram(length)))
+    before = F.least(F.col(p), length - gram(length))
     return F.struct(before.alias("before"), F.slice(F.col(w), F.col(p) - before + 1, before + length).alias("around"))
 
 
-def item_windows(items: DataFrame, length: int) -> DataFrame:
-    """(item_id, h, before, words, window) of items (item_id, w) of at least so many words: a row for each window, with the kept hash in it.
+def item_windows(items: DataFrame) -> DataFrame:
+    """(length, h, before, words, window) of items (w, length): a row for each window, with the kept hash in it; items of all lengths in one pass.
 
     A window's least hash is kept on both sides, and stands at the same place of equal windows: the leftmost where it is repeated.
     """
-    k = gram(length)
-    least = F.transform(F.sequence(F.lit(0), F.size("w") - length), lambda i: F.struct(i.alias("start"), F.array_min(F.slice("packed", i + 1, length - k + 1)).alias("k"), F.slice("w", i + 1, length).alias("words")))
-    rows = items.withColumn("packed", packed_hashes(F.col("w"), length)).select("item_id", F.inline(least))
+    length = F.col("length")
+    least = F.transform(F.sequence(F.lit(0), F.size("w") - length), lambda i: F.struct(i.alias("start"), F.array_min(F.slice("packed", i + 1, length - gram(length) + 1)).alias("k"), F.slice("w", i + 1, length).alias("words")))
+    rows = items.withColumn("packed", packed_hashes(F.col("w"), length)).select("length", F.inline(least))
     h, p = _hash_and_place("k")
-    return rows.select("item_id", h, (p - F.col("start")).alias("before"), "words", F.array_join("words", " ").alias("window"))
+    return rows.select("length", h, (p - F.col("start")).alias("before"), "words", F.array_join("words", " ").alias("window"))
+
+
+def owners(items: DataFrame) -> DataFrame:
+    """(own, item_id): the windows of items (item_id, w, length), each with the items that have it."""
+    every = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("length")), lambda i: F.array_join(F.slice("w", i + 1, F.col("length")), " "))
+    return items.filter("item_id IS NOT NULL").select(F.explode(every).alias("own"), F.col("item_id").cast("string").alias("item_id")).distinct()
 
 
 def _sized(benchmark: DataFrame) -> DataFrame:
@@ -94,37 +100,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") ->
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW numbers
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     hit_type = "array<struct<start:int,length:int,window:string>>"
-    parts = []
+    clean = base.select("id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("row"), F.array().cast(hit_type).alias("hits"))
     if not lengths:
-        parts.append(base.select("id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("row"), F.array().cast(hit_type).alias("hits")))
+        return clean
+    own = item_windows(items).distinct()
+    taken = F.aggregate("words", F.lit(ROW).cast("long"), lambda total, w: total + 2 * F.octet_length(w) + STRING)
+    small = (own.agg(F.sum(taken)).first()[0] or 0) <= BROADCAST
+    kept = base
     for length in lengths:
-        first = length == lengths[0]
-        own = item_windows(items.filter(F.col("length") == length), length).drop("item_id").distinct()
-        taken = F.aggregate("words", F.lit(ROW).cast("long"), lambda total, w: total + 2 * F.octet_length(w) + STRING)
-        small = (own.agg(F.sum(taken)).first()[0] or 0) <= BROADCAST
-        kept = _winnowed(base, length, "kept")
-        # A place of -1 stands for the row itself, so that it lasts without hits.
-        marked = F.concat(F.array(F.lit(-1).cast("long")), F.col("kept")) if first and small else F.col("kept")
-        listed = kept.select("id", "text_hash", "w", F.explode(marked).alias("k"))
-        listed = listed.select("id", "text_hash", "w", F.when(F.col("k") == -1, None).otherwise(F.shiftright("k", 32).cast("int")).alias("h"), F.when(F.col("k") == -1, -1).otherwise(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")).alias("p"))
-        near = windows_at("w", "p", length)
-        if small:
-            joined = listed.join(F.broadcast(own), "h", "left").filter(F.col("words").isNotNull() | (F.col("p") == -1))
-            joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "p", "before", "words", "window", F.when(F.col("p") >= 0, near).alias("near"))
-        else:
-            joined = listed.select("id", "text_hash", F.size("w").alias("n_words"), "h", "p", near.alias("near")).join(own, "h")
-            if first:
-                parts.append(base.select("id", "text_hash", F.size("w").alias("n_words"), F.lit(1).alias("row"), F.array().cast(hit_type).alias("hits")))
-        # The hit is extended to the window that has it at the same place.
-        whole = F.slice("near.around", F.greatest(F.lit(0), F.col("near.before") - F.col("before")) + 1, length)
-        equal = (F.col("p") >= 0) & (F.col("before") <= F.col("near.before")) & (whole == F.col("words"))
-        hit = F.struct((F.col("p") - F.col("before")).cast("int").alias("start"), F.lit(length).alias("length"), F.col("window").alias("window"))
-        hits = F.when(equal, F.array(hit)).otherwise(F.array()).cast(hit_type)
-        parts.append(joined.select("id", "text_hash", "n_words", F.when(F.col("p") == -1, 1).otherwise(0).alias("row"), hits.alias("hits")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+        kept = _winnowed(kept, length, f"kept{length}")
+    # Kept hashes of all lengths are one list, so documents are read, split and exploded once. A place of -1 stands for the row itself, so that it lasts without hits.
+    of_length = lambda length: F.transform(f"kept{length}", lambda k: F.struct(F.lit(length).alias("length"), k.alias("k")))
+    itself = F.array(F.struct(F.lit(0).alias("length"), F.lit(-1).cast("long").alias("k")))
+    listed = kept.select("id", "text_hash", "w", F.explode(F.concat(itself, *map(of_length, lengths)) if small else F.concat(*map(of_length, lengths))).alias("x"))
+    k, own_row = F.col("x.k"), F.col("x.k") == -1
+    listed = listed.select("id", "text_hash", "w", F.col("x.length").alias("length"), F.when(own_row, None).otherwise(F.shiftright(k, 32).cast("int")).alias("h"), F.when(own_row, -1).otherwise(k.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")).alias("p"))
+    near = windows_at("w", "p", F.col("length"))
+    if small:
+        joined = listed.join(F.broadcast(own), ["length", "h"], "left").filter(F.col("words").isNotNull() | (F.col("p") == -1))
+        joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "length", "p", "before", "words", "window", F.when(F.col("p") >= 0, near).alias("near"))
+    else:
+        joined = listed.select("id", "text_hash", F.size("w").alias("n_words"), "length", "h", "p", near.alias("near")).join(own, ["length", "h"])
+    # The hit is extended to the window that has it at the same place.
+    whole = F.slice("near.around", F.greatest(F.lit(0), F.col("near.before") - F.col("before")) + 1, F.greatest(F.col("length"), F.lit(0)))
+    equal = (F.col("p") >= 0) & (F.col("before") <= F.col("near.before")) & (whole == F.col("words"))
+    hit = F.struct((F.col("p") - F.col("before")).cast("int").alias("start"), F.col("length").cast("int").alias("length"), F.col("window").alias("window"))
+    hits = F.when(equal, F.array(hit)).otherwise(F.array()).cast(hit_type)
+    rows = joined.select("id", "text_hash", "n_words", F.when(F.col("p") == -1, 1).otherwise(0).alias("row"), hits.alias("hits"))
+    return rows if small else rows.unionByName(clean)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -142,15 +145,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sum("copies").alias("copies"), F.sum("fresh").alias("n_hit"), F.collect_set("window").alias("windows")
     )
     # Only then the items that have a document's distinct windows.
-    items = _sized(benchmark)
-    owners = None
-    for length in range(1, WINDOW + 1):
-        own = item_windows(items.filter(F.col("length") == length), length).select("window", F.col("item_id").cast("string").alias("item_id"))
-        owners = own if owners is None else owners.unionByName(own)
-    owners = owners.filter("item_id IS NOT NULL").select(F.col("window").alias("own"), "item_id").distinct()
+    own = owners(_sized(benchmark))
+    taken = ROW + 2 * F.octet_length("own") + F.octet_length("item_id")
+    if (own.agg(F.sum(taken)).first()[0] or 0) <= BROADCAST:
+        own = F.broadcast(own)  # a window that very many documents have is no key of a shuffle then
     # Documents without windows have a key of their own each, so they spread over the tasks.
     each = done.select(*key, "copies", "n_hit", F.explode_outer("windows").alias("window")).withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("text_hash").cast("string"))))
-    named = each.join(owners, F.col("window") == F.col("own"), "left").groupBy(*key).agg(F.max("copies").alias("copies"), F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    named = each.join(own, F.col("window") == F.col("own"), "left").groupBy(*key).agg(F.max("copies").alias("copies"), F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
     out = named.select(
         F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
