@@ -5,7 +5,7 @@ Native throughout: only DataFrame functions. A record is JSON text of any layout
 its turns are. Records whose fingerprint no mapping claims keep a null layout and null turns, so that nothing is dropped.
 
 Defined results: null role and null text are empty strings; repeated turns stay, ordered by turn, role and text (a null turn
-first); rows with a null conversation id form one conversation; an empty table gives an empty result; other columns are ignored.
+first); a message's `name` is left out; rows with a null conversation id form one conversation; an empty table gives an empty result; other columns are ignored.
 One conversation is one output row, so its turns meet in one task.
 
 Spark's parser refuses strings over 20,000,000 characters and variants over 128 MiB. Packed conversations keep their turns beside the record,
@@ -34,7 +34,9 @@ PARSED_CHARS = 20_000_000
 class Layout:
     """A declarative mapping: either `fields` (role, path, optional) in order, or a list of messages with role and text fields.
 
-    `extra`: scalar paths that a record may have besides. `roles`: other names of roles.
+    `extra`: scalar paths that a record may have besides, `beside`: those that a message may have. `roles`: other names of roles. `parts`: where a
+    message's text is a list of parts, the field of a part that has its text, and others that it may have; parts are put together. `bare`: messages are
+    texts themselves, and roles take turns.
     """
 
     name: str
@@ -44,11 +46,19 @@ class Layout:
     text: str = ""
     extra: tuple[str, ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
+    beside: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
+    bare: bool = False
 
     def path_sets(self) -> list[tuple[str, ...]]:
         """Every set of nested field paths that this mapping claims."""
-        if self.each:
-            bodies = [(f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"), (f"{self.each}[].{self.text}",), (f"{self.each}[]",)]
+        if self.bare:
+            bodies = [(f"{self.each}[].*",)]
+        elif self.each:
+            texts = [tuple(f"{self.text}[].{p}" for p in (self.parts[0], *c)) for n in range(len(self.parts)) for c in itertools.combinations(self.parts[1:], n)] if self.parts else [(self.text,)]
+            besides = [c for n in range(len(self.beside) + 1) for c in itertools.combinations(self.beside, n)]
+            messages = [role + text + more for role in ((self.role,), ()) for text in texts for more in besides]
+            bodies = [tuple(f"{self.each}[].{p}" for p in m) for m in messages] + ([] if self.parts else [(f"{self.each}[]",)])
         else:
             need = tuple(p for _, p, optional in self.fields if not optional)
             may = [p for _, p, optional in self.fields if optional]
@@ -59,7 +69,9 @@ class Layout:
 
 #: The layouts of common instruction and chat data sets.
 LAYOUTS = (
-    Layout("messages", each="messages", role="role", text="content", extra=("id",), roles={"human": "user", "model": REPLY, "bot": REPLY}),
+    Layout("messages", each="messages", role="role", text="content", extra=("id",), roles={"human": "user", "model": REPLY, "bot": REPLY}, beside=("name",)),
+    Layout("message_parts", each="messages", role="role", text="content", extra=("id",), roles={"human": "user", "model": REPLY, "bot": REPLY}, beside=("name",), parts=("text", "type")),
+    Layout("message_texts", each="messages", extra=("id",), bare=True),
     Layout("from_value", each="conversations", role="from", text="value", extra=("id",), roles={"human": "user", "gpt": REPLY, "bot": REPLY}),
     Layout("prompt_response", fields=(("system", "system", True), ("user", "prompt", False), (REPLY, "response", False)), extra=("id",)),
     Layout("prompt_completion", fields=(("system", "system", True), ("user", "prompt", False), (REPLY, "completion", False)), extra=("id",)),
@@ -77,10 +89,11 @@ def path_expression(paths: tuple[str, ...]) -> str:
         node = tree
         for part in path.replace("[]", ".[]").split("."):
             node = node.setdefault(part, {})
+    # A list of scalars is told from an empty one.
 
     def show(node: dict) -> str:
         if "[]" in node:
-            return f"ARRAY<{show(node['[]'])}>"
+            return "ARRAY<*>" if node["[]"] == {"*": {}} else f"ARRAY<{show(node['[]'])}>"
         return "OBJECT<" + ", ".join(k if not v else f"{k}: {show(v)}" for k, v in sorted(node.items())) + ">" if node else ""
 
     return show(tree)
@@ -91,9 +104,13 @@ def fingerprint_of(paths: tuple[str, ...]) -> str:
 
 
 def record_paths(record: Column) -> Column:
-    """The nested field paths of a variant as one expression: its schema without scalar types."""
-    kind = r"(?:DECIMAL\([^)]*\)|[A-Z_]+)"
-    return F.regexp_replace(F.regexp_replace(F.schema_of_variant(record), rf": {kind}(?=[,>])", ""), f"<{kind}>", "<>")
+    """The nested field paths of a variant as one expression: its schema without scalar types.
+
+    A list of scalars is `ARRAY<*>`, an empty one `ARRAY<>`; where a place holds values of several shapes, VARIANT stays, which no mapping claims.
+    """
+    kind = r"(?!VARIANT)(?:DECIMAL\([^)]*\)|[A-Z_]+)"
+    empty = F.replace(F.schema_of_variant(record), F.lit("ARRAY<VOID>"), F.lit("ARRAY<>"))
+    return F.regexp_replace(F.regexp_replace(empty, rf": {kind}(?=[,>])", ""), rf"ARRAY<{kind}>", "ARRAY<*>")
 
 
 def record_fingerprint(record: Column) -> Column:
@@ -113,6 +130,13 @@ def _listed_turns(layout: Layout, messages: Column) -> Column:
 
 
 def _turns_of(layout: Layout, record: Column) -> Column:
+    if layout.bare:
+        texts = F.try_variant_get(record, f"$.{layout.each}", "array<string>")
+        return F.transform(texts, lambda x, k: F.struct(F.when(k % 2 == 0, "user").otherwise(REPLY).alias("role"), F.coalesce(x, F.lit("")).alias("text")))
+    if layout.parts:
+        told = F.try_variant_get(record, f"$.{layout.each}", f"array<struct<`{layout.role}` string,`{layout.text}` array<struct<`{layout.parts[0]}` string>>>>")
+        whole = lambda x: F.array_join(F.transform(x[layout.text], lambda p: F.coalesce(p[layout.parts[0]], F.lit(""))), "")
+        return _listed_turns(layout, F.transform(told, lambda x: F.struct(x[layout.role].alias(layout.role), whole(x).alias(layout.text))))
     if layout.each:
         return _listed_turns(layout, F.try_variant_get(record, f"$.{layout.each}", f"array<struct<`{layout.role}` string,`{layout.text}` string>>"))
     turns: list[tuple[str, list[Column]]] = []
