@@ -47,6 +47,7 @@ RANGE_BYTES = 6_000_000  # of text for a range of hashes: at most about a millio
 DOC_TOKENS = 200_000  # of documents in a row, if it has more than one
 END = b"\n"  # no word holds white space
 START_KEY = np.uint64(xxhash.xxh3_64_intdigest(b" "))
+STRETCH = 512  # words that are read in one go
 PART_BLOCKS = 1 << 11  # blocks of a part, at most
 
 #: A row has some documents of a block (ids are places in its words), or a request: `size` keys from number `lo` on, with a value each.
@@ -301,19 +302,88 @@ class Block:
     def scores(self) -> pa.Table:
         """The documents with their sums, all levels known."""
         ids, count = self.levels[0].numbers, self.levels[0].count
-        p = self.model.root(count)[ids]
-        for history, level in zip(self.levels, self.levels[1:], strict=False):
-            h = history.numbers[:-1]
-            ok = np.flatnonzero((h >= 0) & np.append(history.kept, False)[h] & self.follows[1:])
-            h, at = h[ok], ok + 1
-            begun = history.count[h]
-            p[at] *= 1 - history.taken[h] / begun
-            n = level.numbers[at]
-            arcs = np.flatnonzero((n >= 0) & np.append(level.kept, False)[n])
-            p[at[arcs]] += (level.count[n[arcs]] - DISCOUNT) / begun[arcs]
+        p = Automaton(self.levels, self.model).read(ids, self.starts, self.sizes)
         add = lambda x: np.add.reduceat(np.where(self.follows, x, 0), self.starts)
         total = pa.array(np.full(len(self.sizes), self.model.total, np.int64))
-        return pa.table({"doc_id": self.doc_ids, "held_out": self.outside, "n_tokens": pa.array(self.sizes.astype(np.int64)), "n_known": pa.array(add((count > 0)[ids].astype(np.int64))), "train_tokens": total, "base_score": pa.array(add(self.model.base(count)[ids])), "score": pa.array(add(np.log10(p)))})
+        return pa.table({"doc_id": self.doc_ids, "held_out": self.outside, "n_tokens": pa.array(self.sizes.astype(np.int64)), "n_known": pa.array(add((count > 0)[ids].astype(np.int64))), "train_tokens": total, "base_score": pa.array(add(self.model.base(count)[ids])), "score": pa.array(add(p))})
+
+
+class Automaton:
+    """The part of the model that a block's texts can meet: states with arcs by word, and failure arcs.
+
+    State 0 is the root, which has an arc for every word; the others are kept histories, of all orders below ORDER. An arc's weight is the
+    whole probability of its word there, lower orders included; a failure arc's is what is left for the words that have no arc.
+    """
+
+    def __init__(self, levels: list[Level], model: Unigrams) -> None:
+        words = levels[0]
+        self.width = len(words.keys)
+        self.root, self.first = model.root(words.count), np.where(words.kept, np.arange(self.width) + 1, 0)
+        base = np.concatenate([[1], 1 + np.cumsum([len(x.keys) for x in levels[: ORDER - 1]])])
+        self.fail, self.left = np.zeros(base[-1], np.int64), np.ones(base[-1])
+        arcs, weights, to = [], [], []
+        weight = self.root  # of the n-grams of the order below
+        for k, history in enumerate(levels[: ORDER - 1]):
+            level = levels[k + 1]
+            begun = np.maximum(history.count, 1)
+            left = 1 - history.taken / begun
+            self.left[base[k] : base[k + 1]] = left
+            place = np.zeros(len(level.keys), np.int64)
+            at = np.flatnonzero(level.numbers >= 0)
+            place[level.numbers[at]] = at
+            word, shorter = words.numbers[place], history.numbers[place]  # the last word, and all without the first
+            weight = (level.count - DISCOUNT) / begun[level.history] + left[level.history] * weight[shorter]
+            some = np.flatnonzero(level.kept)
+            arcs.append((base[k] + level.history[some]) * self.width + word[some])
+            weights.append(weight[some])
+            to.append((base[k + 1] + some) if k + 2 < ORDER else base[k] + shorter[some])
+            if k + 2 < ORDER:
+                self.fail[base[k + 1] : base[k + 2]] = base[k] + shorter
+        arcs, weights, to = (np.concatenate([*x, np.zeros(0, y)]) for x, y in ((arcs, np.int64), (weights, np.float64), (to, np.int64)))
+        order = np.argsort(arcs)
+        self.arcs, self.weights, self.to = np.append(arcs[order], np.iinfo(np.int64).max), np.append(weights[order], 0.0), np.append(to[order], 0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word each, and the logarithms of its probabilities: an arc of the state, or failure arcs down to a state that has one."""
+        p, after = np.ones(len(state)), np.empty(len(state), np.int64)
+        at = np.arange(len(state))
+        while len(at):
+            here = state[at]
+            key = here * self.width + word[at]
+            arc = np.searchsorted(self.arcs, key)
+            hit = self.arcs[arc] == key
+            p[at[hit]] *= self.weights[arc[hit]]
+            after[at[hit]] = self.to[arc[hit]]
+            root = ~hit & (here == 0)
+            p[at[root]] *= self.root[word[at[root]]]
+            after[at[root]] = self.first[word[at[root]]]
+            down = at[~hit & ~root]
+            p[down] *= self.left[state[down]]
+            state[down] = self.fail[state[down]]
+            at = down
+        return after, np.log10(p)
+
+    def read(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The logarithm of each word's probability: documents are read from left to right, all at once, each with its state.
+
+        Before each document stands a start. Long ones are read in stretches: a state is told by the ORDER - 1 words before it, which a stretch reads first.
+        """
+        pieces = np.maximum(-(-sizes // STRETCH), 1)
+        doc = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = starts[doc] + 1 + nth * STRETCH
+        end = np.minimum(begin + STRETCH, starts[doc] + 1 + sizes[doc])
+        at = np.maximum(starts[doc], begin - (ORDER - 1))
+        order = np.argsort(at - end, kind="stable")  # the longest first, so that those under way are a prefix
+        at, begin, end = at[order], begin[order], end[order]
+        state, out, live = np.zeros(len(at), np.int64), np.zeros(len(ids)), len(at)
+        while live:
+            state[:live], p = self.step(state[:live].copy(), ids[at[:live]])
+            told = at[:live] >= begin[:live]
+            out[at[:live][told]] = p[told]
+            at[:live] += 1
+            live = int(np.count_nonzero(at[:live] < end[:live]))
+        return out
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
