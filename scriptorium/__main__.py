@@ -6,7 +6,6 @@ Exit status: 0 without errors, 1 with some, 2 where a path can't be read.
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import sys
 
@@ -69,8 +68,12 @@ def main(argv: list[str] | None = None) -> int:
         shown = found if options.infos else found.filter("severity <> 'info'")
         counts = {r["severity"]: r["n"] for r in diagnostics.summary(found).collect()}
         if options.json:
-            rows = diagnostics.with_ends(shown, docs).withColumn("suggestion", diagnostics.suggestion(shown)).join(docs.select("doc_id", "path"), "doc_id").orderBy("path", "start", "stop", "code")
-            print(json.dumps([{"file": r["path"], "line": r["line"], "column": r["col"] + 1, "end_line": r["end_line"], "end_column": r["end_col"] + 1, "severity": r["severity"], "code": r["code"], "message": r["message"], "suggestion": r["suggestion"]} for r in rows.toLocalIterator()], ensure_ascii=False, indent=1))
+            # One at a time, so that the driver never holds all.
+            rows = diagnostics.to_json(shown, docs, keep=("start", "stop", "code"), nulls=True).join(docs.select("doc_id", "path"), "doc_id").orderBy("path", "start", "stop", "code")
+            print("[", end="")
+            for k, r in enumerate(rows.toLocalIterator()):
+                print(",\n" if k else "\n", r["json"], sep="", end="")
+            print("\n]")
         else:
             rendered = diagnostics.render_text(shown, docs, color=color, fixes=True).join(docs.select("doc_id", "path"), "doc_id")
             for r in rendered.orderBy("path", "line", "col").toLocalIterator():

@@ -321,8 +321,11 @@ def suggestion(found: DataFrame) -> Column:
     return F.when(F.col("fix").isNotNull(), F.concat(F.lit("put in "), "fix"))
 
 
-def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json): one object a diagnostic, columns from 1; with docs (doc_id, text, path) also the file, the end and what is suggested."""
+def to_json(found: DataFrame, docs: DataFrame | None = None, *, keep: tuple[str, ...] = (), nulls: bool = False) -> DataFrame:
+    """(doc_id, json): one object a diagnostic, columns from 1; with docs (doc_id, text, path) also the file, the end, related places and what is suggested.
+
+    keep: columns of found to stand beside, as for an order; nulls: fields without a value are written as null.
+    """
     fields = [F.col("line"), (F.col("col") + 1).alias("column"), "severity", "code", "message"]
     if docs is not None:
         if "fix" in found.columns:
@@ -334,7 +337,7 @@ def to_json(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
             found = found.join(docs.select("doc_id", F.col("path").alias("__path")), "doc_id")
             fields = [F.col("__path").alias("file"), *fields]
         fields = [*fields, F.col("end_line"), (F.col("end_col") + 1).alias("end_column")]
-    return found.select("doc_id", F.to_json(F.struct(*fields)).alias("json"))
+    return found.select("doc_id", *keep, F.to_json(F.struct(*fields), {"ignoreNullFields": str(not nulls).lower()}).alias("json"))
 
 
 def _excerpt(source: Column, col: Column, size: Column, width: int) -> Column:

@@ -169,7 +169,7 @@ def test_queries_against_sql(spark, name):
     want = con.execute(catalogue.ORACLE_SQL[name]).fetchall()
     columns = [c[0] for c in con.description]
     assert sorted(columns) == sorted(got.columns)
-    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want)
+    assert sorted((tuple(r) for r in got.select(*columns).collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_command_line(spark, tmp_path, capsys):
