@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 10
+PLACE = 16  # over WINDOW: a place and a length are one number
 BROADCAST = 32 << 20
 ROW, STRING = 200, 24  # bytes that a row and a string take in a broadcast besides their content, about
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,10 +40,10 @@ def gram(length):
 
 
 def packed_hashes(w: Column, length) -> Column:
-    """The hashes of all K-grams of an array of words: numbers with the hash above and the place (from 0) in the low 32 bits."""
+    """The hashes of all K-grams of an array of words: numbers with the hash above, and in the low 32 bits the place (from 0) and the length."""
     k = gram(length)
     high = F.lit(-(1 << 32)).cast("long")
-    every = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)).bitwiseAND(high).bitwiseOR(i.cast("long")))
+    every = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)).bitwiseAND(high).bitwiseOR((i * PLACE + length).cast("long")))
     return F.when(F.size(w) >= length, every).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -57,7 +58,7 @@ def _winnowed(df: DataFrame, length: int, name: str) -> DataFrame:
 
 
 def _hash_and_place(packed: str) -> list[Column]:
-    return [F.shiftright(packed, 32).cast("int").alias("h"), F.col(packed).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("p")]
+    return [F.shiftright(packed, 32).cast("int").alias("h"), F.shiftright(F.col(packed).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), 4).cast("int").alias("p")]
 
 
 def windows_at(w: str, p: str, length: Column) -> Column:
@@ -109,21 +110,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") ->
     kept = base
     for length in lengths:
         kept = _winnowed(kept, length, f"kept{length}")
-    # Kept hashes of all lengths are one list, so documents are read, split and exploded once. A place of -1 stands for the row itself, so that it lasts without hits.
-    of_length = lambda length: F.transform(f"kept{length}", lambda k: F.struct(F.lit(length).alias("length"), k.alias("k")))
-    itself = F.array(F.struct(F.lit(0).alias("length"), F.lit(-1).cast("long").alias("k")))
-    listed = kept.select("id", "text_hash", "w", F.explode(F.concat(itself, *map(of_length, lengths)) if small else F.concat(*map(of_length, lengths))).alias("x"))
-    k, own_row = F.col("x.k"), F.col("x.k") == -1
-    listed = listed.select("id", "text_hash", "w", F.col("x.length").alias("length"), F.when(own_row, None).otherwise(F.shiftright(k, 32).cast("int")).alias("h"), F.when(own_row, -1).otherwise(k.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")).alias("p"))
-    near = windows_at("w", "p", F.col("length"))
+    # Kept hashes of all lengths are one list, so documents are read, split and exploded once. -1 stands for the row itself, so that it lasts without hits.
+    every = [F.col(f"kept{length}") for length in lengths]
+    marked = F.concat(*([F.array(F.lit(-1).cast("long"))] if small else []), *every) if small or len(every) > 1 else every[0]
+    listed = kept.select("id", "text_hash", "w", F.explode(marked).alias("k"))
+    h, p = _hash_and_place("k")
+    listed = listed.select("id", "text_hash", "w", F.when(F.col("k") != -1, h).alias("h"), F.when(F.col("k") == -1, -1).otherwise(p).alias("p"), F.col("k").bitwiseAND(F.lit(PLACE - 1).cast("long")).cast("int").alias("of"))
+    near = windows_at("w", "p", F.col("of"))
     if small:
-        joined = listed.join(F.broadcast(own), ["length", "h"], "left").filter(F.col("words").isNotNull() | (F.col("p") == -1))
-        joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "length", "p", "before", "words", "window", F.when(F.col("p") >= 0, near).alias("near"))
+        joined = listed.join(F.broadcast(own), "h", "left").filter(F.col("words").isNotNull() | (F.col("p") == -1))
+        joined = joined.select("id", "text_hash", F.size("w").alias("n_words"), "length", "of", "p", "before", "words", "window", F.when(F.col("p") >= 0, near).alias("near"))
     else:
-        joined = listed.select("id", "text_hash", F.size("w").alias("n_words"), "length", "h", "p", near.alias("near")).join(own, ["length", "h"])
+        joined = listed.select("id", "text_hash", F.size("w").alias("n_words"), "h", "of", "p", near.alias("near")).join(own, "h")
     # The hit is extended to the window that has it at the same place.
-    whole = F.slice("near.around", F.greatest(F.lit(0), F.col("near.before") - F.col("before")) + 1, F.greatest(F.col("length"), F.lit(0)))
-    equal = (F.col("p") >= 0) & (F.col("before") <= F.col("near.before")) & (whole == F.col("words"))
+    whole = F.slice("near.around", F.greatest(F.lit(0), F.col("near.before") - F.col("before")) + 1, F.coalesce("length", F.lit(0)))
+    equal = (F.col("p") >= 0) & (F.col("of") == F.col("length")) & (F.col("before") <= F.col("near.before")) & (whole == F.col("words"))
     hit = F.struct((F.col("p") - F.col("before")).cast("int").alias("start"), F.col("length").cast("int").alias("length"), F.col("window").alias("window"))
     hits = F.when(equal, F.array(hit)).otherwise(F.array()).cast(hit_type)
     rows = joined.select("id", "text_hash", "n_words", F.when(F.col("p") == -1, 1).otherwise(0).alias("row"), hits.alias("hits"))
