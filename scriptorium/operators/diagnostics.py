@@ -201,7 +201,7 @@ def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _wanted(parsed: DataFrame, folders: DataFrame | None) -> DataFrame:
-    """Inclusions to be looked for: files and images; packages and classes are looked for where the document's folder has any."""
+    """Inclusions to be looked for: files and images. Packages and classes are not: most are of a distribution."""
     rows = parsed.select("doc_id", "fragment", F.inline("inclusions")).filter(F.col("extension").isin(".tex", "") & ~F.contains("target", F.lit("#")) & ~F.contains("target", F.lit("\\")))
     if folders is None:
         return rows.withColumn("folder", F.lit(""))

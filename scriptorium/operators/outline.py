@@ -79,14 +79,13 @@ def block_stats(parsed: DataFrame, notable: tuple[str, ...] = NOTABLE) -> DataFr
 
     Block 0 is what stands before any; `first` is where the key was first met. Commands are told as `\\name`, discarded branches as `discarded`.
     """
-    titles = F.flatten(F.transform(F.filter("nodes", _is_heading), lambda n: F.filter(F.coalesce(n["args"], F.array().cast("array<int>")), lambda a: a.isNotNull())))
     words = lambda n: F.size(F.filter(F.split(n["content"], r"\s+"), lambda w: w != ""))
-    prose = lambda n: F.coalesce((n["kind"] == "text") & (n["content"] != "") & (n["ctx"]["mode"] == "text") & n["ctx"]["arg_of"].isNull() & ~F.array_contains("__titles", n["parent_id"]), F.lit(False))
+    prose = lambda n: F.coalesce((n["kind"] == "text") & (n["content"] != "") & (n["ctx"]["mode"] == "text") & n["ctx"]["arg_of"].isNull(), F.lit(False))
     command = lambda n: (n["kind"] == "command") & n["base_name"].isin(*notable) & ~n["bare"]
     key = lambda n: F.when(prose(n), "words").when(n["kind"] == "math", n["delimiter"]).when(n["kind"] == "environment", n["name"]).when(command(n), F.concat(F.lit("\\"), n["base_name"]))
     said = F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), n["start"].alias("first"), key(n).alias("key"), F.when(prose(n), words(n)).otherwise(1).alias("n")))
     gone = F.transform(F.filter("branches", lambda b: b["taken"] == F.lit(False)), lambda b: F.struct(b["condition"].alias("node_id"), b["start"].alias("first"), F.lit("discarded").alias("key"), F.lit(1).alias("n")))
-    rows = parsed.withColumn("__titles", titles).select("doc_id", F.inline(F.concat(F.filter(said, lambda x: x["key"].isNotNull()), gone)))
+    rows = parsed.select("doc_id", F.inline(F.concat(F.filter(said, lambda x: x["key"].isNotNull()), gone)))
     heads = parsed.select("doc_id", F.explode(F.transform(F.filter("nodes", _is_heading), lambda n: n["node_id"])).alias("block_id"))
     own = last_before(rows, heads, at="node_id", marked="block_id", mark="__head")
     return own.groupBy("doc_id", F.coalesce("__head.block_id", F.lit(0)).alias("block_id"), "key").agg(F.sum("n").cast("long").alias("n"), F.min("first").alias("first"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.kernel import USUAL
 from scriptorium.operators.edits import rewrite
 from scriptorium.operators.intervals import containing, last_before
+from scriptorium.operators.nodes import parse
 
 
 def pieces(views: DataFrame) -> DataFrame:
@@ -64,6 +65,18 @@ def source_spans(views: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(told, ["doc_id", "start", "stop"], "left")
 
 
+def node_sources(views: DataFrame) -> DataFrame:
+    """(doc_id, node_id, kind, name, content, start, stop, source_start, source_stop, source_text, origin): the nodes of views and what produced each.
+
+    origin is the macro that wrote a node's beginning; null where it is copied from the source.
+    """
+    shown = parse(views.select("doc_id", F.col("view").alias("text"))).select("doc_id", F.inline("nodes")).filter("node_id > 0").select("doc_id", "node_id", "kind", "name", "content", "start", "stop")
+    wrote = views.select("doc_id", F.inline(F.transform("pieces", lambda p: F.struct(p["start"].alias("at"), F.try_element_at("expansions", p["expansion"] + 1)["name"].alias("macro")))))
+    told = last_before(source_spans(views, shown), wrote, at="start", marked="at", mark="__p")
+    text = F.substr("text", F.col("source_start") + 1, F.col("source_stop") - F.col("source_start"))
+    return told.join(views.select("doc_id", "text"), "doc_id").select("doc_id", "node_id", "kind", "name", "content", "start", "stop", "source_start", "source_stop", text.alias("source_text"), F.col("__p.macro").alias("origin"))
+
+
 def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (keys, start, stop) with intervals that touch or overlap as one."""
     order = Window.partitionBy(*keys).orderBy("start", "stop")

@@ -28,6 +28,19 @@ def is_env(name: str) -> Column:
     return (F.col("kind").isin("environment", "verbatim")) & (F.col("name") == name)
 
 
+def child(nodes: DataFrame, *path: int) -> DataFrame:
+    """(doc_id, node_id, ...): the node of each document at a path of places among siblings, from the root; negative places count from the end."""
+    at = nodes.filter("parent_id IS NULL")
+    for place in path:
+        own = nodes.join(at.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
+        if place < 0:
+            own = own.withColumn("__from_end", F.col("sib") - F.max("sib").over(Window.partitionBy("doc_id", "parent_id")) - 1)
+            at = own.filter(F.col("__from_end") == place).drop("__from_end")
+        else:
+            at = own.filter(F.col("sib") == place)
+    return at
+
+
 def is_par() -> Column:
     return (F.col("kind") == "text") & (F.col("content") == "")
 

@@ -21,6 +21,14 @@ def tex_source_spans(spark, sf_dir):
     return got.select(_big("doc_id", "p_partkey"), "what", F.substr("text", F.col("source_start") + 1, F.col("source_stop") - F.col("source_start")).alias("source"))
 
 
+def tex_node_sources(spark, sf_dir):
+    """What produced each node of a view, and the macro that wrote it."""
+    head = "\\newcommand\\m[1]{\\emph{#1!}}"
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say(head + "a \\m{@} b \\textbf{@}", "p_size", "p_partkey").alias("text"))
+    got = provenance.node_sources(nodes.views(docs)).filter(F.col("start") >= len(head))
+    return got.select(_big("doc_id", "p_partkey"), "kind", F.concat("name", "content").alias("said"), "source_text", "origin")
+
+
 def tex_branch_regions(spark, sf_dir):
     """What of a view comes from which branch, with what macros wrote there."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\newcommand\\m{<@>}\\iftrue a\\m b\\else\\m c\\fi \\iffalse d\\fi", "p_size").alias("text"))
@@ -55,12 +63,15 @@ def tex_compilable_alike(spark, sf_dir):
     return both.select(_big("doc_id"), (F.col("content_hash") == F.col("of_view")).alias("alike"), (F.col("text") == F.col("source")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (tex_source_spans, tex_branch_regions, tex_category_regions, tex_compilable, tex_compilable_alike)}
+QUERIES = {f.__name__: f for f in (tex_source_spans, tex_node_sources, tex_branch_regions, tex_category_regions, tex_compilable, tex_compilable_alike)}
 
 _P = f"(p_partkey // {PART})::BIGINT AS doc_id"
 _NTH = f"row_number() OVER (PARTITION BY p_partkey // {PART} ORDER BY p_partkey)::BIGINT"
 ORACLE_SQL = {
     "tex_source_spans": r"SELECT p_partkey::BIGINT AS p_partkey, v.what, CASE v.what WHEN 'second' THEN p_partkey::VARCHAR WHEN 'from before' THEN 'x' || u ELSE u END AS source FROM (SELECT *, '\a{' || p_size || '}{' || p_partkey || '}' AS u FROM part), (VALUES ('second'), ('braced'), ('both'), ('from before')) AS v(what)",
+    "tex_node_sources": r"""SELECT p_partkey::BIGINT AS p_partkey, v.kind, replace(replace(v.said, '@', p_size::VARCHAR), '~', p_partkey::VARCHAR) AS said, replace(replace(v.source_text, '@', p_size::VARCHAR), '~', p_partkey::VARCHAR) AS source_text, v.origin FROM part, (VALUES
+  ('text', 'a', 'a', NULL), ('command', 'emph', '\m{@}', 'm'), ('brace', '{', '\m{@}', 'm'), ('text', '@!', '\m{@}', NULL), ('text', 'b', 'b', NULL), ('command', 'textbf', '\textbf', NULL), ('brace', '{', '{~}', NULL), ('text', '~', '~', NULL)
+) AS v(kind, said, source_text, origin)""",
     "tex_branch_regions": r"SELECT p_partkey::BIGINT AS p_partkey, v.taken, replace(v.shown, '@', p_size::VARCHAR) AS shown FROM part, (VALUES (true, 'a<@> b'), (false, '\m c'), (false, 'd')) AS v(taken, shown)",
     "tex_category_regions": "SELECT p_partkey::BIGINT AS p_partkey, v.line::BIGINT AS line, v.shown || CASE WHEN v.line = 3 THEN p_size || chr(10) ELSE '' END AS shown FROM part, (VALUES (3, 'a@'), (4, 'b')) AS v(line, shown)",
     "tex_compilable": f"""SELECT {_P}, {_NTH} AS n, '<' || p_size || p_size || '> of  ' || p_name || ' % \\a{{x}}' AS line FROM part UNION ALL

@@ -331,7 +331,7 @@ def test_files_are_read_once(spark, tmp_path):
     from scriptorium.operators import includes
 
     store = str(tmp_path / "store")
-    rows = [(1, "m.tex", "\\input{a}\\bad"), (2, "a.tex", "\\newcommand\\bad{\\item}"), (3, "b.tex", "\\newcommand\\bad{\\item}"), (4, "c.sty", "\\newcommand\\bad{\\item}"), (5, None, None)]
+    rows = [(1, "m.tex", "\\documentclass{article}\\begin{document}\\input{a}\\bad\\end{document}"), (2, "a.tex", "\\newcommand\\bad{\\item}"), (3, "b.tex", "\\newcommand\\bad{\\item}"), (4, "c.sty", "\\newcommand\\bad{\\item}"), (5, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
     stored = lambda: spark.read.parquet(store).count()
     first = {tuple(r) for r in includes.files(docs, store=store).select("doc_id", "path", "learned").collect()}
