@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.intervals import containing, last_before
+from scriptorium.operators.provenance import compilable_edits
 from scriptorium.operators.tree import inner_text
 from scriptorium.sources.documents import lines as lines_of
 
@@ -148,5 +149,33 @@ def html_page(docs: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame
     return joined.select("doc_id", F.concat(F.lit("<!doctype html><meta charset=utf-8><nav><ul>\n"), F.coalesce("nav", F.lit("")), F.lit("\n</ul></nav><main><ol>\n"), F.coalesce("source", F.lit("")), F.lit("\n</ol></main>")).alias("page"))
 
 
+#: A check box shows one face or the other, without a script.
+FACES = "#face:checked~main .source,#face:not(:checked)~main .shown{display:none}"
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def two_faces(views: DataFrame) -> DataFrame:
+    """(doc_id, faces): sources in which each outermost use of a macro also carries what it becomes, as HTML."""
+    made = compilable_edits(views, grouped=False).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "text"))).alias("uses"))
+    rows = views.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(made, "doc_id", "left").withColumn("uses", F.coalesce("uses", F.array().cast("array<struct<start:int,stop:int,text:string>>")))
+    span = lambda a, b: _escaped(F.substr("text", a + 1, b - a))
+    stops = F.concat(F.array(F.lit(0)), F.transform("uses", lambda u: u["stop"]))
+    one = lambda u, before: F.concat(span(before, u["start"]), F.lit('<span class="source">'), span(u["start"], u["stop"]), F.lit('</span><span class="shown">'), _escaped(u["text"]), F.lit("</span>"))
+    parts = F.zip_with("uses", F.slice(stops, F.lit(1), F.size("uses")), one)
+    return rows.select("doc_id", F.concat(F.array_join(parts, ""), span(F.element_at(stops, -1), F.length("text"))).alias("faces"))
+
+
+def faces_page(views: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page): a page of its own with a document's outline and its text, as written or as its macros make it: a check box turns it over."""
+    item = F.concat(F.lit('<li class="level'), F.coalesce("level", F.lit(9)).cast("string"), F.lit('">'), _escaped(F.coalesce("label", F.lit(""))), F.lit("</li>"))
+    nav = blocks.select("doc_id", F.struct("block_id", item.alias("t")).alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("nav"))
+    joined = two_faces(views).join(nav, "doc_id", "left")
+    head = f"<!doctype html><meta charset=utf-8><style>{FACES}</style><input type=checkbox id=face><label for=face>expanded</label><nav><ul>\n"
+    return joined.select("doc_id", F.concat(F.lit(head), F.coalesce("nav", F.lit("")), F.lit("\n</ul></nav><main><pre>"), "faces", F.lit("</pre></main>")).alias("page"))
+
+
 def environments_counted(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind").isin("environment", "verbatim")).groupBy("name").agg(F.count("*").alias("n"))

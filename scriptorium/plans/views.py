@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import folds, nodes, provenance
+from scriptorium.operators import folds, nodes, outline, provenance
 from scriptorium.plans.documents import PART, _big, _say, _t, part_documents
 
 
@@ -45,6 +45,14 @@ def tex_category_regions(spark, sf_dir):
     return got.select(_big("doc_id", "p_partkey"), _big("line"), F.substr("view", F.col("start") + 1, F.col("stop") - F.col("start")).alias("shown"))
 
 
+def tex_two_faces(spark, sf_dir):
+    """A page whose text is the source or what its macros make of it."""
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\newcommand\\m[1]{<#1>}\\section{@}\n\\m{@} & \\m{\\m{x}}", "p_name", "p_size").alias("text"))
+    v, p = nodes.views(docs), nodes.parse(docs)
+    got = outline.faces_page(v, outline.section_blocks(p))
+    return got.select(_big("doc_id", "p_partkey"), F.substring_index("page", "</style>", -1).alias("page"))
+
+
 def tex_compilable(spark, sf_dir):
     """Documents with their macros written out, environments as groups, the rest as it was."""
     head = "\\newcommand\\a[1]{<\\b{#1}>}\\newcommand\\b[1]{#1#1}\\newenvironment{bx}[1]{[#1:}{]}\r\n"
@@ -63,7 +71,7 @@ def tex_compilable_alike(spark, sf_dir):
     return both.select(_big("doc_id"), (F.col("content_hash") == F.col("of_view")).alias("alike"), (F.col("text") == F.col("source")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (tex_source_spans, tex_node_sources, tex_branch_regions, tex_category_regions, tex_compilable, tex_compilable_alike)}
+QUERIES = {f.__name__: f for f in (tex_source_spans, tex_node_sources, tex_branch_regions, tex_category_regions, tex_two_faces, tex_compilable, tex_compilable_alike)}
 
 _P = f"(p_partkey // {PART})::BIGINT AS doc_id"
 _NTH = f"row_number() OVER (PARTITION BY p_partkey // {PART} ORDER BY p_partkey)::BIGINT"
@@ -74,6 +82,8 @@ ORACLE_SQL = {
 ) AS v(kind, said, source_text, origin)""",
     "tex_branch_regions": r"SELECT p_partkey::BIGINT AS p_partkey, v.taken, replace(v.shown, '@', p_size::VARCHAR) AS shown FROM part, (VALUES (true, 'a<@> b'), (false, '\m c'), (false, 'd')) AS v(taken, shown)",
     "tex_category_regions": "SELECT p_partkey::BIGINT AS p_partkey, v.line::BIGINT AS line, v.shown || CASE WHEN v.line = 3 THEN p_size || chr(10) ELSE '' END AS shown FROM part, (VALUES (3, 'a@'), (4, 'b')) AS v(line, shown)",
+    "tex_two_faces": r"""SELECT p_partkey::BIGINT AS p_partkey, '<input type=checkbox id=face><label for=face>expanded</label><nav><ul>' || chr(10) || '<li class="level2">' || p_name || '</li>' || chr(10) || '</ul></nav><main><pre>\newcommand\m[1]{&lt;#1&gt;}\section{' || p_name || '}' || chr(10) ||
+  '<span class="source">\m{' || p_size || '}</span><span class="shown">&lt;' || p_size || '&gt;</span> &amp; <span class="source">\m{\m{x}}</span><span class="shown">&lt;&lt;x&gt;&gt;</span></pre></main>' AS page FROM part""",
     "tex_compilable": f"""SELECT {_P}, {_NTH} AS n, '<' || p_size || p_size || '> of  ' || p_name || ' % \\a{{x}}' AS line FROM part UNION ALL
 SELECT doc_id, n + 1, '\\begingroup [k:in <zz>]\\endgroup{{}}.' || chr(9) FROM (SELECT {_P}, count(*)::BIGINT AS n FROM part GROUP BY 1)""",
     "tex_compilable_alike": f"SELECT DISTINCT {_P}, true AS alike, (p_partkey // {PART}) % 2 = 1 AS unchanged FROM part",
