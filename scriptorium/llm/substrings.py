@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import removed
+from scriptorium.llm.common import removed, scratch
 from scriptorium.llm.lm import stored
 from scriptorium.session import ship
 
@@ -97,6 +97,11 @@ def _id(*parts: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b"".join(parts))
 
 
+def _bucket(*parts: bytes) -> bytes:
+    """A bucket's identifier may be short: two buckets taken for one cost a round, what is equal is told by whole stretches."""
+    return xxhash.xxh3_64_digest(b"".join(parts))
+
+
 def _document(data: bytes, length: int, gram: int) -> tuple[Iterator[tuple], list[tuple[int, int]]]:
     """The runs of a document (x, lo, hi, many, hull), equal stretches once, and the spans that it repeats within itself."""
     met: dict[bytes, list] = {}
@@ -181,7 +186,7 @@ def _narrowed(width: int, length: int):
                 first, last = max(lo, x - a - width + 1), min(hi, x - a)
                 # What all windows with these offsets share, whether this run has them all or not, is more than before at both ends.
                 low, high = min(r["core_lo"], x - a), max(r["core_hi"], x - a - width + 1 + length)
-                bucket = _id(r["bucket"], a.to_bytes(4, "little"), data[low : r["core_lo"]], data[r["core_hi"] : high])
+                bucket = _bucket(r["bucket"], a.to_bytes(4, "little"), data[low : r["core_lo"]], data[r["core_hi"] : high])
                 yield row, x, first, last, r["many"], low, high, bucket, _id(r["bucket"], (x - first).to_bytes(4, "little"), data[first : last + length])
 
     return one
@@ -197,7 +202,7 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, widths:
         if len(data) >= length:
             found, spans = _document(data, length, gram)
             for x, lo, hi, many, hull in found:
-                yield row, x, lo, hi, many, x, x + gram, _id(data[x : x + gram]), hull
+                yield row, x, lo, hi, many, x, x + gram, _bucket(data[x : x + gram]), hull
             for a, b in spans:
                 yield row, None, a, b, True, None, None, None, None
 
@@ -242,7 +247,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every document: what is removed, and a digest of what stays."""
     spark = docs.sparkSession
     # Rows are numbered once and keep the numbers, as the table is written.
-    numbered, own = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "numbered")
+    own = scratch(spark, "numbered")
+    docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).write.option("compression", "zstd").parquet(own)
+    numbered = spark.read.schema("row long, doc_id long, text string").parquet(own)
     spans, paths = repeated(numbered, length=length, gram=gram)
     listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
