@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.signatures import ALIGNMENTS, DISPLAY, FLOATS, LISTS, MATRICES, TABLES, builtin
 from scriptorium.operators.intervals import last_before
-from scriptorium.operators.related import PLACE, lines_of_related, marks, with_related
+from scriptorium.operators.related import PLACE, asked, asked_marks, lines_of_related, with_related
 from scriptorium.sources.documents import lines as lines_of
-from scriptorium.tables import written
+from scriptorium.tables import sorted_side, written
 
 COLUMNS = ("doc_id", "code", "severity", "message", "start", "stop", "line", "col")
 RANK = {"error": 0, "warning": 1, "info": 2}
@@ -167,7 +167,7 @@ def _unknown(met: DataFrame, own: DataFrame) -> DataFrame:
     spark, table = met.sparkSession, builtin()
     once = met.groupBy("doc_id", "kind", "base_name").agg(F.count("*").alias("n"), F.min(F.struct("start", "stop", "line", "col", "by")).alias("at")).filter("n = 1")
     # A name that the document defines is no typo where it is defined.
-    once = once.join(own.select("doc_id", "kind", F.col("known").alias("base_name")), ["doc_id", "kind", "base_name"], "left_anti")
+    once = once.join(sorted_side(own.select("doc_id", "kind", F.col("known").alias("base_name"))), ["doc_id", "kind", "base_name"], "left_anti")
     fixed = [("command", n) for n in sorted(table.commands) if n.isalpha() and len(n) > 2] + [("environment", n) for n in sorted(table.environments) if n.isalpha() and len(n) > 2]
     known = spark.createDataFrame(fixed, "kind string, known string")  # a fixed table
     places = lambda c: F.sequence(F.lit(1), F.length(c))
@@ -176,7 +176,7 @@ def _unknown(met: DataFrame, own: DataFrame) -> DataFrame:
     tried = once.select("doc_id", "kind", "base_name", "at", F.explode(F.concat(blank("base_name"), swaps("base_name"))).alias("key"))
     keys = lambda df, *c: df.select(*c, "kind", "known", F.explode(F.concat(blank("known"), F.array("known"))).alias("key"))
     a = tried.join(F.broadcast(keys(known)), ["kind", "key"]).select("doc_id", "kind", "base_name", "at", "known")
-    b = tried.join(keys(own, "doc_id"), ["doc_id", "kind", "key"]).select("doc_id", "kind", "base_name", "at", "known")
+    b = tried.join(sorted_side(keys(own, "doc_id")), ["doc_id", "kind", "key"]).select("doc_id", "kind", "base_name", "at", "known")
     met = a.unionByName(b).filter(F.lower("base_name") != F.lower("known")).groupBy("doc_id", "kind", "base_name", "at").agg(F.min("known").alias("known"))
     mark = F.when(F.col("kind") == "command", "\\").otherwise("")
     code = F.when(F.col("kind") == "command", "unknown-command").otherwise("unknown-environment")
@@ -205,7 +205,7 @@ def _wanted(parsed: DataFrame, folders: DataFrame | None) -> DataFrame:
     rows = parsed.select("doc_id", "fragment", F.inline("inclusions")).filter(F.col("extension").isin(".tex", "") & ~F.contains("target", F.lit("#")) & ~F.contains("target", F.lit("\\")))
     if folders is None:
         return rows.withColumn("folder", F.lit(""))
-    return rows.join(folders.select("doc_id", "folder"), "doc_id", "left")
+    return rows.join(sorted_side(folders.select("doc_id", "folder")), "doc_id", "left")
 
 
 def files_not_found(parsed: DataFrame, files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
@@ -218,8 +218,7 @@ def diagnose(parsed: DataFrame, files: DataFrame | None = None, folders: DataFra
 
     The parsed table is read once: what its rules say, and the few names and inclusions that are joined, go to a table of their own.
     """
-    explained = F.when(F.size("found") > 0, marks(SHORT_ARGUMENTS))
-    kept = written(reports(parsed).select("doc_id", "fragment", "found", explained.alias("marks"), names_met(parsed).alias("met"), _own_names().alias("own"), "inclusions"), "reports")
+    kept = written(reports(parsed).withColumn("asked", asked(F.col("found"))).select("doc_id", "fragment", "found", asked_marks("asked", SHORT_ARGUMENTS).alias("marks"), names_met(parsed).alias("met"), _own_names().alias("own"), "inclusions"), "reports")
     found = with_related(kept)
     more = _unknown(kept.select("doc_id", F.inline("met")), kept.select("doc_id", F.inline("own")))
     if files is not None:
@@ -334,7 +333,7 @@ def to_json(found: DataFrame, docs: DataFrame | None = None, *, keep: tuple[str,
             fields.append(F.transform("related", lambda r: F.struct(r["line"].alias("line"), (r["col"] + 1).alias("column"), r["end_line"].alias("end_line"), (r["end_col"] + 1).alias("end_column"), r["message"].alias("message"))).alias("related"))
         found = with_ends(found, docs)
         if "path" in docs.columns:
-            found = found.join(docs.select("doc_id", F.col("path").alias("__path")), "doc_id")
+            found = found.join(sorted_side(docs.select("doc_id", F.col("path").alias("__path"))), "doc_id")
             fields = [F.col("__path").alias("file"), *fields]
         fields = [*fields, F.col("end_line"), (F.col("end_col") + 1).alias("end_column")]
     return found.select("doc_id", *keep, F.to_json(F.struct(*fields), {"ignoreNullFields": str(not nulls).lower()}).alias("json"))
@@ -350,10 +349,10 @@ def _excerpt(source: Column, col: Column, size: Column, width: int) -> Column:
 def render_text(found: DataFrame, docs: DataFrame, width: int = 100, *, color: bool = False, fixes: bool = False) -> DataFrame:
     """(doc_id, line, col, rendered): header, a window of the line around the place, a mark under it, the same of related places, and (fixes) what is suggested."""
     lines = lines_of(docs)
-    joined = found.join(lines.select("doc_id", "line", F.col("text").alias("source")), ["doc_id", "line"], "left").withColumn("source", F.coalesce("source", F.lit("")))
+    joined = found.join(sorted_side(lines.select("doc_id", "line", F.col("text").alias("source"))), ["doc_id", "line"], "left").withColumn("source", F.coalesce("source", F.lit("")))
     related = F.lit("")
     if "related" in found.columns:
-        joined = joined.join(lines_of_related(found, lines), "doc_id", "left")
+        joined = joined.join(sorted_side(lines_of_related(found, lines)), "doc_id", "left")
         one = lambda r: F.concat(F.lit("\n"), _excerpt(F.coalesce(F.try_element_at("__lines", r["line"]), F.lit("")), r["col"], r["stop"] - r["start"], width), F.lit(" "), r["message"])
         related = F.array_join(F.transform("related", one), "")
     fix = F.when(suggestion(found).isNotNull(), F.concat(F.lit("\n= "), suggestion(found))).otherwise("") if fixes and "fix" in found.columns else F.lit("")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.tables import sorted_side
+
 from scriptorium.operators.intervals import last_before
 
 
@@ -27,7 +29,7 @@ def rewrite(docs: DataFrame, edits: DataFrame) -> DataFrame:
     edit of no document is an error, too. A document's edits meet in one row, as its text does.
     """
     listed = edits.groupBy(F.col("doc_id").alias("d")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "seq", F.coalesce("text", F.lit("")).alias("text")))).alias("edits"))
-    joined = docs.join(listed, F.col("doc_id") == F.col("d"), "full")
+    joined = docs.join(sorted_side(listed), F.col("doc_id") == F.col("d"), "full")
     bad = F.raise_error(F.concat(F.lit("overlapping or misplaced edits in document "), F.col("doc_id").cast("string"))).cast("string")
     new = F.when(F.col("edits").isNull(), F.col("text")).when(F.col("doc_id").isNull(), F.raise_error(F.lit("an edit of no document"))).otherwise(applied(F.col("text"), F.col("edits"), bad))
     return joined.select(F.coalesce("doc_id", "d").alias("doc_id"), new.alias("text"))
@@ -101,7 +103,7 @@ def composed(docs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     stretch = F.substr("text", F.col("at") + 1, F.col("until") - F.col("at"))
     moved = F.transform("edits", lambda e: F.struct((e["start"] - F.col("at")).cast("int").alias("start"), (e["stop"] - F.col("at")).cast("int").alias("stop"), e["seq"].alias("seq"), e["text"].alias("text")))
     bad = F.raise_error(F.concat(F.lit("overlapping or misplaced edits in document "), F.col("doc_id").cast("string"))).cast("string")
-    met = placed.join(between, "doc_id").withColumn("moved", moved)
+    met = placed.join(sorted_side(between), "doc_id").withColumn("moved", moved)
     return met.select("doc_id", F.col("island").cast("int").alias("seq"), F.col("from").cast("int").alias("start"), (F.col("from") + F.col("until") - F.col("at") - F.col("delta")).cast("int").alias("stop"), applied(stretch, F.col("moved"), bad).alias("text"))
 
 

@@ -15,7 +15,7 @@ from scriptorium.functions import flatten, kernel
 from scriptorium.functions.signatures import Table, builtin
 from scriptorium.operators.nodes import per_document
 from scriptorium.sources.documents import resolved
-from scriptorium.tables import written
+from scriptorium.tables import sorted_side, written
 
 LEARNED = "doc_id long, path string, learned string, wanted array<struct<target:string,extension:string>>"
 
@@ -59,11 +59,11 @@ def files(docs: DataFrame, table: Table | None = None, store: str | None = None)
     spark = docs.sparkSession
     named = digests(docs, table)
     known = spark.read.schema(STORED).parquet(store) if _exists(spark, store) else spark.createDataFrame([], STORED)
-    new = named.join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    new = named.join(sorted_side(known.select("digest")), "digest", "left_anti").dropDuplicates(["digest"])
     per_document(new, STORED, lambda i, text, path, digest: {"digest": digest} | read(text, path), "path", "digest").write.mode("append").parquet(store)
     # Two runs at once may have added the same digest.
     every = spark.read.schema(STORED).parquet(store).dropDuplicates(["digest"])
-    return named.join(every, "digest").select(F.col("doc_id").cast("long"), "path", "learned", "wanted")
+    return named.join(sorted_side(every), "digest").select(F.col("doc_id").cast("long"), "path", "learned", "wanted")
 
 
 def edges(scanned: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def closure(edges: DataFrame) -> DataFrame:
     size = reach.count()
     while True:  # each round doubles the length of the chains that are followed
         step = reach.select(F.col("root").alias("f"), F.col("to_path").alias("p"))
-        more = reach.select("root", F.col("to_path").alias("f")).join(step, "f").select("root", F.col("p").alias("to_path"))
+        more = reach.select("root", F.col("to_path").alias("f")).join(sorted_side(step), "f").select("root", F.col("p").alias("to_path"))
         reach = written(reach.unionByName(more).distinct(), "reach")
         new = reach.count()
         if new == size:
@@ -93,9 +93,9 @@ def parse_together(docs: DataFrame, table: Table | None = None, *, expanded: boo
     named = written(edges(scanned), "edges")
     targets = named.groupBy("from_path").agg(F.map_from_entries(F.collect_list(F.struct("target", "to_path"))).alias("targets"))
     # A file without definitions and inclusions of its own has nothing to tell.
-    told = scanned.filter("learned <> '[]'").select(F.col("path").alias("p"), "learned").join(targets, F.col("p") == F.col("from_path"), "left").select("p", "learned", "targets")
-    reached = closure(named).join(told, F.col("to_path") == F.col("p")).groupBy("root").agg(F.collect_list(F.struct("p", "learned", "targets")).alias("files"))
-    joined = docs.join(targets, F.col("path") == F.col("from_path"), "left").join(reached, F.col("path") == F.col("root"), "left").select("doc_id", "text", "path", "targets", "files")
+    told = scanned.filter("learned <> '[]'").select(F.col("path").alias("p"), "learned").join(sorted_side(targets), F.col("p") == F.col("from_path"), "left").select("p", "learned", "targets")
+    reached = closure(named).join(sorted_side(told), F.col("to_path") == F.col("p")).groupBy("root").agg(F.collect_list(F.struct("p", "learned", "targets")).alias("files"))
+    joined = docs.join(sorted_side(targets), F.col("path") == F.col("from_path"), "left").join(sorted_side(reached), F.col("path") == F.col("root"), "left").select("doc_id", "text", "path", "targets", "files")
 
     def one(doc_id, text: str, path: str | None, own, reach) -> dict:
         known = {r["p"]: {"targets": dict(r["targets"] or ()), "learned": json.loads(r["learned"])} for r in reach or ()}

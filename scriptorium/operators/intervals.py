@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of blocks: places are below 2^LEVELS.
-LEVELS = 40
+from scriptorium.tables import sorted_side
+
 
 
 def blocks(start: Column, stop: Column) -> Column:
@@ -27,7 +27,9 @@ def blocks(start: Column, stop: Column) -> Column:
         some = a < b
         return F.array(F.when(some & (F.pmod(a, F.lit(2)) == 1), F.struct(k.alias("level"), a.alias("block"))), F.when(some & (F.pmod(b, F.lit(2)) == 1), F.struct(k.alias("level"), (b - 1).alias("block"))))
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level)))
+    # No block is longer than the interval, so its length tells the levels.
+    levels = F.when(lo < hi, F.sequence(F.lit(0), F.length(F.bin(hi - lo)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_compact(F.flatten(F.transform(levels, level)))
 
 
 def containing(places: DataFrame, intervals: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), at: str = "at", start: str = "start", stop: str = "stop") -> DataFrame:
@@ -38,8 +40,8 @@ def containing(places: DataFrame, intervals: DataFrame, *, keys: tuple[str, ...]
     cut = intervals.select("*", F.explode(blocks(F.col(start), F.col(stop))).alias("__b")).select("*", F.col("__b.level").alias("__dyadic_level"), F.col("__b.block").alias("__dyadic_block")).drop("__b")
     # Only levels that a key's intervals have are asked for.
     used = cut.groupBy(*keys).agg(F.collect_set("__dyadic_level").alias("__dyadic_levels"))
-    asked = places.join(used, list(keys)).select(*places.columns, F.explode("__dyadic_levels").alias("__dyadic_level")).withColumn("__dyadic_block", F.call_function("shiftright", F.col(at).cast("long"), F.col("__dyadic_level")))
-    return asked.join(cut, [*keys, "__dyadic_level", "__dyadic_block"]).drop("__dyadic_level", "__dyadic_block")
+    asked = places.join(sorted_side(used), list(keys)).select(*places.columns, F.explode("__dyadic_levels").alias("__dyadic_level")).withColumn("__dyadic_block", F.call_function("shiftright", F.col(at).cast("long"), F.col("__dyadic_level")))
+    return asked.join(sorted_side(cut), [*keys, "__dyadic_level", "__dyadic_block"]).drop("__dyadic_level", "__dyadic_block")
 
 
 def last_before(rows: DataFrame, marks: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), at: str, marked: str, mark: str, inclusive: bool = True) -> DataFrame:

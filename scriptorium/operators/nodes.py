@@ -101,6 +101,11 @@ def views(docs: DataFrame, table: Table | None = None, *, depth: int = expansion
     return per_document(docs, VIEW, one)
 
 
+def views_once(docs: DataFrame, table: Table | None = None, **how) -> DataFrame:
+    """views() through a table in the shared folder, for what reads them several times: each document is expanded once, at once."""
+    return written(views(docs, table, **how), "views")
+
+
 def prose(docs: DataFrame, table: Table | None = None, *, math: str = "source") -> DataFrame:
     """One row a document: what it reads like, and marks of where each stretch comes from."""
 

@@ -9,6 +9,7 @@ from scriptorium.operators.intervals import containing, last_before
 from scriptorium.operators.provenance import compilable_edits
 from scriptorium.operators.tree import inner_text
 from scriptorium.sources.documents import lines as lines_of
+from scriptorium.tables import sorted_side
 
 LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 
@@ -63,7 +64,7 @@ def blocks(parsed: DataFrame) -> DataFrame:
     outer = rows.filter("what <> 'discarded'").select("doc_id", F.col("block_id").alias("outer"), (F.col("block_id") + 1).alias("__first"), F.col("until").alias("__stop"))
     held = containing(rows.select("doc_id", "block_id", "until"), outer, at="block_id", start="__first", stop="__stop").filter(F.col("__stop") >= F.col("until"))
     nearest = held.groupBy("doc_id", "block_id", "until").agg(F.max("outer").alias("parent_id"))
-    return rows.join(nearest, ["doc_id", "block_id", "until"], "left").select("doc_id", "block_id", "parent_id", "what", "label", "level", "start", "stop", "line", "until")
+    return rows.join(sorted_side(nearest), ["doc_id", "block_id", "until"], "left").select("doc_id", "block_id", "parent_id", "what", "label", "level", "start", "stop", "line", "until")
 
 
 def child_labels(blocks: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def outline(blocks: DataFrame, stats: DataFrame, *, depth: int | None = None, wi
     follow each other are one line with their number.
     """
     own = stats.filter("key = 'words'").select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), F.col("n").alias("words"))
-    rows = blocks.join(own, (F.col("doc_id") == F.col("d")) & (F.col("block_id") == F.col("b")), "left")
+    rows = blocks.join(sorted_side(own), (F.col("doc_id") == F.col("d")) & (F.col("block_id") == F.col("b")), "left")
     if depth is not None:
         rows = rows.filter(F.col("level") <= depth)
     rows = rows.withColumn("words", F.coalesce("words", F.lit(0))).withColumn("times", F.lit(1))
@@ -141,11 +142,11 @@ def html_page(docs: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame
     """(doc_id, page): a document as a page of its own: its outline on one side, its source with marked diagnostics on the other."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     said = found.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "stop", "severity", "message"))), lambda x: F.concat(F.lit('<span class="'), x["severity"], F.lit('">'), escaped(x["message"]), F.lit("</span>"))), "").alias("notes"))
-    source = lines_of(docs).join(said, ["doc_id", "line"], "left").select("doc_id", F.struct("line", F.concat(F.lit('<li id="l'), F.col("line").cast("string"), F.lit('">'), escaped(F.col("text")), F.coalesce("notes", F.lit("")), F.lit("</li>")).alias("t")).alias("x"))
+    source = lines_of(docs).join(sorted_side(said), ["doc_id", "line"], "left").select("doc_id", F.struct("line", F.concat(F.lit('<li id="l'), F.col("line").cast("string"), F.lit('">'), escaped(F.col("text")), F.coalesce("notes", F.lit("")), F.lit("</li>")).alias("t")).alias("x"))
     body = source.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("source"))
     item = F.concat(F.lit('<li class="level'), F.coalesce("level", F.lit(9)).cast("string"), F.lit('"><a href="#l'), F.col("line").cast("string"), F.lit('">'), escaped(F.coalesce("label", F.lit(""))), F.lit("</a></li>"))
     nav = blocks.select("doc_id", F.struct("block_id", item.alias("t")).alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("nav"))
-    joined = docs.select("doc_id").join(body, "doc_id", "left").join(nav, "doc_id", "left")
+    joined = docs.select("doc_id").join(sorted_side(body), "doc_id", "left").join(sorted_side(nav), "doc_id", "left")
     return joined.select("doc_id", F.concat(F.lit("<!doctype html><meta charset=utf-8><nav><ul>\n"), F.coalesce("nav", F.lit("")), F.lit("\n</ul></nav><main><ol>\n"), F.coalesce("source", F.lit("")), F.lit("\n</ol></main>")).alias("page"))
 
 
@@ -160,7 +161,7 @@ def _escaped(c: Column) -> Column:
 def two_faces(views: DataFrame) -> DataFrame:
     """(doc_id, faces): sources in which each outermost use of a macro also carries what it becomes, as HTML."""
     made = compilable_edits(views, grouped=False).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "text"))).alias("uses"))
-    rows = views.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(made, "doc_id", "left").withColumn("uses", F.coalesce("uses", F.array().cast("array<struct<start:int,stop:int,text:string>>")))
+    rows = views.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sorted_side(made), "doc_id", "left").withColumn("uses", F.coalesce("uses", F.array().cast("array<struct<start:int,stop:int,text:string>>")))
     span = lambda a, b: _escaped(F.substr("text", a + 1, b - a))
     stops = F.concat(F.array(F.lit(0)), F.transform("uses", lambda u: u["stop"]))
     one = lambda u, before: F.concat(span(before, u["start"]), F.lit('<span class="source">'), span(u["start"], u["stop"]), F.lit('</span><span class="shown">'), _escaped(u["text"]), F.lit("</span>"))
@@ -172,7 +173,7 @@ def faces_page(views: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, page): a page of its own with a document's outline and its text, as written or as its macros make it: a check box turns it over."""
     item = F.concat(F.lit('<li class="level'), F.coalesce("level", F.lit(9)).cast("string"), F.lit('">'), _escaped(F.coalesce("label", F.lit(""))), F.lit("</li>"))
     nav = blocks.select("doc_id", F.struct("block_id", item.alias("t")).alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("nav"))
-    joined = two_faces(views).join(nav, "doc_id", "left")
+    joined = two_faces(views).join(sorted_side(nav), "doc_id", "left")
     head = f"<!doctype html><meta charset=utf-8><style>{FACES}</style><input type=checkbox id=face><label for=face>expanded</label><nav><ul>\n"
     return joined.select("doc_id", F.concat(F.lit(head), F.coalesce("nav", F.lit("")), F.lit("\n</ul></nav><main><pre>"), "faces", F.lit("</pre></main>")).alias("page"))
 

@@ -12,6 +12,7 @@ from scriptorium.functions.kernel import USUAL
 from scriptorium.operators.edits import rewrite
 from scriptorium.operators.intervals import containing, last_before
 from scriptorium.operators.nodes import parse
+from scriptorium.tables import sorted_side, written
 
 
 def pieces(views: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def source_spans(views: DataFrame, spans: DataFrame) -> DataFrame:
     around = uses(views).select("doc_id", "use", "use_stop")
     held = containing(met.filter("exact").select(*keys, "from", "to", "back"), around, at="from", start="use", stop="use_stop").filter("to <= use_stop")
     listed = held.groupBy(*keys, "use", "use_stop").agg(F.max("back").alias("back")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("use", "use_stop", "back"))).alias("uses"))
-    grown = cover.join(listed, keys, "left").withColumn("uses", F.coalesce("uses", F.array().cast("array<struct<use:int,use_stop:int,back:boolean>>")))
+    grown = cover.join(sorted_side(listed), keys, "left").withColumn("uses", F.coalesce("uses", F.array().cast("array<struct<use:int,use_stop:int,back:boolean>>")))
     one = F.struct(F.col("first").alias("first"), F.col("last").alias("last"))
 
     def grow(acc: Column, u: Column) -> Column:
@@ -62,7 +63,7 @@ def source_spans(views: DataFrame, spans: DataFrame) -> DataFrame:
     rounds = F.when(F.size("uses") > 0, F.sequence(F.lit(1), F.size("uses"))).otherwise(F.array().cast("array<int>"))
     end = F.when(F.col("n") > 1, F.aggregate(rounds, one, lambda acc, _: F.aggregate("uses", acc, grow))).otherwise(one)
     told = grown.withColumn("__end", end).select("doc_id", F.col("__start").alias("start"), F.col("__stop").alias("stop"), F.col("__end.first").alias("source_start"), F.when(F.col("__stop") > F.col("__start"), F.col("__end.last")).otherwise(F.col("__end.first")).alias("source_stop"))
-    return spans.join(told, ["doc_id", "start", "stop"], "left")
+    return spans.join(sorted_side(told), ["doc_id", "start", "stop"], "left")
 
 
 def node_sources(views: DataFrame) -> DataFrame:
@@ -70,11 +71,11 @@ def node_sources(views: DataFrame) -> DataFrame:
 
     origin is the macro that wrote a node's beginning; null where it is copied from the source.
     """
-    shown = parse(views.select("doc_id", F.col("view").alias("text"))).select("doc_id", F.inline("nodes")).filter("node_id > 0").select("doc_id", "node_id", "kind", "name", "content", "start", "stop")
+    shown = written(parse(views.select("doc_id", F.col("view").alias("text"))).select("doc_id", F.inline("nodes")).filter("node_id > 0").select("doc_id", "node_id", "kind", "name", "content", "start", "stop"), "shown")  # read several times
     wrote = views.select("doc_id", F.inline(F.transform("pieces", lambda p: F.struct(p["start"].alias("at"), F.try_element_at("expansions", p["expansion"] + 1)["name"].alias("macro")))))
     told = last_before(source_spans(views, shown), wrote, at="start", marked="at", mark="__p")
     text = F.substr("text", F.col("source_start") + 1, F.col("source_stop") - F.col("source_start"))
-    return told.join(views.select("doc_id", "text"), "doc_id").select("doc_id", "node_id", "kind", "name", "content", "start", "stop", "source_start", "source_stop", text.alias("source_text"), F.col("__p.macro").alias("origin"))
+    return told.join(sorted_side(views.select("doc_id", "text")), "doc_id").select("doc_id", "node_id", "kind", "name", "content", "start", "stop", "source_start", "source_stop", text.alias("source_text"), F.col("__p.macro").alias("origin"))
 
 
 def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,13 +115,13 @@ def categories_at(places: DataFrame, parsed: DataFrame) -> DataFrame:
     # Changes of @ by name may be among the changes already; the same said twice is the same.
     changed = parsed.select("doc_id", F.length("text").alias("size"), F.inline(F.concat("changes", at_sign))).withColumnRenamed("start", "since").dropDuplicates(["doc_id", "since", "character"])
     scoped = containing(changed.filter("NOT everywhere"), groups, at="since", start="lo", stop="hi").groupBy("doc_id", "since", "character").agg(F.max_by("hi", "lo").alias("until"))
-    holds = changed.join(scoped, ["doc_id", "since", "character"], "left").select("doc_id", "character", "category", "since", F.coalesce("until", F.col("size") + 1).alias("until"))
+    holds = changed.join(sorted_side(scoped), ["doc_id", "since", "character"], "left").select("doc_id", "character", "category", "since", F.coalesce("until", F.col("size") + 1).alias("until"))
     asked = places.select("doc_id", "at").distinct()
     met = containing(asked, holds, at="at", start="since", stop="until").groupBy("doc_id", "at", "character").agg(F.max_by("category", "since").alias("category"))
     known = F.create_map(*(F.lit(x) for pair in USUAL.items() for x in pair))
     usual = F.coalesce(F.try_element_at(known, F.col("character")), F.when(F.col("character").rlike("^[A-Za-z]$"), 11).otherwise(12))
     tables = met.filter(F.col("category") != usual).groupBy("doc_id", "at").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("character", "category")))).alias("table"))
-    return places.join(tables, ["doc_id", "at"], "left").withColumn("table", F.coalesce("table", F.create_map().cast("map<string,int>")))
+    return places.join(sorted_side(tables), ["doc_id", "at"], "left").withColumn("table", F.coalesce("table", F.create_map().cast("map<string,int>")))
 
 
 def category_regions(views: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -129,8 +130,8 @@ def category_regions(views: DataFrame, parsed: DataFrame) -> DataFrame:
     What a use writes has the categories of its macro's last definition before it; lines are those of the view.
     """
     made = parsed.select("doc_id", F.inline("definitions")).select("doc_id", "name", F.col("start").alias("at"))
-    written = views.select("doc_id", "view", F.inline(F.transform(F.filter("pieces", lambda p: p["expansion"].isNotNull()), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), p["source"].alias("at"), F.try_element_at("expansions", p["expansion"] + 1)["name"].alias("name")))))
-    own = last_before(written.drop("view"), categories_at(made, parsed).withColumnRenamed("at", "defined"), keys=("doc_id", "name"), at="at", marked="defined", mark="m").filter("m IS NOT NULL")
+    wrote = views.select("doc_id", "view", F.inline(F.transform(F.filter("pieces", lambda p: p["expansion"].isNotNull()), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), p["source"].alias("at"), F.try_element_at("expansions", p["expansion"] + 1)["name"].alias("name")))))
+    own = last_before(wrote.drop("view"), categories_at(made, parsed).withColumnRenamed("at", "defined"), keys=("doc_id", "name"), at="at", marked="defined", mark="m").filter("m IS NOT NULL")
     here = categories_at(own.select("doc_id", "at", "start", "stop", F.col("m.table").alias("then")), parsed)
     entries = lambda c: F.array_sort(F.map_entries(c))
     foreign = _islands(here.filter(entries("table") != entries("then")).select("doc_id", "start", "stop"), ["doc_id"])
@@ -151,7 +152,7 @@ def compilable_edits(views: DataFrame, *, grouped: bool = True) -> DataFrame:
     """
     outer = uses(views).filter("outermost").select("doc_id", "use", "use_stop")
     shown = containing(pieces(views).select("doc_id", "start", "stop", "source"), outer, at="source", start="use", stop="use_stop").groupBy("doc_id", "use", "use_stop").agg(F.min("start").alias("from"), F.max("stop").alias("to"))
-    rows = outer.join(shown, ["doc_id", "use", "use_stop"], "left").join(views.select("doc_id", F.col("text").alias("__source"), "view"), "doc_id")
+    rows = outer.join(sorted_side(shown), ["doc_id", "use", "use_stop"], "left").join(sorted_side(views.select("doc_id", F.col("text").alias("__source"), "view")), "doc_id")
     said = F.coalesce(F.substr("view", F.col("from") + 1, F.col("to") - F.col("from")), F.lit(""))
     if grouped:
         used = F.substr("__source", F.col("use") + 1, F.col("use_stop") - F.col("use"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.flatten import BOXES
 from scriptorium.functions.signatures import ALIGNMENTS, MATH_ENVIRONMENTS, TABLES
 from scriptorium.operators.intervals import containing, last_before
+from scriptorium.tables import sorted_side
 
 PLACE = "array<struct<start:int,stop:int,line:int,col:int,end_line:int,end_col:int,message:string>>"
 #: Of each code, what encloses its place and is told, and how.
@@ -53,24 +54,42 @@ def marks(shorts: tuple[str, ...]) -> Column:
     return F.concat(F.flatten(F.transform("nodes", of)), defined)
 
 
+def _map(d: dict[str, tuple[str, str]], k: int) -> Column:
+    return F.create_map(*(F.lit(x) for code, pair in d.items() for x in (code, pair[k])))
+
+
+def _key(d: dict[str, tuple[str, str]], code: Column, message: Column) -> Column:
+    """What explains a report, by its code; null where nothing does."""
+    key = F.try_element_at(_map(d, 0), code)
+    return F.when(key == "define", F.concat(F.lit("define:"), F.regexp_extract(message, r"^\\?(\S+) is already", 1))).otherwise(key)
+
+
+def asked(found: Column) -> Column:
+    """The keys of what could explain a document's reports."""
+    return F.array_compact(F.transform(found, lambda r: _key(OPENED | EARLIER, r["code"], r["message"])))
+
+
+def asked_marks(keys: str, shorts: tuple[str, ...]) -> Column:
+    """marks() of the keys in a column, null where there are none: what no report asks for doesn't leave its row."""
+    return F.when(F.size(keys) > 0, F.filter(marks(shorts), lambda m: F.array_contains(keys, m["key"])))
+
+
 def with_related(kept: DataFrame) -> DataFrame:
     """(doc_id, all of a report, related) of kept (doc_id, found, marks), a table that is read several times: each report with the places that explain it."""
     rows = kept.select("doc_id", F.posexplode("found").alias("__nth", "r"))
-    table = lambda d: F.create_map(*(F.lit(x) for code, pair in d.items() for x in (code, pair[0])))
-    said = F.create_map(*(F.lit(x) for code, pair in (OPENED | EARLIER).items() for x in (code, pair[1])))
-    place = rows.select("doc_id", "__nth", F.col("r.start").alias("__at"), F.col("r.code").alias("__code"), F.regexp_extract("r.message", r"^\\?(\S+) is already", 1).alias("__name"))
-    inside = place.withColumn("key", F.try_element_at(table(OPENED), F.col("__code"))).filter("key IS NOT NULL")
-    after = place.withColumn("key", F.try_element_at(table(EARLIER), F.col("__code"))).filter("key IS NOT NULL").withColumn("key", F.when(F.col("key") == "define", F.concat(F.lit("define:"), "__name")).otherwise(F.col("key")))
+    said = _map(OPENED | EARLIER, 1)
+    place = lambda d: rows.select("doc_id", "__nth", F.col("r.start").alias("__at"), F.col("r.code").alias("__code"), _key(d, F.col("r.code"), F.col("r.message")).alias("key")).filter("key IS NOT NULL")
+    inside, after = place(OPENED), place(EARLIER)
     every = kept.select("doc_id", F.inline("marks"))
     held = containing(inside, every.filter("until IS NOT NULL"), keys=("doc_id", "key"), at="__at", start="first", stop="until")
     nearest = held.groupBy("doc_id", "__nth", "__code").agg(F.max(F.struct("first", "start", "size", "line", "col")).alias("m")).select("doc_id", "__nth", "__code", "m.start", "m.size", "m.line", "m.col")
     last = last_before(after, every.filter("until IS NULL"), keys=("doc_id", "key"), at="__at", marked="first", mark="m", inclusive=False).filter("m IS NOT NULL").select("doc_id", "__nth", "__code", "m.start", "m.size", "m.line", "m.col")
     one = F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "line", "col", F.col("line").alias("end_line"), (F.col("col") + F.col("size")).alias("end_col"), F.try_element_at(said, F.col("__code")).alias("message"))
     found = nearest.unionByName(last).groupBy("doc_id", "__nth").agg(F.sort_array(F.collect_list(one)).cast(PLACE).alias("related"))
-    return rows.join(found, ["doc_id", "__nth"], "left").select("doc_id", "r.*", F.coalesce("related", F.array().cast(PLACE)).alias("related"))
+    return rows.join(sorted_side(found), ["doc_id", "__nth"], "left").select("doc_id", "r.*", F.coalesce("related", F.array().cast(PLACE)).alias("related"))
 
 
 def lines_of_related(found: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, __lines): the lines (doc_id, line, text) that related places are on, of each document, by number."""
     wanted = found.select("doc_id", F.explode(F.transform("related", lambda r: r["line"])).alias("line")).distinct()
-    return wanted.join(lines.select("doc_id", "line", "text"), ["doc_id", "line"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias("__lines"))
+    return wanted.join(sorted_side(lines.select("doc_id", "line", "text")), ["doc_id", "line"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias("__lines"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators.folds import content_hashes
 from scriptorium.operators.intervals import containing
 from scriptorium.sources.documents import lines as lines_of
+from scriptorium.tables import sorted_side
 
 GRAPHICS = ("includegraphics", "input@graphics", "epsfig", "includesvg")
 
@@ -32,7 +33,7 @@ def child(nodes: DataFrame, *path: int) -> DataFrame:
     """(doc_id, node_id, ...): the node of each document at a path of places among siblings, from the root; negative places count from the end."""
     at = nodes.filter("parent_id IS NULL")
     for place in path:
-        own = nodes.join(at.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
+        own = nodes.join(sorted_side(at.select("doc_id", F.col("node_id").alias("parent_id"))), ["doc_id", "parent_id"], "left_semi")
         if place < 0:
             own = own.withColumn("__from_end", F.col("sib") - F.max("sib").over(Window.partitionBy("doc_id", "parent_id")) - 1)
             at = own.filter(F.col("__from_end") == place).drop("__from_end")
@@ -117,7 +118,7 @@ def document_bounds(nodes: DataFrame) -> DataFrame:
 
 def preamble(nodes: DataFrame) -> DataFrame:
     """The top nodes before the document environment; none where there is none."""
-    return nodes.filter("parent_id = 0").join(document_bounds(nodes), "doc_id").filter("sib < document_sib")
+    return nodes.filter("parent_id = 0").join(sorted_side(document_bounds(nodes)), "doc_id").filter("sib < document_sib")
 
 
 def inputs(nodes: DataFrame, document: bool | None = None) -> DataFrame:
@@ -125,7 +126,7 @@ def inputs(nodes: DataFrame, document: bool | None = None) -> DataFrame:
     found = nodes.filter(is_command("input", "include"))
     if document is False:
         return found
-    joined = found.join(document_bounds(nodes), "doc_id", "left")
+    joined = found.join(sorted_side(document_bounds(nodes)), "doc_id", "left")
     within = (F.col("node_id") > F.col("document")) & (F.col("node_id") <= F.col("document_last"))
     return joined.filter(within if document else (F.col("document").isNull() | within))
 
@@ -159,11 +160,11 @@ def lines_to_next(docs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     stop = nodes.filter(is_env("document")).groupBy("doc_id").agg((F.min("end_line") - 1).alias("doc_end"))
     order = Window.partitionBy("doc_id").orderBy("node_id")
     heads = nodes.filter(is_command(name) & ~F.col("bare")).select("doc_id", "node_id", "line")
-    heads = heads.join(ends, "doc_id").join(stop, "doc_id", "left").select("doc_id", F.row_number().over(order).alias("nth"), F.col("line").alias("first"), F.coalesce(F.lead("line").over(order) - 1, F.col("doc_end"), F.col("n")).alias("last"))
+    heads = heads.join(sorted_side(ends), "doc_id").join(sorted_side(stop), "doc_id", "left").select("doc_id", F.row_number().over(order).alias("nth"), F.col("line").alias("first"), F.coalesce(F.lead("line").over(order) - 1, F.col("doc_end"), F.col("n")).alias("last"))
     met = containing(own, heads.withColumn("__stop", F.col("last") + 1), at="line", start="first", stop="__stop")
     listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col("line").alias("n"), F.concat("text", "eol").alias("t")))), lambda x: x["t"])
     got = met.groupBy("doc_id", "nth").agg(listed.alias("lines"))
-    return heads.join(got, ["doc_id", "nth"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    return heads.join(sorted_side(got), ["doc_id", "nth"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
 
 
 def flat(nodes: DataFrame) -> DataFrame:
@@ -183,12 +184,12 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, state): added, removed, changed or same between two runs of fingerprints()."""
     b, a = before.withColumnRenamed("fingerprint", "b"), after.withColumnRenamed("fingerprint", "a")
     state = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same")
-    return b.join(a, "doc_id", "full").select("doc_id", state.alias("state"))
+    return b.join(sorted_side(a), "doc_id", "full").select("doc_id", state.alias("state"))
 
 
 def text_between(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, first, last, text): the source from the end of one node to the start of another; spans has doc_id, first, last, stop and start."""
-    return spans.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id").select("doc_id", "first", "last", raw_text("__text", "stop", "start").alias("text"))
+    return spans.join(sorted_side(docs.select("doc_id", F.col("text").alias("__text"))), "doc_id").select("doc_id", "first", "last", raw_text("__text", "stop", "start").alias("text"))
 
 
 def missing_arguments(nodes: DataFrame) -> DataFrame:

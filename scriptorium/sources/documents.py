@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.tables import sorted_side
+
 
 #: The extensions that an image may be named without.
 IMAGES = (".pdf", ".png", ".jpg", ".jpeg", ".eps", ".mps")
@@ -50,9 +52,9 @@ def master_names(docs: DataFrame) -> DataFrame:
 def masters(docs: DataFrame) -> DataFrame:
     """(doc_id, master_id, path): the master document of each that names one: it must exist among docs (doc_id, path, text) and be another."""
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    named = master_names(docs).join(docs.select("doc_id", folder.alias("folder")), "doc_id").select("doc_id", "folder", F.col("root").alias("target"), F.lit(".tex").alias("extension"))
+    named = master_names(docs).join(sorted_side(docs.select("doc_id", folder.alias("folder"))), "doc_id").select("doc_id", "folder", F.col("root").alias("target"), F.lit(".tex").alias("extension"))
     found = resolved(named, docs.select("path")).filter("path IS NOT NULL").select("doc_id", "path")
-    return found.join(docs.select(F.col("doc_id").alias("master_id"), "path"), "path").filter("doc_id <> master_id").select("doc_id", "master_id", "path")
+    return found.join(sorted_side(docs.select(F.col("doc_id").alias("master_id"), "path")), "path").filter("doc_id <> master_id").select("doc_id", "master_id", "path")
 
 
 def normalized(path: Column) -> Column:
@@ -91,12 +93,12 @@ def resolved(inclusions: DataFrame, files: DataFrame, trees: DataFrame | None =
     options = F.array_distinct(F.array(with_ext, F.when(F.col("extension").isin(".tex", ""), F.col("target")).otherwise(with_ext), *images))
     base = F.when(F.startswith("target", F.lit("/")) | (F.coalesce("folder", F.lit("")) == ""), F.lit("")).otherwise(F.concat("folder", F.lit("/")))
     tried = numbered.select("*", F.posexplode(options).alias("__rank", "__name")).withColumn("__path", normalized(F.concat(base, F.col("__name"))))
-    found = tried.join(files.select(F.col("path").alias("__found")).distinct(), F.col("__path") == F.col("__found"), "left")
+    found = tried.join(sorted_side(files.select(F.col("path").alias("__found")).distinct()), F.col("__path") == F.col("__found"), "left")
     near = F.when(F.col("__found").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("__rank").alias("nth"), F.lit(0).alias("tree"), F.col("__found").alias("path")))
     best = F.min(near)
     if trees is not None:
         far = tree_names(trees).select(F.col("name").alias("__asked"), F.col("rank").alias("__tree"), F.col("path").alias("__far"))
         asked = F.when(~F.col("target").rlike(r"^(/|\.\.?/|[A-Za-z][A-Za-z0-9+.-]*:/)"), normalized(F.col("__name")))
-        found = found.withColumn("__asks", asked).join(far, F.col("__asks") == F.col("__asked"), "left")
+        found = found.withColumn("__asks", asked).join(sorted_side(far), F.col("__asks") == F.col("__asked"), "left")
         best = F.least(best, F.min(F.when(F.col("__far").isNotNull(), F.struct(F.lit(1).alias("far"), F.col("__rank").alias("nth"), F.col("__tree").alias("tree"), F.col("__far").alias("path")))))
     return found.groupBy("__row", *inclusions.columns).agg(best.alias("__best")).withColumn("path", F.col("__best.path")).drop("__row", "__best")

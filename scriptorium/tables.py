@@ -18,6 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL).rstrip("/")
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join by shuffle and sort, never broadcast.
+
+    What is made of documents is many times the files that Spark estimates it by, so an estimate would send whole tables through the driver.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df through a table in the shared folder, removed when the application ends."""
     spark = df.sparkSession

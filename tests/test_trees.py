@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import diagnostics, folds, intervals, nodes, outline, tree
+from scriptorium.operators import diagnostics, folds, intervals, nodes, outline, provenance, related, tree
 from scriptorium.sources import documents
 from tests.test_engine import docs_of
 
@@ -83,3 +83,41 @@ def test_children_by_place(spark):
     n = nodes.nodes(nodes.parse(docs_of(spark, "a {b {c} d} e", "x", None))).cache()
     said = lambda *path: {r["doc_id"]: r["content"] or r["kind"] for r in tree.child(n, *path).collect()}
     assert said(0) == {0: "a", 1: "x"} and said(-1) == {0: "e", 1: "x"} and said(1, -1) == {0: "d"} and said(1, 1, 0) == {0: "c"} and said(1, 7) == {} and said() == {0: "root", 1: "root", 2: "root"}
+
+
+def _broadcasts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_no_table_of_documents_is_broadcast(spark):
+    """Reports, views, outlines and intervals of documents are many times the files that Spark estimates them by, so no estimate sends them through the driver."""
+    docs = spark.createDataFrame([(k, "\\newcommand\\m[1]{<#1>}\\section{a}\\makeatletter\\m{b} \\iffalse c\\fi a & b", f"d/{k}.tex") for k in range(4)], "doc_id long, text string, path string")
+    p, v = nodes.parse(docs), nodes.views(docs)
+    spans = docs.select("doc_id", F.lit(0).alias("start"), F.lit(3).alias("stop"))
+    assert _broadcasts(tree.enclosures(nodes.nodes(p), nodes.nodes(p))) == 0
+    assert _broadcasts(provenance.source_spans(v, spans)) == 0
+    assert _broadcasts(provenance.branch_regions(v, p)) == 0
+    assert _broadcasts(provenance.category_regions(v, p)) == 0
+    assert _broadcasts(provenance.node_sources(v)) == 0
+    assert _broadcasts(outline.blocks(p)) == 0
+    # The fixed table of known names is broadcast, and nothing else.
+    assert _broadcasts(diagnostics.check(docs.drop("path"))) == 1
+    assert _broadcasts(diagnostics.check(docs)) == 1
+
+
+def test_blocks_of_intervals(spark):
+    """Blocks are whole, few and disjoint for every interval, long or empty; only levels that fit in it are looked at."""
+    cases = [(0, 0), (3, 2), (0, 1), (5, 6), (0, 8), (3, 17), (1, 2**31), (7, 2**39 + 5)]
+    rows = spark.createDataFrame(cases, "a long, b long").select("a", "b", intervals.blocks(F.col("a"), F.col("b")).alias("x"))
+    for r in rows.collect():
+        spans = sorted((x["block"] << x["level"], (x["block"] + 1) << x["level"]) for x in r["x"])
+        assert sum(hi - lo for lo, hi in spans) == max(0, r["b"] - r["a"])
+        assert all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+        assert not spans or (spans[0][0], spans[-1][1]) == (r["a"], r["b"])
+
+
+def test_only_marks_that_reports_ask_for_leave_their_row(spark):
+    docs = spark.createDataFrame([(1, "\\begin{center} a & b \\end{center} $x$ \\label{l}"), (2, "\\section{fine} $x$")], "doc_id long, text string")
+    found = diagnostics.reports(nodes.parse(docs)).withColumn("asked", related.asked(F.col("found")))
+    got = {r["doc_id"]: {m["key"] for m in r["marks"] or ()} for r in found.select("doc_id", related.asked_marks("asked", diagnostics.SHORT_ARGUMENTS).alias("marks")).collect()}
+    assert got[1] <= {"environment"} and got[2] == set()
