@@ -14,6 +14,7 @@ from scriptorium.plans import changes, rules, structure, views
 from scriptorium.plans.documents import PART, _big, _say, _t, order_documents, part_documents
 from scriptorium.sources import documents
 from scriptorium.streaming import buffers
+from scriptorium.tables import sorted_side
 
 def tex_sections(spark, sf_dir):
     """Every section title of every document, with its position."""
@@ -24,7 +25,7 @@ def tex_sections(spark, sf_dir):
 def tex_arguments(spark, sf_dir):
     docs = part_documents(spark, sf_dir, _say("\\includegraphics[width=@]{p/@}", "p_size", "p_partkey"))
     p = nodes.parse(docs)
-    found = tree.graphics(p).filter("nth > 0").join(docs, "doc_id")
+    found = tree.graphics(p).filter("nth > 0").join(sorted_side(docs), "doc_id")
     return found.select(_big("doc_id"), _big("nth"), "arg_kind", F.substr("text", F.col("inner_start") + 1, F.col("inner_stop") - F.col("inner_start")).alias("argument"))
 
 
@@ -52,17 +53,17 @@ def tex_to_next(spark, sf_dir):
 
 def tex_lines_to_next(spark, sf_dir):
     docs = part_documents(spark, sf_dir, F.concat(_say("\\section{@}", "p_name"), F.repeat(F.lit("\nmore"), (F.col("p_size") % 3).cast("int"))))
-    got = tree.lines_to_next(docs, nodes.nodes(nodes.parse(docs)), "section")
+    got = tree.lines_to_next(docs, nodes.nodes(nodes.parse_once(docs)), "section")
     return got.select(_big("doc_id"), _big("nth"), (F.size("lines")).cast("long").alias("n_lines"), F.regexp_extract(F.col("lines")[0], r"\{(.*)\}", 1).alias("title"))
 
 
 def tex_preamble(spark, sf_dir):
     head = "\\documentclass{article}\n\\usepackage{a}\n\\begin{document}\n"
     docs = part_documents(spark, sf_dir, _say("\\input{p/@}", "p_partkey"), head).withColumn("text", F.concat("text", F.lit("\n\\end{document}\n\\input{after}")))
-    n = nodes.nodes(nodes.parse(docs))
+    n = nodes.nodes(nodes.parse_once(docs))
     before = tree.preamble(n).groupBy("doc_id").agg(F.count_if(F.col("kind") == "command").alias("commands"))
     within = tree.inputs(n, True).groupBy("doc_id").agg(F.count("*").alias("inputs"))
-    return before.join(within, "doc_id").select(_big("doc_id"), _big("commands"), _big("inputs"))
+    return before.join(sorted_side(within), "doc_id").select(_big("doc_id"), _big("commands"), _big("inputs"))
 
 
 def tex_expansion(spark, sf_dir):
@@ -134,7 +135,7 @@ def tex_missing_files(spark, sf_dir):
 
 def tex_typos(spark, sf_dir):
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 3 == 0, "\\secton{x} \\hline").when(F.col("p_size") % 3 == 1, "\\setcion{x}").otherwise("\\sectiom{x} \\zzzzzzz").alias("text"))
-    return diagnostics.unknown_names(nodes.parse(docs)).select(_big("doc_id", "p_partkey"), "message", _big("col"))
+    return diagnostics.unknown_names(nodes.parse_once(docs)).select(_big("doc_id", "p_partkey"), "message", _big("col"))
 
 
 def tex_check_expanded(spark, sf_dir):
@@ -169,9 +170,9 @@ def tex_search(spark, sf_dir):
 def tex_outline(spark, sf_dir):
     """Words of each section with those below it."""
     docs = part_documents(spark, sf_dir, F.concat(F.when(F.col("p_partkey") % 5 == 0, "\\section{s} ").otherwise("\\subsection{t} "), F.repeat(F.lit("word "), (F.col("p_size") % 4 + 1).cast("int"))))
-    p = nodes.parse(docs)
+    p = nodes.parse_once(docs)
     blocks = outline.section_blocks(p)
-    got = outline.rolled_up(blocks, outline.block_stats(p)).filter("key = 'words'").join(blocks.select("doc_id", "block_id", "label", "line"), ["doc_id", "block_id"])
+    got = outline.rolled_up(blocks, outline.block_stats(p)).filter("key = 'words'").join(sorted_side(blocks.select("doc_id", "block_id", "label", "line")), ["doc_id", "block_id"])
     return got.select(_big("doc_id"), "label", _big("line"), _big("n", "words"))
 
 
@@ -251,10 +252,10 @@ def tex_joints(spark, sf_dir):
 def tex_catcode_changes(spark, sf_dir):
     """Category codes that documents assign, and how the table then differs."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\catcode`\\%="), F.when(F.col("p_size") % 2 == 0, "12").otherwise("14"), F.lit(" a % b\n\\catcode"), (F.col("p_size") % 20 + 100).cast("string"), F.lit("=11 {\\catcode`\\@=11 \\x@y}\\x@y")).alias("text"))
-    p = nodes.parse(docs)
+    p = nodes.parse_once(docs)
     changed = nodes.differences(nodes.with_categories(nodes.changes(p))).groupBy("doc_id").agg(F.count("*").alias("changed"))
     said = nodes.nodes(p).groupBy("doc_id").agg(F.count_if(F.col("kind") == "comment").alias("comments"), F.count_if((F.col("kind") == "command") & (F.col("name") == "x@y")).alias("joined"))
-    return nodes.changes(p).groupBy("doc_id").agg(F.count("*").alias("n")).join(changed, "doc_id", "left").join(said, "doc_id").select(_big("doc_id", "p_partkey"), _big("n"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), _big("comments"), _big("joined"))
+    return nodes.changes(p).groupBy("doc_id").agg(F.count("*").alias("n")).join(sorted_side(changed), "doc_id", "left").join(sorted_side(said), "doc_id").select(_big("doc_id", "p_partkey"), _big("n"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), _big("comments"), _big("joined"))
 
 
 def tex_carets(spark, sf_dir):
@@ -306,7 +307,7 @@ def tex_missing_arguments(spark, sf_dir):
 def tex_enclosures(spark, sf_dir):
     """The groups around a command, the nearest first."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.repeat(F.lit("{\\begin{quote}"), (F.col("p_size") % 4).cast("int")), F.lit("$\\alpha$"), F.repeat(F.lit("\\end{quote}}"), (F.col("p_size") % 4).cast("int"))).alias("text"))
-    n = nodes.nodes(nodes.parse(docs))
+    n = nodes.nodes(nodes.parse_once(docs))
     got = tree.enclosures(n, n.filter(tree.is_command("alpha")))
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("name") == "quote").alias("quotes"), F.max(F.when(F.col("level") == 1, F.col("kind"))).alias("nearest")).select(_big("doc_id", "p_partkey"), _big("n"), _big("quotes"), "nearest")
 
@@ -314,8 +315,8 @@ def tex_enclosures(spark, sf_dir):
 def tex_same_content(spark, sf_dir):
     """Groups with equal content, wherever they stand."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("{a \\emph{@}}x{a  \\emph{@}}{a @}", "p_size", "p_size", "p_size").alias("text"))
-    p = nodes.parse(docs)
-    top = tree.same_content(p).join(nodes.nodes(p).filter("depth = 1 AND kind = 'brace'").select("doc_id", "node_id"), ["doc_id", "node_id"])
+    p = nodes.parse_once(docs)
+    top = tree.same_content(p).join(sorted_side(nodes.nodes(p).filter("depth = 1 AND kind = 'brace'").select("doc_id", "node_id")), ["doc_id", "node_id"])
     return top.groupBy("doc_id").agg(F.count("*").alias("groups"), F.count_distinct("content_hash").alias("kinds")).select(_big("doc_id", "p_partkey"), _big("groups"), _big("kinds"))
 
 
@@ -334,9 +335,9 @@ def tex_hierarchy(spark, sf_dir):
 def tex_outline_blocks(spark, sf_dir):
     """Blocks of all kinds and what holds them."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\section{@}\n\\begin{center}\n\\[x\\]\n\\end{center}\n\\iffalse no\\fi\\subsection{b}\n\\emph{a\nb}\\begin{verbatim}\nx\n\\end{verbatim}", "p_size").alias("text"))
-    got = outline.blocks(nodes.parse(docs))
+    got = outline.blocks(nodes.parse_once(docs))
     outer = got.select("doc_id", F.col("block_id").alias("parent_id"), F.col("what").alias("within"))
-    return got.join(outer, ["doc_id", "parent_id"], "left").select(_big("doc_id", "p_partkey"), "what", "label", _big("line"), F.coalesce("within", F.lit("none")).alias("within"))
+    return got.join(sorted_side(outer), ["doc_id", "parent_id"], "left").select(_big("doc_id", "p_partkey"), "what", "label", _big("line"), F.coalesce("within", F.lit("none")).alias("within"))
 
 
 def tex_outline_groups(spark, sf_dir):

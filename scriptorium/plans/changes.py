@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from scriptorium.functions import messages
 from scriptorium.operators import diagnostics, edits, includes, nodes, tree
 from scriptorium.plans.documents import _big, _say, _t
-from scriptorium.tables import shared_dir
+from scriptorium.tables import shared_dir, sorted_side, written
 
 
 def tex_edit_parts(spark, sf_dir):
     """Edits before, after, inside and at both delimiters of groups, made together."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("a \\emph{@} \\begin{quote}@\\end{quote} $x$ b", "p_size", "p_name").alias("text"))
-    n = nodes.nodes(nodes.parse(docs))
+    n = nodes.nodes(nodes.parse_once(docs))
     quote, brace, math = n.filter(tree.is_env("quote")), n.filter("kind = 'brace'"), n.filter(tree.is_env("$"))
     made = [edits.before(brace, "<"), edits.inside(brace, F.concat(F.lit("n"), F.col("line").cast("string"))), edits.after(brace, ">"), edits.opening(quote, "\\begin{center}"), edits.closing(quote, "\\end{center}"), edits.of(math, "y")]
     every = made[0]
@@ -27,9 +27,10 @@ def tex_edit_parts(spark, sf_dir):
 def _rounds(spark, sf_dir):
     """Documents, a first round of edits, and a second one, of what the first made."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\emph{@} and {@} end", "p_size", "p_name").alias("text"))
-    first = edits.of(nodes.nodes(nodes.parse(docs)).filter(tree.is_command("emph")), "\\textbf").unionByName(edits.after(nodes.nodes(nodes.parse(docs)).filter("kind = 'brace'"), "\\label{l}"))
-    between = edits.rewrite(docs, first)
-    n = nodes.nodes(nodes.parse(between))
+    own = nodes.nodes(nodes.parse_once(docs))
+    first = edits.of(own.filter(tree.is_command("emph")), "\\textbf").unionByName(edits.after(own.filter("kind = 'brace'"), "\\label{l}"))
+    between = written(edits.rewrite(docs, first), "between")
+    n = nodes.nodes(nodes.parse_once(between))
     second = edits.of(n.filter(tree.is_command("label")), "").unionByName(edits.before(n.filter(tree.is_command("textbf")), "[")).unionByName(edits.inside(n.filter("kind = 'brace' AND sib = 1"), "new")).unionByName(edits.after(n.filter("kind = 'text' AND sib > 2 AND content LIKE '%end'"), "]"))
     return docs, first, between, second
 
@@ -39,14 +40,14 @@ def tex_edits_composed(spark, sf_dir):
     docs, first, between, second = _rounds(spark, sf_dir)
     at_once = edits.rewrite(docs, edits.composed(docs, first, second))
     in_turn = edits.rewrite(between, second).withColumnRenamed("text", "in_turn")
-    return at_once.join(in_turn, "doc_id").select(_big("doc_id", "p_partkey"), "text", (F.col("text") == F.col("in_turn")).alias("same"))
+    return at_once.join(sorted_side(in_turn), "doc_id").select(_big("doc_id", "p_partkey"), "text", (F.col("text") == F.col("in_turn")).alias("same"))
 
 
 def tex_places_carried(spark, sf_dir):
     """Where places stand after edits."""
     docs, first, between, _ = _rounds(spark, sf_dir)
     places = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(2), F.instr("text", "and") - 1, F.length("text"))).alias("at"))
-    moved = edits.carried(places, first).join(between, "doc_id")
+    moved = edits.carried(places, first).join(sorted_side(between), "doc_id")
     return moved.select(_big("doc_id", "p_partkey"), _big("at"), F.substr("text", F.col("moved") + 1, F.lit(3)).alias("there"))
 
 

@@ -8,12 +8,13 @@ from scriptorium.operators import diagnostics, folds, nodes, outline, tree
 from scriptorium.plans.documents import PART, _big, _say, _t, part_documents
 from scriptorium.sources import documents
 from scriptorium.streaming import buffers
+from scriptorium.tables import sorted_side
 
 
 def tex_overlapping(spark, sf_dir):
     """Each chapter with all that follows it in its group: segments overlap."""
     docs = part_documents(spark, sf_dir, F.concat(F.repeat(F.lit("x % c\n"), (F.col("p_size") % 3).cast("int")), _say("\\chapter{@}", "p_partkey")))
-    got = tree.commands_to_next(nodes.nodes(nodes.parse(docs)), "chapter", close_at_same_level=False)
+    got = tree.commands_to_next(nodes.nodes(nodes.parse_once(docs)), "chapter", close_at_same_level=False)
     said = got.groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "command").alias("chapters"), F.count_if(F.col("kind") == "comment").alias("comments"))
     return said.select(_big("doc_id"), _big("n"), _big("chapters"), _big("comments"))
 
@@ -34,10 +35,10 @@ def tex_group_visits(spark, sf_dir):
 def tex_fold(spark, sf_dir):
     """A value from the leaves up: how deep each group is, and how much ink it holds."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.repeat(F.lit("{"), (F.col("p_size") % 5).cast("int")), F.col("p_brand"), F.repeat(F.lit("}"), (F.col("p_size") % 5).cast("int")), F.lit(" {a}b")).alias("text"))
-    p = nodes.parse(docs)
+    p = nodes.parse_once(docs)
     deep = folds.folded(p, type="int", empty=F.lit(0), leaf=lambda n: F.lit(0), join=lambda value, rest: F.greatest(value, rest), group=lambda n, inner: inner + 1).filter("node_id = 0").withColumnRenamed("value", "deep")
     ink = folds.folded(p, type="int", empty=F.lit(0), leaf=lambda n: F.length(n["content"]), join=lambda value, rest: value + rest, group=lambda n, inner: inner).filter("node_id = 0").withColumnRenamed("value", "ink")
-    return deep.join(ink, "doc_id").select(_big("doc_id", "p_partkey"), _big("deep"), _big("ink"))
+    return deep.join(sorted_side(ink), "doc_id").select(_big("doc_id", "p_partkey"), _big("deep"), _big("ink"))
 
 
 def tex_rewritten(spark, sf_dir):
@@ -49,10 +50,10 @@ def tex_rewritten(spark, sf_dir):
 def tex_rewritten_alike(spark, sf_dir):
     """Rewritten documents have the same nodes: content digests of both readings agree, group by group."""
     docs = part_documents(spark, sf_dir, _say("\\section[@]{@  of  @}\n\n\\begin{itemize}  \\item $ a_{@} $ % @\n \\end{itemize}", "p_size", "p_name", "p_type", "p_size", "p_brand"))
-    p = nodes.parse(docs)
+    p = nodes.parse_once(docs)
     again = nodes.parse(tree.rewritten(p).select("doc_id", F.col("rewritten").alias("text")))
     before, after = folds.content_hashes(p), folds.content_hashes(again).withColumnRenamed("content_hash", "again")
-    same = before.join(after, ["doc_id", "node_id"], "full").groupBy("doc_id").agg(F.bool_and(F.col("content_hash").eqNullSafe(F.col("again"))).alias("same"))
+    same = before.join(sorted_side(after), ["doc_id", "node_id"], "full").groupBy("doc_id").agg(F.bool_and(F.col("content_hash").eqNullSafe(F.col("again"))).alias("same"))
     return same.select(_big("doc_id"), "same")
 
 
@@ -97,7 +98,7 @@ def tex_json_checked(spark, sf_dir):
 def tex_block_statistics(spark, sf_dir):
     """What each section holds, with notable commands and discarded branches, the most common first."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\label{a}\\section{s} one two"), F.repeat(F.lit("\\cite{c}"), (F.col("p_size") % 3).cast("int")), F.lit("\\ref{r}\\ref{r} \\iffalse no\\fi $x$")).alias("text"))
-    got = outline.top_stats(outline.block_stats(nodes.parse(docs)), 2)
+    got = outline.top_stats(outline.block_stats(nodes.parse_once(docs)), 2)
     return got.select(_big("doc_id", "p_partkey"), F.least("block_id", F.lit(2)).cast("long").alias("block"), "key", _big("n"), _big("nth"))
 
 
@@ -125,7 +126,7 @@ def tex_related_shown(spark, sf_dir):
     text = diagnostics.render_text(found, docs).select("doc_id", "rendered")
     told = diagnostics.to_json(found, docs).select("doc_id", F.get_json_object("json", "$.related").alias("json"))
     editor = buffers.projected(found, docs).select("doc_id", F.to_json("related").alias("editor"))
-    return text.join(told, "doc_id").join(editor, "doc_id").select(_big("doc_id", "p_partkey"), "rendered", "json", "editor")
+    return text.join(sorted_side(told), "doc_id").join(sorted_side(editor), "doc_id").select(_big("doc_id", "p_partkey"), "rendered", "json", "editor")
 
 
 NAMES = (

@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import folds, nodes, outline, provenance
 from scriptorium.plans.documents import PART, _big, _say, _t, part_documents
+from scriptorium.tables import sorted_side, written
 
 
 def tex_source_spans(spark, sf_dir):
     """What produced a stretch of a view through uses three deep: arguments alone, the whole use where it would be cut."""
     head = "\\newcommand\\a[2]{\\b{#2}-#1}\\newcommand\\b[1]{\\c{#1}}\\newcommand\\c[1]{(#1)}"
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say(head + "x\\a{@}{@}y", "p_size", "p_partkey").alias("text"))
-    v = nodes.views(docs).select("doc_id", "text", "view", "pieces", "expansions")
+    v = nodes.views_once(docs).select("doc_id", "text", "view", "pieces", "expansions")
     one, two, base = F.length(F.col("p_size").cast("string")), F.length(F.col("p_partkey").cast("string")), F.lit(len(head))
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size", "p_partkey")
     # The view ends x(K)-Sy: K alone, K with what is about it, K to S, and all from x.
     shown = F.array(F.struct(F.lit("second").alias("what"), (base + 2).alias("start"), (base + 2 + two).alias("stop")), F.struct(F.lit("braced").alias("what"), (base + 1).alias("start"), (base + 3 + two).alias("stop")), F.struct(F.lit("both").alias("what"), (base + 2).alias("start"), (base + 4 + two + one).alias("stop")), F.struct(F.lit("from before").alias("what"), base.alias("start"), (base + 2 + two).alias("stop")))
-    got = provenance.source_spans(v, part.select("doc_id", F.inline(shown))).join(docs, "doc_id")
+    got = provenance.source_spans(v, part.select("doc_id", F.inline(shown))).join(sorted_side(docs), "doc_id")
     return got.select(_big("doc_id", "p_partkey"), "what", F.substr("text", F.col("source_start") + 1, F.col("source_stop") - F.col("source_start")).alias("source"))
 
 
@@ -25,30 +26,30 @@ def tex_node_sources(spark, sf_dir):
     """What produced each node of a view, and the macro that wrote it."""
     head = "\\newcommand\\m[1]{\\emph{#1!}}"
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say(head + "a \\m{@} b \\textbf{@}", "p_size", "p_partkey").alias("text"))
-    got = provenance.node_sources(nodes.views(docs)).filter(F.col("start") >= len(head))
+    got = provenance.node_sources(nodes.views_once(docs)).filter(F.col("start") >= len(head))
     return got.select(_big("doc_id", "p_partkey"), "kind", F.concat("name", "content").alias("said"), "source_text", "origin")
 
 
 def tex_branch_regions(spark, sf_dir):
     """What of a view comes from which branch, with what macros wrote there."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\newcommand\\m{<@>}\\iftrue a\\m b\\else\\m c\\fi \\iffalse d\\fi", "p_size").alias("text"))
-    v, p = nodes.views(docs), nodes.parse(docs)
-    got = provenance.branch_regions(v, p).join(v.select("doc_id", "view"), "doc_id")
+    v, p = nodes.views_once(docs), nodes.parse_once(docs)
+    got = provenance.branch_regions(v, p).join(sorted_side(v.select("doc_id", "view")), "doc_id")
     return got.select(_big("doc_id", "p_partkey"), F.col("taken"), F.trim(F.substr("view", F.col("start") + 1, F.col("stop") - F.col("start"))).alias("shown"))
 
 
 def tex_category_regions(spark, sf_dir):
     """What is shown under other categories than hold there, line by line."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\makeatletter\\newcommand\\m{a@"), F.col("p_size").cast("string"), F.lit("\nb}\\makeatother\\newcommand\\n{c}\nx\\m y\\n")).alias("text"))
-    v, p = nodes.views(docs), nodes.parse(docs)
-    got = provenance.category_regions(v, p).join(v.select("doc_id", "view"), "doc_id")
+    v, p = nodes.views_once(docs), nodes.parse_once(docs)
+    got = provenance.category_regions(v, p).join(sorted_side(v.select("doc_id", "view")), "doc_id")
     return got.select(_big("doc_id", "p_partkey"), _big("line"), F.substr("view", F.col("start") + 1, F.col("stop") - F.col("start")).alias("shown"))
 
 
 def tex_two_faces(spark, sf_dir):
     """A page whose text is the source or what its macros make of it."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("\\newcommand\\m[1]{<#1>}\\section{@}\n\\m{@} & \\m{\\m{x}}", "p_name", "p_size").alias("text"))
-    v, p = nodes.views(docs), nodes.parse(docs)
+    v, p = nodes.views_once(docs), nodes.parse_once(docs)
     got = outline.faces_page(v, outline.section_blocks(p))
     return got.select(_big("doc_id", "p_partkey"), F.substring_index("page", "</style>", -1).alias("page"))
 
@@ -57,17 +58,17 @@ def tex_compilable(spark, sf_dir):
     """Documents with their macros written out, environments as groups, the rest as it was."""
     head = "\\newcommand\\a[1]{<\\b{#1}>}\\newcommand\\b[1]{#1#1}\\newenvironment{bx}[1]{[#1:}{]}\r\n"
     docs = part_documents(spark, sf_dir, _say("\\a{@} of  @ % \\a{x}", "p_size", "p_name"), head).withColumn("text", F.concat("text", F.lit("\n\\begin{bx}{k}in \\a{z}\\end{bx}.\t")))
-    got = provenance.compilable(nodes.views(docs)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    got = provenance.compilable(nodes.views_once(docs)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return got.filter("n > 0").select(_big("doc_id"), _big("n"), "line")
 
 
 def tex_compilable_alike(spark, sf_dir):
     """What is written back reads as the view does; a document without macros comes back as it was."""
     docs = part_documents(spark, sf_dir, F.when(F.col("p_partkey") % 100 < PART, _say("\\sect{@} \\textbf{@} $\\vect{@}$", "p_name", "p_brand", "p_size")).otherwise(_say("{@} %  @", "p_name", "p_brand")), "\\newcommand\\sect[1]{\\section{#1}\\label{#1}}\\newcommand\\vect[1]{\\vec{x_{#1}}}\n")
-    v = nodes.views(docs)
-    back = provenance.compilable(v)
+    v = nodes.views_once(docs)
+    back = written(provenance.compilable(v), "back")
     hashes = lambda d: folds.content_hashes(nodes.parse(d)).filter("node_id = 0").select("doc_id", "content_hash")
-    both = hashes(back).join(hashes(v.select("doc_id", F.col("view").alias("text"))).withColumnRenamed("content_hash", "of_view"), "doc_id").join(back, "doc_id").join(docs.withColumnRenamed("text", "source"), "doc_id")
+    both = hashes(back).join(sorted_side(hashes(v.select("doc_id", F.col("view").alias("text"))).withColumnRenamed("content_hash", "of_view")), "doc_id").join(sorted_side(back), "doc_id").join(sorted_side(docs.withColumnRenamed("text", "source")), "doc_id")
     return both.select(_big("doc_id"), (F.col("content_hash") == F.col("of_view")).alias("alike"), (F.col("text") == F.col("source")).alias("unchanged"))
 
 

@@ -13,6 +13,7 @@ from scriptorium.operators import diagnostics
 from scriptorium.operators.related import PLACE, lines_of_related
 from scriptorium.session import ship
 from scriptorium.sources.documents import lines as lines_of
+from scriptorium.tables import sorted_side
 
 DEBOUNCE = "300 milliseconds"
 
@@ -82,12 +83,12 @@ def projected(found: DataFrame, docs: DataFrame, encoding: str = "utf-16") -> Da
     """
     rank = F.when(F.col("severity") == "error", 1).when(F.col("severity") == "warning", 2).otherwise(3)
     lines = lines_of(docs)
-    joined = diagnostics.with_ends(found, docs).join(lines.select("doc_id", "line", F.col("text").alias("__line")), ["doc_id", "line"], "left").join(lines.select("doc_id", F.col("line").alias("end_line"), F.col("text").alias("__end")), ["doc_id", "end_line"], "left")
+    joined = diagnostics.with_ends(found, docs).join(sorted_side(lines.select("doc_id", "line", F.col("text").alias("__line"))), ["doc_id", "line"], "left").join(sorted_side(lines.select("doc_id", F.col("line").alias("end_line"), F.col("text").alias("__end"))), ["doc_id", "end_line"], "left")
     fix = F.col("fix") if "fix" in found.columns else F.lit(None).cast("string")
     at = lambda text, col: units(F.coalesce(text, F.lit("")), col, encoding)
     related = F.array().cast("array<struct<line:int,character:int,message:string>>")
     if "related" in found.columns:
-        joined = joined.join(lines_of_related(found, lines), "doc_id", "left")
+        joined = joined.join(sorted_side(lines_of_related(found, lines)), "doc_id", "left")
         related = F.transform("related", lambda r: F.struct((r["line"] - 1).alias("line"), at(F.try_element_at("__lines", r["line"]), r["col"]).alias("character"), r["message"].alias("message")))
     return joined.select("doc_id", rank.alias("severity"), "code", "message", (F.col("line") - 1).alias("line"), at(F.col("__line"), F.col("col")).alias("character"), (F.col("end_line") - 1).alias("end_line"), at(F.col("__end"), F.col("end_col")).alias("end_character"), fix.alias("fix"), related.alias("related"))
 
@@ -98,7 +99,7 @@ def checked(events: DataFrame) -> DataFrame:
     found = diagnostics.check(last.filter("kind <> 'close'").select("doc_id", "text"))
     listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "code", "severity", "message", "line", "col", "related"))).alias("found"))
     empty = F.array().cast(f"array<struct<start:int,stop:int,code:string,severity:string,message:string,line:int,col:int,related:{PLACE}>>")
-    return last.join(listed, "doc_id", "left").select("uri", "version", F.coalesce("found", empty).alias("diagnostics"))
+    return last.join(sorted_side(listed), "doc_id", "left").select("uri", "version", F.coalesce("found", empty).alias("diagnostics"))
 
 
 def publish(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, debounce: str = DEBOUNCE) -> StreamingQuery:
