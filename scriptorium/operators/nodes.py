@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,21 +19,41 @@ from scriptorium.functions.signatures import Table
 from scriptorium.session import ship
 from scriptorium.tables import written
 
-BATCH = 64  # documents of an output batch; bounds a worker's memory, not what is read
+#: Documents and characters of an output batch; they bound a worker's memory, not what is read.
+BATCH, CHARACTERS = 1024, 1 << 15
 VIEW = "doc_id long, text string, view string, pieces array<struct<start:int,stop:int,source:int,source_stop:int,expansion:int,depth:int>>, expansions array<struct<expansion_id:int,parent_id:int,name:string,source:int,source_stop:int,depth:int>>"
 PROSE = "doc_id long, prose string, marks array<struct<at:int,length:int,node_id:int,start:int,stop:int,faithful:boolean>>"
 
 
+def collect_seldom() -> None:
+    """Trees hold no cycles and go when they are done with, so a worker need not look for cycles after every few nodes."""
+    gc.freeze()
+    gc.set_threshold(100_000, 20, 20)
+
+
+def stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches [at, until) of BATCH documents or CHARACTERS characters; a longer document is a stretch of its own."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if k > at and (k - at == BATCH or size + len(t or "") > CHARACTERS):
+            yield at, k
+            at, size = k, 0
+        size += len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def per_document(docs: DataFrame, schema: str, one, *more: str) -> DataFrame:
     """The rows that `one(doc_id, text, ...)` makes, a document at a time; a null text is empty. more: further columns it gets."""
     ship(docs.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        collect_seldom()
         for b in batches:
             ids, texts, *rest = (c.to_pylist() for c in b.columns)
-            for at in range(0, len(ids), BATCH):
-                yield pa.RecordBatch.from_pylist([one(i, t or "", *x) for i, t, *x in zip(*(c[at : at + BATCH] for c in (ids, texts, *rest)), strict=True)], arrow)
+            for at, until in stretches(texts):
+                yield pa.RecordBatch.from_pylist([one(i, t or "", *x) for i, t, *x in zip(*(c[at:until] for c in (ids, texts, *rest)), strict=True)], arrow)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, schema)
 
@@ -44,6 +66,29 @@ def parse(docs: DataFrame, table: Table | None = None, *, package: bool = False,
     return per_document(docs, flatten.PARSED, lambda i, t: flatten.parsed(i, t, table, package, expanded=expanded))
 
 
+def plain(docs: DataFrame, *columns: str, table: Table | None = None) -> DataFrame:
+    """(doc_id, text, nodes): parse() with these columns of nodes only (of flatten.PLAIN_NODE), for what asks for no more.
+
+    A worker makes and hands on what is asked for, column by column; the scan is the same.
+    """
+    ship(docs.sparkSession)
+    schema = "doc_id long, text string, nodes array<struct<" + ",".join(flatten.PLAIN_NODE[c].replace(" ", ":") for c in columns) + ">>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    of_nodes = arrow.field("nodes").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        collect_seldom()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for at, until in stretches(texts):
+                out: dict[str, list] = {c: [] for c in columns}
+                ends = list(itertools.accumulate((flatten.plain_rows(scan(t or "", table), out) for t in texts[at:until]), initial=0))
+                made = pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in of_nodes.value_type], fields=list(of_nodes.value_type))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, until - at), pa.array([t or "" for t in texts[at:until]], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made, type=of_nodes)], schema=arrow)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
 def parse_once(docs: DataFrame, table: Table | None = None, *, package: bool = False, expanded: bool = False) -> DataFrame:
     """parse() through a table in the shared folder, for what reads it several times: each document is scanned once, at once."""
     return written(parse(docs, table, package=package, expanded=expanded), "parsed")

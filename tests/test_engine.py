@@ -387,3 +387,13 @@ def test_compilable_views(spark):
     back = {r["doc_id"]: r["text"] for r in provenance.compilable(v).collect()}
     view = {r["doc_id"]: r["view"] for r in v.collect()}
     assert back[0] == texts[0] and all((back[k] or "") == view[k] for k in range(len(texts)))
+
+
+def test_plain_nodes(spark):
+    """Nodes with few columns are the same nodes, whatever lengths documents have; nothing else is handed on."""
+    texts = [None, "", "\\begin{quote}a {b}\\end{quote}", "x" * 40_000, *(f"\\emph{{{k}}}" for k in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = nodes.plain(docs, "node_id", "kind", "name", "content", "end_line")
+    assert got.columns == ["doc_id", "text", "nodes"]
+    key = ["doc_id", "node_id", "kind", "name", "content", "end_line"]
+    assert sorted(map(tuple, nodes.nodes(got).select(key).collect())) == sorted(map(tuple, nodes.nodes(nodes.parse(docs)).select(key).collect()))

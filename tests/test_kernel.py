@@ -262,3 +262,24 @@ def test_categories(source, names):
 def test_spans():
     spans = kernel.Spans([(5, 9), (1, 3), (2, 4), (9, 9)])
     assert [k in spans for k in range(11)] == [False, True, True, True, False, True, True, True, True, False, False] and not kernel.Spans([])
+
+
+def test_an_expansion_scans_its_view_once(monkeypatch):
+    """The last pass of an expansion is the scan of the view: nothing is scanned again."""
+    texts = [r"a \emph{b}", r"\newcommand\m[1]{<#1>}\m{x} \begin{center}y\end{center}"]
+    views = [expand.expand(t)[0] for t in texts]
+    seen = []
+    for module in (expand, flatten):
+        monkeypatch.setattr(module, "scan", lambda text, *a, f=module.scan, **k: seen.append(text) or f(text, *a, **k))
+    for t in texts:
+        flatten.parsed(1, t, None, expanded=True)
+    assert seen == [texts[0], texts[1], views[1]]
+
+
+def test_plain_columns():
+    """Columns without context are those of the whole rows."""
+    for text in ("", "a b  c", "\\begin{itemize}\n\\item $x$ {a\n\n\\begin{quote}q\\end{quote}}\n\\end{itemize}\r\n\\emph*[o]{x", "\\begin{a}\\begin{b}x\\end{a}y\\end{b}%z"):
+        want = flatten.rows(scan(text))[0]
+        out = {c: [] for c in flatten.PLAIN_NODE}
+        assert flatten.plain_rows(scan(text), out) == len(want)
+        assert out == {c: [r["ctx"]["env"] if c == "env" else r[c] for r in want] for c in out}
