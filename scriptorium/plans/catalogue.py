@@ -202,7 +202,7 @@ def tex_comments(spark, sf_dir):
 
 def tex_environment_tally(spark, sf_dir):
     docs = order_documents(spark, sf_dir, _say("\\begin{quote}@\\end{quote}", "l_partkey"), "\\begin{center}\n", "\n\\end{center}")
-    return outline.environments_counted(nodes.nodes(nodes.parse(docs))).select("name", _big("n"))
+    return outline.environments_counted(nodes.nodes(nodes.plain(docs, "kind", "name"))).select("name", _big("n"))
 
 
 def tex_fingerprints(spark, sf_dir):
