@@ -39,8 +39,8 @@ def tex_bound_arguments(spark, sf_dir):
 def tex_environments(spark, sf_dir):
     docs = order_documents(spark, sf_dir, _say("\\item @ of @", "l_quantity", "l_partkey"), "\\begin{itemize}\n", "\n\\end{itemize}\n")
     # The items are counted in the document's own row, so it is read once and nothing is joined.
-    items = F.size(F.filter("nodes", lambda n: (n["kind"] == "command") & (n["name"] == "item") & (n["ctx"]["env"] == "itemize")))
-    p = nodes.parse(docs).select("doc_id", "nodes", items.alias("items")).filter("items > 0")
+    items = F.size(F.filter("nodes", lambda n: (n["kind"] == "command") & (n["name"] == "item") & (n["env"] == "itemize")))
+    p = nodes.plain(docs, "kind", "name", "end_line", "env").select("doc_id", "nodes", items.alias("items")).filter("items > 0")
     rows = p.select("doc_id", "items", F.inline(F.filter("nodes", lambda n: n["kind"].isin("environment", "verbatim"))))
     return rows.filter(tree.is_env("itemize")).select(_big("doc_id", "l_orderkey"), _big("end_line", "last_line"), _big("items"))
 
