@@ -217,7 +217,7 @@ def tex_fingerprints(spark, sf_dir):
 def tex_walk(spark, sf_dir):
     """The flat walk: an opening and a closing row for each group, a row for each leaf."""
     docs = order_documents(spark, sf_dir, _say("{@}", "l_partkey"), "", "")
-    return tree.flat(nodes.nodes(nodes.parse(docs))).groupBy("doc_id", "what").agg(F.count("*").alias("n")).select(_big("doc_id", "l_orderkey"), "what", _big("n"))
+    return tree.flat(nodes.nodes(nodes.plain(docs, "node_id", "kind", "last"))).groupBy("doc_id", "what").agg(F.count("*").alias("n")).select(_big("doc_id", "l_orderkey"), "what", _big("n"))
 
 
 def tex_conditionals(spark, sf_dir):
