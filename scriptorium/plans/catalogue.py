@@ -14,7 +14,7 @@ from scriptorium.plans import changes, rules, structure, views
 from scriptorium.plans.documents import PART, _big, _say, _t, order_documents, part_documents
 from scriptorium.sources import documents
 from scriptorium.streaming import buffers
-from scriptorium.tables import sorted_side
+from scriptorium.tables import sorted_side, written
 
 def tex_sections(spark, sf_dir):
     """Every section title of every document, with its position."""
@@ -315,7 +315,7 @@ def tex_enclosures(spark, sf_dir):
 def tex_same_content(spark, sf_dir):
     """Groups with equal content, wherever they stand."""
     docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _say("{a \\emph{@}}x{a  \\emph{@}}{a @}", "p_size", "p_size", "p_size").alias("text"))
-    p = nodes.parse_once(docs)
+    p = written(nodes.plain(docs, "node_id", "parent_id", "depth", "kind", "name", "content", "delimiter"), "plain")
     top = tree.same_content(p).join(sorted_side(nodes.nodes(p).filter("depth = 1 AND kind = 'brace'").select("doc_id", "node_id")), ["doc_id", "node_id"])
     return top.groupBy("doc_id").agg(F.count("*").alias("groups"), F.count_distinct("content_hash").alias("kinds")).select(_big("doc_id", "p_partkey"), _big("groups"), _big("kinds"))
 
