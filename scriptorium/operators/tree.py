@@ -134,19 +134,22 @@ def inputs(nodes: DataFrame, document: bool | None = None) -> DataFrame:
 def commands_to_next(nodes: DataFrame, name: str, *, close_at_same_level: bool = True, remove_comments: bool = True, starred: bool = True) -> DataFrame:
     """(doc_id, head, nth, node_id, kind, name, start, stop): each occurrence and its siblings up to the next one.
 
-    Without close_at_same_level, a segment goes to the end of its group, so that segments overlap: siblings are met by intervals, not all with all.
+    Without close_at_same_level, a segment goes to the end of its group, so that segments overlap: one ordered pass over a group's siblings keeps the
+    heads so far, and each sibling is told of each of them. Nothing is joined, and only the siblings themselves are sorted.
     """
     wanted = [name, f"{name}*"] if starred else [name]
     is_it = is_command(*wanted) & ~F.col("bare")
     shown = ("node_id", "kind", "name", "start", "stop", "sib")
     rows = nodes.select("doc_id", "parent_id", *shown, is_it.alias("__is"))
-    if close_at_same_level:
-        head = F.last(F.when(F.col("__is"), F.col("node_id")), ignorenulls=True).over(siblings().rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("head", head).filter("head IS NOT NULL")
-    else:
-        ends = rows.withColumn("__end", F.max("sib").over(Window.partitionBy("doc_id", "parent_id")) + 1)
-        heads = ends.filter("__is").select("doc_id", "parent_id", F.col("node_id").alias("head"), F.col("sib").alias("__first"), "__end")
-        rows = containing(rows, heads, keys=("doc_id", "parent_id"), at="sib", start="__first", stop="__end")
+    upto = siblings().rowsBetween(Window.unboundedPreceding, 0)
+    if not close_at_same_level:
+        # How many of the group's siblings count so far; a sibling's number in a segment is what was added since its head.
+        counted = rows.withColumn("__so_far", F.count_if((F.col("kind") != "comment") | F.lit(not remove_comments)).over(upto))
+        met = counted.withColumn("__heads", F.collect_list(F.when(F.col("__is"), F.struct(F.col("node_id").alias("head"), F.col("__so_far").alias("before")))).over(upto))
+        if remove_comments:
+            met = met.filter(F.col("kind") != "comment")
+        return met.withColumn("__h", F.explode("__heads")).select("doc_id", F.col("__h.head").alias("head"), (F.col("__so_far") - F.col("__h.before")).cast("int").alias("nth"), "node_id", "kind", "name", "start", "stop")
+    rows = rows.withColumn("head", F.last(F.when(F.col("__is"), F.col("node_id")), ignorenulls=True).over(upto)).filter("head IS NOT NULL")
     if remove_comments:
         rows = rows.filter(F.col("kind") != "comment")
     nth = F.row_number().over(Window.partitionBy("doc_id", "parent_id", "head").orderBy("sib")) - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.operators import diagnostics, folds, nodes, outline, tree
-from scriptorium.plans.documents import PART, _big, _say, _t, part_documents
+from scriptorium.plans.documents import PART, _big, _say, _t, _tasks, part_documents
 from scriptorium.sources import documents
 from scriptorium.streaming import buffers
 from scriptorium.tables import sorted_side
@@ -14,7 +14,10 @@ from scriptorium.tables import sorted_side
 def tex_overlapping(spark, sf_dir):
     """Each chapter with all that follows it in its group: segments overlap."""
     docs = part_documents(spark, sf_dir, F.concat(F.repeat(F.lit("x % c\n"), (F.col("p_size") % 3).cast("int")), _say("\\chapter{@}", "p_partkey")))
-    got = tree.commands_to_next(nodes.nodes(nodes.parse_once(docs)), "chapter", close_at_same_level=False)
+    told = nodes.plain(docs, "node_id", "parent_id", "sib", "kind", "name", "start", "stop", "bare")
+    # Dealt by document once and for all, to so many tasks: sizes of shuffled nodes are told packed, and tasks put together by them hold many times that.
+    dealt = nodes.nodes(told).repartition(_tasks(spark), "doc_id")
+    got = tree.commands_to_next(dealt, "chapter", close_at_same_level=False)
     said = got.groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "command").alias("chapters"), F.count_if(F.col("kind") == "comment").alias("comments"))
     return said.select(_big("doc_id"), _big("n"), _big("chapters"), _big("comments"))
 

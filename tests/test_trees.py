@@ -105,6 +105,28 @@ def test_no_table_of_documents_is_broadcast(spark):
     assert _broadcasts(diagnostics.check(docs)) == 1
 
 
+def test_overlapping_segments_are_told_in_one_pass(spark):
+    """Each head with each sibling from it on, as a plain loop says, with and without comments; nothing is joined for it, and the query's nodes are shuffled once."""
+    rng = random.Random(25)
+    texts = ["".join(rng.choice(["\\chapter{a}", "\\chapter*{b}", "x ", "% c\n", "{\\chapter d ", "}", "\n\n", "$u$ "]) for _ in range(rng.randrange(30))) for _ in range(40)]
+    n = nodes.nodes(nodes.parse(docs_of(spark, *texts, None))).cache()
+    rows = n.orderBy("doc_id", "node_id").collect()
+    for comments in (True, False):
+        want = set()
+        for h in rows:
+            if h["kind"] == "command" and h["name"] in ("chapter", "chapter*") and not h["bare"]:
+                after = [r for r in rows if (r["doc_id"], r["parent_id"]) == (h["doc_id"], h["parent_id"]) and r["sib"] >= h["sib"] and (comments or r["kind"] != "comment")]
+                want |= {(h["doc_id"], h["node_id"], k, r["node_id"]) for k, r in enumerate(after)}
+        got = tree.commands_to_next(n, "chapter", close_at_same_level=False, remove_comments=not comments)
+        found = [(r["doc_id"], r["head"], r["nth"], r["node_id"]) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    from scriptorium.plans import structure
+
+    plan = structure.tex_overlapping(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan[: plan.index("MapInArrow")].count("Exchange") == 1
+
+
 def test_blocks_of_intervals(spark):
     """Blocks are whole, few and disjoint for every interval, long or empty; only levels that fit in it are looked at."""
     cases = [(0, 0), (3, 2), (0, 1), (5, 6), (0, 8), (3, 17), (1, 2**31), (7, 2**39 + 5)]
