@@ -3,6 +3,8 @@
 import random
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scriptorium.operators import diagnostics, folds, intervals, nodes, outline, provenance, related, tree
@@ -127,6 +129,17 @@ def test_overlapping_segments_are_told_in_one_pass(spark):
     assert "Join" not in plan and plan[: plan.index("MapInArrow")].count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["tex_rules_math"])
+def test_rules_send_no_table_of_documents_through_the_driver(spark, name):
+    """Also as the running plan is changed: whatever is small enough to be sent is not, but for the fixed table of known names."""
+    from scriptorium.plans import rules
+
+    df = rules.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in final and final.count("BroadcastHashJoin") <= 1
+
+
 def test_blocks_of_intervals(spark):
     """Blocks are whole, few and disjoint for every interval, long or empty; only levels that fit in it are looked at."""
     cases = [(0, 0), (3, 2), (0, 1), (5, 6), (0, 8), (3, 17), (1, 2**31), (7, 2**39 + 5)]
