@@ -129,7 +129,7 @@ def test_overlapping_segments_are_told_in_one_pass(spark):
     assert "Join" not in plan and plan[: plan.index("MapInArrow")].count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["tex_rules_math"])
+@pytest.mark.parametrize("name", ["tex_rules_displays", "tex_rules_math"])
 def test_rules_send_no_table_of_documents_through_the_driver(spark, name):
     """Also as the running plan is changed: whatever is small enough to be sent is not, but for the fixed table of known names."""
     from scriptorium.plans import rules
