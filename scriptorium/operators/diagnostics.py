@@ -192,20 +192,24 @@ def unknown_names(parsed: DataFrame) -> DataFrame:
 
 
 def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """Included names (doc_id, fragment, folder, command, target, extension, start, ...) that no file of the manifest (path) fits: an anti join."""
+    """Included names (doc_id, fragment, folder, command, target, extension, start, ...) that no file of the manifest (path) fits: a semi join.
+
+    A name is looked for once from a folder, however many documents include it there; wanted is a table, as it is read twice.
+    """
     from scriptorium.sources.documents import resolved
 
-    lost = resolved(wanted, files).filter("path IS NULL")
+    name = ["folder", "target", "extension"]
+    lost = wanted.join(sorted_side(resolved(wanted.select(*name).distinct(), files).filter("path IS NULL").select(*name)), name, "left_semi")
     severity = F.when(F.col("fragment") | (F.col("command") == "include"), "warning").otherwise("error")
     return lost.select("doc_id", F.lit("file-not-found").alias("code"), severity.alias("severity"), F.concat("target", F.lit(" is not found")).alias("message"), "start", "stop", "line", "col", "by")
 
 
 def _wanted(parsed: DataFrame, folders: DataFrame | None) -> DataFrame:
-    """Inclusions to be looked for: files and images. Packages and classes are not: most are of a distribution."""
+    """Inclusions to be looked for, as a table of their own: files and images. Packages and classes are not: most are of a distribution."""
     rows = parsed.select("doc_id", "fragment", F.inline("inclusions")).filter(F.col("extension").isin(".tex", "") & ~F.contains("target", F.lit("#")) & ~F.contains("target", F.lit("\\")))
     if folders is None:
-        return rows.withColumn("folder", F.lit(""))
-    return rows.join(sorted_side(folders.select("doc_id", "folder")), "doc_id", "left")
+        return written(rows.withColumn("folder", F.lit("")), "wanted")
+    return written(rows.join(sorted_side(folders.select("doc_id", F.coalesce("folder", F.lit("")).alias("folder"))), "doc_id", "left").fillna("", "folder"), "wanted")
 
 
 def files_not_found(parsed: DataFrame, files: DataFrame, folders: DataFrame | None = None) -> DataFrame:

@@ -140,6 +140,21 @@ def test_rules_send_no_table_of_documents_through_the_driver(spark, name):
     assert "isFinalPlan=true" in final and final.count("BroadcastHashJoin") <= 1
 
 
+def test_a_name_is_looked_for_once(spark):
+    """Many documents that include one file ask for it once; what is missing is told of each document and each place, from its own folder or none."""
+    body = "\\documentclass{article}\\begin{document}\\includegraphics{a}\\includegraphics{b} \\includegraphics{b}\\end{document}"
+    docs = spark.createDataFrame([(k, body, (f"d/{k}.tex", f"e/{k}.tex", f"{k}.tex", None)[k % 4]) for k in range(40)], "doc_id long, text string, path string")
+    files = spark.createDataFrame([("d/a.png",), ("d/a.pdf",), ("e/b",), ("a.eps",)], "path string")
+    folders = docs.select("doc_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
+    got = diagnostics.files_not_found(nodes.parse(docs), files, folders)
+    at = {"a": [body.index("\\includegraphics{a}")], "b": [k for k in range(len(body)) if body.startswith("\\includegraphics{b}", k)]}
+    want = [(k, f"{t} is not found", start) for k in range(40) for t in ("a" if k % 4 == 1 else "b") for start in at[t]]
+    assert sorted((r["doc_id"], r["message"], r["start"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    tried = plan[plan.index("Generate posexplode") :]
+    assert "HashAggregate(keys=[folder" in tried[: tried.index("Scan parquet")]
+
+
 def test_blocks_of_intervals(spark):
     """Blocks are whole, few and disjoint for every interval, long or empty; only levels that fit in it are looked at."""
     cases = [(0, 0), (3, 2), (0, 1), (5, 6), (0, 8), (3, 17), (1, 2**31), (7, 2**39 + 5)]
