@@ -64,6 +64,15 @@ class Resting(StatefulProcessor):
         pass
 
 
+def _ticking(stream: DataFrame) -> DataFrame:
+    """No rows, of the stream's columns, from a source that always has new offsets.
+
+    After a restart from a finished batch Spark runs none, and so looks at no timer, before a source has something new.
+    """
+    clock = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.filter("value < 0").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema))
+
+
 def due(stream: DataFrame, *, debounce_ms: int = 300) -> DataFrame:
     """(uri, version, kind, text) of buffers whose time has come: opened, saved and closed ones at once, changed ones when they rest.
 
@@ -73,7 +82,7 @@ def due(stream: DataFrame, *, debounce_ms: int = 300) -> DataFrame:
     """
     ship(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # arbitrary state with timers needs it
-    return stream.groupBy("uri").transformWithState(statefulProcessor=Resting(debounce_ms), outputStructType=DUE, outputMode="Update", timeMode="ProcessingTime")
+    return stream.unionByName(_ticking(stream)).groupBy("uri").transformWithState(statefulProcessor=Resting(debounce_ms), outputStructType=DUE, outputMode="Update", timeMode="ProcessingTime")
 
 
 def projected(found: DataFrame, docs: DataFrame, encoding: str = "utf-16") -> DataFrame:
@@ -108,13 +117,26 @@ def publish(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
 
 
 def publish_settled(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, debounce_ms: int = 300, trigger: str = "100 milliseconds") -> StreamingQuery:
-    """The same by due(): each buffer has a time of its own. Batches run on for the timers, also without new events."""
+    """The same by due(): each buffer has a time of its own. Batches run on for the timers, also without new events.
+
+    A batch that was told before a stop and runs again after it isn't told again: the last one told is marked in the checkpoint.
+    """
+    spark = stream.sparkSession
+    marked = spark._jvm.org.apache.hadoop.fs.Path(checkpoint, "told")
+    fs = marked.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def told(batch: DataFrame, n: int) -> None:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(marked, str(n))
         batch.persist()
         try:
-            if not batch.isEmpty():
+            if fs.exists(mark):
+                batch.count()  # its state is still to be kept
+            elif not batch.isEmpty():
+                before = [x.getPath() for x in fs.listStatus(marked)] if fs.exists(marked) else []
                 sink(checked(batch), n)
+                fs.create(mark).close()
+                for old in before:
+                    fs.delete(old, False)
         finally:
             batch.unpersist()
 
